@@ -99,3 +99,183 @@ def sql_column_profiles(source: str, columns: list[tuple[str, str]]) -> str:
 def profile_columns_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P1-P8 over every column of ``orders``."""
     return P.column_profiles(table(spark, sf_dir, "orders"))
+
+
+# ------------------------------------------------------------ splits and folds
+
+from .config import FoldConfig, SplitConfig, Task  # noqa: E402
+from .functions.digest import sql_digest  # noqa: E402
+from .operators import checks as V  # noqa: E402
+from .operators import split as T  # noqa: E402
+
+
+def sql_hash(seed: int, key: str) -> str:
+    return f"md5('{seed}:' || CAST({key} AS VARCHAR))"
+
+
+def sql_holdout(source: str, key: str, fraction: float = 0.2, seed: int = 42) -> str:
+    """Unstratified holdout: the first ceil(n*f) rows in hash order validate."""
+    return (
+        f"SELECT *, CASE WHEN row_number() OVER (ORDER BY {sql_hash(seed, key)}, {key}) - 1 "
+        f"< ceil(count(*) OVER () * CAST({fraction} AS DOUBLE)) THEN 'validation' ELSE 'train' END AS part "
+        f"FROM {source}"
+    )
+
+
+def sql_stratified(source: str, key: str, target: str, fraction: float = 0.2, seed: int = 42) -> str:
+    """Stratified holdout with largest-remainder class quotas."""
+    return f"""
+WITH base AS (SELECT *, {sql_hash(seed, key)} AS _h FROM {source}),
+n AS (SELECT count(*) AS rows_, CAST(ceil(count(*) * CAST({fraction} AS DOUBLE)) AS BIGINT) AS v FROM base),
+cc AS (SELECT {target} AS _t, count(*) AS nk FROM base GROUP BY {target}),
+q0 AS (SELECT _t, CAST((CAST(nk AS HUGEINT) * v) // rows_ AS BIGINT) AS base_q,
+              (CAST(nk AS HUGEINT) * v) % rows_ AS rem, v FROM cc, n),
+q1 AS (SELECT _t, base_q, row_number() OVER (ORDER BY rem DESC, _t ASC) AS pos,
+              v - sum(base_q) OVER () AS left_ FROM q0),
+quota AS (SELECT _t, base_q + CASE WHEN pos <= left_ THEN 1 ELSE 0 END AS quota FROM q1),
+r AS (SELECT *, row_number() OVER (PARTITION BY {target} ORDER BY _h, {key}) - 1 AS _rk FROM base)
+SELECT r.* EXCLUDE (_h, _rk), CASE WHEN _rk < quota THEN 'validation' ELSE 'train' END AS part
+FROM r JOIN quota ON r.{target} = quota._t"""
+
+
+def sql_folds(source: str, key: str, target: str, k: int = 5, seed: int = 42) -> str:
+    return (
+        f"SELECT *, CAST((row_number() OVER (ORDER BY {target}, {sql_hash(seed, key)}, {key}) - 1) "
+        f"% {k} + 1 AS INTEGER) AS fold FROM {source}"
+    )
+
+
+def sql_fold_snapshots(folded: str, key: str, k: int = 5) -> str:
+    token = "part || ':' || CAST(" + key + " AS VARCHAR)"
+    return f"""
+SELECT CAST(fold_number AS INTEGER) AS fold_number,
+       count(*) FILTER (WHERE part = 'train') AS train_rows,
+       count(*) FILTER (WHERE part = 'validation') AS validation_rows,
+       {sql_digest(token)} AS partition_sha256
+FROM (SELECT f.{key}, t.fold_number,
+             CASE WHEN f.fold = t.fold_number THEN 'validation' ELSE 'train' END AS part
+      FROM ({folded}) f, range(1, {k + 1}) t(fold_number))
+GROUP BY fold_number"""
+
+
+def orders_holdout(spark, sf_dir):
+    return T.split_dataset(
+        table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"),
+        target="o_totalprice", key=["o_orderkey"], task=Task.REGRESSION, config=SplitConfig(),
+    )
+
+
+def events_stratified(spark, sf_dir):
+    return T.split_dataset(
+        table(spark, sf_dir, "events").select("event_id", "user_id", "value", "event_type"),
+        target="event_type", key=["event_id"], task=Task.CLASSIFICATION, config=SplitConfig(),
+    )
+
+
+def orders_folds(spark, sf_dir, k: int = 5):
+    return T.assign_folds(
+        table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"),
+        target="o_orderstatus", key=["o_orderkey"], config=FoldConfig(fold_count=k),
+    )
+
+
+@register(
+    "split_holdout",
+    "SELECT o_orderkey, part FROM ("
+    + sql_holdout("(SELECT o_orderkey FROM orders)", "o_orderkey") + ")",
+)
+def split_holdout(spark, sf_dir):
+    """Unstratified 20% holdout of orders (regression target o_totalprice)."""
+    return orders_holdout(spark, sf_dir).frame.select("o_orderkey", "part")
+
+
+@register(
+    "split_stratified",
+    "SELECT event_id, event_type, part FROM ("
+    + sql_stratified("(SELECT event_id, event_type FROM events)", "event_id", "event_type") + ")",
+)
+def split_stratified(spark, sf_dir):
+    """Stratified 20% holdout of events by event_type."""
+    return events_stratified(spark, sf_dir).frame.select("event_id", "event_type", "part")
+
+
+@register(
+    "split_disjoint",
+    "SELECT count(*) AS rows, count(*) FILTER (WHERE part = 'train') AS train_rows, "
+    "count(*) FILTER (WHERE part = 'validation') AS validation_rows, "
+    "CAST(0 AS BIGINT) AS keys_in_both_parts, CAST(0 AS BIGINT) AS duplicate_keys FROM ("
+    + sql_stratified("(SELECT event_id, event_type FROM events)", "event_id", "event_type") + ")",
+)
+def split_disjoint(spark, sf_dir):
+    """Split integrity (coverage, disjointness, key uniqueness)."""
+    return V.split_integrity(events_stratified(spark, sf_dir).frame, ["event_id"])
+
+
+@register(
+    "split_class_counts",
+    "SELECT event_type, part, count(*) AS n FROM ("
+    + sql_stratified("(SELECT event_id, event_type FROM events)", "event_id", "event_type")
+    + ") GROUP BY event_type, part",
+)
+def split_class_counts(spark, sf_dir):
+    """Per-class rows in each part of the stratified split."""
+    return events_stratified(spark, sf_dir).frame.groupBy("event_type", "part").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+@register(
+    "partition_digest",
+    "SELECT count(*) AS rows, "
+    + sql_digest("part || ':' || CAST(event_id AS VARCHAR)")
+    + " AS partition_sha256 FROM ("
+    + sql_stratified("(SELECT event_id, event_type FROM events)", "event_id", "event_type") + ")",
+)
+def partition_digest(spark, sf_dir):
+    """T4: membership digest of the stratified events split."""
+    return T.partition_digest(events_stratified(spark, sf_dir).frame, ["event_id"])
+
+
+@register(
+    "kfold_assign",
+    "SELECT o_orderkey, o_orderstatus, fold FROM ("
+    + sql_folds("(SELECT o_orderkey, o_orderstatus FROM orders)", "o_orderkey", "o_orderstatus") + ")",
+)
+def kfold_assign(spark, sf_dir):
+    """Stratified 5-fold assignment of orders by o_orderstatus."""
+    return orders_folds(spark, sf_dir).select("o_orderkey", "o_orderstatus", "fold")
+
+
+@register(
+    "kfold_counts",
+    "SELECT fold, o_orderstatus, count(*) AS n FROM ("
+    + sql_folds("(SELECT o_orderkey, o_orderstatus FROM orders)", "o_orderkey", "o_orderstatus")
+    + ") GROUP BY fold, o_orderstatus",
+)
+def kfold_counts(spark, sf_dir):
+    """Rows per (fold, class): every class spread within one row."""
+    return orders_folds(spark, sf_dir).groupBy("fold", "o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+_ORDERS_FOLDS_SQL = sql_folds("(SELECT o_orderkey, o_orderstatus FROM orders)", "o_orderkey", "o_orderstatus")
+
+
+@register("fold_snapshots", sql_fold_snapshots(_ORDERS_FOLDS_SQL, "o_orderkey"))
+def fold_snapshots(spark, sf_dir):
+    """Per-fold train/validation rows and membership digests."""
+    return T.fold_snapshots(orders_folds(spark, sf_dir), ["o_orderkey"], 5)
+
+
+@register(
+    "fold_plan_digest",
+    "SELECT count(*) AS fold_count, sha256(string_agg(lpad(CAST(fold_number AS VARCHAR), 2, '0') "
+    "|| ':' || CAST(train_rows AS VARCHAR) || ':' || CAST(validation_rows AS VARCHAR) || ':' || "
+    "partition_sha256, ',' ORDER BY lpad(CAST(fold_number AS VARCHAR), 2, '0') "
+    "|| ':' || CAST(train_rows AS VARCHAR) || ':' || CAST(validation_rows AS VARCHAR) || ':' || "
+    "partition_sha256)) AS fold_plan_sha256 FROM (" + sql_fold_snapshots(_ORDERS_FOLDS_SQL, "o_orderkey") + ")",
+)
+def fold_plan_digest(spark, sf_dir):
+    """T5: digest of the ordered fold plan."""
+    return T.fold_plan_digest(T.fold_snapshots(orders_folds(spark, sf_dir), ["o_orderkey"], 5))
