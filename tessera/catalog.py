@@ -279,3 +279,202 @@ def fold_snapshots(spark, sf_dir):
 def fold_plan_digest(spark, sf_dir):
     """T5: digest of the ordered fold plan."""
     return T.fold_plan_digest(T.fold_snapshots(orders_folds(spark, sf_dir), ["o_orderkey"], 5))
+
+
+# ------------------------------------------------- injected missing values
+
+def events_dirty(spark, sf_dir) -> DataFrame:
+    """events with NULL (id % 37), +inf (id % 101) and -inf (id % 103) in value."""
+    e = table(spark, sf_dir, "events")
+    value = (
+        F.when(F.col("event_id") % 37 == 0, F.lit(None).cast("double"))
+        .when(F.col("event_id") % 101 == 0, F.lit(float("inf")))
+        .when(F.col("event_id") % 103 == 0, F.lit(float("-inf")))
+        .otherwise(F.col("value"))
+    )
+    return e.select("event_id", "user_id", "event_type", value.alias("value"))
+
+
+EVENTS_DIRTY_SQL = (
+    "(SELECT event_id, user_id, event_type, CASE WHEN event_id % 37 = 0 THEN NULL "
+    "WHEN event_id % 101 = 0 THEN CAST('inf' AS DOUBLE) WHEN event_id % 103 = 0 "
+    "THEN CAST('-inf' AS DOUBLE) ELSE value END AS value FROM events)"
+)
+
+
+def events_missing(spark, sf_dir) -> DataFrame:
+    """events with NULL value at id % 37 (no infinities: trainable)."""
+    e = table(spark, sf_dir, "events")
+    value = F.when(F.col("event_id") % 37 == 0, F.lit(None).cast("double")).otherwise(F.col("value"))
+    return e.select("event_id", "user_id", value.alias("value"), "event_type")
+
+
+EVENTS_MISSING_SQL = (
+    "(SELECT event_id, user_id, CASE WHEN event_id % 37 = 0 THEN NULL ELSE value END AS value, "
+    "event_type FROM events)"
+)
+
+
+@register(
+    "profile_numeric_events",
+    sql_column_profiles(EVENTS_DIRTY_SQL, [("event_id", "integer"), ("user_id", "integer"),
+                                           ("event_type", "string"), ("value", "float")]),
+)
+def profile_numeric_events(spark, sf_dir):
+    """Missing, infinite, finite-only summaries on events with injected gaps."""
+    return P.column_profiles(events_dirty(spark, sf_dir))
+
+
+@register(
+    "profile_columns_customer",
+    sql_column_profiles("customer", [("c_custkey", "integer"), ("c_name", "string"),
+                                     ("c_nationkey", "integer"), ("c_acctbal", "float"),
+                                     ("c_mktsegment", "string")]),
+)
+def profile_columns_customer(spark, sf_dir):
+    """High-cardinality c_name; c_custkey not an identifier by name."""
+    return P.column_profiles(table(spark, sf_dir, "customer"))
+
+
+@register(
+    "profile_columns_documents",
+    sql_column_profiles("(SELECT doc_id, lang, source, n_chars FROM documents)",
+                        [("doc_id", "integer"), ("lang", "string"), ("source", "string"),
+                         ("n_chars", "integer")]),
+)
+def profile_columns_documents(spark, sf_dir):
+    """doc_id is a likely identifier (complete, unique, ``*_id``)."""
+    return P.column_profiles(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"))
+
+
+@register(
+    "profile_missing_cells",
+    "SELECT CAST(count(*) FILTER (WHERE value IS NULL) AS BIGINT) AS missing_cells, "
+    "CAST(count(*) * 4 AS BIGINT) AS cell_count, "
+    "round(CAST(count(*) FILTER (WHERE value IS NULL) AS DOUBLE) / (count(*) * 4), 6) AS missing_cell_ratio "
+    "FROM " + EVENTS_DIRTY_SQL,
+)
+def profile_missing_cells(spark, sf_dir):
+    """Missing cells over rows x columns."""
+    return P.missing_cells(events_dirty(spark, sf_dir))
+
+
+@register(
+    "duplicate_rows",
+    "SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS duplicate_rows FROM "
+    "(SELECT count(*) AS c FROM events GROUP BY user_id, event_type)",
+)
+def duplicate_rows(spark, sf_dir):
+    """P10: duplicate (user_id, event_type) rows of events."""
+    return P.duplicate_row_count(table(spark, sf_dir, "events").select("user_id", "event_type"))
+
+
+def _sql_class_distribution(source: str, target: str) -> str:
+    return (
+        f"SELECT value, count, round(CAST(count AS DOUBLE) / total, 6) AS ratio FROM ("
+        f"SELECT CAST({target} AS VARCHAR) AS value, count(*) AS count, sum(count(*)) OVER () AS total "
+        f"FROM {source} WHERE {target} IS NOT NULL GROUP BY {target}) "
+        f"ORDER BY count DESC, value ASC LIMIT 20"
+    )
+
+
+@register("class_distribution_quality", _sql_class_distribution("labels", "quality"))
+def class_distribution_quality(spark, sf_dir):
+    """Class distribution of labels.quality."""
+    return P.class_distribution(table(spark, sf_dir, "labels"), "quality")
+
+
+@register("class_distribution_priority", _sql_class_distribution("orders", "o_orderpriority"))
+def class_distribution_priority(spark, sf_dir):
+    """Class distribution of orders.o_orderpriority."""
+    return P.class_distribution(table(spark, sf_dir, "orders"), "o_orderpriority")
+
+
+def _sql_target_summary(source: str, target: str, kind: str) -> str:
+    if kind in ("integer", "float"):
+        hint = ("CASE WHEN ud < 2 OR nm = 0 THEN 'undetermined' WHEN ud <= least(20, greatest(2, "
+                "CAST(floor(sqrt(nm)) AS BIGINT))) THEN 'classification' ELSE 'regression' END")
+    else:
+        hint = "CASE WHEN ud < 2 OR nm = 0 THEN 'undetermined' ELSE 'classification' END"
+    return f"""
+SELECT '{target}' AS target, task_hint, nm AS non_missing_count, rows_ - nm AS missing_count,
+       ud AS unique_count,
+       (task_hint = 'classification' AND ud >= 2 AND CAST(mn AS DOUBLE) / mx < 0.2) AS imbalance_warning,
+       (task_hint = 'classification' AND ud > 20) AS distribution_truncated
+FROM (SELECT *, {hint} AS task_hint FROM (
+  SELECT CAST(coalesce(sum(n) FILTER (WHERE t IS NOT NULL), 0) AS BIGINT) AS nm,
+         count(*) FILTER (WHERE t IS NOT NULL) AS ud,
+         min(n) FILTER (WHERE t IS NOT NULL) AS mn, max(n) FILTER (WHERE t IS NOT NULL) AS mx,
+         CAST(sum(n) AS BIGINT) AS rows_
+  FROM (SELECT {target} AS t, count(*) AS n FROM {source} GROUP BY {target})))"""
+
+
+@register("target_summary_quality", _sql_target_summary("labels", "quality", "integer"))
+def target_summary_quality(spark, sf_dir):
+    """Labels.quality -> classification, imbalanced (58/341 < 0.2)."""
+    return P.target_summary(table(spark, sf_dir, "labels"), "quality")
+
+
+@register("target_summary_totalprice", _sql_target_summary("orders", "o_totalprice", "float"))
+def target_summary_totalprice(spark, sf_dir):
+    """Orders.o_totalprice -> regression hint."""
+    return P.target_summary(table(spark, sf_dir, "orders"), "o_totalprice")
+
+
+@register("target_summary_priority", _sql_target_summary("orders", "o_orderpriority", "string"))
+def target_summary_priority(spark, sf_dir):
+    """Orders.o_orderpriority -> classification, balanced."""
+    return P.target_summary(table(spark, sf_dir, "orders"), "o_orderpriority")
+
+
+# -------------------------------------------------------------- checks (V)
+
+
+@register(
+    "check_target",
+    "SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(coalesce(sum(n) FILTER (WHERE t IS NULL), 0) AS BIGINT) AS missing, "
+    "CAST(coalesce(sum(n) FILTER (WHERE t IS NOT NULL AND isinf(t)), 0) AS BIGINT) AS non_finite, "
+    "count(*) FILTER (WHERE t IS NOT NULL) AS classes, min(n) FILTER (WHERE t IS NOT NULL) AS min_class_count, "
+    "max(n) FILTER (WHERE t IS NOT NULL) AS max_class_count FROM "
+    "(SELECT value AS t, count(*) AS n FROM " + EVENTS_DIRTY_SQL + " GROUP BY value)",
+)
+def check_target(spark, sf_dir):
+    """V3-V6/V9: target completeness, finiteness and class counts (events.value)."""
+    return V.target_report(events_dirty(spark, sf_dir), "value")
+
+
+@register(
+    "check_stratify",
+    "SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS non_finite, "
+    "count(*) AS classes, min(n) AS min_class_count, max(n) AS max_class_count FROM "
+    "(SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus)",
+)
+def check_stratify(spark, sf_dir):
+    """V6/V9: class counts that gate stratification and fold feasibility."""
+    return V.target_report(table(spark, sf_dir, "orders"), "o_orderstatus")
+
+
+@register(
+    "check_finite",
+    "SELECT part, column_name, count(*) FILTER (WHERE isinf(v)) AS infinite_count FROM ("
+    "SELECT s.part, u.column_name, u.v FROM ("
+    + sql_stratified(EVENTS_DIRTY_SQL, "event_id", "event_type")
+    + ") s, LATERAL (VALUES ('user_id', CAST(s.user_id AS DOUBLE)), ('value', s.value)) u(column_name, v)"
+    ") GROUP BY part, column_name",
+)
+def check_finite(spark, sf_dir):
+    """Infinite numeric feature values per partition."""
+    split = T.split_dataset(events_dirty(spark, sf_dir), target="event_type", key=["event_id"],
+                            task=Task.CLASSIFICATION, config=SplitConfig())
+    return V.nonfinite_by_part(split.frame, ["user_id", "value"])
+
+
+@register(
+    "check_marker",
+    "SELECT column_name, occurrences FROM (SELECT 'c_mktsegment' AS column_name, "
+    "count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS occurrences FROM customer "
+    "UNION ALL SELECT 'c_name', count(*) FILTER (WHERE c_name = 'BUILDING') FROM customer)",
+)
+def check_marker(spark, sf_dir):
+    """A fill marker that collides with a real category is detected."""
+    return V.marker_collisions(table(spark, sf_dir, "customer"), ["c_mktsegment", "c_name"], "BUILDING")
