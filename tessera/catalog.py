@@ -478,3 +478,363 @@ def check_finite(spark, sf_dir):
 def check_marker(spark, sf_dir):
     """A fill marker that collides with a real category is detected."""
     return V.marker_collisions(table(spark, sf_dir, "customer"), ["c_mktsegment", "c_name"], "BUILDING")
+
+
+# ------------------------------------------------------- features
+
+from pyspark.ml.feature import SQLTransformer  # noqa: E402
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
+from .config import Imputation, PreprocessingConfig  # noqa: E402
+from .operators import estimators as E  # noqa: E402
+from .operators import features as FE  # noqa: E402
+from .operators import metrics as M  # noqa: E402
+
+MARKER = PreprocessingConfig().categorical_fill_value
+
+
+def _train():
+    return F.col("part") == "train"
+
+
+def _transformed(split_frame, features, config, where=None, overrides=None):
+    where = _train() if where is None else where
+    schema = FE.infer_feature_schema(split_frame, features, overrides)
+    stats = FE.fit_feature_stats(split_frame, schema, config, where=where)
+    return stats, SQLTransformer(statement=FE.transform_sql(stats)).transform(split_frame)
+
+
+def _sql_scaled(expr: str, med: str, mu: str, sd: str) -> str:
+    return f"round((coalesce({expr}, {med}) - {mu}) / CASE WHEN {sd} = 0 THEN 1 ELSE {sd} END, 6)"
+
+
+_EVENTS_MISSING_SPLIT = sql_stratified(EVENTS_MISSING_SQL, "event_id", "event_type")
+
+
+@register(
+    "standardize_events",
+    f"""
+WITH s AS ({_EVENTS_MISSING_SPLIT}),
+m AS (SELECT median(CAST(user_id AS DOUBLE)) AS mu_, median(value) AS mv FROM s WHERE part = 'train'),
+st AS (SELECT avg(coalesce(CAST(user_id AS DOUBLE), mu_)) AS cu, stddev_pop(coalesce(CAST(user_id AS DOUBLE), mu_)) AS su,
+              avg(coalesce(value, mv)) AS cv, stddev_pop(coalesce(value, mv)) AS sv
+       FROM s, m WHERE part = 'train')
+SELECT event_id, part, {_sql_scaled('CAST(user_id AS DOUBLE)', 'mu_', 'cu', 'su')} AS numeric__user_id,
+       {_sql_scaled('value', 'mv', 'cv', 'sv')} AS numeric__value
+FROM s, m, st""",
+)
+def standardize_events(spark, sf_dir):
+    """F4 + F6: train-median imputation then train mean / population-sd scaling."""
+    split = T.split_dataset(events_missing(spark, sf_dir), target="event_type", key=["event_id"],
+                            task=Task.CLASSIFICATION)
+    _, out = _transformed(split.frame, ["user_id", "value"], PreprocessingConfig())
+    return out.select("event_id", "part", F.round("numeric__user_id", 6).alias("numeric__user_id"),
+                      F.round("numeric__value", 6).alias("numeric__value"))
+
+
+_ORDERS_MISSING_SQL = (
+    "(SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 37 = 0 THEN NULL ELSE o_totalprice END "
+    "AS o_totalprice, o_orderstatus FROM orders)"
+)
+
+
+def orders_missing(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    price = F.when(F.col("o_orderkey") % 37 == 0, F.lit(None).cast("double")).otherwise(F.col("o_totalprice"))
+    return o.select("o_orderkey", "o_custkey", price.alias("o_totalprice"), "o_orderstatus")
+
+
+@register(
+    "impute_mean",
+    f"""
+WITH s AS ({sql_stratified(_ORDERS_MISSING_SQL, 'o_orderkey', 'o_orderstatus')}),
+m AS (SELECT avg(CAST(o_custkey AS DOUBLE)) AS mc, avg(o_totalprice) AS mp FROM s WHERE part = 'train')
+SELECT o_orderkey, part, round(coalesce(CAST(o_custkey AS DOUBLE), mc), 6) AS numeric__o_custkey,
+       round(coalesce(o_totalprice, mp), 6) AS numeric__o_totalprice FROM s, m""",
+)
+def impute_mean(spark, sf_dir):
+    """F3 + F7: train-mean imputation without scaling."""
+    split = T.split_dataset(orders_missing(spark, sf_dir), target="o_orderstatus", key=["o_orderkey"],
+                            task=Task.CLASSIFICATION)
+    cfg = PreprocessingConfig(numeric_imputation=Imputation.MEAN, scale_numeric=False)
+    _, out = _transformed(split.frame, ["o_custkey", "o_totalprice"], cfg)
+    return out.select("o_orderkey", "part", F.round("numeric__o_custkey", 6).alias("numeric__o_custkey"),
+                      F.round("numeric__o_totalprice", 6).alias("numeric__o_totalprice"))
+
+
+@register(
+    "empty_numeric",
+    f"""
+WITH s AS ({sql_stratified('(SELECT event_id, CAST(NULL AS DOUBLE) AS empty, value, event_type FROM events)', 'event_id', 'event_type')}),
+m AS (SELECT coalesce(median(empty), 0) AS me FROM s WHERE part = 'train'),
+st AS (SELECT avg(coalesce(empty, me)) AS ce, stddev_pop(coalesce(empty, me)) AS se FROM s, m WHERE part = 'train')
+SELECT event_id, {_sql_scaled('empty', 'me', 'ce', 'se')} AS numeric__empty FROM s, m, st""",
+)
+def empty_numeric(spark, sf_dir):
+    """an all-missing numeric column is kept, filled with 0, scaled by 1."""
+    e = table(spark, sf_dir, "events").select(
+        "event_id", F.lit(None).cast("double").alias("empty"), "value", "event_type")
+    split = T.split_dataset(e, target="event_type", key=["event_id"], task=Task.CLASSIFICATION)
+    _, out = _transformed(split.frame, ["empty", "value"], PreprocessingConfig())
+    return out.select("event_id", F.round("numeric__empty", 6).alias("numeric__empty"))
+
+
+_CUSTOMER_CAT_SQL = (
+    "(SELECT c_custkey, CASE WHEN c_custkey % 37 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment, "
+    "c_nationkey, c_acctbal FROM customer)"
+)
+
+
+@register(
+    "onehot_long",
+    f"""
+WITH s AS ({sql_holdout(_CUSTOMER_CAT_SQL, 'c_custkey')}),
+tr AS (SELECT * FROM s WHERE part = 'train' AND (c_mktsegment IS NULL OR c_mktsegment <> 'MACHINERY')),
+cats AS (SELECT DISTINCT 'c_mktsegment' AS col, coalesce(c_mktsegment, '{MARKER}') AS v FROM tr
+         UNION SELECT DISTINCT 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM tr)
+SELECT s.c_custkey, s.part, 'categorical__c_mktsegment_' || v AS feature FROM s JOIN cats
+  ON cats.col = 'c_mktsegment' AND cats.v = coalesce(s.c_mktsegment, '{MARKER}')
+UNION ALL
+SELECT s.c_custkey, s.part, 'categorical__c_nationkey_' || v FROM s JOIN cats
+  ON cats.col = 'c_nationkey' AND cats.v = CAST(s.c_nationkey AS VARCHAR)""",
+)
+def onehot_long(spark, sf_dir):
+    """F2 + F8 + F9 + I4: marker fill, sorted train categories, forced-categorical
+    integer, and an all-zero block for a segment never seen in training."""
+    c = table(spark, sf_dir, "customer")
+    seg = F.when(F.col("c_custkey") % 37 == 0, F.lit(None).cast("string")).otherwise(F.col("c_mktsegment"))
+    frame = T.split_dataset(
+        c.select("c_custkey", seg.alias("c_mktsegment"), "c_nationkey", "c_acctbal"),
+        target="c_acctbal", key=["c_custkey"], task=Task.REGRESSION).frame
+    where = _train() & (F.col("c_mktsegment").isNull() | (F.col("c_mktsegment") != "MACHINERY"))
+    schema = FE.infer_feature_schema(frame, ["c_mktsegment", "c_nationkey"],
+                                     __import__("tessera.config", fromlist=["x"]).FeatureOverrides(
+                                         categorical=("c_nationkey",)))
+    stats = FE.fit_feature_stats(frame, schema, PreprocessingConfig(), where=where)
+    model = FE.fit_preprocessor(frame.filter(where), stats)
+    encoded = model.transform(frame)
+    parts = []
+    for col in schema.categorical:
+        labels = F.array(*[F.lit(v) for v in stats.categories[col]])
+        parts.append(
+            encoded.select("c_custkey", "part", F.posexplode(vector_to_array(f"categorical__{col}")).alias("i", "x"))
+            .filter(F.col("x") != 0)
+            .select("c_custkey", "part",
+                    F.concat(F.lit(f"categorical__{col}_"), F.element_at(labels, F.col("i") + 1)).alias("feature"))
+        )
+    return parts[0].unionByName(parts[1])
+
+
+_ORDERS_MISSING_FOLDS = sql_folds(_ORDERS_MISSING_SQL, "o_orderkey", "o_orderstatus")
+
+
+@register(
+    "fold_local_stats",
+    f"""
+SELECT CAST(t.fold_number AS INTEGER) AS fold_number, count(*) AS train_rows, count(o_totalprice) AS non_missing,
+       round(avg(o_totalprice), 6) AS mean, round(median(o_totalprice), 6) AS median,
+       round(stddev_pop(o_totalprice), 6) AS std_pop
+FROM ({_ORDERS_MISSING_FOLDS}) f, range(1, 6) t(fold_number) WHERE f.fold <> t.fold_number
+GROUP BY t.fold_number""",
+)
+def fold_local_stats(spark, sf_dir):
+    """train-side statistics for every fold in one pass."""
+    folded = T.assign_folds(orders_missing(spark, sf_dir), target="o_orderstatus", key=["o_orderkey"],
+                            config=FoldConfig())
+    return FE.fold_local_numeric_stats(folded, "o_totalprice", 5)
+
+
+# ------------------------------------------------- estimators and metrics
+
+
+def sql_classification_metrics(pred_sql: str, group: list[str]) -> str:
+    g = ", ".join(group)
+    gc = (g + ", ") if group else ""
+    gb = f"GROUP BY {g}" if group else ""
+    gl = ("GROUP BY " + g + ", label") if group else "GROUP BY label"
+    metric_rows = ", ".join(
+        f"('{name}', {name}, {str(hib).lower()})" for name, hib in M.CLASSIFICATION_METRICS
+    )
+    return f"""
+WITH conf AS (SELECT {gc}CAST(actual AS VARCHAR) AS a, CAST(predicted AS VARCHAR) AS p, count(*) AS c
+              FROM ({pred_sql}) GROUP BY {gc}a, p),
+lab AS (SELECT {gc}label, CAST(sum(sup) AS DOUBLE) AS sup, CAST(sum(pr) AS DOUBLE) AS pr, CAST(sum(tp) AS DOUBLE) AS tp
+        FROM (SELECT {gc}a AS label, c AS sup, 0 AS pr, CASE WHEN a = p THEN c ELSE 0 END AS tp FROM conf
+              UNION ALL SELECT {gc}p AS label, 0 AS sup, c AS pr, 0 AS tp FROM conf) {gl}),
+w AS (SELECT {gc}sum(tp) / sum(sup) AS accuracy,
+             avg(CASE WHEN sup > 0 THEN tp / sup END) AS balanced_accuracy,
+             avg(CASE WHEN sup + pr > 0 THEN 2.0 * tp / (sup + pr) ELSE 0.0 END) AS f1_macro,
+             sum(CASE WHEN sup + pr > 0 THEN 2.0 * tp / (sup + pr) ELSE 0.0 END * sup) / sum(sup) AS f1_weighted,
+             avg(CASE WHEN pr > 0 THEN tp / pr ELSE 0.0 END) AS precision_macro,
+             avg(CASE WHEN sup > 0 THEN tp / sup ELSE 0.0 END) AS recall_macro
+      FROM lab {gb})
+SELECT {gc}metric, round(CAST(value AS DOUBLE), 6) AS value, higher_is_better
+FROM w, LATERAL (VALUES {metric_rows}) v(metric, value, higher_is_better)"""
+
+
+def sql_regression_metrics(pred_sql: str) -> str:
+    return f"""
+WITH w AS (SELECT avg(abs(actual - predicted)) AS mean_absolute_error,
+                  sqrt(avg((actual - predicted) * (actual - predicted))) AS root_mean_squared_error,
+                  sum((actual - predicted) * (actual - predicted)) AS ssr, var_pop(actual) * count(*) AS sst
+           FROM ({pred_sql})),
+w2 AS (SELECT *, CASE WHEN sst > 0 THEN 1 - ssr / sst WHEN ssr = 0 THEN 1.0 ELSE 0.0 END AS r2 FROM w)
+SELECT metric, round(CAST(value AS DOUBLE), 6) AS value, higher_is_better FROM w2,
+  LATERAL (VALUES ('mean_absolute_error', mean_absolute_error, false), ('r2', r2, true),
+                  ('root_mean_squared_error', root_mean_squared_error, false)) v(metric, value, higher_is_better)"""
+
+
+# Fixed rule used only to produce a prediction column for the metric checks.
+_RULE_SQL = (
+    "SELECT l_returnflag AS actual, CASE WHEN l_quantity <= 16 THEN 'A' WHEN l_quantity <= 33 "
+    "THEN 'N' ELSE 'R' END AS predicted FROM lineitem"
+)
+
+
+def lineitem_rule_predictions(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    pred = F.when(F.col("l_quantity") <= 16, "A").when(F.col("l_quantity") <= 33, "N").otherwise("R")
+    return li.select(F.col("l_returnflag").alias("actual"), pred.alias("predicted"))
+
+
+@register("metrics_classification", sql_classification_metrics(_RULE_SQL, []))
+def metrics_classification(spark, sf_dir):
+    """M1-M6 over a whole-table prediction column (lineitem return flag)."""
+    return M.classification_metrics(lineitem_rule_predictions(spark, sf_dir))
+
+
+@register(
+    "confusion",
+    f"SELECT CAST(actual AS VARCHAR) AS actual, CAST(predicted AS VARCHAR) AS predicted, count(*) AS count "
+    f"FROM ({_RULE_SQL}) GROUP BY 1, 2",
+)
+def confusion(spark, sf_dir):
+    """Confusion table."""
+    return M.confusion_table(lineitem_rule_predictions(spark, sf_dir), [])
+
+
+_EVENTS_SPLIT = sql_stratified("(SELECT event_id, user_id, value, event_type FROM events)", "event_id", "event_type")
+_DUMMY_SQL = f"""
+WITH s AS ({_EVENTS_SPLIT}),
+maj AS (SELECT event_type AS label FROM s WHERE part = 'train' GROUP BY event_type
+        ORDER BY count(*) DESC, event_type ASC LIMIT 1)
+SELECT event_id, event_type AS actual, label AS prediction FROM s, maj WHERE part = 'validation'"""
+
+
+def _dummy_events(spark, sf_dir):
+    split = T.split_dataset(
+        table(spark, sf_dir, "events").select("event_id", "user_id", "value", "event_type"),
+        target="event_type", key=["event_id"], task=Task.CLASSIFICATION)
+    schema = FE.infer_feature_schema(split.frame, ["user_id", "value"])
+    stats = FE.fit_feature_stats(split.frame, schema, where=_train())
+    fitted = E.fit_estimator(split.train(), stats, target="event_type", estimator=E.DUMMY_CLASSIFIER,
+                             task=Task.CLASSIFICATION, seed=42, key=["event_id"])
+    return E.predict(fitted, split.validation(), ["event_id", "event_type"]).withColumnRenamed(
+        "event_type", "actual")
+
+
+@register("dummy_predict", _DUMMY_SQL)
+def dummy_predict(spark, sf_dir):
+    """E1 + E8: prior dummy classifier fitted on train, scored on validation."""
+    return _dummy_events(spark, sf_dir)
+
+
+@register(
+    "dummy_metrics",
+    sql_classification_metrics(f"SELECT actual, prediction AS predicted FROM ({_DUMMY_SQL})", []),
+)
+def dummy_metrics(spark, sf_dir):
+    """R1 evaluation step: holdout metrics of the dummy classifier."""
+    return M.classification_metrics(_dummy_events(spark, sf_dir).withColumnRenamed("prediction", "predicted"))
+
+
+_PRIORITY_FOLDS = sql_folds("(SELECT o_orderkey, o_orderpriority FROM orders)", "o_orderkey", "o_orderpriority")
+_DUMMY_CV_PRED = f"""
+WITH f AS ({_PRIORITY_FOLDS}),
+cc AS (SELECT fold, o_orderpriority AS c, count(*) AS n FROM f GROUP BY fold, o_orderpriority),
+tot AS (SELECT c, sum(n) AS t FROM cc GROUP BY c),
+tr AS (SELECT k.fold_number, tot.c, tot.t - coalesce(cc.n, 0) AS n FROM range(1, 6) k(fold_number)
+       CROSS JOIN tot LEFT JOIN cc ON cc.fold = k.fold_number AND cc.c = tot.c),
+maj AS (SELECT fold_number, c FROM (SELECT *, row_number() OVER (PARTITION BY fold_number ORDER BY n DESC, c ASC) AS r
+        FROM tr) WHERE r = 1)
+SELECT CAST(f.fold AS INTEGER) AS fold, f.o_orderpriority AS actual, maj.c AS predicted FROM f JOIN maj ON f.fold = maj.fold_number"""
+
+
+def dummy_fold_predictions(folded: DataFrame, target: str, fold_count: int) -> DataFrame:
+    """C3 for E1: every fold's majority class from one class-count table.
+
+    Train counts of fold k = class total - class count in fold k; the k
+    majorities (ties to the smallest label) join back as a k-row broadcast.
+    """
+    from pyspark.sql import Window
+
+    cc = folded.groupBy("fold", target).agg(F.count(F.lit(1)).alias("_n"))
+    tot = cc.groupBy(target).agg(F.sum("_n").alias("_t"))
+    ks = tot.select(target, "_t", F.explode(F.sequence(F.lit(1), F.lit(fold_count))).alias("fold"))
+    train = ks.join(cc, ["fold", target], "left").withColumn("_tn", F.col("_t") - F.coalesce(F.col("_n"), F.lit(0)))
+    rank = Window.partitionBy("fold").orderBy(F.col("_tn").desc(), F.col(target).asc())
+    maj = train.withColumn("_r", F.row_number().over(rank)).filter("_r = 1").select(
+        "fold", F.col(target).alias("predicted"))
+    return folded.select("fold", F.col(target).alias("actual")).join(F.broadcast(maj), "fold")
+
+
+def _priority_folds(spark, sf_dir):
+    return T.assign_folds(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"),
+                          target="o_orderpriority", key=["o_orderkey"], config=FoldConfig())
+
+
+@register("dummy_cv_metrics", sql_classification_metrics(_DUMMY_CV_PRED, ["fold"]))
+def dummy_cv_metrics(spark, sf_dir):
+    """Per-fold metrics of the dummy classifier, all folds in one query."""
+    return M.classification_metrics(dummy_fold_predictions(_priority_folds(spark, sf_dir), "o_orderpriority", 5),
+                                    ["fold"])
+
+
+@register(
+    "dummy_cv_summary",
+    "SELECT metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS standard_deviation, "
+    "count(*) AS fold_count FROM (" + sql_classification_metrics(_DUMMY_CV_PRED, ["fold"]) + ") GROUP BY metric",
+)
+def dummy_cv_summary(spark, sf_dir):
+    """C4: mean and population sd of each metric over folds."""
+    from .operators import ranking as RK
+
+    per_fold = M.classification_metrics(
+        dummy_fold_predictions(_priority_folds(spark, sf_dir), "o_orderpriority", 5), ["fold"])
+    return RK.fold_summaries(per_fold.withColumn("estimator", F.lit(E.DUMMY_CLASSIFIER))).select(
+        "metric", "mean", "standard_deviation", "fold_count")
+
+
+_PART_SPLIT = sql_holdout("(SELECT p_partkey, p_size, p_retailprice FROM part)", "p_partkey")
+_RIDGE_SQL = f"""
+WITH s AS ({_PART_SPLIT}),
+m AS (SELECT median(CAST(p_size AS DOUBLE)) AS med FROM s WHERE part = 'train'),
+st AS (SELECT avg(coalesce(CAST(p_size AS DOUBLE), med)) AS mu, stddev_pop(coalesce(CAST(p_size AS DOUBLE), med)) AS sd
+       FROM s, m WHERE part = 'train'),
+xs AS (SELECT s.*, (coalesce(CAST(p_size AS DOUBLE), med) - mu) / CASE WHEN sd = 0 THEN 1 ELSE sd END AS x FROM s, m, st),
+fit AS (SELECT regr_sxy(p_retailprice, x) / (regr_sxx(p_retailprice, x) + 1.0) AS slope,
+               avg(p_retailprice) AS ybar, avg(x) AS xbar FROM xs WHERE part = 'train')
+SELECT p_partkey, p_retailprice AS actual, ybar + slope * (x - xbar) AS prediction FROM xs, fit WHERE part = 'validation'"""
+
+
+def _ridge_part(spark, sf_dir):
+    split = T.split_dataset(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice"),
+                            target="p_retailprice", key=["p_partkey"], task=Task.REGRESSION)
+    schema = FE.infer_feature_schema(split.frame, ["p_size"])
+    stats = FE.fit_feature_stats(split.frame, schema, where=_train())
+    fitted = E.fit_estimator(split.train(), stats, target="p_retailprice", estimator=E.RIDGE_REGRESSION,
+                             task=Task.REGRESSION, seed=42, key=["p_partkey"])
+    return E.predict(fitted, split.validation(), ["p_partkey", "p_retailprice"]).withColumnRenamed(
+        "p_retailprice", "actual")
+
+
+@register("ridge_one_feature", f"SELECT p_partkey, round(prediction, 6) AS prediction FROM ({_RIDGE_SQL})")
+def ridge_one_feature(spark, sf_dir):
+    """Ridge (alpha 1, unpenalised intercept) equals the closed form."""
+    return _ridge_part(spark, sf_dir).select("p_partkey", F.round("prediction", 6).alias("prediction"))
+
+
+@register("metrics_regression", sql_regression_metrics(f"SELECT actual, prediction AS predicted FROM ({_RIDGE_SQL})"))
+def metrics_regression(spark, sf_dir):
+    """M7-M9 on the ridge validation predictions."""
+    return M.regression_metrics(_ridge_part(spark, sf_dir).withColumnRenamed("prediction", "predicted"))
