@@ -838,3 +838,136 @@ def ridge_one_feature(spark, sf_dir):
 def metrics_regression(spark, sf_dir):
     """M7-M9 on the ridge validation predictions."""
     return M.regression_metrics(_ridge_part(spark, sf_dir).withColumnRenamed("prediction", "predicted"))
+
+
+# ------------------------------------ model runs (rows-only: iterative fits)
+
+from .functions.digest import multiset_digest, value_token  # noqa: E402
+from .plans import benchmark as B  # noqa: E402
+from .plans import crossval as CV  # noqa: E402
+from .plans import final as G  # noqa: E402
+from .plans.train import TrainingConfig, train  # noqa: E402
+
+
+def _run_metrics(spark, df, target, key, task, estimator):
+    result = train(df, TrainingConfig(task, estimator), target=target, key=key)
+    return spark.createDataFrame(
+        [(m["name"], m["value"], m["higher_is_better"]) for m in result.record["metrics"]],
+        "metric string, value double, higher_is_better boolean")
+
+
+@register("logistic_regression_run")
+def logistic_regression_run(spark, sf_dir):
+    """E2 + R1: logistic regression run on customer segments (metrics rows)."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment")
+    return _run_metrics(spark, c, "c_mktsegment", ["c_custkey"], Task.CLASSIFICATION, E.LOGISTIC_REGRESSION)
+
+
+@register("forest_classifier_run")
+def forest_classifier_run(spark, sf_dir):
+    """E3 + R1: random-forest classifier run on order status (metrics rows)."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
+    return _run_metrics(spark, o, "o_orderstatus", ["o_orderkey"], Task.CLASSIFICATION,
+                        E.RANDOM_FOREST_CLASSIFIER)
+
+
+@register("ridge_regression_run")
+def ridge_regression_run(spark, sf_dir):
+    """E4 + R1: ridge on lineitem price with numeric and categorical features."""
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax",
+        "l_returnflag", "l_linestatus", "l_extendedprice")
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    return _run_metrics(spark, li, "l_extendedprice", key, Task.REGRESSION, E.RIDGE_REGRESSION)
+
+
+@register("forest_regressor_run")
+def forest_regressor_run(spark, sf_dir):
+    """E5 + R1: random-forest regressor on part retail price."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand", "p_retailprice")
+    return _run_metrics(spark, p, "p_retailprice", ["p_partkey"], Task.REGRESSION, E.RANDOM_FOREST_REGRESSOR)
+
+
+@register("benchmark_holdout")
+def benchmark_holdout(spark, sf_dir):
+    """Dummy / logistic / forest leaderboard on one shared events split."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "value", "event_type")
+    result = B.benchmark(e, B.BenchmarkConfig(), target="event_type", key=["event_id"])
+    return result.leaderboard.select("estimator", "status", "rank", F.round("value", 6).alias("value"))
+
+
+def _customer_cv(spark, sf_dir, estimators=E.DEFAULT_CLASSIFIERS, k=5):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment")
+    cfg = CV.CrossValidationConfig(estimators=estimators, folds=FoldConfig(fold_count=k))
+    return c, CV.cross_validate(c, cfg, target="c_mktsegment", key=["c_custkey"])
+
+
+@register("cross_validate")
+def cross_validate(spark, sf_dir):
+    """5-fold stratified leaderboard of the three classifiers."""
+    _, result = _customer_cv(spark, sf_dir)
+    return result.leaderboard
+
+
+@register("final_fit_score")
+def final_fit_score(spark, sf_dir):
+    """G1-G5 + I1: refit the CV winner on all rows, score every customer."""
+    from .plans.artifacts import Artifact, feature_contract
+    from .plans.scoring import predict_frame
+
+    c, result = _customer_cv(spark, sf_dir, (E.DUMMY_CLASSIFIER, E.LOGISTIC_REGRESSION), 3)
+    final = G.fit_selected_model(c, result.record, target="c_mktsegment", key=["c_custkey"])
+    meta = {"features": feature_contract(c, final.stats),
+            "categorical_fill_value": final.stats.config.categorical_fill_value}
+    artifact = Artifact(meta, final.model.model)
+    return predict_frame(artifact, c.drop("c_mktsegment"), key=["c_custkey"])
+
+
+# ------------------------------------------------------ digests
+
+_ORDERS_TOKEN_SQL = (
+    "coalesce(CAST(o_orderkey AS VARCHAR), '\\N') || '|' || coalesce(CAST(o_custkey AS VARCHAR), '\\N') || '|' || "
+    "coalesce(o_orderstatus, '\\N') || '|' || "
+    "coalesce(CAST(CAST(round(o_totalprice * 1000000) AS BIGINT) AS VARCHAR), '\\N') || '|' || "
+    "coalesce(CAST(epoch_us(o_orderdate) AS VARCHAR), '\\N') || '|' || coalesce(o_orderpriority, '\\N')"
+)
+
+
+@register("dataset_digest",
+          f"SELECT count(*) AS row_count, {sql_digest(_ORDERS_TOKEN_SQL)} AS digest FROM orders")
+def dataset_digest(spark, sf_dir):
+    """Order-insensitive content fingerprint of orders."""
+    o = table(spark, sf_dir, "orders")
+    return multiset_digest(o, value_token(o))
+
+
+_ALTERED_SQL = (
+    "(SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 1000 = 1 THEN o_totalprice + 1 "
+    "ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority FROM orders)"
+)
+
+
+@register(
+    "identity_mismatch",
+    f"""
+SELECT field FROM (
+  SELECT 'fingerprint' AS field, (SELECT {sql_digest(_ORDERS_TOKEN_SQL)} FROM orders) AS a,
+         (SELECT {sql_digest(_ORDERS_TOKEN_SQL)} FROM {_ALTERED_SQL}) AS b
+  UNION ALL SELECT 'row_count', (SELECT CAST(count(*) AS VARCHAR) FROM orders),
+         (SELECT CAST(count(*) AS VARCHAR) FROM {_ALTERED_SQL})
+) WHERE a <> b""",
+)
+def identity_mismatch(spark, sf_dir):
+    """Fields that differ between orders and a copy with altered prices."""
+    o = table(spark, sf_dir, "orders")
+    altered = o.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 1000 == 1, F.col("o_totalprice") + 1)
+                           .otherwise(F.col("o_totalprice")))
+    a = multiset_digest(o, value_token(o)).select(F.lit(1).alias("_k"), F.col("digest").alias("a_fp"),
+                                                  F.col("row_count").cast("string").alias("a_rows"))
+    b = multiset_digest(altered, value_token(altered)).select(
+        F.lit(1).alias("_k"), F.col("digest").alias("b_fp"), F.col("row_count").cast("string").alias("b_rows"))
+    both = a.join(b, "_k")
+    return both.select(F.inline(F.array(
+        F.struct(F.lit("fingerprint").alias("field"), (F.col("a_fp") != F.col("b_fp")).alias("_d")),
+        F.struct(F.lit("row_count").alias("field"), (F.col("a_rows") != F.col("b_rows")).alias("_d")),
+    ))).filter("_d").select("field")
