@@ -67,7 +67,15 @@ def value_token(df: DataFrame, columns: list[str] | None = None) -> Column:
         dtype = fields[name]
         col = F.col(f"`{name}`")
         if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
-            text = F.round(col.cast("double") * 1_000_000).cast("long").cast("string")
+            d = col.cast("double")
+            scaled = F.round(d * 1_000_000)
+            text = (
+                F.when(F.isnan(d), F.lit("NaN"))
+                .when(d == F.lit(float("inf")), F.lit("inf"))
+                .when(d == F.lit(float("-inf")), F.lit("-inf"))
+                .when(F.abs(scaled) < F.lit(9.2e18), scaled.cast("long").cast("string"))
+                .otherwise(scaled.cast("string"))
+            )
         elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
             text = F.unix_micros(col.cast("timestamp")).cast("string")
         elif isinstance(dtype, T.DateType):
