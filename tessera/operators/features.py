@@ -102,6 +102,25 @@ class FeatureStats:
         return names
 
 
+def imputed_moments(rows: int, observed: int, mean, var_pop, fill: float) -> tuple[float, float]:
+    """Mean and population sd after filling the missing rows with ``fill``.
+
+    Chan's parallel combination of the observed values (count, mean,
+    variance) with ``rows - observed`` copies of ``fill``: exact, stable,
+    and no second pass over the data.
+    """
+    missing = rows - observed
+    if rows == 0:
+        return 0.0, 0.0
+    if observed == 0:
+        return float(fill), 0.0
+    mean, m2 = float(mean), float(var_pop) * observed
+    delta = float(fill) - mean
+    total_mean = mean + delta * missing / rows
+    total_m2 = m2 + delta * delta * observed * missing / rows
+    return total_mean, (max(total_m2, 0.0) / rows) ** 0.5
+
+
 def _cat_expr(name: str, marker: str) -> Column:
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(marker))
 
@@ -115,9 +134,9 @@ def fit_feature_stats(
 ) -> FeatureStats:
     """F3-F9 on the rows selected by ``where`` (the training partition).
 
-    Jobs: one aggregation (counts, means, distinct estimates), one median
-    job when median imputation is used, one aggregation for the imputed
-    mean / population sd, one distinct-category job.
+    Jobs: one aggregation (counts, means, variances, distinct estimates),
+    one median job when median imputation is used, one distinct-category
+    job.  The imputed mean / population sd follow algebraically.
     """
     cfg = config or PreprocessingConfig()
     train = frame.filter(where) if where is not None else frame
@@ -125,12 +144,17 @@ def fit_feature_stats(
     stats = FeatureStats(schema, cfg)
     num = list(schema.numeric)
     if num:
+        # One pass: rows, non-missing count, mean and population variance of
+        # the observed values (+ a distinct estimate sizing the median job).
         first = train.agg(
             F.count(F.lit(1)).alias("_rows"),
+            *[F.count(as_double(c, fields[c])).alias(f"_c{i}") for i, c in enumerate(num)],
             *[F.avg(as_double(c, fields[c])).alias(f"_a{i}") for i, c in enumerate(num)],
+            *[F.var_pop(as_double(c, fields[c])).alias(f"_v{i}") for i, c in enumerate(num)],
             *[F.approx_count_distinct(as_double(c, fields[c])).alias(f"_d{i}") for i, c in enumerate(num)],
         ).first()
-        stats.training_rows = int(first["_rows"])
+        rows = int(first["_rows"])
+        stats.training_rows = rows
         if cfg.numeric_imputation is Imputation.MEAN:
             fills = {c: first[f"_a{i}"] for i, c in enumerate(num)}
         else:
@@ -145,16 +169,10 @@ def fit_feature_stats(
         # an all-missing column is kept and filled with 0.
         stats.fill = {c: float(v) if v is not None else 0.0 for c, v in fills.items()}
         if cfg.scale_numeric:
-            second = train.agg(
-                *[F.avg(F.coalesce(as_double(c, fields[c]), F.lit(stats.fill[c]))).alias(f"_m{i}")
-                  for i, c in enumerate(num)],
-                *[F.stddev_pop(F.coalesce(as_double(c, fields[c]), F.lit(stats.fill[c]))).alias(f"_s{i}")
-                  for i, c in enumerate(num)],
-            ).first()
             for i, c in enumerate(num):
-                sd = second[f"_s{i}"]
-                stats.center[c] = float(second[f"_m{i}"] or 0.0)
-                stats.scale[c] = float(sd) if sd else 1.0  # sd 0 -> divide by 1
+                stats.center[c], sd = imputed_moments(
+                    rows, int(first[f"_c{i}"]), first[f"_a{i}"], first[f"_v{i}"], stats.fill[c])
+                stats.scale[c] = sd if sd > 0 else 1.0  # sd 0 -> divide by 1
     if schema.categorical:
         marker = cfg.categorical_fill_value
         # Distinct (column, value) pairs: partial aggregation, small result.

@@ -67,7 +67,11 @@ def column_profiles(
                 F.avg(fin).alias(f"_avg{i}"),
                 F.stddev_samp(fin).alias(f"_sd{i}"),
             ]
-    wide = df.agg(*aggs)
+    # The single wide row is computed once; it also sizes the median job.
+    wide_df = df.agg(*aggs)
+    wide_row = wide_df.first()
+    wide = df.sparkSession.createDataFrame([wide_row], wide_df.schema)
+    hint = max([int(wide_row[f"_ud{i}"] or 0) for i, n in enumerate(names) if n in numeric] or [0])
     none = F.lit(None).cast("double")
     structs = []
     for i, name in enumerate(names):
@@ -120,7 +124,7 @@ def column_profiles(
                 )
             )
         ).filter(F.col("v").isNotNull())
-        medians = exact_medians(values, ["column_name"], "v").select(
+        medians = exact_medians(values, ["column_name"], "v", distinct_hint=hint).select(
             "column_name", F.round("median", 6).alias("median")
         )
         # One median row per numeric column: a bounded broadcast.
@@ -278,7 +282,10 @@ def profile_dataset(df: DataFrame, target: str) -> DatasetProfile:
 
         raise DatasetError(f"Target column {target!r} is not present.")
     cols = [r.asDict() for r in column_profiles(df).orderBy("position").collect()]
-    cells = missing_cells(df).first()
+    missing_total = sum(int(c["missing_count"]) for c in cols)
+    cell_count = (cols[0]["non_missing_count"] + cols[0]["missing_count"]) * len(cols) if cols else 0
+    cells = {"missing_cells": missing_total,
+             "missing_cell_ratio": round(missing_total / cell_count, 6) if cell_count else 0.0}
     dups = duplicate_row_count(df).first()["duplicate_rows"]
     tgt = target_summary(df, target).first().asDict()
     dist = []

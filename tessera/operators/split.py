@@ -178,7 +178,8 @@ def split_dataset(
         part = F.when(F.col("_rank") < validation_rows, "validation").otherwise("train")
         frame = ranked.withColumn("part", part).drop("_rank", HASH)
     result = Split(frame, target, tuple(key), task, stratified, rows, validation_rows, len(features), cfg)
-    if task is Task.CLASSIFICATION and check:
+    if task is Task.CLASSIFICATION and check and not stratified:
+        # Stratified quotas leave >= 1 train row per class (checked above).
         train_classes = result.train().select(target).distinct().limit(2).count()
         if train_classes < 2:
             raise SplitError("The training partition contains fewer than two classes.")

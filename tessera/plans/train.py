@@ -6,6 +6,7 @@ import platform
 from dataclasses import dataclass, field
 
 import pyspark
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,10 +116,17 @@ def train(
     parameters: list[tuple[str, str]] = []
     split_rec = None
     prof_warnings: list[str] = []
+    owned: list[DataFrame] = []
     try:
         prof = profile or P.profile_dataset(df, target)
         prof_warnings = prof.warnings
-        sp = split or T.split_dataset(df, target=target, key=key, task=cfg.task, config=cfg.split)
+        if split is None:
+            sp = T.split_dataset(df, target=target, key=key, task=cfg.task, config=cfg.split)
+            # Reused by digest, checks, statistics, fit and scoring.
+            sp.frame = sp.frame.persist(StorageLevel.MEMORY_AND_DISK)
+            owned.append(sp.frame)
+        else:
+            sp = split
         split_rec = split_record(sp, sp.partition_sha256())
         features = [c for c in df.columns if c != target]
         schema = FE.infer_feature_schema(sp.frame, features, cfg.overrides)
@@ -145,6 +153,8 @@ def train(
         }
         if registry is not None:
             registry.write("runs", record)
+        for frame in owned:
+            frame.unpersist()
         raise TrainingFailedError(f"Training run {run_id} failed: {compact_message(error)}", run_id) from error
     record = {
         "schema_version": SCHEMA_VERSION, "run_id": run_id, "status": "succeeded",
@@ -156,4 +166,6 @@ def train(
     }
     if registry is not None:
         registry.write("runs", record)
+    for frame in owned:
+        frame.unpersist()
     return TrainingResult(record, fitted, predictions, stats)
