@@ -5,9 +5,9 @@ duplicate headers, pads short rows, replaces undecodable bytes and accepts
 a final unterminated quote.  The audits below make those cases errors:
 
 * header: the first line only, parsed with the same delimiter (S4);
-* structure: rows are parsed against an all-string schema with one extra
-  overflow column and a corrupt-record column; short, long, malformed and
-  NUL-bearing rows are counted by one aggregation (S5);
+* structure: rows are parsed against an all-string schema plus a
+  corrupt-record column; short, long, malformed and NUL-bearing rows are
+  counted by one aggregation (S5);
 * encoding: UTF-8 files are read as binary and checked with
   ``is_valid_utf8`` per file (S6);
 * types: inferred, except that date/timestamp inference is undone by
@@ -87,8 +87,7 @@ def read_header(spark: SparkSession, path: str, options: CsvOptions) -> list[str
 def structure_audit(spark: SparkSession, path: str, header: list[str], options: CsvOptions) -> DataFrame:
     """``(reason, rows, sample)`` for rows that do not match the header."""
     schema = T.StructType(
-        [T.StructField(n, T.StringType()) for n in header]
-        + [T.StructField("__overflow", T.StringType()), T.StructField("__corrupt", T.StringType())]
+        [T.StructField(n, T.StringType()) for n in header] + [T.StructField("__corrupt", T.StringType())]
     )
     rows = (
         spark.read.schema(schema)
@@ -98,17 +97,16 @@ def structure_audit(spark: SparkSession, path: str, header: list[str], options:
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
-    last = F.col(f"`{header[-1]}`")
     has_nul = F.lit(False)
     for n in header:
         has_nul = has_nul | F.coalesce(F.contains(F.col(f"`{n}`"), F.lit("\0")), F.lit(False))
-    all_null = F.lit(True)
-    for n in header:
-        all_null = all_null & F.col(f"`{n}`").isNull()
+    # Field count of a rejected line (only used to name the reason).
+    fields = F.size(F.split(F.col("__corrupt"), F.lit(options.delimiter), -1))
+    bad = F.col("__corrupt").isNotNull()
     reason = (
-        F.when(F.col("__overflow").isNotNull(), "too many fields")
-        .when(F.col("__corrupt").isNotNull() & last.isNull() & ~all_null, "too few fields")
-        .when(F.col("__corrupt").isNotNull(), "malformed row")
+        F.when(bad & (fields < len(header)), "too few fields")
+        .when(bad & (fields > len(header)), "too many fields")
+        .when(bad, "malformed row")
         .when(has_nul, "NUL character")
     )
     return (
