@@ -31,7 +31,7 @@ def exact_medians(
     *,
     distinct_hint: int | None = None,
     in_memory_limit: int = IN_MEMORY_LIMIT,
-    buckets: int = 512,
+    buckets: int = 128,
 ) -> DataFrame:
     """Median of ``value`` per group; ``long_df`` holds finite non-NULL values.
 
@@ -62,6 +62,17 @@ def exact_medians(
     return result
 
 
+def _count_below(bounds, v, lo: int, hi: int):
+    """Number of sorted ``bounds[lo:hi]`` below ``v`` as a binary-search CASE
+    tree: log2(buckets) comparisons per row, compiled by whole-stage codegen
+    (a ``filter`` lambda would scan every bound, interpreted)."""
+    if lo >= hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(F.element_at(bounds, mid + 1) < v, _count_below(bounds, v, mid + 1, hi)).otherwise(
+        _count_below(bounds, v, lo, mid))
+
+
 def _bucketed_median(
     long_df: DataFrame, weighted: DataFrame, groups: list[str], value: str, buckets: int
 ) -> DataFrame:
@@ -72,7 +83,7 @@ def _bucketed_median(
     )
     tagged = (
         weighted.join(F.broadcast(bounds), groups)
-        .withColumn("_b", F.size(F.filter("_bounds", lambda b: b < F.col(value))))
+        .withColumn("_b", _count_below(F.col("_bounds"), F.col(value), 0, buckets - 1))
         .drop("_bounds")
     )
     per_bucket = tagged.groupBy(*groups, "_b").agg(F.sum("_w").alias("_bw"))
