@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -49,7 +50,7 @@ class BenchmarkResult:
 
 
 def benchmark(df: DataFrame, config: BenchmarkConfig, *, target: str, key: list[str],
-              registry: Registry | None = None, source: str = "") -> BenchmarkResult:
+              registry: Registry | None = None, source: str = "", parallelism: int = 3) -> BenchmarkResult:
     """B1: profile and split once (cached), fit every estimator on it."""
     spark = df.sparkSession
     benchmark_id, started = new_id(), now()
@@ -58,20 +59,27 @@ def benchmark(df: DataFrame, config: BenchmarkConfig, *, target: str, key: list[
     split = T.split_dataset(df, target=target, key=key, task=Task.CLASSIFICATION, config=config.split)
     split.frame = split.frame.persist(StorageLevel.MEMORY_AND_DISK)
     runs, models, durations = [], {}, {}
+
+    def attempt(name: str):
+        t0 = time.perf_counter()
+        try:
+            result: TrainingResult = train(
+                df, TrainingConfig(Task.CLASSIFICATION, name, config.split), target=target, key=key,
+                registry=registry, source=source, fingerprint=fingerprint, profile=profile, split=split)
+            return result.record, result.model, time.perf_counter() - t0
+        except TrainingFailedError as error:
+            if registry is None:
+                raise
+            return registry.read("runs", error.run_id), None, time.perf_counter() - t0
+
     try:
-        for name in config.estimators:
-            t0 = time.perf_counter()
-            try:
-                result: TrainingResult = train(
-                    df, TrainingConfig(Task.CLASSIFICATION, name, config.split), target=target, key=key,
-                    registry=registry, source=source, fingerprint=fingerprint, profile=profile, split=split)
-                record = result.record
-                models[name] = result.model
-            except TrainingFailedError as error:
-                if registry is None:
-                    raise
-                record = registry.read("runs", error.run_id)
-            durations[record["run_id"]] = round(max(0.0, time.perf_counter() - t0), 6)
+        # Estimators share the persisted split; their fits run side by side.
+        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(config.estimators)))) as pool:
+            outcomes = list(pool.map(attempt, config.estimators))
+        for name, (record, model, seconds) in zip(config.estimators, outcomes):
+            if model is not None:
+                models[name] = model
+            durations[record["run_id"]] = round(max(0.0, seconds), 6)
             runs.append(record)
     finally:
         split.frame.unpersist()

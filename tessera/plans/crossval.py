@@ -10,6 +10,7 @@ metric query.
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -82,7 +83,8 @@ def _fold_cell(folded: DataFrame, fold: int, name: str, target: str, key: list[s
 
 
 def cross_validate(df: DataFrame, cfg: CrossValidationConfig, *, target: str, key: list[str],
-                   registry: Registry | None = None, source: str = "") -> CrossValidationResult:
+                   registry: Registry | None = None, source: str = "",
+                   parallelism: int = 4) -> CrossValidationResult:
     """Every estimator x fold; a failing fold stops that estimator."""
     spark = df.sparkSession
     benchmark_id, started = new_id(), now()
@@ -95,21 +97,38 @@ def cross_validate(df: DataFrame, cfg: CrossValidationConfig, *, target: str, ke
         plan_digest = T.fold_plan_digest(snapshots).first()["fold_plan_sha256"]
         profile = P.profile_dataset(df, target)
         fingerprint = table_fingerprint(df)
-        for name in cfg.estimators:
+        # Cells are independent: fit them concurrently from a small driver
+        # thread pool (Spark schedules the jobs side by side), then keep, per
+        # estimator, the folds before its first failure.
+        def run_cell(name: str, fold: int):
             t0 = time.perf_counter()
-            cells, failure = [], None
+            try:
+                cell = _fold_cell(folded, fold, name, target, key, cfg).persist(StorageLevel.MEMORY_AND_DISK)
+                cell.count()
+                return cell, None, time.perf_counter() - t0
+            except Exception as error:  # C6: record where it failed
+                if not expected_failure(error):
+                    raise
+                return None, {"error_type": type(error).__name__, "message": compact_message(error)}, \
+                    time.perf_counter() - t0
+
+        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(cfg.estimators) * k))) as pool:
+            futures = {(name, fold): pool.submit(run_cell, name, fold)
+                       for name in cfg.estimators for fold in range(1, k + 1)}
+            outcomes = {cell: f.result() for cell, f in futures.items()}
+        for name in cfg.estimators:
+            cells, failure, duration = [], None, 0.0
             for fold in range(1, k + 1):
-                try:
-                    cell = _fold_cell(folded, fold, name, target, key, cfg)
-                    cells.append(cell.persist(StorageLevel.MEMORY_AND_DISK))
-                    cells[-1].count()
-                except Exception as error:  # C6: record where it failed
-                    if not expected_failure(error):
-                        raise
-                    failure = (fold, snaps[fold - 1]["partition_sha256"],
-                               {"error_type": type(error).__name__, "message": compact_message(error)})
-                    break
-            attempts.append((name, cells, failure, time.perf_counter() - t0))
+                cell, error, seconds = outcomes[(name, fold)]
+                duration += seconds
+                if failure is None and error is None:
+                    cells.append(cell)
+                else:
+                    if failure is None:
+                        failure = (fold, snaps[fold - 1]["partition_sha256"], error)
+                    if cell is not None:
+                        cell.unpersist()
+            attempts.append((name, cells, failure, duration))
         schema = "estimator string, fold int, actual string, predicted string"
         all_cells = [c.select(F.col("estimator"), F.col("fold").cast("int"), F.col("actual").cast("string"),
                               F.col("predicted").cast("string")) for _, cells, _, _ in attempts for c in cells]
