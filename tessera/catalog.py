@@ -843,6 +843,7 @@ def metrics_regression(spark, sf_dir):
 # ------------------------------------ model runs (rows-only: iterative fits)
 
 from .functions.digest import multiset_digest, value_token  # noqa: E402
+from .functions.frames import attach_scalars  # noqa: E402
 from .plans import benchmark as B  # noqa: E402
 from .plans import crossval as CV  # noqa: E402
 from .plans import final as G  # noqa: E402
@@ -962,11 +963,11 @@ def identity_mismatch(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     altered = o.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 1000 == 1, F.col("o_totalprice") + 1)
                            .otherwise(F.col("o_totalprice")))
-    a = multiset_digest(o, value_token(o)).select(F.lit(1).alias("_k"), F.col("digest").alias("a_fp"),
+    a = multiset_digest(o, value_token(o)).select(F.col("digest").alias("a_fp"),
                                                   F.col("row_count").cast("string").alias("a_rows"))
     b = multiset_digest(altered, value_token(altered)).select(
-        F.lit(1).alias("_k"), F.col("digest").alias("b_fp"), F.col("row_count").cast("string").alias("b_rows"))
-    both = a.join(b, "_k")
+        F.col("digest").alias("b_fp"), F.col("row_count").cast("string").alias("b_rows"))
+    both = attach_scalars(a, b)
     return both.select(F.inline(F.array(
         F.struct(F.lit("fingerprint").alias("field"), (F.col("a_fp") != F.col("b_fp")).alias("_d")),
         F.struct(F.lit("row_count").alias("field"), (F.col("a_rows") != F.col("b_rows")).alias("_d")),

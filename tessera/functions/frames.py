@@ -9,13 +9,10 @@ from pyspark.sql import functions as F
 def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of a one-row aggregate to every row of ``df``.
 
-    An equi-join on a constant key against a broadcast single row: no
-    cartesian product, no shuffle of ``df``.
+    Each column is a scalar subquery: evaluated once, its value inlined
+    into the projection -- no join and no shuffle of ``df``.
     """
-    key = "_one"
-    return df.withColumn(key, F.lit(1)).join(
-        F.broadcast(one_row.withColumn(key, F.lit(1))), key
-    ).drop(key)
+    return df.withColumns({c: one_row.select(c).scalar() for c in one_row.columns})
 
 
 def unpivot_struct(df: DataFrame, rows: list) -> DataFrame:

@@ -81,8 +81,12 @@ def _bucketed_median(
     bounds = long_df.groupBy(*groups).agg(
         F.percentile_approx(F.col(value), fractions, 10_000).alias("_bounds")
     )
+    if groups == ["_g"]:  # one global group: the bounds are a scalar subquery
+        with_bounds = weighted.withColumn("_bounds", bounds.select("_bounds").scalar())
+    else:  # one row per group: a bounded broadcast
+        with_bounds = weighted.join(F.broadcast(bounds), groups)
     tagged = (
-        weighted.join(F.broadcast(bounds), groups)
+        with_bounds
         .withColumn("_b", _count_below(F.col("_bounds"), F.col(value), 0, buckets - 1))
         .drop("_bounds")
     )
