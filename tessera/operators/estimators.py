@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer
@@ -38,7 +39,8 @@ FOREST_TREES = 100
 FOREST_MAX_DEPTH = 10  # Spark caps depth at 30; unlimited depth is not available
 RIDGE_ALPHA = 1.0
 LOGISTIC_C = 1.0
-FIT_PARTITIONS = 8
+FIT_PARTITIONS_MIN = 8
+ROWS_PER_FIT_PARTITION = 2_000_000
 
 
 def check_estimator(name: str, task: Task) -> None:
@@ -73,7 +75,13 @@ def majority_label(train: DataFrame, target: str):
     return row[target]
 
 
-def deterministic_layout(df: DataFrame, key: list[str], partitions: int = FIT_PARTITIONS) -> DataFrame:
+def fit_partitions(rows: int) -> int:
+    """Partition count for a fit: a function of the row count only, so a run
+    is reproducible on any cluster, and it grows with the data."""
+    return max(FIT_PARTITIONS_MIN, -(-rows // ROWS_PER_FIT_PARTITION))
+
+
+def deterministic_layout(df: DataFrame, key: list[str], partitions: int) -> DataFrame:
     """Fixed row layout before fitting: forests depend on partitioning."""
     return df.repartition(partitions, *key).sortWithinPartitions(*key)
 
@@ -99,7 +107,6 @@ def fit_estimator(
     check_estimator(estimator, task)
     target_type = train.schema[target].dataType.simpleString()
     pre = preprocessing_stages(stats)
-    cleanup_cols = ["_pred_label", "rawPrediction", "probability", "_label_idx", "_prediction_idx"]
     if estimator == DUMMY_CLASSIFIER:
         label = majority_label(train, target)
         final = SQLTransformer(statement=(
@@ -108,7 +115,8 @@ def fit_estimator(
         return FittedModel(model, estimator, [("strategy", "prior"), ("random_state", str(seed))],
                            [str(label)])
     rows = stats.training_rows or train.count()
-    laid_out = deterministic_layout(train, key)
+    partitions = fit_partitions(rows)
+    laid_out = deterministic_layout(train, key, partitions)
     if task is Task.CLASSIFICATION:
         indexer = StringIndexer(inputCol=target, outputCol="_label_idx", stringOrderType="alphabetAsc")
         if estimator == LOGISTIC_REGRESSION:
@@ -124,30 +132,41 @@ def fit_estimator(
                 seed=seed,
             )
         pre_model = Pipeline(stages=pre + [indexer]).fit(laid_out)
-        prepared = pre_model.transform(laid_out)
-        fitted = est.fit(prepared)
+        prepared = pre_model.transform(laid_out).persist(StorageLevel.MEMORY_AND_DISK)
+        try:  # iterative fits pass over the prepared rows many times
+            fitted = est.fit(prepared)
+        finally:
+            prepared.unpersist()
         labels = list(pre_model.stages[-1].labels)
         back = IndexToString(inputCol="_prediction_idx", outputCol="_pred_label", labels=labels)
         final = SQLTransformer(statement=(
             f"SELECT *, CAST(_pred_label AS {target_type}) AS prediction FROM __THIS__"))
         stages = list(pre_model.stages[:-1]) + [fitted, back, final]
-        return FittedModel(PipelineModel(stages), estimator, _params(est), labels)
-    if estimator == RIDGE_REGRESSION:
-        y_sd = train.agg(F.stddev_pop(F.col(target).cast("double"))).first()[0] or 0.0
-        est = LinearRegression(
-            featuresCol=FEATURES_COL, labelCol="_y", predictionCol="prediction",
-            solver="normal", regParam=RIDGE_ALPHA * y_sd / rows if y_sd else 0.0,
-            elasticNetParam=0.0, standardization=False,
-        )
-    else:
-        est = RandomForestRegressor(
-            featuresCol=FEATURES_COL, labelCol="_y", predictionCol="prediction",
-            numTrees=FOREST_TREES, featureSubsetStrategy="all", maxDepth=FOREST_MAX_DEPTH, seed=seed,
-        )
+        return FittedModel(PipelineModel(stages), estimator,
+                           _params(est) + [("fit_partitions", str(partitions))], labels)
     pre_model = Pipeline(stages=pre).fit(laid_out.limit(1))
-    prepared = pre_model.transform(laid_out).withColumn("_y", F.col(target).cast("double"))
-    fitted = est.fit(prepared)
-    return FittedModel(PipelineModel(list(pre_model.stages) + [fitted]), estimator, _params(est))
+    prepared = pre_model.transform(laid_out).withColumn("_y", F.col(target).cast("double")).persist(
+        StorageLevel.MEMORY_AND_DISK)
+    try:
+        if estimator == RIDGE_REGRESSION:
+            # Spark's normal-equation solver scales the penalty by sd(y): this
+            # regParam reproduces ridge with penalty alpha and a free intercept.
+            y_sd = prepared.agg(F.stddev_pop("_y")).first()[0] or 0.0
+            est = LinearRegression(
+                featuresCol=FEATURES_COL, labelCol="_y", predictionCol="prediction",
+                solver="normal", regParam=RIDGE_ALPHA * y_sd / rows if y_sd else 0.0,
+                elasticNetParam=0.0, standardization=False,
+            )
+        else:
+            est = RandomForestRegressor(
+                featuresCol=FEATURES_COL, labelCol="_y", predictionCol="prediction",
+                numTrees=FOREST_TREES, featureSubsetStrategy="all", maxDepth=FOREST_MAX_DEPTH, seed=seed,
+            )
+        fitted = est.fit(prepared)
+    finally:
+        prepared.unpersist()
+    return FittedModel(PipelineModel(list(pre_model.stages) + [fitted]), estimator,
+                       _params(est) + [("fit_partitions", str(partitions))])
 
 
 def predict(model: FittedModel | PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:

@@ -30,6 +30,7 @@ from . import checks
 from .quantile import exact_medians
 
 FEATURES_COL = "features"
+MAX_CATEGORIES = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -175,10 +176,17 @@ def fit_feature_stats(
                 stats.scale[c] = sd if sd > 0 else 1.0  # sd 0 -> divide by 1
     if schema.categorical:
         marker = cfg.categorical_fill_value
-        # Distinct (column, value) pairs: partial aggregation, small result.
+        # Distinct (column, value) pairs: partial aggregation, then a
+        # collect bounded by MAX_CATEGORIES (the encoder keeps its labels on
+        # the driver, as Spark's StringIndexerModel does).
         pairs = train.select(F.inline(F.array(*[
             F.struct(F.lit(c).alias("c"), _cat_expr(c, marker).alias("v")) for c in schema.categorical
-        ]))).distinct().collect()
+        ]))).distinct().limit(MAX_CATEGORIES + 1).collect()
+        if len(pairs) > MAX_CATEGORIES:
+            raise PreprocessingError(
+                f"Categorical features have more than {MAX_CATEGORIES} distinct training values in total; "
+                "one-hot encoding them is not supported. Engineer or drop high-cardinality columns first."
+            )
         for c in schema.categorical:
             stats.categories[c] = sorted(r["v"] for r in pairs if r["c"] == c)
         if not stats.training_rows:
