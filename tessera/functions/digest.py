@@ -76,8 +76,13 @@ def value_token(df: DataFrame, columns: list[str] | None = None) -> Column:
                 .when(F.abs(scaled) < F.lit(9.2e18), scaled.cast("long").cast("string"))
                 .otherwise(scaled.cast("string"))
             )
-        elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-            text = F.unix_micros(col.cast("timestamp")).cast("string")
+        elif isinstance(dtype, T.TimestampNTZType):
+            # Wall-clock micros since the epoch: no session time zone involved.
+            text = F.expr(
+                f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{name}`)"
+            ).cast("string")
+        elif isinstance(dtype, T.TimestampType):
+            text = F.unix_micros(col).cast("string")
         elif isinstance(dtype, T.DateType):
             text = F.datediff(col, F.lit("1970-01-01").cast("date")).cast("string")
         elif isinstance(dtype, T.BooleanType):
