@@ -972,3 +972,20 @@ def identity_mismatch(spark, sf_dir):
         F.struct(F.lit("fingerprint").alias("field"), (F.col("a_fp") != F.col("b_fp")).alias("_d")),
         F.struct(F.lit("row_count").alias("field"), (F.col("a_rows") != F.col("b_rows")).alias("_d")),
     ))).filter("_d").select("field")
+
+
+@register(
+    "fold_plan_audit",
+    "SELECT count(*) = 5 AS fold_count_ok, min(fold_number) = 1 AS starts_at_one, max(fold_number) = 5 AS ends_at_k, "
+    "count(DISTINCT partition_sha256) = count(*) AS unique_digests, "
+    "sum(validation_rows) = (SELECT count(*) FROM orders) AS validation_covers_rows, "
+    "count(*) FILTER (WHERE train_rows + validation_rows <> (SELECT count(*) FROM orders)) = 0 AS every_fold_covers_rows "
+    "FROM (" + sql_fold_snapshots(_ORDERS_FOLDS_SQL, "o_orderkey") + ")",
+)
+def fold_plan_audit(spark, sf_dir):
+    """The fold plan covers every row once and has k distinct folds."""
+    from .operators import ranking as RK
+
+    folded = orders_folds(spark, sf_dir)
+    rows = table(spark, sf_dir, "orders").count()
+    return RK.fold_plan_audit(T.fold_snapshots(folded, ["o_orderkey"], 5), rows, 5)

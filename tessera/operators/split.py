@@ -57,8 +57,19 @@ def ordered_rank(
     bucket = F.conv(F.substring(F.col(HASH), 1, digits), 16, 10).cast("long")
     tagged = df.withColumn("_bkt", bucket)
     counts = tagged.groupBy(*partition, *prefix, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
-    running = Window.partitionBy(*partition).orderBy(*prefix, "_bkt")
-    offsets = counts.withColumn("_off", F.sum("_cnt").over(running) - F.col("_cnt")).drop("_cnt")
+    # Level 1: bucket offsets inside each (partition, prefix) group, one
+    # window task per group.
+    running = Window.partitionBy(*partition, *prefix).orderBy("_bkt")
+    offsets = counts.withColumn("_off", F.sum("_cnt").over(running) - F.col("_cnt"))
+    if prefix:
+        # Level 2: offsets of the prefix groups themselves (groups_bound rows).
+        totals = counts.groupBy(*partition, *prefix).agg(F.sum("_cnt").alias("_tot"))
+        before = Window.partitionBy(*partition).orderBy(*prefix)
+        group_off = totals.withColumn("_goff", F.sum("_tot").over(before) - F.col("_tot")).drop("_tot")
+        offsets = offsets.join(F.broadcast(group_off) if groups_bound <= BROADCAST_ROW_LIMIT else group_off,
+                               partition + prefix)
+        offsets = offsets.withColumn("_off", F.col("_off") + F.col("_goff")).drop("_goff")
+    offsets = offsets.drop("_cnt")
     if groups_bound * 16**digits <= BROADCAST_ROW_LIMIT:
         offsets = F.broadcast(offsets)
     within = Window.partitionBy(*partition, *prefix, "_bkt").orderBy(HASH, *key)
