@@ -43,6 +43,20 @@ FIT_PARTITIONS_MIN = 8
 ROWS_PER_FIT_PARTITION = 2_000_000
 
 
+def static_parameters(name: str, seed: int) -> list[dict]:
+    """The estimator's configured (data-independent) parameters."""
+    table = {
+        DUMMY_CLASSIFIER: [("random_state", seed), ("strategy", "prior")],
+        LOGISTIC_REGRESSION: [("C", LOGISTIC_C), ("max_iter", 1000), ("random_state", seed)],
+        RANDOM_FOREST_CLASSIFIER: [("max_depth", FOREST_MAX_DEPTH), ("max_features", "sqrt"),
+                                   ("n_estimators", FOREST_TREES), ("random_state", seed)],
+        RIDGE_REGRESSION: [("alpha", RIDGE_ALPHA)],
+        RANDOM_FOREST_REGRESSOR: [("max_depth", FOREST_MAX_DEPTH), ("max_features", "all"),
+                                  ("n_estimators", FOREST_TREES), ("random_state", seed)],
+    }
+    return [{"name": k, "value": str(v)} for k, v in sorted(table[name])]
+
+
 def check_estimator(name: str, task: Task) -> None:
     """Known name and matching task."""
     if name not in ESTIMATOR_TASKS:

@@ -244,6 +244,16 @@ class DatasetProfile:
     def column(self, name: str) -> dict:
         return next(c for c in self.columns if c["column_name"] == name)
 
+    def to_json(self, indent: int | None = 2) -> str:
+        """Deterministic JSON (sorted keys; non-finite values are already NULL)."""
+        import json
+
+        return json.dumps(
+            {"rows": self.rows, "columns": self.columns, "missing_cell_count": self.missing_cell_count,
+             "missing_cell_ratio": self.missing_cell_ratio, "duplicate_row_count": self.duplicate_row_count,
+             "target": self.target, "class_distribution": self.class_distribution, "warnings": self.warnings},
+            sort_keys=True, allow_nan=False, indent=indent)
+
 
 def profile_warnings(
     columns: list[dict], target: dict, missing_cell_count: int, duplicate_rows: int

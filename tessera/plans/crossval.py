@@ -158,7 +158,7 @@ def cross_validate(df: DataFrame, cfg: CrossValidationConfig, *, target: str, ke
             for s in sorted(mine, key=lambda s: s["metric"])]
         rank = ranks.get(name)
         entries.append({
-            "estimator": name, "parameters": [], "status": "failed" if failure else "succeeded",
+            "estimator": name, "parameters": E.static_parameters(name, cfg.folds.random_seed), "status": "failed" if failure else "succeeded",
             "rank": rank["rank"] if rank else None,
             "primary_metric_mean": rank["mean"] if rank else None,
             "primary_metric_standard_deviation": rank["standard_deviation"] if rank else None,

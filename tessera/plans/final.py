@@ -55,6 +55,11 @@ def fit_selected_model(
     winner = next((e for e in selection["entries"] if e["rank"] == 1), None)
     if winner is None or selection["status"] == "failed":
         raise SelectionError("The cross-validation record has no winning estimator.")
+    # The estimator configured today must equal the one that was evaluated.
+    seed = selection.get("random_seed")
+    seed = 42 if seed is None else seed
+    if winner.get("parameters") and list(winner["parameters"]) != E.static_parameters(winner["estimator"], seed):
+        raise SelectionError("Estimator parameters changed since the cross-validation record was written.")
     # G2
     problems = identity_mismatches(df, target, selection["dataset"])
     if problems:
@@ -74,7 +79,7 @@ def fit_selected_model(
         FE.validate_preprocessing_inputs(df, schema, cfg, part_col=None)  # F12 checks
         stats = FE.fit_feature_stats(df, schema, cfg)
         fitted = E.fit_estimator(df, stats, target=target, estimator=winner["estimator"],
-                                 task=Task.CLASSIFICATION, seed=selection.get("random_seed", 42), key=key)
+                                 task=Task.CLASSIFICATION, seed=seed, key=key)
     except Exception as error:  # G6
         if not expected_failure(error):
             raise

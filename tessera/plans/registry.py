@@ -110,6 +110,12 @@ class Registry:
         return self.table(name).orderBy(*order)
 
 
+def export_json(registry: "Registry", name: str, path: str) -> str:
+    """A registry table as JSON lines (create-only)."""
+    registry.table(name).write.mode("errorifexists").json(path)
+    return path
+
+
 def record_sha256(record: dict) -> str:
     """Digest of a stored record (sorted-key JSON)."""
     import hashlib

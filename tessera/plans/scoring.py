@@ -56,6 +56,14 @@ def predict_frame(artifact: Artifact, df: DataFrame, *, key: list[str] | None =
     return artifact.model.transform(ordered).select(*key, "prediction")
 
 
+def predict_csv(spark, artifact: Artifact, path: str, *, key: list[str] | None = None,
+                options=None) -> DataFrame:
+    """Strict CSV load (S2) then ``predict_frame``."""
+    from ..sources.csv import load_feature_csv
+
+    return predict_frame(artifact, load_feature_csv(spark, path, options=options), key=key)
+
+
 def number_rows(df: DataFrame, order: list[str]) -> DataFrame:
     """1-based ``row_number`` in ``order`` without a single-task window.
 

@@ -50,3 +50,13 @@ def test_medians_in_memory_and_bucketed_paths_agree(spark):
     slow = {r["g"]: r["median"] for r in exact_medians(long, ["g"], "v", in_memory_limit=0, buckets=16).collect()}
     exact = {g: float(long.filter(f"g = '{g}'").selectExpr("median(v)").first()[0]) for g in ("q", "d")}
     assert fast == pytest.approx(exact) and slow == pytest.approx(exact)
+
+
+def test_profile_json_is_deterministic(spark):
+    import json
+
+    df = spark.createDataFrame([(1, float("inf"), "a"), (2, 2.0, "b"), (3, None, "a")],
+                               "id int, value double, target string")
+    text = P.profile_dataset(df, "target").to_json()
+    assert json.loads(text)["columns"][1]["infinite_count"] == 1
+    assert text == P.profile_dataset(df, "target").to_json()

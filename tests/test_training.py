@@ -81,3 +81,19 @@ def test_benchmark_cv_final_and_scoring(spark, scratch):
     altered = df.withColumn("amount", F.col("amount") + 1)
     with pytest.raises(Exception, match="does not match"):
         G.fit_selected_model(altered, stored, target="target", key=["amount"], registry=reg)
+
+
+def test_cv_is_reproducible_and_parameters_recorded(spark):
+    df = spark.createDataFrame([(i, "abc"[i % 3], "yes" if i % 4 in (0, 1) else "no") for i in range(60)],
+                               "value int, segment string, target string")
+    cfg = CV.CrossValidationConfig(estimators=(E.DUMMY_CLASSIFIER, E.LOGISTIC_REGRESSION), folds=FoldConfig(3, 7))
+    a = CV.cross_validate(df, cfg, target="target", key=["value"]).record
+    b = CV.cross_validate(df, cfg, target="target", key=["value"]).record
+    assert a["fold_plan_sha256"] == b["fold_plan_sha256"]
+    assert [(e["estimator"], e["rank"], e["primary_metric_mean"]) for e in a["entries"]] == \
+        [(e["estimator"], e["rank"], e["primary_metric_mean"]) for e in b["entries"]]
+    logistic = next(e for e in a["entries"] if e["estimator"] == E.LOGISTIC_REGRESSION)
+    assert {"name": "C", "value": "1.0"} in logistic["parameters"]
+    tampered = dict(a, entries=[dict(e, parameters=[{"name": "C", "value": "9"}]) for e in a["entries"]])
+    with pytest.raises(Exception, match="parameters changed"):
+        G.fit_selected_model(df, tampered, target="target", key=["value"])
