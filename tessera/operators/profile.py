@@ -11,8 +11,9 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import (
     HIGH_CARDINALITY_MINIMUM,
@@ -27,7 +28,7 @@ from ..functions.columns import (
     kind_of,
 )
 from ..functions.frames import attach_scalars
-from .quantile import exact_medians
+from .quantile import IN_MEMORY_LIMIT, exact_medians
 
 PROFILE_COLUMNS = [
     "position", "column_name", "kind", "non_missing_count", "missing_count", "missing_ratio",
@@ -40,23 +41,50 @@ def _ratio(num, den):
     return F.when(den > 0, num / den).otherwise(F.lit(0.0))
 
 
+def _value_text(name: str, dtype: T.DataType) -> Column | None:
+    """Engine-stable text of a non-numeric value for distinct counting."""
+    col = F.col(f"`{name}`")
+    kind = kind_of(dtype)
+    if kind == "string":
+        return col
+    if kind == "boolean":
+        return col.cast("string")
+    if isinstance(dtype, T.TimestampNTZType):
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{name}`)").cast("string")
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(col).cast("string")
+    if isinstance(dtype, T.DateType):
+        return F.datediff(col, F.lit("1970-01-01").cast("date")).cast("string")
+    return None
+
+
 def column_profiles(
     df: DataFrame, columns: list[str] | None = None, *, exact_distinct: bool = True
 ) -> DataFrame:
-    """One row per column, statistics from a single aggregation.
+    """One row per column from two aggregations.
+
+    1. One wide aggregation: counts, infinite counts, finite min/max/mean/sd
+       and a HyperLogLog distinct estimate per column (no distinct expansion).
+    2. One value-count table ``(column, value, weight)`` over all columns
+       (partial aggregation map-side): its per-column row count is the exact
+       distinct count and its weighted percentile is the exact median.  The
+       HLL estimate sizes that median buffer; above the bound the distributed
+       bucketed median runs instead (``quantile.exact_medians``).
 
-    ``exact_distinct=False`` swaps ``count(DISTINCT)`` for HyperLogLog
-    (bounded memory, no distinct expansion) on very wide or huge tables.
+    ``exact_distinct=False`` reports the HLL estimates as distinct counts.
     """
     fields = {f.name: f.dataType for f in df.schema.fields}
     names = columns or df.columns
     numeric = [n for n in names if kind_of(fields[n]) in ("integer", "float")]
+    texts = {n: _value_text(n, fields[n]) for n in names if n not in numeric}
+    opaque = [n for n in names if n not in numeric and texts[n] is None]
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, name in enumerate(names):
         c = cleaned(name, fields[name])
         aggs.append(F.count(c).alias(f"_nm{i}"))
-        distinct = F.countDistinct(c) if exact_distinct else F.approx_count_distinct(c)
-        aggs.append(distinct.alias(f"_ud{i}"))
+        aggs.append(F.approx_count_distinct(c).alias(f"_ud{i}"))
+        if name in opaque:  # arrays, maps, structs, binary: Spark's own distinct
+            aggs.append(F.countDistinct(c).alias(f"_ux{i}"))
         if name in numeric:
             d = as_double(name, fields[name])
             fin = finite_or_null(d)
@@ -83,7 +111,7 @@ def column_profiles(
                 F.lit(kind_of(fields[name])).alias("kind"),
                 F.col("_rows").alias("rows"),
                 F.col(f"_nm{i}").alias("non_missing_count"),
-                F.col(f"_ud{i}").alias("unique_count"),
+                (F.col(f"_ux{i}") if name in opaque else F.col(f"_ud{i}")).alias("_approx_unique"),
                 (F.col(f"_inf{i}") if is_num else F.lit(0).cast("bigint")).alias("infinite_count"),
                 (F.col(f"_min{i}") if is_num else none).alias("minimum"),
                 (F.col(f"_max{i}") if is_num else none).alias("maximum"),
@@ -93,8 +121,38 @@ def column_profiles(
             )
         )
     long = wide.select(F.inline(F.array(*structs)))
+    counted = [n for n in names if n not in opaque]
+    if counted:
+        values = df.select(F.inline(F.array(*[
+            F.struct(
+                F.lit(n).alias("column_name"),
+                (as_double(n, fields[n]) if n in numeric else none).alias("v"),
+                (texts[n] if n not in numeric else F.lit(None).cast("string")).alias("t"),
+            )
+            for n in counted
+        ]))).filter(F.col("v").isNotNull() | F.col("t").isNotNull())
+        weighted = values.groupBy("column_name", "v", "t").agg(F.count(F.lit(1)).alias("_w"))
+        finite_v = finite_or_null(F.col("v"))
+        if hint * 1.2 <= IN_MEMORY_LIMIT:
+            per_column = weighted.groupBy("column_name").agg(
+                F.count(F.lit(1)).alias("_unique"),
+                F.percentile(finite_v, F.lit(0.5), F.col("_w")).alias("median"),
+            )
+        else:
+            medians = exact_medians(
+                values.select("column_name", finite_v.alias("v")).filter(F.col("v").isNotNull()),
+                ["column_name"], "v", distinct_hint=hint)
+            per_column = weighted.groupBy("column_name").agg(F.count(F.lit(1)).alias("_unique")).join(
+                medians, "column_name", "left")
+        # One row per column: a bounded broadcast.
+        long = long.join(F.broadcast(per_column), "column_name", "left")
+    else:
+        long = long.withColumn("_unique", F.lit(None).cast("bigint")).withColumn("median", none)
+    unique = F.col("_approx_unique") if not exact_distinct else F.coalesce(
+        F.col("_unique"), F.when(F.col("non_missing_count") == 0, F.lit(0)), F.col("_approx_unique"))
+    long = long.withColumn("unique_count", unique.cast("bigint"))
     rows, nm, ud = F.col("rows"), F.col("non_missing_count"), F.col("unique_count")
-    long = long.select(
+    return long.select(
         "position", "column_name", "kind", "non_missing_count",
         (rows - nm).alias("missing_count"),
         F.round(_ratio(rows - nm, rows), 6).alias("missing_ratio"),
@@ -108,30 +166,9 @@ def column_profiles(
         F.round("minimum", 6).alias("minimum"),
         F.round("maximum", 6).alias("maximum"),
         F.round("mean", 6).alias("mean"),
+        F.round("median", 6).alias("median"),
         F.round("standard_deviation", 6).alias("standard_deviation"),
     )
-    if numeric:
-        values = df.select(
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(n).alias("column_name"),
-                            finite_or_null(as_double(n, fields[n])).alias("v"),
-                        )
-                        for n in numeric
-                    ]
-                )
-            )
-        ).filter(F.col("v").isNotNull())
-        medians = exact_medians(values, ["column_name"], "v", distinct_hint=hint).select(
-            "column_name", F.round("median", 6).alias("median")
-        )
-        # One median row per numeric column: a bounded broadcast.
-        long = long.join(F.broadcast(medians), "column_name", "left")
-    else:
-        long = long.withColumn("median", F.lit(None).cast("double"))
-    return long.select(*PROFILE_COLUMNS)
 
 
 def duplicate_row_count(df: DataFrame) -> DataFrame:
