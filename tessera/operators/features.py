@@ -25,9 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FeatureOverrides, Imputation, PreprocessingConfig, PreprocessingError
-from ..functions.columns import as_double, is_numeric_type, kind_of
+from ..functions.columns import as_double, is_infinite, is_numeric_type, kind_of
 from . import checks
-from .quantile import exact_medians
+from .quantile import IN_MEMORY_LIMIT, exact_medians
 
 FEATURES_COL = "features"
 MAX_CATEGORIES = 1_000_000
@@ -284,3 +284,124 @@ def fold_local_numeric_stats(folded: DataFrame, column: str, fold_count: int) ->
         F.round("median", 6).alias("median"),
         F.round("std_pop", 6).alias("std_pop"),
     )
+
+
+def _merge_moments(states: list[tuple[int, float, float]]) -> tuple[int, float | None, float | None]:
+    """Chan's pairwise merge of (count, mean, population variance) states."""
+    n, mean, m2 = 0, 0.0, 0.0
+    for cnt, mu, var in states:
+        if not cnt:
+            continue
+        total = n + cnt
+        delta = float(mu) - mean
+        mean += delta * cnt / total
+        m2 += float(var) * cnt + delta * delta * n * cnt / total
+        n = total
+    if n == 0:
+        return 0, None, None
+    return n, mean, m2 / n
+
+
+def fit_fold_feature_stats(
+    folded: DataFrame, schema: FeatureSchema, config: PreprocessingConfig | None, fold_count: int
+) -> dict[int, FeatureStats]:
+    """F15 for every fold at once, shared by all estimators.
+
+    Per-fold aggregates (count, mean, variance; categories) are computed once
+    without copying rows and merged on the driver for "all folds but k"
+    (k <= 10 tiny states).  Medians need the value distribution of each
+    training side: per-fold value counts are fanned out to the k-1 folds
+    they train and a weighted percentile runs per (fold, column).
+    """
+    cfg = config or PreprocessingConfig()
+    fields = {f.name: f.dataType for f in folded.schema.fields}
+    num, cat = list(schema.numeric), list(schema.categorical)
+    folds = range(1, fold_count + 1)
+    out = {k: FeatureStats(schema, cfg) for k in folds}
+    per_fold = {r["fold"]: r for r in folded.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.count(as_double(c, fields[c])).alias(f"_c{i}") for i, c in enumerate(num)],
+        *[F.avg(as_double(c, fields[c])).alias(f"_a{i}") for i, c in enumerate(num)],
+        *[F.var_pop(as_double(c, fields[c])).alias(f"_v{i}") for i, c in enumerate(num)],
+        *[F.approx_count_distinct(as_double(c, fields[c])).alias(f"_d{i}") for i, c in enumerate(num)],
+    ).collect()}
+    for k in folds:
+        out[k].training_rows = sum(int(r["_rows"]) for j, r in per_fold.items() if j != k)
+    if num:
+        medians: dict[tuple[int, str], float] = {}
+        if cfg.numeric_imputation is Imputation.MEDIAN:
+            long = folded.select("fold", F.inline(F.array(*[
+                F.struct(F.lit(c).alias("column_name"), as_double(c, fields[c]).alias("v")) for c in num
+            ]))).filter(F.col("v").isNotNull())
+            bound = max(sum(int(r[f"_d{i}"] or 0) for r in per_fold.values()) for i in range(len(num)))
+            fan_out = F.explode(F.sequence(F.lit(1), F.lit(fold_count))).alias("_k")
+            if bound * 1.2 <= IN_MEMORY_LIMIT:
+                weighted = long.groupBy("fold", "column_name", "v").agg(F.count(F.lit(1)).alias("_w"))
+                rows = (weighted.select(fan_out, "fold", "column_name", "v", "_w")
+                        .filter(F.col("fold") != F.col("_k"))
+                        .groupBy("_k", "column_name")
+                        .agg(F.percentile("v", F.lit(0.5), F.col("_w")).alias("median")).collect())
+            else:
+                copies = long.select(fan_out, "fold", "column_name", "v").filter(F.col("fold") != F.col("_k"))
+                rows = exact_medians(copies.drop("fold"), ["_k", "column_name"], "v",
+                                     distinct_hint=bound).collect()
+            medians = {(r["_k"], r["column_name"]): r["median"] for r in rows}
+        for k in folds:
+            st = out[k]
+            for i, c in enumerate(num):
+                states = [(int(r[f"_c{i}"]), r[f"_a{i}"], r[f"_v{i}"]) for j, r in per_fold.items() if j != k]
+                observed, mean, var = _merge_moments(states)
+                fill = mean if cfg.numeric_imputation is Imputation.MEAN else medians.get((k, c))
+                st.fill[c] = float(fill) if fill is not None else 0.0
+                if cfg.scale_numeric:
+                    st.center[c], sd = imputed_moments(st.training_rows, observed, mean or 0.0, var or 0.0,
+                                                       st.fill[c])
+                    st.scale[c] = sd if sd > 0 else 1.0
+    if cat:
+        marker = cfg.categorical_fill_value
+        pairs = folded.select("fold", F.inline(F.array(*[
+            F.struct(F.lit(c).alias("c"), _cat_expr(c, marker).alias("v")) for c in cat
+        ]))).distinct().limit(MAX_CATEGORIES * fold_count + 1).collect()
+        if len(pairs) > MAX_CATEGORIES * fold_count:
+            raise PreprocessingError(
+                f"Categorical features have more than {MAX_CATEGORIES} distinct training values; "
+                "one-hot encoding them is not supported.")
+        for k in folds:
+            for c in cat:
+                out[k].categories[c] = sorted({r["v"] for r in pairs if r["c"] == c and r["fold"] != k})
+    return out
+
+
+def fold_input_violations(
+    folded: DataFrame, schema: FeatureSchema, config: PreprocessingConfig, fold_count: int
+) -> dict[int, str | None]:
+    """V10 + V11 for every fold from one aggregation grouped by fold.
+
+    Fold k trains on the other folds and validates on itself; the message
+    is the one the per-fold check would raise (training side first).
+    """
+    fields = {f.name: f.dataType for f in folded.schema.fields}
+    num, cat = list(schema.numeric), list(schema.categorical)
+    marker = config.categorical_fill_value
+    if not num and not cat:
+        return {k: None for k in range(1, fold_count + 1)}
+    rows = folded.groupBy("fold").agg(
+        *[F.count_if(is_infinite(as_double(c, fields[c]))).alias(f"_i{i}") for i, c in enumerate(num)],
+        *[F.count_if(F.col(f"`{c}`").cast("string") == F.lit(marker)).alias(f"_m{i}") for i, c in enumerate(cat)],
+    ).collect()
+    out: dict[int, str | None] = {}
+    for k in range(1, fold_count + 1):
+        train_inf = [c for i, c in enumerate(num) if any(r[f"_i{i}"] for r in rows if r["fold"] != k)]
+        val_inf = [c for i, c in enumerate(num) if any(r[f"_i{i}"] for r in rows if r["fold"] == k)]
+        markers = sorted(c for i, c in enumerate(cat) if any(r[f"_m{i}"] for r in rows))
+        message = None
+        for side, names in (("Training", train_inf), ("Validation", val_inf)):
+            if names and message is None:
+                message = (f"{side} numeric features contain infinite values: "
+                           + ", ".join(repr(n) for n in names)
+                           + ". Replace them with finite values or missing values before preprocessing.")
+        if message is None and markers:
+            message = (f"Categorical fill value {marker!r} already occurs in split columns: "
+                       + ", ".join(repr(n) for n in markers) + ". Configure a distinct fill value.")
+        out[k] = message
+    return out

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..config import (
     BenchmarkFailedError,
+    PreprocessingError,
     ConfigurationError,
     FeatureOverrides,
     FoldConfig,
@@ -67,17 +68,14 @@ class CrossValidationResult:
 
 
 def _fold_cell(folded: DataFrame, fold: int, name: str, target: str, key: list[str],
-               cfg: CrossValidationConfig) -> DataFrame:
-    frame = T.fold_split(folded, fold)
-    features = [c for c in folded.columns if c not in (target, "fold")]
-    schema = FE.infer_feature_schema(frame, features, cfg.overrides)
-    FE.validate_preprocessing_inputs(frame, schema, cfg.preprocessing)
-    train_rows = F.col("part") == "train"
-    stats = FE.fit_feature_stats(frame, schema, cfg.preprocessing, where=train_rows)
-    fitted = E.fit_estimator(frame.filter(train_rows).drop("part", "fold"), stats, target=target,
+               cfg: CrossValidationConfig, stats: FE.FeatureStats, violation: str | None) -> DataFrame:
+    """Fit one estimator on the other folds and score fold ``fold``."""
+    if violation:
+        raise PreprocessingError(violation)
+    train_rows = F.col("fold") != fold
+    fitted = E.fit_estimator(folded.filter(train_rows).drop("fold"), stats, target=target,
                              estimator=name, task=Task.CLASSIFICATION, seed=cfg.folds.random_seed, key=key)
-    val = frame.filter(~train_rows)
-    return E.predict(fitted, val, [*key, target]).select(
+    return E.predict(fitted, folded.filter(~train_rows), [*key, target]).select(
         F.lit(name).alias("estimator"), F.lit(fold).alias("fold"),
         F.col(target).alias("actual"), F.col("prediction").alias("predicted"))
 
@@ -97,13 +95,20 @@ def cross_validate(df: DataFrame, cfg: CrossValidationConfig, *, target: str, ke
         plan_digest = T.fold_plan_digest(snapshots).first()["fold_plan_sha256"]
         profile = P.profile_dataset(df, target)
         fingerprint = table_fingerprint(df)
+        # Roles, checks and preprocessing statistics of every fold, computed
+        # once and shared by all estimators.
+        features = [c for c in df.columns if c != target]
+        schema = FE.infer_feature_schema(df, features, cfg.overrides)
+        violations = FE.fold_input_violations(folded, schema, cfg.preprocessing, k)
+        fold_stats = FE.fit_fold_feature_stats(folded, schema, cfg.preprocessing, k)
         # Cells are independent: fit them concurrently from a small driver
         # thread pool (Spark schedules the jobs side by side), then keep, per
         # estimator, the folds before its first failure.
         def run_cell(name: str, fold: int):
             t0 = time.perf_counter()
             try:
-                cell = _fold_cell(folded, fold, name, target, key, cfg).persist(StorageLevel.MEMORY_AND_DISK)
+                cell = _fold_cell(folded, fold, name, target, key, cfg, fold_stats[fold],
+                                  violations[fold]).persist(StorageLevel.MEMORY_AND_DISK)
                 cell.count()
                 return cell, None, time.perf_counter() - t0
             except Exception as error:  # C6: record where it failed

@@ -80,3 +80,36 @@ def test_marker_collision_and_infinite_rejected(spark):
     bad = spark.createDataFrame([(1, float("inf"), "train")], "k int, v double, part string")
     with pytest.raises(PreprocessingError, match="infinite"):
         FE.validate_preprocessing_inputs(bad, FE.infer_feature_schema(bad, ["v"]), PreprocessingConfig())
+
+
+def test_all_fold_statistics_equal_per_fold_fits(spark):
+    from tessera.config import FoldConfig
+    from tessera.operators import split as T
+
+    rows = [(i, None if i % 7 == 0 else float(i * i % 23), "xyz"[i % 3] if i % 11 else None, "ab"[i % 2])
+            for i in range(90)]
+    df = spark.createDataFrame(rows, "k int, x double, c string, target string")
+    folded = T.assign_folds(df, target="target", key=["k"], config=FoldConfig(3, 5))
+    schema = FE.infer_feature_schema(df, ["x", "c"])
+    for cfg in (PreprocessingConfig(), PreprocessingConfig(Imputation.MEAN)):
+        batch = FE.fit_fold_feature_stats(folded, schema, cfg, 3)
+        for k in (1, 2, 3):
+            single = FE.fit_feature_stats(folded, schema, cfg, where=F.col("fold") != k)
+            assert batch[k].fill == pytest.approx(single.fill)
+            assert batch[k].center == pytest.approx(single.center)
+            assert batch[k].scale == pytest.approx(single.scale)
+            assert batch[k].categories == single.categories
+            assert batch[k].training_rows == single.training_rows
+
+
+def test_fold_violations_name_the_failing_side(spark):
+    from tessera.config import FoldConfig
+    from tessera.operators import split as T
+
+    df = spark.createDataFrame([(i, float("inf") if i == 4 else 1.0, "ab"[i % 2]) for i in range(12)],
+                               "k int, v double, target string")
+    folded = T.assign_folds(df, target="target", key=["k"], config=FoldConfig(3, 1))
+    bad_fold = folded.filter("k = 4").first()["fold"]
+    msgs = FE.fold_input_violations(folded, FE.infer_feature_schema(df, ["v"]), PreprocessingConfig(), 3)
+    assert msgs[bad_fold].startswith("Validation")
+    assert all(msgs[k].startswith("Training") for k in (1, 2, 3) if k != bad_fold)
