@@ -35,6 +35,8 @@ HEADLINE = [
     "ridge_one_feature",
     "logistic_regression_run",
     "ridge_regression_run",
+    "benchmark_holdout",
+    "cross_validate",
 ]
 
 

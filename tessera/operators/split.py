@@ -93,6 +93,7 @@ class Split:
     validation_rows: int
     feature_count: int
     config: SplitConfig
+    _digest: str | None = None
 
     @property
     def train_rows(self) -> int:
@@ -105,7 +106,10 @@ class Split:
         return self.frame.filter(F.col("part") == "validation")
 
     def partition_sha256(self) -> str:
-        return partition_digest(self.frame, list(self.key)).first()["partition_sha256"]
+        """T4, computed once per split (one aggregation)."""
+        if self._digest is None:
+            self._digest = partition_digest(self.frame, list(self.key)).first()["partition_sha256"]
+        return self._digest
 
 
 def validation_quotas(class_counts: DataFrame, rows: int, validation_rows: int, target: str) -> DataFrame:
