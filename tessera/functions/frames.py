@@ -18,3 +18,19 @@ def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
 def unpivot_struct(df: DataFrame, rows: list) -> DataFrame:
     """``inline(array(struct...))``: one output row per struct per input row."""
     return df.select(F.inline(F.array(*rows)))
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], *, broadcast_right: bool = False) -> DataFrame:
+    """Inner equi-join on ``keys`` where NULL matches NULL (no row is lost
+    because a key is missing); the right-hand key columns are dropped."""
+    if not keys:
+        raise ValueError("join_null_safe needs at least one key")
+    renamed = right.select(*[F.col(f"`{c}`").alias(f"_r_{c}") if c in keys else F.col(f"`{c}`")
+                             for c in right.columns])
+    if broadcast_right:
+        renamed = F.broadcast(renamed)
+    cond = None
+    for c in keys:
+        term = left[f"`{c}`"].eqNullSafe(renamed[f"_r_{c}"])
+        cond = term if cond is None else cond & term
+    return left.join(renamed, cond, "inner").drop(*[f"_r_{c}" for c in keys])

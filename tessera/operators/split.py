@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..config import FoldConfig, SplitConfig, SplitError, Task
 from ..functions.columns import cleaned, row_key, seeded_hash
 from ..functions.digest import digest_aggs, digest_from_state
-from ..functions.frames import attach_scalars
+from ..functions.frames import attach_scalars, join_null_safe
 from . import checks
 
 HASH = "_h"
@@ -66,15 +66,15 @@ def ordered_rank(
         totals = counts.groupBy(*partition, *prefix).agg(F.sum("_cnt").alias("_tot"))
         before = Window.partitionBy(*partition).orderBy(*prefix)
         group_off = totals.withColumn("_goff", F.sum("_tot").over(before) - F.col("_tot")).drop("_tot")
-        offsets = offsets.join(F.broadcast(group_off) if groups_bound <= BROADCAST_ROW_LIMIT else group_off,
-                               partition + prefix)
+        offsets = join_null_safe(offsets, group_off, partition + prefix,
+                                 broadcast_right=groups_bound <= BROADCAST_ROW_LIMIT)
         offsets = offsets.withColumn("_off", F.col("_off") + F.col("_goff")).drop("_goff")
     offsets = offsets.drop("_cnt")
-    if groups_bound * 16**digits <= BROADCAST_ROW_LIMIT:
-        offsets = F.broadcast(offsets)
     within = Window.partitionBy(*partition, *prefix, "_bkt").orderBy(HASH, *key)
+    joined = join_null_safe(tagged, offsets, partition + prefix + ["_bkt"],
+                            broadcast_right=groups_bound * 16**digits <= BROADCAST_ROW_LIMIT)
     return (
-        tagged.join(offsets, partition + prefix + ["_bkt"])
+        joined
         .withColumn(out, F.col("_off") + F.row_number().over(within) - 1)
         .drop("_bkt", "_off")
     )
@@ -185,7 +185,7 @@ def split_dataset(
         counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("_n"))
         quotas = validation_quotas(counts, rows, validation_rows, target)
         # One row per class, bounded by the checked class count.
-        ranked = ranked.join(F.broadcast(quotas) if classes <= BROADCAST_ROW_LIMIT else quotas, target)
+        ranked = join_null_safe(ranked, quotas, [target], broadcast_right=classes <= BROADCAST_ROW_LIMIT)
         part = F.when(F.col("_rank") < F.col("_quota"), "validation").otherwise("train")
         frame = ranked.withColumn("part", part).drop("_rank", "_quota", HASH)
     else:

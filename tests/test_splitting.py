@@ -77,3 +77,13 @@ def test_bucketed_rank_equals_global_window(spark, digits):
     joined = ours.join(ref.select("o_orderkey", "_ref"), "o_orderkey")
     assert joined.filter(F.col("_rank") != F.col("_ref")).count() == 0
     assert joined.count() == df.count()
+
+
+def test_unchecked_split_keeps_rows_with_missing_target(spark):
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else "ab"[i % 2]) for i in range(40)],
+                               "value int, target string")
+    s = T.split_dataset(df, target="target", key=["value"], task=Task.CLASSIFICATION, check=False,
+                        config=SplitConfig(stratify=False))
+    assert s.frame.count() == 40
+    folded = T.assign_folds(df, target="target", key=["value"], check=False, rows=40, classes=3)
+    assert folded.count() == 40 and folded.filter("target IS NULL").count() == 8
