@@ -989,3 +989,45 @@ def fold_plan_audit(spark, sf_dir):
     folded = orders_folds(spark, sf_dir)
     rows = table(spark, sf_dir, "orders").count()
     return RK.fold_plan_audit(T.fold_snapshots(folded, ["o_orderkey"], 5), rows, 5)
+
+
+def _sql_profile_warnings() -> str:
+    src = EVENTS_DIRTY_SQL
+    cols = ["event_id", "user_id", "event_type", "value"]
+    ident = [c for c in cols if identifier_name(c)]
+    parts = [
+        f"SELECT 1 AS o, CASE WHEN n > 0 THEN 'Dataset contains ' || CAST(n AS VARCHAR) || ' missing cells.' END AS w "
+        f"FROM (SELECT count(*) FILTER (WHERE value IS NULL) + count(*) FILTER (WHERE event_id IS NULL) "
+        f"+ count(*) FILTER (WHERE user_id IS NULL) + count(*) FILTER (WHERE event_type IS NULL) AS n FROM {src})",
+        f"SELECT 2, CASE WHEN d > 0 THEN 'Dataset contains ' || CAST(d AS VARCHAR) || ' duplicate rows.' END "
+        f"FROM (SELECT coalesce(sum(c - 1), 0) AS d FROM (SELECT count(*) AS c FROM {src} "
+        f"GROUP BY event_id, user_id, event_type, value))",
+        "SELECT 3, CASE WHEN names <> '' THEN 'Constant columns: ' || names || '.' END FROM (SELECT concat_ws(', ', "
+        + ", ".join(f"CASE WHEN count(DISTINCT {c}) <= 1 THEN '{c}' END" for c in cols) + f") AS names FROM {src})",
+        "SELECT 4, CASE WHEN names <> '' THEN 'High-cardinality columns: ' || names || '.' END FROM (SELECT "
+        "concat_ws(', ', CASE WHEN count(DISTINCT event_type) >= 50 AND CAST(count(DISTINCT event_type) AS DOUBLE) "
+        f"/ count(event_type) >= 0.5 THEN 'event_type' END) AS names FROM {src})",
+        "SELECT 5, CASE WHEN names <> '' THEN 'Likely identifier columns: ' || names || '.' END FROM (SELECT "
+        "concat_ws(', ', " + ", ".join(
+            f"CASE WHEN count({c}) = count(*) AND count(DISTINCT {c}) = count(*) THEN '{c}' END" for c in ident)
+        + f") AS names FROM {src})",
+        "SELECT 6, CASE WHEN names <> '' THEN 'Columns containing infinite values: ' || names || '.' END FROM "
+        f"(SELECT concat_ws(', ', CASE WHEN count(*) FILTER (WHERE isinf(value)) > 0 THEN 'value' END) AS names FROM {src})",
+        f"SELECT 7, CASE WHEN count(*) FILTER (WHERE event_type IS NULL) > 0 THEN "
+        f"'Target column ''event_type'' contains missing values.' END FROM {src}",
+        "SELECT 8, CASE WHEN count(*) >= 2 AND CAST(min(n) AS DOUBLE) / max(n) < 0.2 THEN "
+        "'Target column ''event_type'' appears imbalanced.' END FROM (SELECT count(*) AS n FROM "
+        f"{src} WHERE event_type IS NOT NULL GROUP BY event_type)",
+        "SELECT 9, CASE WHEN count(DISTINCT event_type) < 2 THEN "
+        f"'Task type could not be inferred from target column ''event_type''.' END FROM {src}",
+    ]
+    return ("SELECT CAST(row_number() OVER (ORDER BY o) AS INTEGER) AS position, w AS warning FROM ("
+            + " UNION ALL ".join(parts) + ") WHERE w IS NOT NULL")
+
+
+@register("profile_warnings", _sql_profile_warnings())
+def profile_warnings(spark, sf_dir):
+    """The ordered advisory messages of a full profile (events with gaps)."""
+    prof = P.profile_dataset(events_dirty(spark, sf_dir), "event_type")
+    return spark.createDataFrame([(i + 1, w) for i, w in enumerate(prof.warnings)],
+                                 "position int, warning string")
