@@ -1,5 +1,8 @@
 """Leaderboards, run comparison and audits over registry tables.
 
+The windows here are global on purpose: their inputs hold one row per
+estimator or run, never per data row.
+
 Inputs are small registry DataFrames (one row per run / estimator / fold);
 ranks are ``row_number`` windows over them.  Audits recompute a stored
 result and return the disagreeing rows (empty = consistent).

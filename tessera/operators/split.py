@@ -126,6 +126,7 @@ def validation_quotas(class_counts: DataFrame, rows: int, validation_rows: int,
         F.floor(prod / F.lit(rows)).cast("long").alias("_base"),
         (prod % F.lit(rows)).alias("_rem"),
     )
+    # Global order over the class table: one row per class (checked count).
     order = Window.orderBy(F.col("_rem").desc(), F.col(target).asc())
     leftover = q.agg((F.lit(validation_rows) - F.sum("_base")).alias("_left"))
     q = attach_scalars(q.withColumn("_pos", F.row_number().over(order)), leftover)

@@ -3,7 +3,8 @@
 Scoring is stateless (``PipelineModel.transform``), so the same validated
 model scores a Structured Streaming source: each micro-batch is checked
 (names, numeric finiteness, reserved marker) and scored on executors, and
-the sink is a create-only file sink with its own checkpoint.  This is the
+each micro-batch lands in its own ``batch_id=`` folder (idempotent on
+replay) under a stream checkpoint.  This is the
 batch scoring operator reused per micro-batch, not a stream-specific model.
 """
 
@@ -28,9 +29,10 @@ def score_stream(
     """Score every micro-batch of ``stream`` into parquet at ``output_path``."""
 
     def score_batch(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        predict_frame(artifact, batch, key=key).write.mode("append").parquet(output_path)
+        # One folder per micro-batch, overwritten on replay: a batch retried
+        # after a failure replaces its own output instead of duplicating it.
+        predict_frame(artifact, batch, key=key).write.mode("overwrite").parquet(
+            f"{output_path}/batch_id={batch_id}")
 
     writer = stream.writeStream.foreachBatch(score_batch).option("checkpointLocation", checkpoint_location)
     if available_now:
