@@ -485,7 +485,7 @@ def check_marker(spark, sf_dir):
 from pyspark.ml.feature import SQLTransformer  # noqa: E402
 from pyspark.ml.functions import vector_to_array  # noqa: E402
 
-from .config import Imputation, PreprocessingConfig  # noqa: E402
+from .config import FeatureOverrides, Imputation, PreprocessingConfig  # noqa: E402
 from .operators import estimators as E  # noqa: E402
 from .operators import features as FE  # noqa: E402
 from .operators import metrics as M  # noqa: E402
@@ -608,8 +608,7 @@ def onehot_long(spark, sf_dir):
         target="c_acctbal", key=["c_custkey"], task=Task.REGRESSION).frame
     where = _train() & (F.col("c_mktsegment").isNull() | (F.col("c_mktsegment") != "MACHINERY"))
     schema = FE.infer_feature_schema(frame, ["c_mktsegment", "c_nationkey"],
-                                     __import__("tessera.config", fromlist=["x"]).FeatureOverrides(
-                                         categorical=("c_nationkey",)))
+                                     FeatureOverrides(categorical=("c_nationkey",)))
     stats = FE.fit_feature_stats(frame, schema, PreprocessingConfig(), where=where)
     model = FE.fit_preprocessor(frame.filter(where), stats)
     encoded = model.transform(frame)
@@ -1031,3 +1030,25 @@ def profile_warnings(spark, sf_dir):
     prof = P.profile_dataset(events_dirty(spark, sf_dir), "event_type")
     return spark.createDataFrame([(i + 1, w) for i, w in enumerate(prof.warnings)],
                                  "position int, warning string")
+
+
+@register(
+    "prediction_row_numbers",
+    f"SELECT event_id, CAST(row_number() OVER (ORDER BY event_id) AS BIGINT) AS row_number, prediction "
+    f"FROM ({_DUMMY_SQL})",
+)
+def prediction_row_numbers(spark, sf_dir):
+    """1-based row numbers of scored rows in key order, without a global window."""
+    from .plans.scoring import number_rows
+
+    return number_rows(_dummy_events(spark, sf_dir).select("event_id", "prediction"), ["event_id"])
+
+
+@register(
+    "prediction_sanity",
+    f"SELECT count(*) AS rows, count(*) FILTER (WHERE prediction IS NULL OR isnan(prediction) "
+    f"OR isinf(prediction)) AS invalid_predictions FROM ({_RIDGE_SQL})",
+)
+def prediction_sanity(spark, sf_dir):
+    """One finite prediction per scored row."""
+    return V.prediction_sanity(_ridge_part(spark, sf_dir))
