@@ -16,6 +16,7 @@ from ..operators import estimators as E
 from ..operators import profile as P
 from ..operators import ranking as RK
 from ..operators import split as T
+from ..session import fit_parallelism
 from .registry import SCHEMA_VERSION, Registry, new_id, now
 from .train import TrainingConfig, TrainingResult, train
 
@@ -50,7 +51,7 @@ class BenchmarkResult:
 
 
 def benchmark(df: DataFrame, config: BenchmarkConfig, *, target: str, key: list[str],
-              registry: Registry | None = None, source: str = "", parallelism: int = 3) -> BenchmarkResult:
+              registry: Registry | None = None, source: str = "", parallelism: int | None = None) -> BenchmarkResult:
     """B1: profile and split once (cached), fit every estimator on it."""
     spark = df.sparkSession
     benchmark_id, started = new_id(), now()
@@ -74,7 +75,7 @@ def benchmark(df: DataFrame, config: BenchmarkConfig, *, target: str, key: list[
 
     try:
         # Estimators share the persisted split; their fits run side by side.
-        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(config.estimators)))) as pool:
+        with ThreadPoolExecutor(max_workers=max(1, min(fit_parallelism(spark, parallelism), len(config.estimators)))) as pool:
             outcomes = list(pool.map(attempt, config.estimators))
         for name, (record, model, seconds) in zip(config.estimators, outcomes):
             if model is not None:

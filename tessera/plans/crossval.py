@@ -34,6 +34,7 @@ from ..operators import metrics as M
 from ..operators import profile as P
 from ..operators import ranking as RK
 from ..operators import split as T
+from ..session import fit_parallelism
 from .registry import SCHEMA_VERSION, Registry, new_id, now
 from .train import expected_failure
 
@@ -82,7 +83,7 @@ def _fold_cell(folded: DataFrame, fold: int, name: str, target: str, key: list[s
 
 def cross_validate(df: DataFrame, cfg: CrossValidationConfig, *, target: str, key: list[str],
                    registry: Registry | None = None, source: str = "",
-                   parallelism: int = 4) -> CrossValidationResult:
+                   parallelism: int | None = None) -> CrossValidationResult:
     """Every estimator x fold; a failing fold stops that estimator."""
     spark = df.sparkSession
     benchmark_id, started = new_id(), now()
@@ -117,7 +118,7 @@ def cross_validate(df: DataFrame, cfg: CrossValidationConfig, *, target: str, ke
                 return None, {"error_type": type(error).__name__, "message": compact_message(error)}, \
                     time.perf_counter() - t0
 
-        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(cfg.estimators) * k))) as pool:
+        with ThreadPoolExecutor(max_workers=max(1, min(fit_parallelism(spark, parallelism), len(cfg.estimators) * k))) as pool:
             futures = {(name, fold): pool.submit(run_cell, name, fold)
                        for name in cfg.estimators for fold in range(1, k + 1)}
             outcomes = {cell: f.result() for cell, f in futures.items()}

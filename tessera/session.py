@@ -65,3 +65,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def default_shuffle_partitions() -> int:
     return int(os.environ.get("TESSERA_SHUFFLE_PARTITIONS", "8"))
+
+
+def _memory_mb(text: str) -> int:
+    text = text.strip().lower()
+    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
+    if text and text[-1] in "kmgt":
+        return int(float(text[:-1]) * units[text[-1]])
+    if text.endswith("b") and text[-2:-1] in "kmgt":
+        return _memory_mb(text[:-1])
+    return int(text)  # Spark reads a unit-less size as MiB
+
+
+def fit_parallelism(spark, requested: int | None = None, per_fit_mb: int = 768) -> int:
+    """Concurrent model fits the driver can hold: tree learners keep up to
+    256 MB of split statistics per fit on the driver, so the pool size
+    follows ``spark.driver.memory`` (default 1g -> 1) and never exceeds 4."""
+    memory = _memory_mb(spark.conf.get("spark.driver.memory", "1g"))
+    allowed = max(1, min(4, memory // per_fit_mb))
+    return allowed if requested is None else max(1, min(requested, allowed))
