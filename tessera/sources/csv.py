@@ -8,8 +8,7 @@ a final unterminated quote.  The audits below make those cases errors:
 * structure: rows are parsed against an all-string schema plus a
   corrupt-record column; short, long, malformed and NUL-bearing rows are
   counted by one aggregation (S5);
-* encoding: UTF-8 files are read as binary and checked with
-  ``is_valid_utf8`` per file (S6);
+* encoding: raw line bytes are checked with ``is_valid_utf8`` (S6);
 * types: inferred, except that date/timestamp inference is undone by
   re-reading those columns as text (S7).
 """
@@ -59,12 +58,32 @@ def total_bytes(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(hpath).getLength())
 
 
+def file_headers(spark: SparkSession, path: str, options: CsvOptions) -> DataFrame:
+    """First line of every input file: ``(file_path, header_line)``.
+
+    Only the split that starts at byte 0 of a file holds its header; within
+    that split the row with the smallest monotonically increasing id is the
+    first line.  One small row per file, computed on executors.
+    """
+    lines = spark.read.option("encoding", options.spark_encoding).text(path).select(
+        "value", F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_pos"),
+    )
+    return (lines.filter(F.col("_start") == 0).groupBy("file_path")
+            .agg(F.min_by("value", "_pos").alias("header_line")))
+
+
 def read_header(spark: SparkSession, path: str, options: CsvOptions) -> list[str]:
-    """Header names from the first line; blank, duplicate or NUL names are errors."""
-    first = spark.read.option("encoding", options.spark_encoding).text(path).limit(1).collect()
-    if not first:
+    """Header names; blank, duplicate or NUL names, or files whose
+    headers differ, are errors."""
+    headers = file_headers(spark, path, options).collect()
+    if not headers:
         raise CsvFormatError("CSV file is empty.")
-    line = first[0][0].lstrip("﻿")
+    distinct = {r["header_line"].lstrip("\ufeff") for r in headers}
+    if len(distinct) > 1:
+        raise CsvFormatError(f"Input files have {len(distinct)} different header lines.")
+    line = distinct.pop()
     names = next(csv.reader(io.StringIO(line), delimiter=options.delimiter), [])
     problems = []
     blank = [i + 1 for i, n in enumerate(names) if not n.strip()]
@@ -117,10 +136,14 @@ def structure_audit(spark: SparkSession, path: str, header: list[str], options:
 
 
 def encoding_audit(spark: SparkSession, path: str) -> DataFrame:
-    """Files whose bytes are not valid UTF-8 (one row per bad file)."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.is_valid_utf8(F.col("content").cast("string")).alias("valid")).filter(
-        ~F.col("valid"))
+    """Files that are not valid UTF-8 (one row per bad file).
+
+    The text reader keeps each line's raw bytes, so ``is_valid_utf8`` per
+    line is exact; files are split and checked in parallel like any scan
+    (a newline byte never occurs inside a multi-byte UTF-8 sequence).
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    return lines.filter(~F.is_valid_utf8(F.col("value"))).select("path").distinct()
 
 
 def _typed(spark: SparkSession, path: str, options: CsvOptions, header: list[str]) -> DataFrame:

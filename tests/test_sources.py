@@ -59,3 +59,24 @@ def test_structure_audit_counts(spark, scratch):
     header = read_header(spark, path, CsvOptions())
     reasons = {r["reason"]: r["rows"] for r in structure_audit(spark, path, header, CsvOptions()).collect()}
     assert reasons == {"too few fields": 1, "too many fields": 1}
+
+
+def test_folder_of_files_headers_checked_per_file(spark, scratch):
+    folder = os.path.join(scratch, "parts")
+    os.makedirs(folder)
+    write(folder, "a.csv", b"x,target\n1,a\n2,b\n")
+    write(folder, "b.csv", b"x,target\n3,a\n")
+    df, _ = load_csv(spark, folder, target="target")
+    assert df.count() == 3
+    write(folder, "c.csv", b"y,target\n4,b\n")
+    with pytest.raises(CsvFormatError, match="different header"):
+        load_csv(spark, folder, target="target")
+
+
+def test_encoding_audit_is_line_exact(spark, scratch):
+    from tessera.sources.csv import encoding_audit
+
+    path = write(scratch, "bad.csv", b"a,b\n\xff\xfe,1\n")
+    assert encoding_audit(spark, path).count() == 1
+    ok = write(scratch, "fine.csv", "a,b\nZürich,\ufffd\n".encode())
+    assert encoding_audit(spark, ok).count() == 0
