@@ -173,8 +173,15 @@ def load_csv(
     key: list[str] | None = None,
     options: CsvOptions | None = None,
     strict: bool = True,
+    schema: T.StructType | str | None = None,
 ) -> tuple[DataFrame, TableSpec]:
-    """S1 (S2 with ``target=None``): audited, typed load + table spec."""
+    """S1 (S2 with ``target=None``): audited, typed load + table spec.
+
+    Types are inferred from the whole input by default (an extra pass, as
+    the reference infers from the whole file); pass ``schema`` to skip it.
+    Inference from a sample is not offered: a value outside the sample's
+    type would silently become NULL.
+    """
     opts = options or CsvOptions()
     if opts.max_file_size_bytes is not None:
         size = total_bytes(spark, path)
@@ -190,7 +197,13 @@ def load_csv(
         if problems:
             text = "; ".join(f"{r['reason']}: {r['rows']} rows" for r in sorted(problems, key=lambda r: r["reason"]))
             raise CsvFormatError(f"Invalid CSV rows: {text}.")
-    df = _typed(spark, path, opts, header)
+    if schema is not None:
+        df = (spark.read.schema(schema).option("header", True).option("sep", opts.delimiter)
+              .option("encoding", opts.spark_encoding).option("mode", "FAILFAST")
+              .option("positiveInf", "inf").option("negativeInf", "-inf").option("nanValue", "NaN")
+              .csv(path))
+    else:
+        df = _typed(spark, path, opts, header)
     if list(df.columns) != header:  # S8
         raise CsvFormatError("Parsed columns do not match the validated header.")
     if df.isEmpty():

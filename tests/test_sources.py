@@ -80,3 +80,9 @@ def test_encoding_audit_is_line_exact(spark, scratch):
     assert encoding_audit(spark, path).count() == 1
     ok = write(scratch, "fine.csv", "a,b\nZürich,\ufffd\n".encode())
     assert encoding_audit(spark, ok).count() == 0
+
+
+def test_explicit_schema_skips_inference(spark, scratch):
+    path = write(scratch, "typed.csv", b"x,target\n1.5,a\n2.5,b\n")
+    df, _ = load_csv(spark, path, target="target", schema="x double, target string")
+    assert dict(df.dtypes) == {"x": "double", "target": "string"} and df.count() == 2
