@@ -164,6 +164,7 @@ def split_dataset(
         raise SplitError("At least two rows are required for a train/validation split.")
     if check:
         checks.raise_for_target(report, task, df.schema[target].dataType, target)
+        checks.raise_for_duplicate_keys(df, key)
     validation_rows = math.ceil(rows * float(cfg.validation_fraction))
     if validation_rows < 1 or rows - validation_rows < 1:
         raise SplitError("The requested validation fraction must leave at least one row in each partition.")
@@ -227,6 +228,7 @@ def assign_folds(
             if rows < cfg.fold_count:
                 raise SplitError("Cross-validation requires at least as many rows as folds.")
             checks.raise_for_target(report, Task.CLASSIFICATION, df.schema[target].dataType, target)
+            checks.raise_for_duplicate_keys(df, key)
             smallest = int(report["min_class_count"])
             if smallest < cfg.fold_count:
                 raise SplitError(

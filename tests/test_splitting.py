@@ -87,3 +87,11 @@ def test_unchecked_split_keeps_rows_with_missing_target(spark):
     assert s.frame.count() == 40
     folded = T.assign_folds(df, target="target", key=["value"], check=False, rows=40, classes=3)
     assert folded.count() == 40 and folded.filter("target IS NULL").count() == 8
+
+
+def test_duplicate_keys_rejected(spark):
+    df = spark.createDataFrame([(i % 10, "ab"[i % 2]) for i in range(20)], "value int, target string")
+    with pytest.raises(SplitError, match="not unique"):
+        T.split_dataset(df, target="target", key=["value"], task=Task.CLASSIFICATION)
+    with pytest.raises(SplitError, match="not unique"):
+        T.assign_folds(df, target="target", key=["value"], config=FoldConfig(2, 1))
