@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..config import FoldConfig, SplitConfig, SplitError, Task
 from ..functions.columns import cleaned, row_key, seeded_hash
 from ..functions.digest import digest_aggs, digest_from_state
-from ..functions.frames import attach_scalars, join_null_safe
+from ..functions.frames import ROW_KEY, attach_scalars, join_null_safe
 from . import checks
 
 HASH = "_h"
@@ -152,7 +152,7 @@ def split_dataset(
         raise SplitError("Task must be a Task value.")
     if target not in df.columns:
         raise SplitError(f"Target column {target!r} is not present.")
-    features = [c for c in df.columns if c != target]
+    features = [c for c in df.columns if c not in (target, ROW_KEY)]
     if not features:
         raise SplitError("Supervised splitting requires at least one feature column.")
     if task is Task.REGRESSION and cfg.stratify is True:
@@ -223,7 +223,7 @@ def assign_folds(
         report = checks.target_report(df, target).first()
         rows, classes = int(report["rows"]), int(report["classes"])
         if check:
-            if len([c for c in df.columns if c != target]) == 0:
+            if len([c for c in df.columns if c not in (target, ROW_KEY)]) == 0:
                 raise SplitError("Cross-validation requires at least one feature column.")
             if rows < cfg.fold_count:
                 raise SplitError("Cross-validation requires at least as many rows as folds.")

@@ -18,7 +18,7 @@ from ..operators import ranking as RK
 from ..operators import split as T
 from ..session import fit_parallelism
 from .registry import SCHEMA_VERSION, Registry, new_id, now
-from .train import TrainingConfig, TrainingResult, train
+from .train import TrainingConfig, TrainingResult, keyed_table, train
 
 
 @dataclass
@@ -50,13 +50,14 @@ class BenchmarkResult:
         return None
 
 
-def benchmark(df: DataFrame, config: BenchmarkConfig, *, target: str, key: list[str],
+def benchmark(df: DataFrame, config: BenchmarkConfig, *, target: str, key: list[str] | None = None,
               registry: Registry | None = None, source: str = "", parallelism: int | None = None) -> BenchmarkResult:
     """B1: profile and split once (cached), fit every estimator on it."""
     spark = df.sparkSession
     benchmark_id, started = new_id(), now()
     fingerprint = table_fingerprint(df)
     profile = P.profile_dataset(df, target)
+    df, key, _ = keyed_table(df, target, key)
     split = T.split_dataset(df, target=target, key=key, task=Task.CLASSIFICATION, config=config.split)
     split.frame = split.frame.persist(StorageLevel.MEMORY_AND_DISK)
     runs, models, durations = [], {}, {}

@@ -36,7 +36,7 @@ from ..operators import ranking as RK
 from ..operators import split as T
 from ..session import fit_parallelism
 from .registry import SCHEMA_VERSION, Registry, new_id, now
-from .train import expected_failure
+from .train import expected_failure, keyed_table
 
 
 @dataclass
@@ -81,24 +81,25 @@ def _fold_cell(folded: DataFrame, fold: int, name: str, target: str, key: list[s
         F.col(target).alias("actual"), F.col("prediction").alias("predicted"))
 
 
-def cross_validate(df: DataFrame, cfg: CrossValidationConfig, *, target: str, key: list[str],
+def cross_validate(df: DataFrame, cfg: CrossValidationConfig, *, target: str, key: list[str] | None = None,
                    registry: Registry | None = None, source: str = "",
                    parallelism: int | None = None) -> CrossValidationResult:
     """Every estimator x fold; a failing fold stops that estimator."""
     spark = df.sparkSession
     benchmark_id, started = new_id(), now()
     k = cfg.folds.fold_count
+    base = df
+    df, key, features = keyed_table(df, target, key)
     folded = T.assign_folds(df, target=target, key=key, config=cfg.folds).persist(StorageLevel.MEMORY_AND_DISK)
     attempts: list = []
     try:
         snapshots = T.fold_snapshots(folded, key, k)
         snaps = [r.asDict() for r in snapshots.orderBy("fold_number").collect()]
         plan_digest = T.fold_plan_digest(snapshots).first()["fold_plan_sha256"]
-        profile = P.profile_dataset(df, target)
-        fingerprint = table_fingerprint(df)
+        profile = P.profile_dataset(base, target)
+        fingerprint = table_fingerprint(base)
         # Roles, checks and preprocessing statistics of every fold, computed
         # once and shared by all estimators.
-        features = [c for c in df.columns if c != target]
         schema = FE.infer_feature_schema(df, features, cfg.overrides)
         violations = FE.fold_input_violations(folded, schema, cfg.preprocessing, k)
         fold_stats = FE.fit_fold_feature_stats(folded, schema, cfg.preprocessing, k)
@@ -180,7 +181,7 @@ def cross_validate(df: DataFrame, cfg: CrossValidationConfig, *, target: str, ke
         "started_at": started, "completed_at": now(), "primary_metric": cfg.primary_metric,
         "random_seed": cfg.folds.random_seed,
         "dataset": {"source": source, "fingerprint": fingerprint, "row_count": profile.rows,
-                    "column_count": len(df.columns), "target": target},
+                    "column_count": len(base.columns), "target": target},
         "fold_plan_sha256": plan_digest, "folds": snaps, "warnings": profile.warnings, "entries": entries,
     }
     if registry is not None:

@@ -14,7 +14,7 @@ from ..operators import features as FE
 from ..operators import profile as P
 from . import artifacts as A
 from .registry import SCHEMA_VERSION, Registry, new_id, now, record_sha256
-from .train import expected_failure
+from .train import expected_failure, keyed_table
 
 
 @dataclass
@@ -41,7 +41,7 @@ def fit_selected_model(
     selection: dict,
     *,
     target: str,
-    key: list[str],
+    key: list[str] | None = None,
     registry: Registry | None = None,
     preprocessing: PreprocessingConfig | None = None,
     save_model: bool = True,
@@ -74,11 +74,11 @@ def fit_selected_model(
     }
     try:
         profile = P.profile_dataset(df, target)
-        features = [c for c in df.columns if c != target]
+        keyed, key, features = keyed_table(df, target, key)
         schema = FE.infer_feature_schema(df, features)
         FE.validate_preprocessing_inputs(df, schema, cfg, part_col=None)  # F12 checks
         stats = FE.fit_feature_stats(df, schema, cfg)
-        fitted = E.fit_estimator(df, stats, target=target, estimator=winner["estimator"],
+        fitted = E.fit_estimator(keyed, stats, target=target, estimator=winner["estimator"],
                                  task=Task.CLASSIFICATION, seed=seed, key=key)
     except Exception as error:  # G6
         if not expected_failure(error):

@@ -20,6 +20,7 @@ from ..config import (
 )
 from ..functions.columns import compact_message
 from ..functions.digest import table_fingerprint
+from ..functions.frames import ROW_KEY, with_row_key
 from ..operators import estimators as E
 from ..operators import features as FE
 from ..operators import metrics as M
@@ -88,6 +89,14 @@ def expected_failure(error: BaseException) -> bool:
                               PySparkException, Py4JJavaError))
 
 
+def keyed_table(df: DataFrame, target: str, key: list[str] | None):
+    """(table, key, features): without a declared key a content-derived
+    ``__row_key`` is added; it is never a feature."""
+    if key:
+        return df, list(key), [c for c in df.columns if c != target and c != ROW_KEY]
+    return with_row_key(df), [ROW_KEY], [c for c in df.columns if c != target and c != ROW_KEY]
+
+
 def merge_warnings(*groups) -> list[str]:
     """De-duplicated, order kept."""
     return list(dict.fromkeys(w for g in groups for w in g if str(w).strip()))
@@ -98,7 +107,7 @@ def train(
     cfg: TrainingConfig,
     *,
     target: str,
-    key: list[str],
+    key: list[str] | None = None,
     registry: Registry | None = None,
     source: str = "",
     fingerprint: str | None = None,
@@ -112,13 +121,15 @@ def train(
     """
     E.check_estimator(cfg.estimator, cfg.task)
     run_id, started = new_id(), now()
-    fp = fingerprint or table_fingerprint(df)
+    df, key, features = keyed_table(df, target, key)
+    base = df.drop(ROW_KEY) if ROW_KEY in df.columns else df  # the data without the synthetic key
+    fp = fingerprint or table_fingerprint(base)
     parameters: list[tuple[str, str]] = []
     split_rec = None
     prof_warnings: list[str] = []
     owned: list[DataFrame] = []
     try:
-        prof = profile or P.profile_dataset(df, target)
+        prof = profile or P.profile_dataset(base, target)
         prof_warnings = prof.warnings
         if split is None:
             sp = T.split_dataset(df, target=target, key=key, task=cfg.task, config=cfg.split)
@@ -128,7 +139,6 @@ def train(
         else:
             sp = split
         split_rec = split_record(sp, sp.partition_sha256())
-        features = [c for c in df.columns if c != target]
         schema = FE.infer_feature_schema(sp.frame, features, cfg.overrides)
         FE.validate_preprocessing_inputs(sp.frame, schema, cfg.preprocessing)
         stats = FE.fit_feature_stats(sp.frame, schema, cfg.preprocessing, where=F.col("part") == "train")
@@ -145,7 +155,7 @@ def train(
             "schema_version": SCHEMA_VERSION, "run_id": run_id, "status": "failed",
             "started_at": started, "completed_at": now(),
             "configuration": configuration_record(cfg, parameters),
-            "dataset": dataset_record(df, target, source, fp, split_rec["train_rows"] + split_rec["validation_rows"]
+            "dataset": dataset_record(base, target, source, fp, split_rec["train_rows"] + split_rec["validation_rows"]
                                       if split_rec else 0),
             "environment": environment(), "split": split_rec, "metrics": None,
             "warnings": merge_warnings(prof_warnings),
@@ -160,7 +170,7 @@ def train(
         "schema_version": SCHEMA_VERSION, "run_id": run_id, "status": "succeeded",
         "started_at": started, "completed_at": now(),
         "configuration": configuration_record(cfg, parameters),
-        "dataset": dataset_record(df, target, source, fp, sp.rows),
+        "dataset": dataset_record(base, target, source, fp, sp.rows),
         "environment": environment(), "split": split_rec, "metrics": metrics,
         "warnings": merge_warnings(prof_warnings), "failure": None,
     }

@@ -97,3 +97,25 @@ def test_cv_is_reproducible_and_parameters_recorded(spark):
     tampered = dict(a, entries=[dict(e, parameters=[{"name": "C", "value": "9"}]) for e in a["entries"]])
     with pytest.raises(Exception, match="parameters changed"):
         G.fit_selected_model(df, tampered, target="target", key=["value"])
+
+
+def test_keyless_table_gets_content_key(spark):
+    from tessera.functions.frames import ROW_KEY, with_row_key
+
+    rows = [(i % 4, "ab"[i % 2]) for i in range(40)]  # many identical rows
+    df = spark.createDataFrame(rows, "x int, target string").repartition(3)
+    keyed = with_row_key(df)
+    assert keyed.select(ROW_KEY).distinct().count() == 40
+    assert sorted(map(tuple, keyed.drop(ROW_KEY).collect())) == sorted(rows)
+    res = train(df, TrainingConfig(Task.CLASSIFICATION, E.LOGISTIC_REGRESSION), target="target")
+    assert res.record["status"] == "succeeded" and res.record["split"]["validation_rows"] == 8
+    assert res.record["split"]["feature_count"] == 1
+    assert res.stats.schema.all_features == ("x",)
+
+
+def test_keyless_cross_validation(spark):
+    df = spark.createDataFrame([(i % 6, "abc"[i % 3]) for i in range(45)], "x int, target string")
+    cfg = CV.CrossValidationConfig(estimators=(E.DUMMY_CLASSIFIER, E.LOGISTIC_REGRESSION), folds=FoldConfig(3, 2))
+    rec = CV.cross_validate(df, cfg, target="target").record
+    assert sum(f["validation_rows"] for f in rec["folds"]) == 45
+    assert rec["dataset"]["column_count"] == 2 and rec["status"] == "succeeded"
