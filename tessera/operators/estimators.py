@@ -183,6 +183,19 @@ def fit_estimator(
                        _params(est) + [("fit_partitions", str(partitions))])
 
 
+def build_model_pipeline(stats: FeatureStats, estimator) -> Pipeline:
+    """an unfitted pipeline of the learned preprocessing and a copy of
+    any ``pyspark.ml`` estimator reading the ``features`` column."""
+    from pyspark.ml import Estimator
+
+    if not isinstance(estimator, Estimator):
+        raise ConfigurationError("Estimator must be a pyspark.ml Estimator.")
+    est = estimator.copy()
+    if est.hasParam("featuresCol"):
+        est = est.copy({est.getParam("featuresCol"): FEATURES_COL})
+    return Pipeline(stages=preprocessing_stages(stats) + [est])
+
+
 def predict(model: FittedModel | PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
     """Score ``df``; returns ``keep`` columns + ``prediction``."""
     pm = model.model if isinstance(model, FittedModel) else model

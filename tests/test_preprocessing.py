@@ -113,3 +113,21 @@ def test_fold_violations_name_the_failing_side(spark):
     msgs = FE.fold_input_violations(folded, FE.infer_feature_schema(df, ["v"]), PreprocessingConfig(), 3)
     assert msgs[bad_fold].startswith("Validation")
     assert all(msgs[k].startswith("Training") for k in (1, 2, 3) if k != bad_fold)
+
+
+def test_custom_estimator_pipeline_and_table_validation(spark):
+    from pyspark.ml.regression import GBTRegressor
+
+    from tessera.config import DatasetError, TableSpec
+    from tessera.operators import checks
+    from tessera.operators import estimators as E
+
+    df = spark.createDataFrame([(i, float(i % 7), "ab"[i % 2], 2.0 * i) for i in range(30)],
+                               "k int, x double, c string, y double")
+    stats = FE.fit_feature_stats(df, FE.infer_feature_schema(df, ["x", "c"]))
+    model = E.build_model_pipeline(stats, GBTRegressor(labelCol="y", maxIter=3)).fit(df)
+    assert model.transform(df).select("prediction").count() == 30
+    spec = TableSpec(target="y", key=("k",), fields=tuple(df.columns))
+    checks.validate_table(df, spec)
+    with pytest.raises(DatasetError):
+        checks.validate_table(df.drop("c"), spec)
