@@ -759,24 +759,6 @@ maj AS (SELECT fold_number, c FROM (SELECT *, row_number() OVER (PARTITION BY fo
 SELECT CAST(f.fold AS INTEGER) AS fold, f.o_orderpriority AS actual, maj.c AS predicted FROM f JOIN maj ON f.fold = maj.fold_number"""
 
 
-def dummy_fold_predictions(folded: DataFrame, target: str, fold_count: int) -> DataFrame:
-    """C3 for E1: every fold's majority class from one class-count table.
-
-    Train counts of fold k = class total - class count in fold k; the k
-    majorities (ties to the smallest label) join back as a k-row broadcast.
-    """
-    from pyspark.sql import Window
-
-    cc = folded.groupBy("fold", target).agg(F.count(F.lit(1)).alias("_n"))
-    tot = cc.groupBy(target).agg(F.sum("_n").alias("_t"))
-    ks = tot.select(target, "_t", F.explode(F.sequence(F.lit(1), F.lit(fold_count))).alias("fold"))
-    train = ks.join(cc, ["fold", target], "left").withColumn("_tn", F.col("_t") - F.coalesce(F.col("_n"), F.lit(0)))
-    rank = Window.partitionBy("fold").orderBy(F.col("_tn").desc(), F.col(target).asc())
-    maj = train.withColumn("_r", F.row_number().over(rank)).filter("_r = 1").select(
-        "fold", F.col(target).alias("predicted"))
-    return folded.select("fold", F.col(target).alias("actual")).join(F.broadcast(maj), "fold")
-
-
 def _priority_folds(spark, sf_dir):
     return T.assign_folds(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority"),
                           target="o_orderpriority", key=["o_orderkey"], config=FoldConfig())
@@ -785,7 +767,7 @@ def _priority_folds(spark, sf_dir):
 @register("dummy_cv_metrics", sql_classification_metrics(_DUMMY_CV_PRED, ["fold"]))
 def dummy_cv_metrics(spark, sf_dir):
     """Per-fold metrics of the dummy classifier, all folds in one query."""
-    return M.classification_metrics(dummy_fold_predictions(_priority_folds(spark, sf_dir), "o_orderpriority", 5),
+    return M.classification_metrics(E.dummy_fold_predictions(_priority_folds(spark, sf_dir), "o_orderpriority", 5),
                                     ["fold"])
 
 
@@ -799,7 +781,7 @@ def dummy_cv_summary(spark, sf_dir):
     from .operators import ranking as RK
 
     per_fold = M.classification_metrics(
-        dummy_fold_predictions(_priority_folds(spark, sf_dir), "o_orderpriority", 5), ["fold"])
+        E.dummy_fold_predictions(_priority_folds(spark, sf_dir), "o_orderpriority", 5), ["fold"])
     return RK.fold_summaries(per_fold.withColumn("estimator", F.lit(E.DUMMY_CLASSIFIER))).select(
         "metric", "mean", "standard_deviation", "fold_count")
 
@@ -962,15 +944,9 @@ def identity_mismatch(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     altered = o.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 1000 == 1, F.col("o_totalprice") + 1)
                            .otherwise(F.col("o_totalprice")))
-    a = multiset_digest(o, value_token(o)).select(F.col("digest").alias("a_fp"),
-                                                  F.col("row_count").cast("string").alias("a_rows"))
-    b = multiset_digest(altered, value_token(altered)).select(
-        F.col("digest").alias("b_fp"), F.col("row_count").cast("string").alias("b_rows"))
-    both = attach_scalars(a, b)
-    return both.select(F.inline(F.array(
-        F.struct(F.lit("fingerprint").alias("field"), (F.col("a_fp") != F.col("b_fp")).alias("_d")),
-        F.struct(F.lit("row_count").alias("field"), (F.col("a_rows") != F.col("b_rows")).alias("_d")),
-    ))).filter("_d").select("field")
+    expected = G.dataset_identity(o, "o_orderstatus")
+    fields = G.mismatched_fields(altered, "o_orderstatus", expected)
+    return spark.createDataFrame([(f,) for f in fields], "field string")
 
 
 @register(

@@ -14,7 +14,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ConfigurationError, Task, TrainingError
@@ -183,6 +183,24 @@ def fit_estimator(
                        _params(est) + [("fit_partitions", str(partitions))])
 
 
+def dummy_fold_predictions(folded: DataFrame, target: str, fold_count: int) -> DataFrame:
+    """E1 + C3: prior-dummy predictions for every fold in one query.
+
+    Every fold's majority class comes from one class-count table.
+
+    Train counts of fold k = class total - class count in fold k; the k
+    majorities (ties to the smallest label) join back as a k-row broadcast.
+    """
+    cc = folded.groupBy("fold", target).agg(F.count(F.lit(1)).alias("_n"))
+    tot = cc.groupBy(target).agg(F.sum("_n").alias("_t"))
+    ks = tot.select(target, "_t", F.explode(F.sequence(F.lit(1), F.lit(fold_count))).alias("fold"))
+    train = ks.join(cc, ["fold", target], "left").withColumn("_tn", F.col("_t") - F.coalesce(F.col("_n"), F.lit(0)))
+    rank = Window.partitionBy("fold").orderBy(F.col("_tn").desc(), F.col(target).asc())
+    maj = train.withColumn("_r", F.row_number().over(rank)).filter("_r = 1").select(
+        "fold", F.col(target).alias("predicted"))
+    return folded.select("fold", F.col(target).alias("actual")).join(F.broadcast(maj), "fold")
+
+
 def build_model_pipeline(stats: FeatureStats, estimator) -> Pipeline:
     """an unfitted pipeline of the learned preprocessing and a copy of
     any ``pyspark.ml`` estimator reading the ``features`` column."""

@@ -24,14 +24,25 @@ class FinalModelResult:
     stats: FE.FeatureStats
 
 
-def identity_mismatches(df: DataFrame, target: str, expected: dict) -> list[str]:
-    """Fields of the current table that differ from the selection's dataset."""
-    current = {
+def dataset_identity(df: DataFrame, target: str) -> dict:
+    """The identity fields a selection records about its dataset."""
+    return {
         "fingerprint": table_fingerprint(df),
         "row_count": df.count(),
         "column_count": len(df.columns),
         "target": target,
     }
+
+
+def mismatched_fields(df: DataFrame, target: str, expected: dict) -> list[str]:
+    """Names of the identity fields that differ from ``expected``."""
+    current = dataset_identity(df, target)
+    return [k for k, v in current.items() if expected.get(k) != v]
+
+
+def identity_mismatches(df: DataFrame, target: str, expected: dict) -> list[str]:
+    """G2 as messages: ``field: expected ..., found ...``."""
+    current = dataset_identity(df, target)
     return [f"{k}: expected {expected.get(k)!r}, found {v!r}" for k, v in current.items()
             if expected.get(k) != v]
 
