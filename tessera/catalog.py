@@ -824,7 +824,6 @@ def metrics_regression(spark, sf_dir):
 # ------------------------------------ model runs (rows-only: iterative fits)
 
 from .functions.digest import multiset_digest, value_token  # noqa: E402
-from .functions.frames import attach_scalars  # noqa: E402
 from .plans import benchmark as B  # noqa: E402
 from .plans import crossval as CV  # noqa: E402
 from .plans import final as G  # noqa: E402

@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..config import BenchmarkError, BenchmarkFailedError, ConfigurationError, SplitConfig, Task, TrainingFailedError
 from ..functions.digest import table_fingerprint
