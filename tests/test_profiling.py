@@ -60,3 +60,15 @@ def test_profile_json_is_deterministic(spark):
     text = P.profile_dataset(df, "target").to_json()
     assert json.loads(text)["columns"][1]["infinite_count"] == 1
     assert text == P.profile_dataset(df, "target").to_json()
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 1000, 1001])
+def test_bucketed_median_exact_with_heavy_ties(spark, n):
+    from pyspark.sql import functions as F
+
+    # A third of the rows share one value; the rest spread around it.
+    rows = [("g", 5.0)] * (n // 3 + 1) + [("g", float(i % 11)) for i in range(n)] + [("h", float(i)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    bucketed = {r["g"]: r["median"] for r in exact_medians(df, ["g"], "v", in_memory_limit=0, buckets=8).collect()}
+    exact = {r["g"]: float(r["m"]) for r in df.groupBy("g").agg(F.median("v").alias("m")).collect()}
+    assert bucketed == pytest.approx(exact)
