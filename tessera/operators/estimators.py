@@ -129,10 +129,17 @@ def fit_estimator(
         return FittedModel(model, estimator, [("strategy", "prior"), ("random_state", str(seed))],
                            [str(label)])
     rows = stats.training_rows or train.count()
-    partitions = fit_partitions(rows)
-    laid_out = deterministic_layout(train, key, partitions)
+    forest = estimator in (RANDOM_FOREST_CLASSIFIER, RANDOM_FOREST_REGRESSOR)
+    # Forests depend on the row layout, so they get a fixed one (a shuffle);
+    # the linear models depend on it only through summation order.
+    partitions = fit_partitions(rows) if forest else None
+    laid_out = deterministic_layout(train, key, partitions) if forest else train
+    layout = [("fit_partitions", str(partitions))] if forest else []
+    pre_model = Pipeline(stages=pre).fit(train.limit(1))  # literals + one-hot sizes only
     if task is Task.CLASSIFICATION:
-        indexer = StringIndexer(inputCol=target, outputCol="_label_idx", stringOrderType="alphabetAsc")
+        # Labels do not depend on row order: index them from the rows as they are.
+        label_model = StringIndexer(inputCol=target, outputCol="_label_idx",
+                                    stringOrderType="alphabetAsc").fit(train.select(target))
         if estimator == LOGISTIC_REGRESSION:
             est = LogisticRegression(
                 featuresCol=FEATURES_COL, labelCol="_label_idx", predictionCol="_prediction_idx",
@@ -145,20 +152,17 @@ def fit_estimator(
                 numTrees=FOREST_TREES, featureSubsetStrategy="sqrt", maxDepth=FOREST_MAX_DEPTH,
                 seed=seed,
             )
-        pre_model = Pipeline(stages=pre + [indexer]).fit(laid_out)
-        prepared = pre_model.transform(laid_out).persist(StorageLevel.MEMORY_AND_DISK)
+        prepared = label_model.transform(pre_model.transform(laid_out)).persist(StorageLevel.MEMORY_AND_DISK)
         try:  # iterative fits pass over the prepared rows many times
             fitted = est.fit(prepared)
         finally:
             prepared.unpersist()
-        labels = list(pre_model.stages[-1].labels)
+        labels = list(label_model.labels)
         back = IndexToString(inputCol="_prediction_idx", outputCol="_pred_label", labels=labels)
         final = SQLTransformer(statement=(
             f"SELECT *, CAST(_pred_label AS {target_type}) AS prediction FROM __THIS__"))
-        stages = list(pre_model.stages[:-1]) + [fitted, back, final]
-        return FittedModel(PipelineModel(stages), estimator,
-                           _params(est) + [("fit_partitions", str(partitions))], labels)
-    pre_model = Pipeline(stages=pre).fit(laid_out.limit(1))
+        stages = list(pre_model.stages) + [fitted, back, final]
+        return FittedModel(PipelineModel(stages), estimator, _params(est) + layout, labels)
     prepared = pre_model.transform(laid_out).withColumn("_y", F.col(target).cast("double")).persist(
         StorageLevel.MEMORY_AND_DISK)
     try:
@@ -179,8 +183,7 @@ def fit_estimator(
         fitted = est.fit(prepared)
     finally:
         prepared.unpersist()
-    return FittedModel(PipelineModel(list(pre_model.stages) + [fitted]), estimator,
-                       _params(est) + [("fit_partitions", str(partitions))])
+    return FittedModel(PipelineModel(list(pre_model.stages) + [fitted]), estimator, _params(est) + layout)
 
 
 def dummy_fold_predictions(folded: DataFrame, target: str, fold_count: int) -> DataFrame:
