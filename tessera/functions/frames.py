@@ -48,6 +48,10 @@ def with_row_key(df: DataFrame, name: str = ROW_KEY) -> DataFrame:
     input partitions (a prefix sum over a ``(content, partition)`` count
     table) plus the position inside the partition.  A row repeated across a
     third of the table is therefore numbered by many tasks, not one.
+
+    The ordinal reads input partition ids, so ``df`` should have a
+    deterministic partitioning (a file scan, or a persisted/checkpointed
+    frame); the content part of the key never depends on it.
     """
     from pyspark.sql import Window
 

@@ -292,33 +292,43 @@ class DatasetProfile:
             sort_keys=True, allow_nan=False, indent=indent)
 
 
+# The advisory message formats, in the order they are emitted.
+WARNING_FORMATS = (
+    ("missing_cells", "Dataset contains {n} missing cells."),
+    ("duplicate_rows", "Dataset contains {n} duplicate rows."),
+    ("is_constant", "Constant columns: {names}."),
+    ("is_high_cardinality", "High-cardinality columns: {names}."),
+    ("is_likely_identifier", "Likely identifier columns: {names}."),
+    ("infinite_count", "Columns containing infinite values: {names}."),
+    ("target_missing", "Target column {target!r} contains missing values."),
+    ("imbalance_warning", "Target column {target!r} appears imbalanced."),
+    ("undetermined", "Task type could not be inferred from target column {target!r}."),
+)
+
+
 def profile_warnings(
     columns: list[dict], target: dict, missing_cell_count: int, duplicate_rows: int
 ) -> list[str]:
-    """The nine ordered advisory messages."""
-    out: list[str] = []
-    if missing_cell_count:
-        out.append(f"Dataset contains {missing_cell_count} missing cells.")
-    if duplicate_rows:
-        out.append(f"Dataset contains {duplicate_rows} duplicate rows.")
-    for flag, label in (
-        ("is_constant", "Constant columns"),
-        ("is_high_cardinality", "High-cardinality columns"),
-        ("is_likely_identifier", "Likely identifier columns"),
-    ):
-        names = [c["column_name"] for c in columns if c[flag]]
-        if names:
-            out.append(f"{label}: {', '.join(names)}.")
-    inf_cols = [c["column_name"] for c in columns if c["infinite_count"]]
-    if inf_cols:
-        out.append(f"Columns containing infinite values: {', '.join(inf_cols)}.")
+    """The nine advisory messages that apply, in their fixed order."""
     name = target["target"]
-    if target["missing_count"]:
-        out.append(f"Target column {name!r} contains missing values.")
-    if target["imbalance_warning"]:
-        out.append(f"Target column {name!r} appears imbalanced.")
-    if target["task_hint"] == "undetermined":
-        out.append(f"Task type could not be inferred from target column {name!r}.")
+    counts = {"missing_cells": missing_cell_count, "duplicate_rows": duplicate_rows}
+    flags = {
+        "target_missing": bool(target["missing_count"]),
+        "imbalance_warning": bool(target["imbalance_warning"]),
+        "undetermined": target["task_hint"] == "undetermined",
+    }
+    out: list[str] = []
+    for kind, template in WARNING_FORMATS:
+        if kind in counts:
+            if counts[kind]:
+                out.append(template.format(n=counts[kind]))
+        elif kind in flags:
+            if flags[kind]:
+                out.append(template.format(target=name))
+        else:
+            names = [c["column_name"] for c in columns if c[kind]]
+            if names:
+                out.append(template.format(names=", ".join(names)))
     return out
 
 
