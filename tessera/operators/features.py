@@ -45,16 +45,16 @@ def infer_feature_schema(
 ) -> FeatureSchema:
     """numeric types -> numeric; boolean/string -> categorical."""
     if not features:
-        raise PreprocessingError("Training features must contain at least one column.")
+        raise PreprocessingError("No feature columns were given.")
     if len(set(features)) != len(features):
-        raise PreprocessingError("Feature column names must be unique.")
+        raise PreprocessingError("Feature names repeat.")
     if any(not str(n).strip() for n in features):
-        raise PreprocessingError("Feature column names must be non-blank strings.")
+        raise PreprocessingError("A feature name is blank.")
     ov = overrides or FeatureOverrides()
     unknown = sorted((set(ov.numeric) | set(ov.categorical)) - set(features))
     if unknown:
         raise PreprocessingError(
-            "Feature overrides reference unknown columns: " + ", ".join(repr(n) for n in unknown) + "."
+            "Role overrides name unknown columns: " + ", ".join(repr(n) for n in unknown) + "."
         )
     fields = {f.name: f.dataType for f in df.schema.fields}
     numeric, categorical, unsupported = [], [], []
@@ -77,7 +77,7 @@ def infer_feature_schema(
             unsupported.append(f"{name!r} ({dtype.simpleString()})")
     if unsupported:
         raise PreprocessingError(
-            "Unsupported feature types require explicit feature engineering first: "
+            "Unsupported feature types (derive numeric or text columns from them first): "
             + ", ".join(unsupported) + "."
         )
     return FeatureSchema(tuple(features), tuple(numeric), tuple(categorical))
@@ -243,9 +243,9 @@ def validate_preprocessing_inputs(
                 first_part = "training" if any(r[part_col] == "train" for r in bad) else "validation"
                 names = [r["column_name"] for r in bad if (r[part_col] == "train") == (first_part == "training")]
                 raise PreprocessingError(
-                    f"{first_part.capitalize()} numeric features contain infinite values: "
+                    f"{first_part.capitalize()} rows hold infinite values in numeric features "
                     + ", ".join(repr(n) for n in dict.fromkeys(names))
-                    + ". Replace them with finite values or missing values before preprocessing."
+                    + "; turn them into finite or missing values first."
                 )
         else:
             viol = checks.nonfinite_by_part(frame.withColumn("_all", F.lit("final-model training")),
@@ -397,11 +397,11 @@ def fold_input_violations(
         message = None
         for side, names in (("Training", train_inf), ("Validation", val_inf)):
             if names and message is None:
-                message = (f"{side} numeric features contain infinite values: "
+                message = (f"{side} rows hold infinite values in numeric features "
                            + ", ".join(repr(n) for n in names)
-                           + ". Replace them with finite values or missing values before preprocessing.")
+                           + "; turn them into finite or missing values first.")
         if message is None and markers:
-            message = (f"Categorical fill value {marker!r} already occurs in split columns: "
-                       + ", ".join(repr(n) for n in markers) + ". Configure a distinct fill value.")
+            message = (f"The reserved fill value {marker!r} is a real value in split columns "
+                       + ", ".join(repr(n) for n in markers) + "; choose another fill value.")
         out[k] = message
     return out

@@ -84,22 +84,22 @@ def compare_runs(runs: DataFrame, metrics: DataFrame, metric: str, *, check: boo
     if check:
         c = fair_contract(runs).first()
         if c["runs"] < 2:
-            raise ComparisonError("At least two runs are required for comparison.")
+            raise ComparisonError("Comparing needs two or more runs.")
         if c["distinct_runs"] != c["runs"]:
-            raise ComparisonError("Run comparison inputs must be unique.")
+            raise ComparisonError("A run appears twice in the comparison.")
         if c["unsuccessful"]:
-            raise ComparisonError("Only successful runs can be compared.")
+            raise ComparisonError("Only successful runs take part in a comparison.")
         if c["contracts"] != 1:
             raise ComparisonError(
-                "Runs must use the same task, dataset fingerprint, target, validation fraction, "
-                "random seed, stratification policy, and exact row partition.")
+                "Runs are not comparable: they need the same task, data fingerprint, target, "
+                "validation fraction, seed, stratification and row partition.")
     chosen = metrics.filter(F.col("metric") == metric).join(runs.select("run_id", "estimator"), "run_id")
     if check:
         d = chosen.agg(F.countDistinct("higher_is_better").alias("d"), F.count(F.lit(1)).alias("n")).first()
         if d["n"] != runs.count():
             raise ComparisonError(f"Metric {metric!r} is not present in every run.")
         if d["d"] != 1:
-            raise ComparisonError("Metric comparison direction is inconsistent across runs.")
+            raise ComparisonError("The metric direction differs between runs.")
     order = Window.orderBy(_directed(), F.col("run_id").asc())
     return chosen.withColumn("rank", F.row_number().over(order)).select(
         "rank", "run_id", "estimator", "value", "higher_is_better")

@@ -149,35 +149,36 @@ def split_dataset(
     cfg = config or SplitConfig()
     key = list(key)
     if not isinstance(task, Task):
-        raise SplitError("Task must be a Task value.")
+        raise SplitError("task must be Task.CLASSIFICATION or Task.REGRESSION.")
     if target not in df.columns:
         raise SplitError(f"Target column {target!r} is not present.")
     features = [c for c in df.columns if c not in (target, ROW_KEY)]
     if not features:
-        raise SplitError("Supervised splitting requires at least one feature column.")
+        raise SplitError("Nothing to learn from: the table has no column besides the target.")
     if task is Task.REGRESSION and cfg.stratify is True:
-        raise SplitError("Target stratification is supported only for classification.")
+        raise SplitError("Stratifying on the target needs a classification task.")
     stratified = task is Task.CLASSIFICATION if cfg.stratify is None else cfg.stratify
     report = checks.target_report(df, target).first()
     rows = int(report["rows"])
     if rows < 2:
-        raise SplitError("At least two rows are required for a train/validation split.")
+        raise SplitError("A holdout needs two or more rows.")
     if check:
         checks.raise_for_target(report, task, df.schema[target].dataType, target)
         checks.raise_for_duplicate_keys(df, key)
     validation_rows = math.ceil(rows * float(cfg.validation_fraction))
     if validation_rows < 1 or rows - validation_rows < 1:
-        raise SplitError("The requested validation fraction must leave at least one row in each partition.")
+        raise SplitError("With this validation fraction one of the two parts would be empty.")
     if stratified:
         classes = int(report["classes"])
         if int(report["min_class_count"]) < 2:
             raise SplitError(
-                "Stratification requires at least two rows in every target class. "
-                "Add data or set stratify=False explicitly."
+                "A stratified holdout needs every class to have two or more rows; "
+                "pass stratify=False to split without classes."
             )
         if validation_rows < classes or rows - validation_rows < classes:
             raise SplitError(
-                "The requested split is too small to place every target class in both partitions."
+                f"{classes} classes cannot all appear in both parts of a {rows}-row holdout "
+                f"with {validation_rows} validation rows."
             )
     hashed = df.withColumn(HASH, seeded_hash(cfg.random_seed, key))
     digits = hex_digits_for(rows)
@@ -199,7 +200,7 @@ def split_dataset(
         # Stratified quotas leave >= 1 train row per class (checked above).
         train_classes = result.train().select(target).distinct().limit(2).count()
         if train_classes < 2:
-            raise SplitError("The training partition contains fewer than two classes.")
+            raise SplitError("Only one class landed in the training part; stratify or use another seed.")
     return result
 
 
@@ -224,17 +225,16 @@ def assign_folds(
         rows, classes = int(report["rows"]), int(report["classes"])
         if check:
             if len([c for c in df.columns if c not in (target, ROW_KEY)]) == 0:
-                raise SplitError("Cross-validation requires at least one feature column.")
+                raise SplitError("Nothing to learn from: the table has no column besides the target.")
             if rows < cfg.fold_count:
-                raise SplitError("Cross-validation requires at least as many rows as folds.")
+                raise SplitError(f"{rows} rows cannot fill {cfg.fold_count} folds.")
             checks.raise_for_target(report, Task.CLASSIFICATION, df.schema[target].dataType, target)
             checks.raise_for_duplicate_keys(df, key)
             smallest = int(report["min_class_count"])
             if smallest < cfg.fold_count:
                 raise SplitError(
-                    "Stratified cross-validation requires at least one row per fold in every "
-                    f"target class; the smallest class has {smallest} rows for "
-                    f"{cfg.fold_count} folds."
+                    f"Every class must reach every fold: the rarest class has {smallest} rows, "
+                    f"fewer than the {cfg.fold_count} folds requested."
                 )
     hashed = df.withColumn(HASH, seeded_hash(cfg.random_seed, key))
     ranked = ordered_rank(

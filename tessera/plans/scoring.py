@@ -42,10 +42,10 @@ def validate_scoring_frame(artifact: Artifact, df: DataFrame, extra: list[str] |
         for k, v in row.items():
             kind, name = k.split("::", 1)
             if v and kind == "inf":
-                raise PredictionSchemaError(f"Numeric feature {name!r} contains infinite values.")
+                raise PredictionSchemaError(f"Scoring input has infinite values in numeric feature {name!r}.")
             if v and kind == "marker":
                 raise PredictionSchemaError(
-                    f"Categorical feature {name!r} contains the reserved missing-value marker {marker!r}.")
+                    f"Scoring input uses the reserved fill value {marker!r} in {name!r}.")
     return ordered
 
 
@@ -90,9 +90,9 @@ def check_prediction_count(predictions: DataFrame, input_rows: int) -> None:
     """Finite predictions and one per input row."""
     row = checks.prediction_sanity(predictions).first()
     if row["rows"] != input_rows:
-        raise PredictionSchemaError("Model prediction count does not match the input row count.")
+        raise PredictionSchemaError("The model returned a different number of rows than it was given.")
     if row["invalid_predictions"]:
-        raise PredictionSchemaError("Model produced a non-finite prediction.")
+        raise PredictionSchemaError("The model returned a missing or infinite prediction.")
 
 
 def write_predictions_csv(predictions: DataFrame, path: str) -> str:
