@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from ..config import FeatureOverrides, Imputation, PreprocessingConfig, PreprocessingError
 from ..functions.columns import as_double, is_infinite, is_numeric_type, kind_of
-from . import checks
 from .quantile import IN_MEMORY_LIMIT, exact_medians
 
 FEATURES_COL = "features"
@@ -234,26 +233,35 @@ def fit_preprocessor(train: DataFrame, stats: FeatureStats) -> PipelineModel:
 def validate_preprocessing_inputs(
     frame: DataFrame, schema: FeatureSchema, config: PreprocessingConfig, part_col: str | None = "part"
 ) -> None:
-    """V10 + V11 before any statistics are learned."""
-    if schema.numeric:
-        if part_col and part_col in frame.columns:
-            viol = checks.nonfinite_by_part(frame, list(schema.numeric), part_col)
-            bad = viol.filter(F.col("infinite_count") > 0).collect()
-            if bad:
-                first_part = "training" if any(r[part_col] == "train" for r in bad) else "validation"
-                names = [r["column_name"] for r in bad if (r[part_col] == "train") == (first_part == "training")]
-                raise PreprocessingError(
-                    f"{first_part.capitalize()} rows hold infinite values in numeric features "
-                    + ", ".join(repr(n) for n in dict.fromkeys(names))
-                    + "; turn them into finite or missing values first."
-                )
-        else:
-            viol = checks.nonfinite_by_part(frame.withColumn("_all", F.lit("final-model training")),
-                                            list(schema.numeric), "_all")
-            checks.raise_for_nonfinite(viol, "final-model training")
-    if schema.categorical:
-        marker = config.categorical_fill_value
-        checks.raise_for_marker(checks.marker_collisions(frame, list(schema.categorical), marker), marker)
+    """V10 + V11 before any statistics are learned, in one aggregation.
+
+    Infinite numeric values are counted per part (training side reported
+    first), reserved-marker hits per categorical column.
+    """
+    num, cat = list(schema.numeric), list(schema.categorical)
+    if not num and not cat:
+        return
+    fields = {f.name: f.dataType for f in frame.schema.fields}
+    marker = config.categorical_fill_value
+    split = bool(part_col) and part_col in frame.columns
+    grouped = frame.groupBy(part_col) if split else frame.groupBy()
+    rows = grouped.agg(
+        *[F.count_if(is_infinite(as_double(c, fields[c]))).alias(f"_i{i}") for i, c in enumerate(num)],
+        *[F.count_if(F.col(f"`{c}`").cast("string") == F.lit(marker)).alias(f"_m{i}") for i, c in enumerate(cat)],
+    ).collect()
+    sides = (("train", "Training"), ("validation", "Validation")) if split else ((None, "Final-model training"),)
+    for part, label in sides:
+        mine = [r for r in rows if part is None or r[part_col] == part]
+        names = [c for i, c in enumerate(num) if any(r[f"_i{i}"] for r in mine)]
+        if names:
+            raise PreprocessingError(
+                f"{label} rows hold infinite values in numeric features "
+                + ", ".join(repr(n) for n in names) + "; turn them into finite or missing values first.")
+    hits = sorted(c for i, c in enumerate(cat) if any(r[f"_m{i}"] for r in rows))
+    if hits:
+        raise PreprocessingError(
+            f"The reserved fill value {marker!r} is a real value in split columns "
+            + ", ".join(repr(n) for n in hits) + "; choose another fill value.")
 
 
 def fold_local_numeric_stats(folded: DataFrame, column: str, fold_count: int) -> DataFrame:
