@@ -132,8 +132,10 @@ def fit_estimator(
     forest = estimator in (RANDOM_FOREST_CLASSIFIER, RANDOM_FOREST_REGRESSOR)
     # Forests depend on the row layout, so they get a fixed one (a shuffle);
     # the linear models depend on it only through summation order.
-    partitions = fit_partitions(rows) if forest else None
-    laid_out = deterministic_layout(train, key, partitions) if forest else train
+    partitions = fit_partitions(rows)
+    # Forests get a fixed layout (a shuffle); other fits only a narrow
+    # coalesce to a data-sized partition count.
+    laid_out = deterministic_layout(train, key, partitions) if forest else train.coalesce(partitions)
     layout = [("fit_partitions", str(partitions))] if forest else []
     pre_model = Pipeline(stages=pre).fit(train.limit(1))  # literals + one-hot sizes only
     if task is Task.CLASSIFICATION:

@@ -58,7 +58,7 @@ def benchmark(df: DataFrame, config: BenchmarkConfig, *, target: str, key: list[
     profile = P.profile_dataset(df, target)
     df, key, _ = keyed_table(df, target, key)
     split = T.split_dataset(df, target=target, key=key, task=Task.CLASSIFICATION, config=config.split)
-    split.frame = split.frame.persist(StorageLevel.MEMORY_AND_DISK)
+    split.frame = split.frame.coalesce(E.fit_partitions(split.rows)).persist(StorageLevel.MEMORY_AND_DISK)
     runs, models, durations = [], {}, {}
 
     def attempt(name: str):

@@ -9,6 +9,7 @@ metric query.
 
 from __future__ import annotations
 
+import logging
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -38,6 +39,8 @@ from ..session import fit_parallelism
 from .registry import SCHEMA_VERSION, Registry, new_id, now
 from .train import expected_failure, keyed_table
 
+log = logging.getLogger(__name__)
+
 
 @dataclass
 class CrossValidationConfig:
@@ -90,20 +93,33 @@ def cross_validate(df: DataFrame, cfg: CrossValidationConfig, *, target: str, ke
     k = cfg.folds.fold_count
     base = df
     df, key, features = keyed_table(df, target, key)
-    folded = T.assign_folds(df, target=target, key=key, config=cfg.folds).persist(StorageLevel.MEMORY_AND_DISK)
+    # Sized by the data, not by spark.sql.shuffle.partitions: a narrow
+    # coalesce keeps every fit and the metric job off thousands of tiny tasks.
+    folded = T.assign_folds(df, target=target, key=key, config=cfg.folds).coalesce(
+        E.fit_partitions(df.count())).persist(StorageLevel.MEMORY_AND_DISK)
     attempts: list = []
     dummy_cells: list = []
     try:
+        t_phase = time.perf_counter()
+
+        def phase(name: str) -> None:
+            nonlocal t_phase
+            log.info("cross_validate %s: %.1fs", name, time.perf_counter() - t_phase)
+            t_phase = time.perf_counter()
+
         snapshots = T.fold_snapshots(folded, key, k)
         snaps = [r.asDict() for r in snapshots.orderBy("fold_number").collect()]
         plan_digest = T.fold_plan_digest(snapshots).first()["fold_plan_sha256"]
+        phase("folds and digests")
         profile = P.profile_dataset(base, target)
         fingerprint = table_fingerprint(base)
+        phase("profile and fingerprint")
         # Roles, checks and preprocessing statistics of every fold, computed
         # once and shared by all estimators.
         schema = FE.infer_feature_schema(df, features, cfg.overrides)
         violations = FE.fold_input_violations(folded, schema, cfg.preprocessing, k)
         fold_stats = FE.fit_fold_feature_stats(folded, schema, cfg.preprocessing, k)
+        phase("fold statistics")
         # Cells are independent: fit them concurrently from a small driver
         # thread pool (Spark schedules the jobs side by side), then keep, per
         # estimator, the folds before its first failure.
@@ -151,6 +167,7 @@ def cross_validate(df: DataFrame, cfg: CrossValidationConfig, *, target: str, ke
                     if cell is not None and name != E.DUMMY_CLASSIFIER:
                         cell.unpersist()
             attempts.append((name, cells, failure, duration))
+        phase("fits")
         schema = "estimator string, fold int, actual string, predicted string"
         all_cells = [c.select(F.col("estimator"), F.col("fold").cast("int"), F.col("actual").cast("string"),
                               F.col("predicted").cast("string")) for _, cells, _, _ in attempts for c in cells]
@@ -160,12 +177,15 @@ def cross_validate(df: DataFrame, cfg: CrossValidationConfig, *, target: str, ke
         # All folds of all estimators in one grouped metric query.
         fold_metrics = M.classification_metrics(predictions, ["estimator", "fold"]).persist()
         per_fold = fold_metrics.collect()
+        phase("fold metrics")
         summaries = RK.fold_summaries(fold_metrics)
         summary_rows = summaries.collect()
+        phase("summaries")
         failed = {name for name, _, failure, _ in attempts if failure is not None}
         ok_summaries = summaries.filter(~F.col("estimator").isin(*failed)) if failed else summaries
         board = RK.stability_rank(ok_summaries, cfg.primary_metric)
         ranks = {r["estimator"]: r for r in board.collect()}
+        phase("metrics and ranking")
     finally:
         folded.unpersist()
         for _, cells, _, _ in attempts:

@@ -134,7 +134,7 @@ def train(
         if split is None:
             sp = T.split_dataset(df, target=target, key=key, task=cfg.task, config=cfg.split)
             # Reused by digest, checks, statistics, fit and scoring.
-            sp.frame = sp.frame.persist(StorageLevel.MEMORY_AND_DISK)
+            sp.frame = sp.frame.coalesce(E.fit_partitions(sp.rows)).persist(StorageLevel.MEMORY_AND_DISK)
             owned.append(sp.frame)
         else:
             sp = split
