@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -170,10 +170,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, cfg: NearDupConfig = N
     Texts with the same shingle set form one class.  Class representatives
     meet in buckets (one per band); in every bucket the member that meets
     most others is the centre of a star of candidate pairs, so a bucket of m
-    members gives m - 1 pairs.  Pairs are confirmed on the full sets.  What
-    the stars leave apart inside a bucket is then compared across components,
-    so every pair that shares a bucket ends up confirmed, refuted or already
-    connected.
+    members gives m - 1 pairs.  Pairs are confirmed on the full sets.  Buckets
+    that their star leaves in several components are gathered in families
+    around the centre met most often; an exact bound on the differences from
+    it gives the pairs that may still be linked (``_across``), so every pair
+    that shares a bucket ends up confirmed, refuted or already connected.
 
     Null or empty texts and texts of white space have n_shingles 0 and are
     linked with nothing.  A null id is linked with nothing: component_id is
@@ -196,22 +197,37 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, cfg: NearDupConfig = N
     full = entries.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = stash.keep(entries.join(full, "bucket"))
 
-    weight = members.groupBy("rep").agg(F.sum("size").alias("weight"))
-    centres = (members.join(weight, "rep").groupBy("bucket")
-               .agg(F.max(F.struct("weight", (-F.col("rep")).alias("low"), "n")).alias("top"))
-               .select("bucket", (-F.col("top.low")).alias("centre"), F.col("top.n").alias("cn")))
+    weight = stash.keep(members.groupBy("rep").agg(F.sum("size").alias("weight")))
+    centres = stash.keep(
+        members.join(weight, "rep").groupBy("bucket")
+        .agg(F.max(F.struct("weight", (-F.col("rep")).alias("low"), "n")).alias("top"))
+        .select("bucket", (-F.col("top.low")).alias("centre"), F.col("top.n").alias("cn"),
+                F.col("top.weight").alias("weight")))
     star = _fit_sizes(members.join(centres, "bucket").where("rep <> centre"), "n", "cn", cfg)
-    tried = stash.keep(star.select(F.least("rep", "centre").alias("a"),
-                                   F.greatest("rep", "centre").alias("b")).distinct())
-    links = stash.keep(_confirm(texts, tried, cfg))
-    comps = connected_components(spark, links, stash)
-
-    rest = stash.keep(_across(members, comps, cfg).join(tried, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = stash.keep(_confirm(texts, rest, cfg))
-        if not more.isEmpty():
-            joined = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            comps = connected_components(spark, joined.unionByName(more.select("a", "b")), stash)
+    tried = stash.keep(_similarity(texts, _pairs(star, "rep", "centre"), cfg))
+    linked = tried.where("linked").select("a", "b")
+    comps = connected_components(spark, linked, stash)
+
+    # buckets that a star left in several components gather around one root
+    met = tried.where("2 * common >= total")
+    met = met.select(F.col("a").alias("centre"), F.col("b").alias("root")).unionByName(
+        met.select(F.col("b").alias("centre"), F.col("a").alias("root")))
+    heads = centres.select("centre", "weight").distinct()
+    roots = (met.join(heads.select("centre"), "centre", "left_semi")
+             .join(heads.select(F.col("centre").alias("root"), F.col("weight").alias("rw")), "root")
+             .join(heads, "centre").where("rw > weight or (rw = weight and root < centre)")
+             .groupBy("centre").agg(F.max(F.struct("rw", (-F.col("root")).alias("low"))).alias("top"))
+             .select("centre", (-F.col("top.low")).alias("root")))
+    open_ = _open_buckets(members, comps).join(centres.select("bucket", "centre"), "bucket").join(
+        roots, "centre", "left")
+    family = stash.keep(open_.select(F.coalesce("root", "centre").alias("root"), "rep", "n").distinct())
+    if not family.isEmpty():
+        again = _pairs(family.where("rep <> root"), "rep", "root").join(tried, ["a", "b"], "left_anti")
+        second = stash.keep(_similarity(texts, again, cfg).where("linked").select("a", "b"))
+        comps = _extend(spark, comps, second, stash)
+        third = stash.keep(_similarity(texts, _across(texts, family, comps, cfg, stash), cfg)
+                           .where("linked").select("a", "b"))
+        comps = _extend(spark, comps, third, stash)
 
     named = (classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
              .where("copies > 1 or component is not null")
@@ -230,34 +246,98 @@ def _fit_sizes(pairs: DataFrame, x: str, y: str, cfg: NearDupConfig) -> DataFram
     return pairs.where(100 * F.least(x, y) >= cfg.percent * F.greatest(x, y))
 
 
-def _confirm(texts: DataFrame, pairs: DataFrame, cfg: NearDupConfig) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the similarity."""
+def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
+    return df.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+
+
+def _extend(spark: SparkSession, comps: DataFrame, links: DataFrame, stash: Stash) -> DataFrame:
+    """Components after more links."""
+    if links.isEmpty():
+        return comps
+    known = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    new = links.join(known.withColumnRenamed("b", "ca"), "a", "left").join(
+        known.select(F.col("a").alias("b"), F.col("b").alias("cb")), "b", "left").select(
+        F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    top = connected_components(spark, new, stash)
+    moved = top.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    merged = comps.join(moved, "component", "left").select(
+        "node", F.coalesce("top", "component").alias("component"))
+    fresh = top.join(comps.select("node"), "node", "left_anti").select("node", "component")
+    return stash.keep(merged.unionByName(fresh))
+
+
+def _sets(texts: DataFrame, asked: DataFrame, cfg: NearDupConfig) -> DataFrame:
+    """(rep, hashes) of the documents named in ``asked`` (doc_id)."""
+    return (texts.join(asked, "doc_id", "left_semi").mapInArrow(_full_sets(cfg), _SETS)
+            .groupBy("rep").agg(F.min("hashes").alias("hashes")))
+
+
+def _similarity(texts: DataFrame, pairs: DataFrame, cfg: NearDupConfig) -> DataFrame:
+    """(a, b, common, total, linked): sizes of the intersection and union of
+    the full shingle sets, and whether they reach the similarity."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = (texts.join(asked, "doc_id", "left_semi")
-            .mapInArrow(_full_sets(cfg), _SETS).groupBy("rep").agg(F.min("hashes").alias("hashes")))
+    sets = _sets(texts, asked, cfg)
     left = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("ha"))
     right = sets.select(F.col("rep").alias("b"), F.col("hashes").alias("hb"))
-    both = (pairs.select("a", "b").join(left, "a").join(right, "b")
+    return (pairs.select("a", "b").join(left, "a").join(right, "b")
             .withColumn("common", F.size(F.array_intersect("ha", "hb")))
-            .withColumn("all", F.size("ha") + F.size("hb") - F.col("common")))
-    return both.where(100 * F.col("common") >= cfg.percent * F.col("all")).select("a", "b")
+            .withColumn("total", F.size("ha") + F.size("hb") - F.col("common"))
+            .select("a", "b", "common", "total",
+                    (100 * F.col("common") >= cfg.percent * F.col("total")).alias("linked")))
+
 
+def _placed(members: DataFrame, comps: DataFrame) -> DataFrame:
+    return (members.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+            .withColumn("comp", F.coalesce("component", "rep")).drop("component"))
 
-def _across(members: DataFrame, comps: DataFrame, cfg: NearDupConfig) -> DataFrame:
-    """Pairs of one bucket that lie in different components, for buckets of
-    three or more: each member outside the bucket's largest component against
-    the members of the others."""
-    placed = (members.where("size > 2")
-              .join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-              .select("bucket", "rep", "n", F.coalesce("component", "rep").alias("comp")))
+
+def _open_buckets(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members of buckets of three or more that hold several components."""
+    placed = _placed(members.where("size > 2"), comps)
     split = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    open_ = placed.join(split.where("lo <> hi").select("bucket"), "bucket", "left_semi")
-    largest = (open_.groupBy("bucket", "comp").agg(F.count("*").alias("held"))
-               .groupBy("bucket").agg(F.max(F.struct("held", "comp")).alias("top"))
-               .select("bucket", F.col("top.comp").alias("main")))
-    outside = (open_.join(largest, "bucket").where("comp <> main")
-               .select("bucket", F.col("rep").alias("x"), F.col("n").alias("xn"),
-                       F.col("comp").alias("xc")))
-    pairs = outside.join(open_, "bucket").where("xc <> comp")
-    return (_fit_sizes(pairs, "xn", "n", cfg)
-            .select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct())
+    return placed.join(split.where("lo <> hi").select("bucket"), "bucket", "left_semi")
+
+
+def _across(texts: DataFrame, family: DataFrame, comps: DataFrame, cfg: NearDupConfig,
+            stash: Stash) -> DataFrame:
+    """Candidate pairs (a, b) of one family (root, rep) that lie in different
+    components, without forming all pairs.
+
+    Members are written as differences from their root: D = set ^ root.  Two
+    sets differ in |Dx| + |Dy| - 2 |Dx & Dy| shingles, and the similarity
+    allows q (|x| + |y|) with q = (100 - percent) / (100 + percent), so a
+    link needs k = (|Dx| - q |x| + |Dy| - q |y|) / 2 common differences.
+    Differences that only one member has are no help; the others are ordered
+    from rare to frequent, and a pair is a candidate where a common one comes
+    early enough in both lists for k to be reached.  That bound is exact, and
+    k > 0 because every member has been compared with its root.
+    """
+    q = (100 - cfg.percent) / (100 + cfg.percent)
+    placed = _placed(family, comps)
+    held = placed.groupBy("root", "comp").agg(F.count("*").alias("held"))
+    main = held.groupBy("root").agg(F.max(F.struct("held", "comp")).alias("top"), F.count("*").alias("parts"))
+    placed = placed.join(main.where("parts > 1").select("root", F.col("top.comp").alias("main")), "root")
+    placed = stash.keep(placed)
+    asked = placed.select(F.explode(F.array("root", "rep")).alias("doc_id")).distinct()
+    sets = stash.keep(_sets(texts, asked, cfg))
+    both = (placed.join(sets, "rep").withColumnRenamed("hashes", "mine")
+            .join(sets.select(F.col("rep").alias("root"), F.col("hashes").alias("theirs")), "root"))
+    differ = both.select(
+        "root", "rep", "n", "comp", "main",
+        F.concat(F.array_except("mine", "theirs"), F.array_except("theirs", "mine")).alias("d"))
+    items = stash.keep(differ.withColumn("need", F.size("d") - q * F.col("n"))
+                       .select("root", "rep", "n", "comp", "main", "need", F.explode("d").alias("e")))
+    often = items.groupBy("root", "e").agg(F.count("*").alias("often")).where("often > 1")
+    ranked = items.join(often, ["root", "e"])
+    mine = Window.partitionBy("root", "rep")
+    ranked = stash.keep(
+        ranked.withColumn("left", F.count("*").over(mine)
+                          - F.row_number().over(mine.orderBy("often", "e")) + 1)
+        .drop("often"))
+    x = ranked.where("comp <> main").select(
+        "root", "e", *[F.col(c).alias(f"x_{c}") for c in ("rep", "n", "comp", "need", "left")])
+    pairs = x.join(ranked, ["root", "e"]).where(
+        (F.col("x_comp") != F.col("comp"))
+        & (F.least("x_left", "left") >= (F.col("x_need") + F.col("need")) / 2 - 1e-9)
+        & (100 * F.least("x_n", "n") >= cfg.percent * F.greatest("x_n", "n")))
+    return _pairs(pairs, "x_rep", "rep")

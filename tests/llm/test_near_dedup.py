@@ -111,3 +111,23 @@ def test_components_of_chains_and_stars(spark):
     df = spark.createDataFrame(edges, "a long, b long")
     got = {r.node: r.component for r in connected_components(spark, df, Stash(spark, "t")).collect()}
     assert got == ({i: 50 for i in range(50, 81)} | {i: 190 for i in range(190, 230)} | {6: 6, 7: 6})
+
+
+def test_dense_family_keeps_every_link(frame, spark):
+    """Copies with few to many edits, some of them shared: links near the
+    threshold between copies that are not linked to the most central one."""
+    rng = np.random.default_rng(11)
+    base = [f"t{i}" for i in range(150)]
+    shared = {p: f"s{p}" for p in range(0, 150, 7)}
+    rows = []
+    for d in range(220):
+        w = list(base)
+        for p in rng.choice(150, rng.integers(1, 26), replace=False):
+            w[p] = shared.get(p, f"x{d}_{p}") if rng.random() < 0.8 else ""
+        rows.append((d, " ".join(w)))
+    want = brute_components(rows, 2)
+    got = {r.doc_id: (r.n_shingles, r.component_id)
+           for r in near_duplicates(spark, frame(rows, "doc_id long, text string"),
+                                    NearDupConfig(shingle=2)).collect()}
+    assert got == want
+    assert len({c for _, c in want.values()}) > 5
