@@ -106,13 +106,15 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of every maximal run of bytes outside ``\\x20\\x09-\\x0D``."""
+def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = WHITE
+          ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of every maximal run of bytes outside ``gaps``, by
+    default ``\\x20\\x09-\\x0D``."""
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, z
-    solid = ~WHITE[data]
+    solid = ~gaps[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True  # a word never spans two rows
     first = solid.copy()
@@ -160,3 +162,48 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     np.cumsum(_BYTE[data] * _power(_P, "p", n + 1)[:n], dtype=np.uint64, out=prefix[1:])
     raw = (prefix[ends] - prefix[starts]) * _power(_P_INV, "i", n + 1)[starts]
     return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+
+
+LETTER = np.zeros(256, dtype=bool)  # ASCII letters and every byte of longer characters
+LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def fold_case(data: np.ndarray) -> np.ndarray:
+    """Lower case of UTF-8 bytes for A-Z and the Latin-1 letters (À to Þ)."""
+    out = LOWER[data]
+    if len(out) > 1:
+        capital = (out[:-1] == 0xC3) & (out[1:] >= 0x80) & (out[1:] <= 0x9E) & (out[1:] != 0x97)
+        out[1:][capital] += 0x20
+    return out
+
+
+class ScoreCache:
+    """Scores of distinct tokens by hash, kept in a task's Python process; it
+    starts anew when full, so its size is bounded."""
+
+    def __init__(self, width: int, limit: int = 600_000) -> None:
+        self.width, self.limit = width, limit
+        self.keys = np.zeros(0, np.uint64)
+        self.values = np.zeros((0, width), np.float32)
+
+    def get(self, keys: np.ndarray, score) -> np.ndarray:
+        """Rows for ``keys``; ``score(index)`` gives those of unknown keys,
+        named by the index of one occurrence each."""
+        distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, distinct)
+        known = np.zeros(len(distinct), dtype=bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == distinct[inside]
+        out = np.zeros((len(distinct), self.width), np.float32)
+        out[known] = self.values[at[known]]
+        new = ~known
+        if new.any():
+            out[new] = score(first[new])
+            if len(self.keys) + int(new.sum()) > self.limit:
+                self.keys, self.values = distinct, out
+            else:
+                self.keys = np.concatenate([self.keys, distinct[new]])
+                self.values = np.concatenate([self.values, out[new]])
+                order = np.argsort(self.keys, kind="stable")
+                self.keys, self.values = self.keys[order], self.values[order]
+        return out[inverse.reshape(-1)]

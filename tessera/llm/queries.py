@@ -5,20 +5,74 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm.near_dedup import NearDupConfig, near_duplicates
+from tessera.llm import decontaminate, langid, mixing, near_dedup, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _id_remainder(divisor: int) -> F.Column:
+    """crc32 of the decimal doc_id, modulo ``divisor``; a null id has none."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item) pair where the item occurs in the
+    document with few edits."""
+    return decontaminate.benchmark_leaks(
+        spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op2_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hilbert-curve shards 0 to 7 of all documents, near equal in bytes."""
+    return sharding.shard_documents(spark, _table(spark, sf_dir, "documents"))
+
+
+def toxic_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicModel | None:
+    """The model learned from the labels whose id remainder (mod 3) is not 1."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    learn = labels.select("doc_id", "toxic").where(_id_remainder(3) != 1)
+    return toxicity.train_model(spark, docs.select("doc_id", "text").join(learn, "doc_id"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; labels of held-out ids are unseen."""
+    scored = toxicity.score_toxicity(_table(spark, sf_dir, "documents"), toxic_model(spark, sf_dir))
+    held = F.coalesce(_id_remainder(3) == 1, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held, "score", "predicted")
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents on two-word shingles."""
-    return near_duplicates(spark, _table(spark, sf_dir, "documents"), NearDupConfig(shingle=2))
+    return near_dedup.near_duplicates(
+        spark, _table(spark, sf_dir, "documents"), near_dedup.NearDupConfig(shingle=2))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from ids whose remainder (mod 5)
+    is not 0."""
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train_model(docs.where(_id_remainder(5) != 0))
+    held = F.coalesce(_id_remainder(5) == 0, F.lit(False)).alias("held_out")
+    return langid.predict_language(spark, docs, model).select("doc_id", held, "lang_pred", "score")
+
+
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document taken by the mix of all sources."""
+    return mixing.mix_sources(spark, _table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_shard": op2_shard,
+    "op3_toxicity": op3_toxicity,
     "op6_near_dedup": op6_near_dedup,
+    "op7_language": op7_language,
+    "op8_mix": op8_mix,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op8_mix": mixing.oracle_sql(),
 }
-ORACLE_SQL: dict[str, str] = {}
