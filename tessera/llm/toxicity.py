@@ -5,17 +5,19 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LinearSVC, LogisticRegression
+from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import (LETTER, ScoreCache, Stash, chunks, fold_case, span_hashes, text_buffer, words)
+from tessera.llm.common import (LETTER, ScoreCache, Stash, chunks, fold_case, mix, span_hashes, text_buffer, words)
+from tessera.llm.near_dedup import near_duplicates
 
 
 @dataclass(frozen=True)
@@ -23,18 +25,22 @@ class ToxicConfig:
     """``sample_docs``: labelled documents a class that are learned from, picked
     by a hash of their id.  ``decay``: weight of each position a subsequence
     of ``order`` letters spans; ``power``: exponent of the normalised kernel.
-    ``telling`` + ``common`` landmarks are drawn from the sample.  ``window``:
-    a longer unit is read in half-overlapping windows of so many letters.
-    ``rounds`` of choosing each toxic document's most toxic sentence."""
-
-    sample_docs: int = 1500
-    telling: int = 16
+    ``telling`` + ``common`` landmarks are drawn from the sample, two telling
+    ones at most ``alike``.  ``window``: a longer unit is read in
+    half-overlapping windows of so many letters.
+    ``penalty``: weight of the squared norm against the hinge loss.
+    ``rounds`` of choosing the toxic documents' sentences to learn from."""
+
+    sample_docs: int = 1000
+    telling: int = 24
     common: int = 8
+    alike: float = 0.6
     order: int = 3
     decay: float = 0.7
-    power: int = 3
-    window: int = 32
-    rounds: int = 2
+    power: int = 2
+    window: int = 12
+    penalty: float = 3e-4
+    rounds: int = 3
     threshold: float = 0.7
 
 
@@ -84,7 +90,8 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def spell(data: np.ndarray, start: int, end: int) -> bytes:
-    return data[start:end].tobytes().translate(None, _NOT_LETTER)
+    """The unit's letters behind a mark for its beginning."""
+    return b"\x01" + data[start:end].tobytes().translate(None, _NOT_LETTER)
 
 
 # --- the kernel -------------------------------------------------------------------
@@ -172,9 +179,10 @@ def windowed(strings: list[bytes], width: int) -> tuple[list[bytes], np.ndarray]
 
 @dataclass
 class KernelMap:
-    """Nyström map of units: kernel with the landmarks times the inverse
-    square root of the landmarks' own kernel matrix.  A sentence's features
-    are the sum over its units, the feature map of the summed kernel."""
+    """Nyström map: kernel values with the landmarks times the inverse square
+    root of the landmarks' own kernel matrix.  A sentence's kernel value with
+    a landmark is the largest of its units', so neither its length nor a
+    repeated unit adds up."""
 
     landmarks: list[bytes]
     cfg: ToxicConfig
@@ -186,168 +194,200 @@ class KernelMap:
         self.root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
 
     def units(self, strings: list[bytes]) -> np.ndarray:
-        """Features of every unit; of windows, the one most like a landmark."""
+        """Kernel values of every unit; of a long one, the largest of its windows'."""
         parts, owner = windowed(strings, self.cfg.window)
         raw = normalised_kernel(parts, self.landmarks, self.cfg)
-        best = np.lexsort((-raw.max(axis=1), owner))
-        lead = np.ones(len(best), dtype=bool)
-        lead[1:] = owner[best][1:] != owner[best][:-1]
-        return raw[best[lead]] @ self.root
+        return np.maximum.reduceat(raw, np.searchsorted(owner, np.arange(len(strings))), axis=0)
+
+    def sentences(self, values: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
+        """Features of ``n`` sentences from their units' kernel values, given
+        in order of ``sentence``."""
+        out = np.zeros((n, len(self.landmarks)))
+        if len(sentence):
+            lead = np.flatnonzero(np.append(True, sentence[1:] != sentence[:-1]))
+            out[sentence[lead]] = np.maximum.reduceat(values, lead, axis=0)
+        return out @ self.root
 
 
 @dataclass
 class ToxicModel:
-    """A unit's share in its sentence's margin, and the margin's calibration."""
+    """Weights of a sentence's features, and the calibration of their margin."""
 
     kernel: KernelMap
     weights: np.ndarray
     intercept: float
-    slope: float = 1.0
-    shift: float = 0.0
+    levels: np.ndarray = field(default_factory=lambda: np.array([-1.0, 1.0]))
+    shares: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -60, 60)))
+        """The share of toxic documents at this margin (isotonic, interpolated);
+        a hundredth of the score keeps equal shares in order of margin."""
+        order = 1 / (1 + np.exp(-np.clip(margin, -60, 60)))
+        return 0.99 * np.interp(margin, self.levels, self.shares) + 0.01 * order
 
 
 _caches: dict[str, ScoreCache] = {}
 
 
-def sentence_margins(data: np.ndarray, offsets: np.ndarray, model: ToxicModel) -> tuple[np.ndarray, np.ndarray]:
-    """(margin, row) of every sentence."""
+def sentence_keys(hashes: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every sentence's units."""
+    key = np.zeros(n, dtype=np.uint64)
+    np.add.at(key, sentence, mix(hashes, 71))
+    return key.view(np.int64)
+
+
+def sentence_features(data: np.ndarray, offsets: np.ndarray, kernel: KernelMap, name: str
+                      ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, row, key) of every sentence."""
     folded = fold_case(data)
     starts, ends, sentence, rows = units(folded, offsets)
-    margins = np.full(len(rows), model.intercept)
+    if name not in _caches:
+        _caches.clear()
+        _caches[name] = ScoreCache(len(kernel.landmarks), 300_000)
+    values = np.zeros((0, len(kernel.landmarks)))
+    hashes = span_hashes(folded, starts, ends)
     if len(starts):
-        if model.name not in _caches:
-            _caches.clear()
-            _caches[model.name] = ScoreCache(1)
-
-        def score(new: np.ndarray) -> np.ndarray:
-            strings = [spell(folded, starts[i], ends[i]) for i in new]
-            return (model.kernel.units(strings) @ model.weights)[:, None]
-        value = _caches[model.name].get(span_hashes(folded, starts, ends), score)[:, 0]
-        margins += np.bincount(sentence, weights=value, minlength=len(rows))
-    return margins, rows
+        values = _caches[name].get(
+            hashes, lambda new: kernel.units([spell(folded, starts[i], ends[i]) for i in new]))
+    return kernel.sentences(values, sentence, len(rows)), rows, sentence_keys(hashes, sentence, len(rows))
 
 
 def text_margins(data: np.ndarray, offsets: np.ndarray, model: ToxicModel) -> np.ndarray:
     """The largest margin of each text's sentences; without any, the intercept."""
-    margins, rows = sentence_margins(data, offsets, model)
+    features, rows, _ = sentence_features(data, offsets, model.kernel, model.name)
     out = np.full(len(offsets) - 1, -np.inf)
-    np.maximum.at(out, rows, margins)
+    np.maximum.at(out, rows, features @ model.weights + model.intercept)
     return np.where(np.isfinite(out), out, model.intercept)
 
 
 # --- training ----------------------------------------------------------------------
 
-_UNIT = T.StructType([T.StructField("unit", T.BinaryType()), T.StructField("toxic", T.IntegerType())])
+_UNIT = T.StructType([T.StructField("unit", T.BinaryType()), T.StructField("sentence", T.LongType()),
+                      T.StructField("toxic", T.IntegerType())])
 _SENTENCE = T.StructType([
-    T.StructField("doc", T.LongType()), T.StructField("sentence", T.IntegerType()),
+    T.StructField("doc", T.LongType()), T.StructField("sentence", T.LongType()),
     T.StructField("toxic", T.IntegerType()), T.StructField("features", T.ArrayType(T.DoubleType()))])
 
 
 def train_model(spark: SparkSession, labelled: DataFrame, cfg: ToxicConfig = ToxicConfig()) -> ToxicModel | None:
-    """A model from ``labelled`` (doc_id, text, toxic 0/1); null texts and
-    labels teach nothing; None where a class is missing.
-
-    Labels mark documents; a toxic document's sentence that the model of the
-    round before finds most toxic stands for it (at first the one with the
-    most telling unit), all sentences of other documents stand as clean.
+    """A model from ``labelled`` (doc_id, text, toxic 0/1); null ids, texts
+    and labels teach nothing; None where a class is missing.
+
+    Labels mark documents, sentences are learned from: of a toxic document
+    those that the model of the round before finds toxic, the most toxic one
+    in any case (at first the one most like the telling landmarks); of other
+    documents all, as clean.
+    Copies and near copies of a text, and copies of a sentence, teach once; a
+    sentence that clean documents have too is clean.
     """
     stash = Stash(spark, "toxic")
-    known = (labelled.where("text is not null and toxic in (0, 1)")
+    known = (labelled.where("text is not null and toxic in (0, 1) and doc_id is not null")
              .select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("toxic").cast("int").alias("toxic")))
-    pick = lambda y: known.where(F.col("toxic") == y).orderBy(
-        F.xxhash64("doc_id"), "doc_id").limit(cfg.sample_docs)
-    sample = stash.keep(pick(0).unionByName(pick(1)).repartition("doc_id"))
-    totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    firsts = stash.keep(known.groupBy(F.md5("text").alias("key"))
+                        .agg(F.min(F.struct("doc_id", "toxic")).alias("one")).select("one.*"))
+    totals = {r["toxic"]: r["n"] for r in firsts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
         return None
-    kernel = KernelMap(_landmarks(sample, totals, cfg), cfg)
-    rows = stash.keep(sample.mapInArrow(_featurise(kernel), _SENTENCE)
-                      .withColumn("x", array_to_vector("features")).drop("features"))
-    clean = rows.where("toxic = 0")
-    bags = rows.where("toxic = 1")
-    # the first landmarks are the telling ones: begin with the sentence nearest to them
-    telling = kernel.root[:, :cfg.telling].sum(axis=1)
-    weights, intercept = telling, 0.0
+    pick = lambda y: firsts.where(F.col("toxic") == y).orderBy(
+        F.xxhash64("doc_id"), "doc_id").limit(cfg.sample_docs)
+    sample = stash.keep(known.join(pick(0).unionByName(pick(1)), ["doc_id", "toxic"])
+                        .dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic"))
+    single = near_duplicates(spark, sample).where("kept").select("doc_id")
+    sample = stash.keep(sample.join(single, "doc_id", "left_semi").select("doc_id", "text", "toxic"))
+    landmarks, telling = _landmarks(sample, cfg)
+    kernel = KernelMap(landmarks, cfg)
+    rows = stash.keep(sample.select("doc_id", "text", "toxic").mapInArrow(
+        _featurise(kernel, uuid.uuid4().hex), _SENTENCE))
+    clean = rows.where("toxic = 0").dropDuplicates(["sentence"])
+    bags = rows.where("toxic = 1").join(clean.select("sentence"), "sentence", "left_anti")
+    weights, intercept = np.linalg.solve(kernel.root, telling), -np.inf
     for _ in range(cfg.rounds):
-        witness = bags.join(_best_sentence(bags, weights), ["doc", "sentence"], "left_semi")
-        ratio = rows.where("toxic = 0").count() / max(totals[1], 1)
-        train = clean.unionByName(witness).withColumn(
-            "weight", F.when(F.col("toxic") == 1, float(ratio)).otherwise(1.0)).cache()
-        svm = LinearSVC(featuresCol="x", labelCol="toxic", weightCol="weight", regParam=1e-3, maxIter=60).fit(train)
+        scored = bags.withColumn("m", _margin(weights, 0.0))
+        best = scored.groupBy("doc").agg(F.max(F.struct("m", "sentence")).alias("top"))
+        witness = (scored.join(best, "doc")
+                   .where((F.col("m") + intercept > 0) | (F.col("sentence") == F.col("top.sentence")))
+                   .dropDuplicates(["sentence"]).select("doc", "sentence", "toxic", "features"))
+        train = clean.unionByName(witness).withColumn("x", array_to_vector("features")).cache()
+        counts = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+        if len(counts) < 2:
+            train.unpersist()
+            return None
+        train = train.withColumn("weight", F.when(F.col("toxic") == 1, counts[0] / counts[1]).otherwise(1.0))
+        svm = LinearSVC(featuresCol="x", labelCol="toxic", weightCol="weight", regParam=cfg.penalty,
+                        standardization=False, maxIter=50).fit(train)
         train.unpersist()
         weights, intercept = svm.coefficients.toArray(), float(svm.intercept)
-    margin = _margin(weights, intercept)
-    docs = (rows.groupBy("doc", "toxic").agg(F.max(margin("x")).alias("margin"))
-            .withColumn("x", array_to_vector(F.array("margin"))))
-    platt = LogisticRegression(featuresCol="x", labelCol="toxic", regParam=1e-4, standardization=False).fit(docs)
-    return ToxicModel(kernel, weights, intercept, float(platt.coefficients[0]), float(platt.intercept))
-
-
-def _margin(weights: np.ndarray, intercept: float):
-    w = np.asarray(weights, dtype=float)
-
-    @F.pandas_udf("double")
-    def margin(x):
-        return x.map(lambda v: float(v["values"] @ w if isinstance(v, dict) else np.dot(v.toArray(), w)) + intercept)
-    return margin
-
-
-def _best_sentence(bags: DataFrame, weights: np.ndarray) -> DataFrame:
-    scored = bags.select("doc", "sentence", _margin(weights, 0.0)("x").alias("m"))
-    return (scored.groupBy("doc").agg(F.max(F.struct("m", (-F.col("sentence")).alias("s"))).alias("top"))
-            .select("doc", (-F.col("top.s")).alias("sentence")))
-
-
-def _landmarks(sample: DataFrame, totals: dict[int, int], cfg: ToxicConfig) -> list[bytes]:
-    """Units whose documents differ most between the classes, then common ones."""
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    docs = rows.groupBy("doc", "toxic").agg(F.max(_margin(weights, intercept)).alias("margin"))
+    held = [min(totals[y], cfg.sample_docs) for y in (0, 1)]
+    share = F.when(F.col("toxic") == 1, totals[1] / held[1]).otherwise(totals[0] / held[0])
+    iso = IsotonicRegression(featuresCol="margin", labelCol="toxic", weightCol="weight").fit(
+        docs.select("margin", F.col("toxic").cast("double").alias("toxic"), share.alias("weight")))
+    return ToxicModel(kernel, weights, intercept, iso.boundaries.toArray(), iso.predictions.toArray())
+
+
+def _margin(weights: np.ndarray, intercept: float) -> F.Column:
+    w = F.array(*[F.lit(float(v)) for v in weights])
+    return F.aggregate(F.zip_with("features", w, lambda x, y: x * y), F.lit(float(intercept)),
+                       lambda total, v: total + v)
+
+
+def _landmarks(sample: DataFrame, cfg: ToxicConfig) -> tuple[list[bytes], np.ndarray]:
+    """Landmarks and each one's weight in the first choice of sentences: first
+    the beginnings of units (of more letters than ``order``, up to the whole
+    unit) whose sentences lean most to the toxic class, the longer of equals
+    first, leaving out those too much alike; then the most common units."""
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, 1):
                 data, offsets = text_buffer(part.column(1))
                 folded = fold_case(data)
                 starts, ends, sentence, rows = units(folded, offsets)
-                label = part.column(2).to_pylist()
-                seen = {(int(rows[k]), spell(folded, s, e)) for s, e, k in zip(starts, ends, sentence)}
-                seen = [(u, label[r]) for r, u in seen if cfg.order < len(u) <= cfg.window]
-                if seen:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([u for u, _ in seen], pa.binary()), pa.array([y for _, y in seen], pa.int32())],
-                        names=_UNIT.fieldNames())
-    n1, n0 = totals[1], totals[0]
-    held = (sample.select("doc_id", "text", "toxic").mapInArrow(distinct, _UNIT).groupBy("unit")
-            .agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).withColumn("b", F.col("n") - F.col("a")))
+                keys = sentence_keys(span_hashes(folded, starts, ends), sentence, len(rows))
+                label = np.array(part.column(2).to_pylist(), dtype=np.int32)
+                seen = set()
+                for s, e, k in zip(starts, ends, sentence):
+                    unit = spell(folded, s, e)[:cfg.window]
+                    seen.update((unit[:n], k) for n in range(cfg.order + 2, len(unit) + 1))
+                at = np.array([k for _, k in seen], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([u for u, _ in seen], pa.binary()), pa.array(keys[at]), pa.array(label[rows[at]])],
+                    names=_UNIT.fieldNames())
+    once = (sample.select("doc_id", "text", "toxic").mapInArrow(spelled, _UNIT)
+            .groupBy("unit", "sentence").agg(F.min("toxic").alias("toxic")))
+    held = once.groupBy("unit").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
+    total = once.groupBy("sentence").agg(F.min("toxic").alias("toxic")).agg(
+        F.sum("toxic").alias("a"), F.count("*").alias("n")).first()
+    n1, n0 = max(total["a"] or 0, 1), max((total["n"] or 0) - (total["a"] or 0), 1)
     share = F.col("n") / (n1 + n0)
-    z = ((F.col("a") / n1 - F.col("b") / n0)
-         / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-9))
-    telling = [bytes(r["unit"]) for r in held.orderBy(F.desc(z), "unit").limit(cfg.telling).collect()]
+    z = ((F.col("a") / n1 - (F.col("n") - F.col("a")) / n0)
+         / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12))
+    leaning = (held.withColumn("z", z).orderBy(F.desc("z"), F.desc(F.length("unit")), "unit")
+               .limit(40 * cfg.telling).select("unit", "z").collect())
+    telling: list[bytes] = []
+    weights: list[float] = []
+    plain = replace(cfg, power=1)
+    for r in leaning:
+        unit = bytes(r["unit"])
+        if len(telling) < cfg.telling and (
+                not telling or normalised_kernel([unit], telling, plain).max() < cfg.alike):
+            telling.append(unit)
+            weights.append(max(r["z"], 0.0))
     common = [bytes(r["unit"]) for r in held.orderBy(F.desc("n"), "unit").limit(cfg.common + cfg.telling).collect()]
-    return telling + [u for u in common if u not in telling][:cfg.common]
+    landmarks = telling + [u for u in common if u not in telling][:cfg.common]
+    return landmarks, np.array(weights + [0.0] * (len(landmarks) - len(telling)))
 
 
-def _featurise(kernel: KernelMap):
+def _featurise(kernel: KernelMap, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, 1):
-                data, offsets = text_buffer(part.column(1))
-                folded = fold_case(data)
-                starts, ends, sentence, rows = units(folded, offsets)
-                if len(rows) == 0:
-                    continue
-                total = np.zeros((len(rows), len(kernel.landmarks)))
-                if len(starts):
-                    _, first, inverse = np.unique(span_hashes(folded, starts, ends),
-                                                  return_index=True, return_inverse=True)
-                    x = kernel.units([spell(folded, starts[i], ends[i]) for i in first])
-                    np.add.at(total, sentence, x[inverse.reshape(-1)])
+                features, rows, keys = sentence_features(*text_buffer(part.column(1)), kernel, name)
                 label = np.array(part.column(2).to_pylist(), dtype=np.int32)
                 doc = np.array(part.column(0).to_pylist(), dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc[rows]), pa.array(np.arange(len(rows), dtype=np.int32)),
-                     pa.array(label[rows]), pa.array(list(total))], names=_SENTENCE.fieldNames())
+                    [pa.array(doc[rows]), pa.array(keys), pa.array(label[rows]), pa.array(list(features), pa.list_(pa.float64()))],
+                    names=_SENTENCE.fieldNames())
     return run
 
 
