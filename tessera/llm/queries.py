@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, langid, mixing, near_dedup, sharding, toxicity
+from tessera.llm import (decontaminate, fingerprint, html_extract, langid, mixing, near_dedup, pii, sharding,
+                         toxicity, warc)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +46,17 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held, "score", "predicted")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    records = warc.archive_round_trip(spark, _table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract_main_text(spark, _table(spark, sf_dir, "pages"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents on two-word shingles."""
     return near_dedup.near_duplicates(
@@ -65,13 +77,32 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(spark, _table(spark, sf_dir, "documents"))
 
 
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, its edited text and its successor."""
+    return fingerprint.fingerprint_edits(spark, _table(spark, sf_dir, "documents"))
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base matches and bootstrapped finds."""
+    found = pii.find_personal_data(spark, _table(spark, sf_dir, "documents"))
+    base = {k: k for k in pii.KINDS}
+    return found.select(
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.span_list(base), 256).alias("base_sha256"),
+        pii.span_list(base | {"id": "id"}).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_shard": op2_shard,
     "op3_toxicity": op3_toxicity,
+    "op4_warc": op4_warc,
+    "op5_main_text": op5_main_text,
     "op6_near_dedup": op6_near_dedup,
     "op7_language": op7_language,
     "op8_mix": op8_mix,
+    "op9_fingerprint": op9_fingerprint,
+    "op10_personal_data": op10_personal_data,
 }
 ORACLE_SQL: dict[str, str] = {
     "op8_mix": mixing.oracle_sql(),
