@@ -241,6 +241,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, cfg: NearDupConfig = N
                       F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def bucket_leaders(docs: DataFrame, cfg: NearDupConfig = NearDupConfig()) -> DataFrame:
+    """(doc_id) of the documents that share no bucket with one of a smaller
+    id: a quick thinning of near copies for samples, without confirmation.
+    Documents without words lead themselves; null ids are left out."""
+    signed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null") \
+        .mapInArrow(_sign(cfg), _SIGNED)
+    bands = F.when(F.size("bands") > 0, F.col("bands")).otherwise(F.array(-F.col("doc_id") - 1))
+    entries = signed.select("doc_id", F.explode(bands).alias("bucket"))
+    lead = entries.groupBy("bucket").agg(F.min("doc_id").alias("lead"))
+    return (entries.join(lead, "bucket").groupBy("doc_id").agg(F.min("lead").alias("lead"))
+            .where("lead = doc_id").select("doc_id"))
+
+
 def _fit_sizes(pairs: DataFrame, x: str, y: str, cfg: NearDupConfig) -> DataFrame:
     """Only pairs whose set sizes allow the similarity (an exact bound)."""
     return pairs.where(100 * F.least(x, y) >= cfg.percent * F.greatest(x, y))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import (LETTER, ScoreCache, Stash, chunks, fold_case, mix, span_hashes, text_buffer, words)
-from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.near_dedup import bucket_leaders
 
 
 @dataclass(frozen=True)
@@ -29,7 +29,8 @@ class ToxicConfig:
     ones at most ``alike``.  ``window``: a longer unit is read in
     half-overlapping windows of so many letters.
     ``penalty``: weight of the squared norm against the hinge loss.
-    ``rounds`` of choosing the toxic documents' sentences to learn from."""
+    ``rounds`` of choosing the toxic documents' sentences to learn from;
+    ``fit_parts``: partitions of the bounded sample while it is fitted."""
 
     sample_docs: int = 1000
     telling: int = 24
@@ -40,7 +41,8 @@ class ToxicConfig:
     power: int = 2
     window: int = 12
     penalty: float = 3e-4
-    rounds: int = 3
+    rounds: int = 2
+    fit_parts: int = 4
     threshold: float = 0.7
 
 
@@ -293,7 +295,7 @@ def train_model(spark: SparkSession, labelled: DataFrame, cfg: ToxicConfig = Tox
         F.xxhash64("doc_id"), "doc_id").limit(cfg.sample_docs)
     sample = stash.keep(known.join(pick(0).unionByName(pick(1)), ["doc_id", "toxic"])
                         .dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic"))
-    single = near_duplicates(spark, sample).where("kept").select("doc_id")
+    single = bucket_leaders(sample)
     sample = stash.keep(sample.join(single, "doc_id", "left_semi").select("doc_id", "text", "toxic"))
     landmarks, telling = _landmarks(sample, cfg)
     kernel = KernelMap(landmarks, cfg)
@@ -308,14 +310,14 @@ def train_model(spark: SparkSession, labelled: DataFrame, cfg: ToxicConfig = Tox
         witness = (scored.join(best, "doc")
                    .where((F.col("m") + intercept > 0) | (F.col("sentence") == F.col("top.sentence")))
                    .dropDuplicates(["sentence"]).select("doc", "sentence", "toxic", "features"))
-        train = clean.unionByName(witness).withColumn("x", array_to_vector("features")).cache()
+        train = clean.unionByName(witness).withColumn("x", array_to_vector("features")).coalesce(cfg.fit_parts).cache()
         counts = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         if len(counts) < 2:
             train.unpersist()
             return None
         train = train.withColumn("weight", F.when(F.col("toxic") == 1, counts[0] / counts[1]).otherwise(1.0))
         svm = LinearSVC(featuresCol="x", labelCol="toxic", weightCol="weight", regParam=cfg.penalty,
-                        standardization=False, maxIter=50).fit(train)
+                        standardization=False, maxIter=40).fit(train)
         train.unpersist()
         weights, intercept = svm.coefficients.toArray(), float(svm.intercept)
     docs = rows.groupBy("doc", "toxic").agg(F.max(_margin(weights, intercept)).alias("margin"))
