@@ -57,4 +57,13 @@ PAGES = [
     f'<div class="ad">{_say("-", 11)}</div>{_p(4)}<aside>{_say("-", 18)}</aside>{_p(52)}'
     f'<footer><p>{_say("-", 9)}</p></footer></article>'
     f'<div class="newsletter"><p>{_say("-", 16)}</p></div><footer><p>{_say("-", 90)}</p></footer>',
+    # pages cut off inside the article, and articles that are the whole page
+    f'<nav><ul>{_links(3)}</ul></nav><article><h1>{_say("+", 5, "")}</h1>{_p(44)}<p>{_say("+", 2, "")}',
+    f'<article><p>{_say("+", 1, "")}</p></article>',
+    f'<article>{_p(3)}{_p(2)}{_p(50)}{_p(1)}</article>',
+    f'<main><p>{_say("+", 4)}</p></main>',
+    f'<div class="ad">{_say("-", 6)}</div><article>{_p(2)}</article>',
+    f'<article>{_p(60)}<p>{_say("+", 9)}</p></article><footer>{_say("-", 7)}</footer>',
+    f'<div>{_say("-", 3, "")}</div>',
+    f'<ul>{_links(3, 2)}</ul><div>{_say("-", 5)}</div>',
 ]
