@@ -1,7 +1,10 @@
 import os
+import sys
 
 import pytest
 
+sys.path.insert(0, os.path.dirname(__file__))
+
 SF = "/root/testdata/sf0.001"
 
 
