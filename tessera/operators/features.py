@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..config import FeatureOverrides, Imputation, PreprocessingConfig, PreprocessingError
 from ..functions.columns import as_double, is_infinite, is_numeric_type, kind_of
+from ..functions.schema import schema_diff
 from .quantile import IN_MEMORY_LIMIT, exact_medians
 
 FEATURES_COL = "features"
@@ -39,47 +40,38 @@ class FeatureSchema:
     categorical: tuple[str, ...]
 
 
+# Role by column kind; kinds without a role need explicit feature engineering.
+ROLE_OF_KIND = {"integer": "numeric", "float": "numeric", "boolean": "categorical", "string": "categorical"}
+
+
 def infer_feature_schema(
     df: DataFrame, features: list[str], overrides: FeatureOverrides | None = None
 ) -> FeatureSchema:
-    """numeric types -> numeric; boolean/string -> categorical."""
-    if not features:
-        raise PreprocessingError("No feature columns were given.")
-    if len(set(features)) != len(features):
-        raise PreprocessingError("Feature names repeat.")
-    if any(not str(n).strip() for n in features):
-        raise PreprocessingError("A feature name is blank.")
-    ov = overrides or FeatureOverrides()
-    unknown = sorted((set(ov.numeric) | set(ov.categorical)) - set(features))
-    if unknown:
-        raise PreprocessingError(
-            "Role overrides name unknown columns: " + ", ".join(repr(n) for n in unknown) + "."
-        )
-    fields = {f.name: f.dataType for f in df.schema.fields}
-    numeric, categorical, unsupported = [], [], []
-    for name in features:
-        dtype = fields[name]
-        kind = kind_of(dtype)
-        if name in ov.numeric:
-            if not is_numeric_type(dtype):
-                raise PreprocessingError(
-                    f"Feature {name!r} was forced numeric but has type {dtype.simpleString()}."
-                )
-            numeric.append(name)
-        elif name in ov.categorical or kind == "boolean":
-            categorical.append(name)
-        elif kind in ("integer", "float"):
-            numeric.append(name)
-        elif kind == "string":
-            categorical.append(name)
-        else:
-            unsupported.append(f"{name!r} ({dtype.simpleString()})")
-    if unsupported:
-        raise PreprocessingError(
-            "Unsupported feature types (derive numeric or text columns from them first): "
-            + ", ".join(unsupported) + "."
-        )
-    return FeatureSchema(tuple(features), tuple(numeric), tuple(categorical))
+    """a role for every feature, from its override or else its type.
+
+    All problems are reported at once: no, blank, repeated or unknown names,
+    overrides of columns that are not features, numeric overrides of columns
+    that are not numeric, and types without a role.
+    """
+    given = (overrides or FeatureOverrides()).roles()
+    types = dict(zip(df.columns, (f.dataType for f in df.schema.fields)))
+    problems = ["no features are given"] if not features else []
+    names = schema_diff(features)
+    problems += names.problems()
+    problems += [f"unknown feature {n!r}" for n in features if n not in types]
+    problems += [f"override of unknown feature {n!r}" for n in given if n not in features]
+    roles = {}
+    for name in (n for n in features if n in types):
+        dtype = types[name]
+        roles[name] = given.get(name) or ROLE_OF_KIND.get(kind_of(dtype))
+        if roles[name] is None:
+            problems.append(f"Unsupported type {dtype.simpleString()} of {name!r}: derive numeric or text columns")
+        elif given.get(name) == "numeric" and not is_numeric_type(dtype):
+            problems.append(f"{name!r} was forced numeric but has type {dtype.simpleString()}")
+    if problems:
+        raise PreprocessingError("Features: " + "; ".join(problems) + ".")
+    held = lambda role: tuple(n for n in features if roles[n] == role)
+    return FeatureSchema(tuple(features), held("numeric"), held("categorical"))
 
 
 @dataclass

@@ -17,38 +17,53 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from dataclasses import dataclass
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import CsvFormatError, DatasetError, TableSpec
+from ..config import CsvFormatError, DatasetError, Ruled, TableSpec, must
 from ..functions.digest import table_fingerprint
+from ..functions.schema import schema_diff
 
-DEFAULT_MAX_BYTES = 100 * 1024 * 1024
-# Encoding aliases Spark does not accept.
-ENCODING_ALIASES = {"latin-1": "ISO-8859-1", "latin1": "ISO-8859-1", "utf-8-sig": "UTF-8", "utf8": "UTF-8"}
+INTEGER = r"^[+-]?[0-9]+$"
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(?i:inf|infinity)$"
+# Encoding names Spark spells differently, and the texts that
+# stand for a missing value.
+ENCODING_ALIASES = {"latin-1": "ISO-8859-1", "latin1": "ISO-8859-1", "utf-8-sig": "UTF-8", "utf8": "UTF-8",
+                    "ascii": "US-ASCII", "us-ascii": "US-ASCII"}
+MISSING_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+                  "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
 @dataclass(frozen=True)
-class CsvOptions:
-    encoding: str = "utf-8-sig"
-    delimiter: str = ","
-    max_file_size_bytes: int | None = DEFAULT_MAX_BYTES
-
-    def __post_init__(self) -> None:
-        if not isinstance(self.encoding, str) or not self.encoding.strip():
-            raise CsvFormatError("CSV encoding must not be blank.")
-        if not isinstance(self.delimiter, str) or len(self.delimiter) != 1 or self.delimiter in "\r\n":
-            raise CsvFormatError("CSV delimiter must be one character other than a newline.")
-        if self.max_file_size_bytes is not None and self.max_file_size_bytes <= 0:
-            raise CsvFormatError("Maximum file size must be positive.")
+class CsvOptions(Ruled):
+    """``max_file_size_bytes`` is an opt-in limit on the input's total size.
+    ``multiline`` reads quoted fields that hold line breaks; a file then
+    cannot be split between tasks."""
+
+    error: ClassVar[type] = CsvFormatError
+    encoding: str = must("utf-8-sig", "an encoding name", lambda v: type(v) is str and bool(v.strip()))
+    delimiter: str = must(",", "one character other than a line end",
+                          lambda v: type(v) is str and len(v) == 1 and v not in "\r\n")
+    max_file_size_bytes: int | None = must(None, "None or a positive integer",
+                                           lambda v: v is None or type(v) is int and v > 0)
+    multiline: bool = must(False, "True or False", lambda v: type(v) is bool)
 
     @property
     def spark_encoding(self) -> str:
         return ENCODING_ALIASES.get(self.encoding.lower(), self.encoding)
 
+    def reader(self, spark: SparkSession):
+        """The reader that every step of a load shares: quotes inside a quoted
+        field are doubled, a backslash is an ordinary character."""
+        return (spark.read.option("header", True).option("sep", self.delimiter)
+                .option("encoding", self.spark_encoding).option("quote", '"').option("escape", '"')
+                .option("multiLine", self.multiline))
+
 
 def total_bytes(spark: SparkSession, path: str) -> int:
     """Size of the input files from file-system metadata (no data read)."""
@@ -58,6 +73,17 @@ def total_bytes(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(hpath).getLength())
 
 
+def _modified(spark: SparkSession, path: str) -> int:
+    """Latest modification time of the input files (metadata only)."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = fs.listFiles(hpath, True)
+    latest = 0
+    while files.hasNext():
+        latest = max(latest, files.next().getModificationTime())
+    return latest
+
+
 def file_headers(spark: SparkSession, path: str, options: CsvOptions) -> DataFrame:
     """First line of every input file: ``(file_path, header_line)``.
 
@@ -85,19 +111,7 @@ def read_header(spark: SparkSession, path: str, options: CsvOptions) -> list[str
         raise CsvFormatError(f"Input files have {len(distinct)} different header lines.")
     line = distinct.pop()
     names = next(csv.reader(io.StringIO(line), delimiter=options.delimiter), [])
-    problems = []
-    blank = [i + 1 for i, n in enumerate(names) if not n.strip()]
-    if blank:
-        problems.append(f"blank column names at positions {blank}")
-    seen, dups = set(), []
-    for n in names:
-        if n in seen and n not in dups:
-            dups.append(n)
-        seen.add(n)
-    if dups:
-        problems.append(f"duplicate column names {dups}")
-    if any("\0" in n for n in names):
-        problems.append("NUL characters in column names")
+    problems = schema_diff(names).problems()
     if problems:
         raise CsvFormatError("Invalid CSV header: " + "; ".join(problems) + ".")
     return names
@@ -109,9 +123,7 @@ def structure_audit(spark: SparkSession, path: str, header: list[str], options:
         [T.StructField(n, T.StringType()) for n in header] + [T.StructField("__corrupt", T.StringType())]
     )
     rows = (
-        spark.read.schema(schema)
-        .option("header", True).option("sep", options.delimiter)
-        .option("encoding", options.spark_encoding).option("mode", "PERMISSIVE")
+        options.reader(spark).schema(schema).option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "__corrupt").option("enforceSchema", True)
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         .csv(path)
@@ -119,8 +131,10 @@ def structure_audit(spark: SparkSession, path: str, header: list[str], options:
     has_nul = F.lit(False)
     for n in header:
         has_nul = has_nul | F.coalesce(F.contains(F.col(f"`{n}`"), F.lit("\0")), F.lit(False))
-    # Field count of a rejected line (only used to name the reason).
-    fields = F.size(F.split(F.col("__corrupt"), F.lit(options.delimiter), -1))
+    # Field count of a rejected line (only used to name the reason): delimiters
+    # outside quotes, after complete quoted fields are taken out.
+    bare = F.regexp_replace(F.col("__corrupt"), '"(?:[^"]|"")*+"', "")
+    fields = F.size(F.split(bare, F.lit(re.escape(options.delimiter)), -1))
     bad = F.col("__corrupt").isNotNull()
     reason = (
         F.when(bad & (fields < len(header)), "too few fields")
@@ -135,34 +149,47 @@ def structure_audit(spark: SparkSession, path: str, header: list[str], options:
     )
 
 
-def encoding_audit(spark: SparkSession, path: str) -> DataFrame:
-    """Files that are not valid UTF-8 (one row per bad file).
+def encoding_audit(spark: SparkSession, path: str, options: CsvOptions | None = None) -> DataFrame:
+    """Files that are not valid in the declared encoding (one row per file).
 
-    The text reader keeps each line's raw bytes, so ``is_valid_utf8`` per
-    line is exact; files are split and checked in parallel like any scan
-    (a newline byte never occurs inside a multi-byte UTF-8 sequence).
+    For UTF-8 the text reader keeps each line's raw bytes, so
+    ``is_valid_utf8`` per line is exact.  Other encodings are decoded
+    strictly: a byte the encoding does not have comes out as U+FFFD.  Files
+    are split and checked in parallel like any scan.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
-    return lines.filter(~F.is_valid_utf8(F.col("value"))).select("path").distinct()
+    encoding = (options or CsvOptions()).spark_encoding
+    if encoding.upper() == "UTF-8":
+        lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+        bad = ~F.is_valid_utf8(F.col("value"))
+    else:
+        plain = (spark.read.schema("value string").option("encoding", encoding).option("sep", "\x01")
+                 .option("quote", "").csv(path))
+        lines = plain.select(F.col("_metadata.file_path").alias("path"), "value")
+        bad = F.contains(F.col("value"), F.lit("\ufffd"))
+    return lines.filter(bad).select("path").distinct()
 
 
 def _typed(spark: SparkSession, path: str, options: CsvOptions, header: list[str]) -> DataFrame:
-    """Inferred types, with dates/timestamps kept as text."""
-    reader = (
-        spark.read.option("header", True).option("sep", options.delimiter)
-        .option("encoding", options.spark_encoding).option("inferSchema", True)
-        .option("positiveInf", "inf").option("negativeInf", "-inf").option("nanValue", "NaN")
-        .option("preferDate", False)
-    )
-    inferred = reader.csv(path)
-    datetime_types = (T.DateType, T.TimestampType, T.TimestampNTZType)
-    if not any(isinstance(f.dataType, datetime_types) for f in inferred.schema.fields):
-        return inferred
-    fixed = T.StructType([
-        T.StructField(f.name, T.StringType() if isinstance(f.dataType, datetime_types) else f.dataType)
-        for f in inferred.schema.fields
-    ])
-    return reader.option("inferSchema", False).schema(fixed).csv(path)
+    """Inferred types.  Missing tokens become NULL before inference, so
+    they do not turn a numeric column into text; dates stay text."""
+    text = T.StructType([T.StructField(n, T.StringType()) for n in header])
+    raw = options.reader(spark).schema(text).option("enforceSchema", True).option("nullValue", "").csv(path)
+    fields = [F.col(f"`{n}`") for n in header]
+    clean = raw.select(*[F.when(~F.trim(c).isin(*MISSING_TOKENS), c).alias(n) for c, n in zip(fields, header)])
+    # One aggregation: the number of values of each column that each type can hold.
+    fits = []
+    for i, c in enumerate(fields):
+        fits.append(F.count(c).alias(f"all_{i}"))
+        fits.append(F.count_if(F.lower(F.trim(c)).isin("true", "false")).alias(f"boolean_{i}"))
+        for kind, form in (("int", INTEGER), ("bigint", INTEGER), ("double", NUMBER)):
+            fits.append(F.count_if(F.trim(c).rlike(form) & c.try_cast(kind).isNotNull()).alias(f"{kind}_{i}"))
+    seen = clean.agg(*fits).first()
+    out = []
+    for i, (c, n) in enumerate(zip(fields, header)):
+        kind = next((k for k in ("int", "bigint", "double", "boolean")
+                     if seen[f"all_{i}"] and seen[f"{k}_{i}"] == seen[f"all_{i}"]), "string")
+        out.append(c.cast(kind).alias(n))
+    return clean.select(*out)
 
 
 def load_csv(
@@ -183,35 +210,35 @@ def load_csv(
     type would silently become NULL.
     """
     opts = options or CsvOptions()
-    if opts.max_file_size_bytes is not None:
-        size = total_bytes(spark, path)
-        if size > opts.max_file_size_bytes:
-            raise CsvFormatError(f"CSV input is {size} bytes; the limit is {opts.max_file_size_bytes}.")
+    before = (total_bytes(spark, path), _modified(spark, path))
+    if opts.max_file_size_bytes is not None and before[0] > opts.max_file_size_bytes:
+        raise CsvFormatError(f"CSV input is {before[0]} bytes; the limit is {opts.max_file_size_bytes}.")
     header = read_header(spark, path, opts)
     if strict:
-        if opts.spark_encoding.upper() == "UTF-8":
-            bad = encoding_audit(spark, path).limit(1).collect()
-            if bad:
-                raise CsvFormatError(f"File {bad[0]['path']} is not valid UTF-8.")
+        bad = encoding_audit(spark, path, opts).limit(1).collect()
+        if bad:
+            raise CsvFormatError(f"File {bad[0]['path']} is not valid {opts.spark_encoding}.")
         problems = structure_audit(spark, path, header, opts).collect()
         if problems:
             text = "; ".join(f"{r['reason']}: {r['rows']} rows" for r in sorted(problems, key=lambda r: r["reason"]))
             raise CsvFormatError(f"Invalid CSV rows: {text}.")
+    if opts.reader(spark).csv(path).columns != header:  # S8
+        raise CsvFormatError("Parsed columns do not match the validated header.")
     if schema is not None:
-        df = (spark.read.schema(schema).option("header", True).option("sep", opts.delimiter)
-              .option("encoding", opts.spark_encoding).option("mode", "FAILFAST")
-              .option("positiveInf", "inf").option("negativeInf", "-inf").option("nanValue", "NaN")
-              .csv(path))
+        df = (opts.reader(spark).schema(schema).option("mode", "FAILFAST").option("positiveInf", "inf")
+              .option("negativeInf", "-inf").option("nanValue", "NaN").csv(path))
+        if df.columns != header:
+            raise CsvFormatError("The given schema does not name the header's columns.")
     else:
         df = _typed(spark, path, opts, header)
-    if list(df.columns) != header:  # S8
-        raise CsvFormatError("Parsed columns do not match the validated header.")
     if df.isEmpty():
         raise CsvFormatError("CSV file contains no data rows.")
     if target is not None and (not target.strip() or target not in df.columns):  # V2
         raise DatasetError(f"Target column {target!r} not found; available columns: {', '.join(df.columns)}.")
     spec = TableSpec(target=target, key=tuple(key or ()), source=path,
-                     fingerprint=table_fingerprint(df), fields=tuple(df.columns))
+                     fingerprint=table_fingerprint(df), fields=tuple(df.columns), columns=tuple(df.dtypes))
+    if (total_bytes(spark, path), _modified(spark, path)) != before:  # S10
+        raise DatasetError(f"{path} changed while it was being loaded.")
     return df, spec
 
 

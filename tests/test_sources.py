@@ -86,3 +86,40 @@ def test_explicit_schema_skips_inference(spark, scratch):
     path = write(scratch, "typed.csv", b"x,target\n1.5,a\n2.5,b\n")
     df, _ = load_csv(spark, path, target="target", schema="x double, target string")
     assert dict(df.dtypes) == {"x": "double", "target": "string"} and df.count() == 2
+
+
+def test_quotes_backslashes_and_missing_tokens(spark, scratch):
+    text = 'note,n,target\n"say ""hi"", ok",1.5,a\n"ends in \\",NA,b\nplain,nan,a\n"a,b",2.5,b\n'
+    path = write(scratch, "quoted.csv", text.encode())
+    df, _ = load_csv(spark, path, target="target")
+    assert dict(df.dtypes) == {"note": "string", "n": "double", "target": "string"}
+    rows = {(r["note"], r["n"]) for r in df.collect()}
+    assert rows == {('say "hi", ok', 1.5), ("ends in \\", None), ("plain", None), ("a,b", 2.5)}
+
+
+def test_quoted_line_break_needs_multiline(spark, scratch):
+    path = write(scratch, "broken.csv", b'note,target\n"two\nlines",a\none,b\n')
+    with pytest.raises(CsvFormatError):
+        load_csv(spark, path, target="target")
+    df, _ = load_csv(spark, path, target="target", options=CsvOptions(multiline=True))
+    assert sorted(r["note"] for r in df.collect()) == ["one", "two\nlines"]
+
+
+def test_pipe_delimiter_names_short_rows(spark, scratch):
+    path = write(scratch, "pipe.csv", b"a|b\n1|2\n3\n")
+    with pytest.raises(CsvFormatError, match="too few"):
+        load_csv(spark, path, target="a", options=CsvOptions(delimiter="|"))
+
+
+def test_bytes_outside_a_declared_encoding(spark, scratch):
+    path = write(scratch, "ascii.csv", b"a,b\n1,caf\xe9\n")
+    with pytest.raises(CsvFormatError, match="US-ASCII"):
+        load_csv(spark, path, target="a", options=CsvOptions(encoding="ascii"))
+    df, _ = load_csv(spark, path, target="a", options=CsvOptions(encoding="latin-1"))
+    assert df.first()["b"] == "café"
+
+
+def test_types_come_from_every_value(spark, scratch):
+    path = write(scratch, "types.csv", b"i,l,d,t,x\n1,1,1,true,1d\n2,9999999999,2.5e3,False,2\n,,.5,,3\n")
+    df, _ = load_csv(spark, path, target="i")
+    assert dict(df.dtypes) == {"i": "int", "l": "bigint", "d": "double", "t": "boolean", "x": "string"}
