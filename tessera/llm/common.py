@@ -178,13 +178,17 @@ def fold_case(data: np.ndarray) -> np.ndarray:
 
 
 class ScoreCache:
-    """Scores of distinct tokens by hash, kept in a task's Python process; it
-    starts anew when full, so its size is bounded."""
+    """Scores of distinct tokens by hash, kept in a task's Python process.
 
-    def __init__(self, width: int, limit: int = 600_000) -> None:
-        self.width, self.limit = width, limit
+    Its size is bounded: when it is full it keeps what it has, which the
+    frequent tokens are among.  Scores are rounded to ``dtype`` whether they
+    are kept or not, so a token's score never depends on the cache.
+    """
+
+    def __init__(self, width: int, limit: int = 1_000_000, dtype: type = np.float32) -> None:
+        self.width, self.limit, self.dtype = width, limit, dtype
         self.keys = np.zeros(0, np.uint64)
-        self.values = np.zeros((0, width), np.float32)
+        self.values = np.zeros((0, width), dtype)
 
     def get(self, keys: np.ndarray, score) -> np.ndarray:
         """Rows for ``keys``; ``score(index)`` gives those of unknown keys,
@@ -194,16 +198,15 @@ class ScoreCache:
         known = np.zeros(len(distinct), dtype=bool)
         inside = at < len(self.keys)
         known[inside] = self.keys[at[inside]] == distinct[inside]
-        out = np.zeros((len(distinct), self.width), np.float32)
+        out = np.zeros((len(distinct), self.width), self.dtype)
         out[known] = self.values[at[known]]
-        new = ~known
-        if new.any():
+        new = np.flatnonzero(~known)
+        if len(new):
             out[new] = score(first[new])
-            if len(self.keys) + int(new.sum()) > self.limit:
-                self.keys, self.values = distinct, out
-            else:
-                self.keys = np.concatenate([self.keys, distinct[new]])
-                self.values = np.concatenate([self.values, out[new]])
+            room = new[:max(0, self.limit - len(self.keys))]
+            if len(room):
+                self.keys = np.concatenate([self.keys, distinct[room]])
+                self.values = np.concatenate([self.values, out[room]])
                 order = np.argsort(self.keys, kind="stable")
                 self.keys, self.values = self.keys[order], self.values[order]
         return out[inverse.reshape(-1)]

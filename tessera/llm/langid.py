@@ -172,12 +172,14 @@ _GUESS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lan
 def train_model(labelled: DataFrame, cfg: LangConfig = LangConfig()) -> ContextModel:
     """Context statistics of every language in ``labelled`` (doc_id, text,
     lang); null texts and languages teach nothing.  Counting runs in Spark;
-    the summed counts of the bounded sample come to the driver."""
+    one total a language and the summed counts of the bounded sample come to
+    the driver."""
     known = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    volume = known.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
-    share = volume.select("lang", (F.lit(cfg.sample_bytes) / F.greatest("bytes", F.lit(1))).alias("share"))
+    volume = known.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()
+    shares = [x for r in volume for x in (F.lit(r["lang"]), F.lit(cfg.sample_bytes / max(r["bytes"], 1)))]
     spot = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
-    picked = known.join(share, "lang").where(spot < F.col("share")).select("lang", "text")
+    share = F.create_map(*shares)[F.col("lang")] if shares else F.lit(0.0)
+    picked = known.where(spot < share).select("lang", "text")
     order = cfg.order
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

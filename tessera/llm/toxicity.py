@@ -33,8 +33,8 @@ class ToxicConfig:
     ``fit_parts``: partitions of the bounded sample while it is fitted."""
 
     sample_docs: int = 1000
-    telling: int = 24
-    common: int = 8
+    telling: int = 20
+    common: int = 4
     alike: float = 0.6
     order: int = 3
     decay: float = 0.7
@@ -105,27 +105,35 @@ def _matrix(strings: list[bytes]) -> np.ndarray:
     return out
 
 
-def subsequence_kernel(a: np.ndarray, t: bytes, order: int, decay: float) -> np.ndarray:
-    """Sum over common subsequences of exactly ``order`` letters of
-    decay^(span in a + span in t), for every zero-padded row of ``a``."""
-    target = np.frombuffer(t, dtype=np.uint8)
-    n, m = len(a), len(target)
-    up = (decay ** np.arange(m)).astype(np.float32)
-    down = (decay ** -np.arange(m, dtype=np.float64)).astype(np.float32)
-    prime = [np.zeros((n, m), np.float32) for _ in range(order)]  # K'_l up to each letter of t
+def _common(a: np.ndarray, target: np.ndarray, order: int, decay: float) -> np.ndarray:
+    """Kernel of every column of ``a`` (letters x strings, 0 after the end)
+    with the same column of ``target`` (or its only column)."""
+    m, n = len(target), a.shape[1]
+    step, square = np.float32(decay), np.float32(decay * decay)
+    prime = [np.zeros((m, n), np.float32) for _ in range(order)]  # K'_l up to each target letter
     prime[0][:] = 1
-    square = np.float32(decay * decay)
     total = np.zeros(n, np.float32)
-    for x in a.T:
-        match = (x[:, None] == target) * square
-        total += (match * prime[order - 1]).sum(axis=1)
+    run = np.empty(n, np.float32)
+    for x in a:
+        match = ((x == target) & (x != 0)) * square
+        total += (match * prime[order - 1]).sum(axis=0)
         for level in range(order - 1, 0, -1):
-            gained = match[:, :-1] * prime[level - 1][:, :-1]
-            prime[level] *= np.float32(decay)
-            prime[level][:, 1:] += np.cumsum(gained * down[:-1], axis=1) * up[:-1]
+            gained = match[:-1] * prime[level - 1][:-1]
+            prime[level] *= step
+            run[:] = 0
+            for j in range(1, m):
+                run *= step
+                run += gained[j - 1]
+                prime[level][j] += run
     return total
 
 
+def subsequence_kernel(a: np.ndarray, t: bytes, order: int, decay: float) -> np.ndarray:
+    """Sum over common subsequences of exactly ``order`` letters of
+    decay^(span in a + span in t), for every zero-padded row of ``a``."""
+    return _common(np.ascontiguousarray(a.T), np.frombuffer(t, dtype=np.uint8)[:, None], order, decay)
+
+
 def normalised_kernel(strings: list[bytes], landmarks: list[bytes], cfg: ToxicConfig) -> np.ndarray:
     """Kernel of every string with every landmark over their own kernels'
     geometric mean, to the given power; strings of fewer than ``order``
@@ -133,40 +141,19 @@ def normalised_kernel(strings: list[bytes], landmarks: list[bytes], cfg: ToxicCo
     out = np.zeros((len(strings), len(landmarks)), np.float32)
     own = np.zeros(len(strings))
     lengths = np.array([len(s) for s in strings])
-    for i in np.flatnonzero(lengths >= cfg.order):
-        own[i] = 0  # filled below, block by block
     order = np.argsort(lengths, kind="stable")
-    for lo in range(0, len(order), 2048):
-        rows = order[lo:lo + 2048]
+    for lo in range(0, len(order), 8192):
+        rows = order[lo:lo + 8192]
         block = _matrix([strings[i] for i in rows])
         for j, t in enumerate(landmarks):
             out[rows, j] = subsequence_kernel(block, t, cfg.order, cfg.decay)
-        own[rows] = _self_kernel(block, cfg)
+        letters = np.ascontiguousarray(block.T)
+        own[rows] = _common(letters, letters, cfg.order, cfg.decay)
     theirs = np.array([float(subsequence_kernel(_matrix([t]), t, cfg.order, cfg.decay)[0]) for t in landmarks])
     scale = np.sqrt(np.maximum(own[:, None] * theirs[None, :], 1e-12))
     return np.where(own[:, None] > 0, out / scale, 0) ** cfg.power
 
 
-def _self_kernel(block: np.ndarray, cfg: ToxicConfig) -> np.ndarray:
-    """Kernel of every zero-padded row with itself."""
-    n, m = block.shape
-    square = np.float32(cfg.decay ** 2)
-    prime = [np.zeros((n, m), np.float32) for _ in range(cfg.order)]
-    prime[0][:] = 1
-    up = (cfg.decay ** np.arange(m)).astype(np.float32)
-    down = (cfg.decay ** -np.arange(m, dtype=np.float64)).astype(np.float32)
-    total = np.zeros(n, np.float32)
-    for i in range(m):
-        x = block[:, i:i + 1]
-        match = ((x == block) & (x != 0)) * square
-        total += (match * prime[cfg.order - 1]).sum(axis=1)
-        for level in range(cfg.order - 1, 0, -1):
-            gained = match[:, :-1] * prime[level - 1][:, :-1]
-            prime[level] *= np.float32(cfg.decay)
-            prime[level][:, 1:] += np.cumsum(gained * down[:-1], axis=1) * up[:-1]
-    return total
-
-
 def windowed(strings: list[bytes], width: int) -> tuple[list[bytes], np.ndarray]:
     """Strings longer than ``width`` as half-overlapping windows; (windows,
     index of the string each belongs to)."""
@@ -204,7 +191,7 @@ class KernelMap:
     def sentences(self, values: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
         """Features of ``n`` sentences from their units' kernel values, given
         in order of ``sentence``."""
-        out = np.zeros((n, len(self.landmarks)))
+        out = np.zeros((n, len(self.landmarks)), np.float32)
         if len(sentence):
             lead = np.flatnonzero(np.append(True, sentence[1:] != sentence[:-1]))
             out[sentence[lead]] = np.maximum.reduceat(values, lead, axis=0)
@@ -246,7 +233,7 @@ def sentence_features(data: np.ndarray, offsets: np.ndarray, kernel: KernelMap,
     starts, ends, sentence, rows = units(folded, offsets)
     if name not in _caches:
         _caches.clear()
-        _caches[name] = ScoreCache(len(kernel.landmarks), 300_000)
+        _caches[name] = ScoreCache(len(kernel.landmarks), dtype=np.float16)
     values = np.zeros((0, len(kernel.landmarks)))
     hashes = span_hashes(folded, starts, ends)
     if len(starts):
