@@ -54,11 +54,18 @@ def _codes(text: str) -> np.ndarray:
 
 # --- exact edit search ---------------------------------------------------------
 
-def best_match(pattern: str, text: str) -> tuple[int, int, int]:
+def _grams(text: str, q: int) -> list[str]:
+    return [text[i:i + q] for i in range(len(text) - q + 1)]
+
+
+def best_match(pattern: str, text: str, most: int | None = None) -> tuple[int, int, int] | None:
     """(edits, start, end) of the part of ``text`` nearest to ``pattern`` in
     edit distance; the leftmost end wins, then the nearest start (Myers'
-    bit-parallel search forwards, then backwards from the end)."""
+    bit-parallel search forwards, then backwards from the end).  None if that
+    takes more than ``most`` edits."""
     edits, end = _search(pattern, text, False)
+    if most is not None and edits > most:
+        return None
     back, length = _search(pattern[::-1], text[:end][::-1], True)
     assert back == edits
     return edits, end - length, end
@@ -124,12 +131,11 @@ class LeakIndex:
                 held[gram_codes(t, q)] = True
         data = np.concatenate([np.append(t, np.uint8(0)) for t in texts])
         starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-        member = np.zeros((len(self.bounds), len(texts)), dtype=bool)
-        for c, (a, b) in enumerate(self.bounds):
-            member[c, a:b] = True
+        member = {c: np.arange(a, b) for c, (a, b) in enumerate(self.bounds)}
+        self.own_grams = [frozenset(_grams(t, min(cfg.grams))) for _, t in self.items]
         self.tables: list[tuple[np.ndarray, np.ndarray]] = []  # sorted keys and their items, for each walk
         for walk in range(cfg.walks):
-            keys, item = self.embed(data, starts, walk, dict(enumerate(member)))
+            keys, item = self.embed(data, starts, walk, member)
             order = np.argsort(keys, kind="stable")
             self.tables.append((keys[order], item[order]))
 
@@ -137,8 +143,8 @@ class LeakIndex:
               ) -> tuple[np.ndarray, np.ndarray]:
         """CGK walk from every start: step j emits the current character and
         advances by a random bit that depends on j and that character.  Gives
-        (key, number of the start) for every sample of every class in which
-        the start is alive; a key holds its class and sample."""
+        (key, number of the start) for every sample of every class and each
+        of its starts in ``alive``; a key holds its class and sample."""
         wanted = np.unique(np.concatenate([self.positions[c].ravel() for c in alive]))
         out = np.zeros((len(wanted), len(starts)), dtype=np.uint8)
         at = starts.astype(np.int64)
@@ -151,8 +157,7 @@ class LeakIndex:
                 column += 1
             at += bits[j][here]
         keys, owner = [], []
-        for c, mask in alive.items():
-            own = np.flatnonzero(mask)
+        for c, own in alive.items():
             rows = np.searchsorted(wanted, self.positions[c])
             for s in range(self.cfg.samples):
                 key = np.full(len(own), c * self.cfg.samples + s + 1, dtype=np.uint64)
@@ -185,27 +190,29 @@ def find_leaks(texts: list[str], index: LeakIndex) -> list[tuple[int, int, int,
     data = np.concatenate(parts)
     space = (data == 32) | (data == 0)
     starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
-    # windows that hold enough q-grams of any item for the allowed edits (exact bounds)
-    hits = {}
-    for q, held in index.grams.items():
-        hits[q] = np.zeros(len(data) + 1, dtype=np.int32)
-        known = held[gram_codes(data, q)]
-        np.cumsum(known, out=hits[q][1:len(known) + 1])
-        hits[q][len(known) + 1:] = hits[q][len(known)]
+    # windows that hold enough q-grams of any item for the allowed edits (exact
+    # bounds); the longest q-grams are the rarest and go first
+    reach = max(lo + slack for lo, slack in zip(index.shortest, index.slack))
+    hits = []
+    for q in sorted(index.grams, reverse=True):
+        known = index.grams[q][gram_codes(data, q)]
+        total = np.zeros(len(data) + 1 + reach, dtype=np.int32)
+        np.cumsum(known, out=total[1:len(known) + 1])
+        total[len(known) + 1:] = total[len(known)]
+        hits.append((index.floor[q], total, total[starts]))
     alive = {}
-    before = {q: h[starts] for q, h in hits.items()}
     for c, (lo, slack) in enumerate(zip(index.shortest, index.slack)):
-        ends = np.minimum(starts + lo + slack, len(data))
-        live = np.ones(len(starts), dtype=bool)
-        for q, h in hits.items():
-            live &= h[ends] - before[q] >= index.floor[q][c]
-        if live.any():
+        (floor, total, before), *others = hits
+        live = np.flatnonzero(total[lo + slack:][starts] - before >= floor[c])
+        for floor, total, before in others:
+            live = live[total[lo + slack:][starts[live]] - before[live] >= floor[c]]
+        if len(live):
             alive[c] = live
     if not alive:
         return []
-    union = np.logical_or.reduce(list(alive.values()))
+    union = np.unique(np.concatenate(list(alive.values())))
     chosen = starts[union]
-    inside = {c: live[union] for c, live in alive.items()}
+    inside = {c: np.searchsorted(union, live) for c, live in alive.items()}
     found: dict[tuple[int, int], set[int]] = {}
     for walk, (have, who) in enumerate(index.tables):
         keys, owner = index.embed(data, chosen, walk, inside)
@@ -222,10 +229,15 @@ def find_leaks(texts: list[str], index: LeakIndex) -> list[tuple[int, int, int,
         item_id, pattern = index.items[item]
         best = None
         slack = cfg.edits(len(pattern))
+        q = min(cfg.grams)
         for lo, hi in _regions(sorted(at), len(pattern), slack):
-            edits, start, end = best_match(pattern, texts[doc][lo:hi])
-            if edits <= slack and (best is None or edits < best[0]):
-                best = (edits, lo + start, lo + end)
+            part = texts[doc][lo:hi]
+            shared = len(index.own_grams[item].intersection(_grams(part, q)))
+            if shared < len(index.own_grams[item]) - q * slack:  # each edit destroys at most q
+                continue
+            found_here = best_match(pattern, part, slack if best is None else best[0] - 1)
+            if found_here:
+                best = (found_here[0], lo + found_here[1], lo + found_here[2])
         if best:
             leaks.append((doc, item_id, *best))
     return leaks
