@@ -20,9 +20,21 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
 
 
+def _six_decimals(df: DataFrame) -> DataFrame:
+    """Doubles rounded for the comparison; the operators return full values."""
+    def shown(name: str, kind: str) -> F.Column:
+        if kind == "double":
+            return F.round(name, 6).alias(name)
+        if kind == "array<double>":
+            return F.transform(name, lambda v: F.round(v, 6)).alias(name)
+        return F.col(name)
+    return df.select(*[shown(n, k) for n, k in df.dtypes])
+
+
 def register(name: str, sql: str | None = None):
     def wrap(fn: QueryFn) -> QueryFn:
-        REGISTRY[name] = (fn, sql)
+        rounded = sql is None or "round(" in sql
+        REGISTRY[name] = ((lambda spark, sf_dir: _six_decimals(fn(spark, sf_dir))) if rounded else fn, sql)
         return fn
 
     return wrap
@@ -104,7 +116,7 @@ def profile_columns_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------ splits and folds
 
 from .config import FoldConfig, SplitConfig, Task  # noqa: E402
-from .functions.digest import sql_digest  # noqa: E402
+from .functions.digest import sql_digest, sql_exact_text, sql_framed  # noqa: E402
 from .operators import checks as V  # noqa: E402
 from .operators import split as T  # noqa: E402
 
@@ -146,7 +158,7 @@ def sql_folds(source: str, key: str, target: str, k: int = 5, seed: int = 42) ->
 
 
 def sql_fold_snapshots(folded: str, key: str, k: int = 5) -> str:
-    token = "part || ':' || CAST(" + key + " AS VARCHAR)"
+    token = "part || ':' || " + sql_framed(f"CAST({key} AS VARCHAR)")
     return f"""
 SELECT CAST(fold_number AS INTEGER) AS fold_number,
        count(*) FILTER (WHERE part = 'train') AS train_rows,
@@ -227,7 +239,7 @@ def split_class_counts(spark, sf_dir):
 @register(
     "partition_digest",
     "SELECT count(*) AS rows, "
-    + sql_digest("part || ':' || CAST(event_id AS VARCHAR)")
+    + sql_digest("part || ':' || " + sql_framed("CAST(event_id AS VARCHAR)"))
     + " AS partition_sha256 FROM ("
     + sql_stratified("(SELECT event_id, event_type FROM events)", "event_id", "event_type") + ")",
 )
@@ -904,14 +916,41 @@ def final_fit_score(spark, sf_dir):
     return predict_frame(artifact, c.drop("c_mktsegment"), key=["c_custkey"])
 
 
-# ------------------------------------------------------ digests
+_REFIT = CV.CrossValidationConfig(
+    estimators=(E.DUMMY_CLASSIFIER, E.LOGISTIC_REGRESSION), folds=FoldConfig(fold_count=3),
+    preprocessing=PreprocessingConfig(Imputation.MEAN, scale_numeric=True),
+    overrides=FeatureOverrides(categorical=("c_nationkey",)))
 
-_ORDERS_TOKEN_SQL = (
-    "coalesce(CAST(o_orderkey AS VARCHAR), '\\N') || '|' || coalesce(CAST(o_custkey AS VARCHAR), '\\N') || '|' || "
-    "coalesce(o_orderstatus, '\\N') || '|' || "
-    "coalesce(CAST(CAST(round(o_totalprice * 1000000) AS BIGINT) AS VARCHAR), '\\N') || '|' || "
-    "coalesce(CAST(epoch_us(o_orderdate) AS VARCHAR), '\\N') || '|' || coalesce(o_orderpriority, '\\N')"
+
+@register(
+    "final_fit_stats",
+    """
+SELECT 'c_acctbal' AS column_name, 'numeric' AS role, round(avg(x), 6) AS fill, round(avg(coalesce(x, m)), 6) AS center,
+       round(stddev_pop(coalesce(x, m)), 6) AS scale, CAST(NULL AS BIGINT) AS categories
+FROM (SELECT x, avg(x) OVER () AS m FROM (
+  SELECT CASE WHEN c_custkey % 11 <> 0 THEN c_acctbal END AS x FROM customer))
+UNION ALL SELECT 'c_nationkey', 'categorical', NULL, NULL, NULL, count(DISTINCT c_nationkey) FROM customer
+UNION ALL SELECT 'c_name', 'categorical', NULL, NULL, NULL, count(DISTINCT c_name) FROM customer""",
 )
+def final_fit_stats(spark, sf_dir):
+    """Statistics of the all-row refit, with the mean imputation and
+    the forced role that the cross-validation record carries."""
+    c = table(spark, sf_dir, "customer").withColumn(
+        "c_acctbal", F.when(F.col("c_custkey") % 11 != 0, F.col("c_acctbal")))
+    record = CV.cross_validate(c, _REFIT, target="c_mktsegment", key=["c_custkey"]).record
+    stats = G.fit_selected_model(c, record, target="c_mktsegment", key=["c_custkey"]).stats
+    rows = [(n, "numeric", stats.fill[n], stats.center[n], stats.scale[n], None)
+            for n in stats.schema.numeric if n != "c_custkey"]
+    rows += [(n, "categorical", None, None, None, len(stats.categories[n])) for n in stats.schema.categorical]
+    return spark.createDataFrame(
+        rows, "column_name string, role string, fill double, center double, scale double, categories bigint")
+
+
+# ------------------------------------------------------ digests
+
+_ORDERS_TOKEN_SQL = " || ".join(sql_framed(x) for x in (
+    "CAST(o_orderkey AS VARCHAR)", "CAST(o_custkey AS VARCHAR)", "o_orderstatus", sql_exact_text("o_totalprice"),
+    "CAST(epoch_us(o_orderdate) AS VARCHAR)", "o_orderpriority"))
 
 
 @register("dataset_digest",
@@ -948,6 +987,18 @@ def identity_mismatch(spark, sf_dir):
     return spark.createDataFrame([(f,) for f in fields], "field string")
 
 
+@register(
+    "identity_mismatch_columns",
+    "SELECT 'fingerprint' AS field FROM orders HAVING count(*) > 0",
+)
+def identity_mismatch_columns(spark, sf_dir):
+    """The same values under another column name are another dataset."""
+    o = table(spark, sf_dir, "orders")
+    expected = G.dataset_identity(o, "o_orderstatus")
+    fields = G.mismatched_fields(o.withColumnRenamed("o_custkey", "o_clerk"), "o_orderstatus", expected)
+    return spark.createDataFrame([(f,) for f in fields], "field string")
+
+
 @register(
     "fold_plan_audit",
     "SELECT count(*) = 5 AS fold_count_ok, min(fold_number) = 1 AS starts_at_one, max(fold_number) = 5 AS ends_at_k, "

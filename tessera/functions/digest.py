@@ -12,6 +12,8 @@ added, dropped or altered), not adversarial collisions.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,28 +56,31 @@ def multiset_digest(df: DataFrame, token: Column, by: list[str] | None = None) -
     )
 
 
+def framed(text: Column) -> Column:
+    """A field of a token: its length, a colon and its text, or ``-`` for
+    NULL; joined fields can be told apart whatever they hold."""
+    return F.coalesce(F.concat(F.char_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+
+def exact_text(d: Column) -> Column:
+    """A double as a hexadecimal floating-point text, which spells every value
+    exactly (both zeros alike)."""
+    return F.when(d == 0, "0").otherwise(F.format_string("%a", d))
+
+
 def value_token(df: DataFrame, columns: list[str] | None = None) -> Column:
-    """Text token of a whole row, engine-independent.
+    """Text token of a whole row: lossless and engine-independent.
 
-    Floating values become integers scaled by 1e6 and timestamps epoch
-    microseconds, because float and timestamp text differs across engines.
-    NULL is spelled ``\\N``.
+    Floating values are spelled exactly (``exact_text``), timestamps as epoch
+    microseconds, and every field is framed.
     """
     fields = {f.name: f.dataType for f in df.schema.fields}
     parts = []
     for name in columns or df.columns:
         dtype = fields[name]
         col = F.col(f"`{name}`")
-        if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
-            d = col.cast("double")
-            scaled = F.round(d * 1_000_000)
-            text = (
-                F.when(F.isnan(d), F.lit("NaN"))
-                .when(d == F.lit(float("inf")), F.lit("inf"))
-                .when(d == F.lit(float("-inf")), F.lit("-inf"))
-                .when(F.abs(scaled) < F.lit(9.2e18), scaled.cast("long").cast("string"))
-                .otherwise(scaled.cast("string"))
-            )
+        if isinstance(dtype, (T.FloatType, T.DoubleType)):
+            text = F.when(col.isNotNull(), exact_text(col.cast("double")))
         elif isinstance(dtype, T.TimestampNTZType):
             # Wall-clock micros since the epoch: no session time zone involved.
             text = F.expr(
@@ -87,16 +92,36 @@ def value_token(df: DataFrame, columns: list[str] | None = None) -> Column:
             text = F.datediff(col, F.lit("1970-01-01").cast("date")).cast("string")
         elif isinstance(dtype, T.BooleanType):
             text = F.when(col, "true").when(~col, "false")
+        elif isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
+            text = F.to_json(col)
+        elif isinstance(dtype, T.BinaryType):
+            text = F.hex(col)
         else:
             text = col.cast("string")
-        parts.append(F.coalesce(text, F.lit("\\N")))
-    return F.concat_ws("|", *parts)
+        parts.append(framed(text))
+    return F.concat(*parts)
 
 
 def table_fingerprint(df: DataFrame, columns: list[str] | None = None) -> str:
-    """Content fingerprint of a table (one aggregation job)."""
-    row = multiset_digest(df, value_token(df, columns)).first()
-    return row["digest"]
+    """Fingerprint of a table's column names, types and content (one
+    aggregation job)."""
+    held = df.select(*[F.col(f"`{c}`") for c in columns]) if columns else df
+    head = "".join(f"{len(part)}:{part}" for column in held.dtypes for part in column)
+    row = multiset_digest(held, value_token(held)).first()
+    return hashlib.sha256(f"{head}|{row['digest']}".encode()).hexdigest()
+
+
+def sql_framed(text: str) -> str:
+    """DuckDB SQL of ``framed``."""
+    return f"coalesce(length({text}) || ':' || {text}, '-')"
+
+
+def sql_exact_text(d: str) -> str:
+    """DuckDB SQL of ``exact_text`` (for normal numbers): C writes ``p+4`` and
+    leaves out an empty fraction where Java writes ``p4`` and ``.0``."""
+    text = f"replace(printf('%a', {d}), 'p+', 'p')"
+    return (f"CASE WHEN {d} = 0 THEN '0' WHEN contains({text}, '.') THEN {text} "
+            f"ELSE replace({text}, 'p', '.0p') END")
 
 
 def sql_digest(token_sql: str) -> str:

@@ -280,9 +280,9 @@ def fold_local_numeric_stats(folded: DataFrame, column: str, fold_count: int) ->
     return agg.join(F.broadcast(med), "fold_number", "left").select(
         F.col("fold_number").cast("int").alias("fold_number"),
         "train_rows", "non_missing",
-        F.round("mean", 6).alias("mean"),
-        F.round("median", 6).alias("median"),
-        F.round("std_pop", 6).alias("std_pop"),
+        "mean",
+        "median",
+        "std_pop",
     )
 
 

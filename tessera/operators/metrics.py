@@ -93,7 +93,7 @@ def regression_metrics(pred: DataFrame, group: list[str] | None = None,
 
 def _long(wide: DataFrame, group: list[str], spec) -> DataFrame:
     return wide.select(*group, F.inline(F.array(*[
-        F.struct(F.lit(name).alias("metric"), F.round(F.col(name).cast("double"), 6).alias("value"),
+        F.struct(F.lit(name).alias("metric"), F.col(name).cast("double").alias("value"),
                  F.lit(hib).alias("higher_is_better"))
         for name, hib in spec
     ])))

@@ -155,19 +155,19 @@ def column_profiles(
     return long.select(
         "position", "column_name", "kind", "non_missing_count",
         (rows - nm).alias("missing_count"),
-        F.round(_ratio(rows - nm, rows), 6).alias("missing_ratio"),
+        _ratio(rows - nm, rows).alias("missing_ratio"),
         "unique_count",
-        F.round(_ratio(ud, nm), 6).alias("unique_ratio"),
+        _ratio(ud, nm).alias("unique_ratio"),
         "infinite_count",
         (ud <= 1).alias("is_constant"),
         (F.col("kind").isin("string") & (ud >= HIGH_CARDINALITY_MINIMUM)
          & (_ratio(ud, nm) >= HIGH_CARDINALITY_RATIO)).alias("is_high_cardinality"),
         ((rows > 0) & (nm == rows) & (ud == rows) & F.col("_id_name")).alias("is_likely_identifier"),
-        F.round("minimum", 6).alias("minimum"),
-        F.round("maximum", 6).alias("maximum"),
-        F.round("mean", 6).alias("mean"),
-        F.round("median", 6).alias("median"),
-        F.round("standard_deviation", 6).alias("standard_deviation"),
+        "minimum",
+        "maximum",
+        "mean",
+        "median",
+        "standard_deviation",
     )
 
 
@@ -195,7 +195,7 @@ def missing_cells(df: DataFrame) -> DataFrame:
         cells.cast("bigint").alias("cell_count"),
     ).select(
         "missing_cells", "cell_count",
-        F.round(_ratio(F.col("missing_cells"), F.col("cell_count")), 6).alias("missing_cell_ratio"),
+        _ratio(F.col("missing_cells"), F.col("cell_count")).alias("missing_cell_ratio"),
     )
 
 
@@ -221,7 +221,7 @@ def class_distribution(df: DataFrame, target: str, top: int = MAX_CLASS_DISTRIBU
     total = counts.agg(F.sum("count").alias("_total"))
     top_rows = counts.orderBy(F.col("count").desc(), F.col("value").asc()).limit(top)
     return attach_scalars(top_rows, total).select(
-        "value", "count", F.round(F.col("count") / F.col("_total"), 6).alias("ratio")
+        "value", "count", (F.col("count") / F.col("_total")).alias("ratio")
     )
 
 
@@ -342,7 +342,7 @@ def profile_dataset(df: DataFrame, target: str) -> DatasetProfile:
     missing_total = sum(int(c["missing_count"]) for c in cols)
     cell_count = (cols[0]["non_missing_count"] + cols[0]["missing_count"]) * len(cols) if cols else 0
     cells = {"missing_cells": missing_total,
-             "missing_cell_ratio": round(missing_total / cell_count, 6) if cell_count else 0.0}
+             "missing_cell_ratio": missing_total / cell_count if cell_count else 0.0}
     dups = duplicate_row_count(df).first()["duplicate_rows"]
     tgt = target_summary(df, target).first().asDict()
     dist = []

@@ -23,8 +23,8 @@ def _directed(value: str = "value", hib: str = "higher_is_better"):
 def fold_summaries(per_fold: DataFrame) -> DataFrame:
     """C4: per (estimator, metric): fold values in fold order, mean, population sd."""
     return per_fold.groupBy("estimator", "metric").agg(
-        F.round(F.avg("value"), 6).alias("mean"),
-        F.round(F.stddev_pop("value"), 6).alias("standard_deviation"),
+        F.avg("value").alias("mean"),
+        F.stddev_pop("value").alias("standard_deviation"),
         F.count(F.lit(1)).alias("fold_count"),
         F.transform(F.sort_array(F.collect_list(F.struct("fold", "value"))), lambda s: s["value"]).alias(
             "fold_values"),

@@ -24,6 +24,7 @@ from ..config import (
     ConfigurationError,
     FeatureOverrides,
     FoldConfig,
+    Imputation,
     PreprocessingConfig,
     Task,
 )
@@ -59,6 +60,26 @@ class CrossValidationConfig:
             raise ConfigurationError(f"Unknown classification metric {self.primary_metric!r}.")
 
 
+def configuration_record(cfg: CrossValidationConfig) -> dict:
+    """What a refit needs to build the same pipeline again."""
+    return {
+        "numeric_imputation": cfg.preprocessing.numeric_imputation.value,
+        "scale_numeric": cfg.preprocessing.scale_numeric,
+        "categorical_fill_value": cfg.preprocessing.categorical_fill_value,
+        "numeric_overrides": list(cfg.overrides.numeric),
+        "categorical_overrides": list(cfg.overrides.categorical),
+        "fold_count": cfg.folds.fold_count,
+        "random_seed": cfg.folds.random_seed,
+    }
+
+
+def configuration_from(record: dict) -> tuple[PreprocessingConfig, FeatureOverrides]:
+    """The preprocessing and overrides of a stored ``configuration``."""
+    return (PreprocessingConfig(Imputation(record["numeric_imputation"]), record["scale_numeric"],
+                                record["categorical_fill_value"]),
+            FeatureOverrides(tuple(record["numeric_overrides"]), tuple(record["categorical_overrides"])))
+
+
 @dataclass
 class CrossValidationResult:
     record: dict
@@ -216,7 +237,7 @@ def cross_validate(df: DataFrame, cfg: CrossValidationConfig, *, target: str, ke
     record = {
         "schema_version": SCHEMA_VERSION, "benchmark_id": benchmark_id, "status": status,
         "started_at": started, "completed_at": now(), "primary_metric": cfg.primary_metric,
-        "random_seed": cfg.folds.random_seed,
+        "random_seed": cfg.folds.random_seed, "configuration": configuration_record(cfg),
         "dataset": {"source": source, "fingerprint": fingerprint, "row_count": profile.rows,
                     "column_count": len(base.columns), "target": target},
         "fold_plan_sha256": plan_digest, "folds": snaps, "warnings": profile.warnings, "entries": entries,

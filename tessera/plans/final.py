@@ -6,13 +6,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from ..config import PreprocessingConfig, SelectionError, Task
+from ..config import SelectionError, Task
 from ..functions.columns import compact_message
 from ..functions.digest import table_fingerprint
 from ..operators import estimators as E
 from ..operators import features as FE
 from ..operators import profile as P
 from . import artifacts as A
+from .crossval import configuration_from
 from .registry import SCHEMA_VERSION, Registry, new_id, now, record_sha256
 from .train import expected_failure, keyed_table
 
@@ -54,10 +55,10 @@ def fit_selected_model(
     target: str,
     key: list[str] | None = None,
     registry: Registry | None = None,
-    preprocessing: PreprocessingConfig | None = None,
     save_model: bool = True,
 ) -> FinalModelResult:
-    """G1: verify selection and data, then fit the winner on every row."""
+    """G1: verify selection and data, then fit the winner on every row with
+    the preprocessing and feature roles it was selected with."""
     # The selection record must be unchanged in the registry and have a winner.
     if registry is not None:
         stored = registry.read("cv_benchmarks", selection["benchmark_id"])
@@ -75,7 +76,9 @@ def fit_selected_model(
     problems = identity_mismatches(df, target, selection["dataset"])
     if problems:
         raise SelectionError("Dataset does not match the selection: " + "; ".join(problems) + ".")
-    cfg = preprocessing or PreprocessingConfig()
+    if not selection.get("configuration"):
+        raise SelectionError("The cross-validation record holds no configuration to refit with.")
+    cfg, overrides = configuration_from(selection["configuration"])
     final_id, started = new_id(), now()
     selection_block = {
         "benchmark_id": selection["benchmark_id"], "record_sha256": record_sha256(selection),
@@ -86,7 +89,7 @@ def fit_selected_model(
     try:
         profile = P.profile_dataset(df, target)
         keyed, key, features = keyed_table(df, target, key)
-        schema = FE.infer_feature_schema(df, features)
+        schema = FE.infer_feature_schema(df, features, overrides)
         FE.validate_preprocessing_inputs(df, schema, cfg, part_col=None)  # F12 checks
         stats = FE.fit_feature_stats(df, schema, cfg)
         fitted = E.fit_estimator(keyed, stats, target=target, estimator=winner["estimator"],
@@ -97,7 +100,8 @@ def fit_selected_model(
         record = {
             "schema_version": SCHEMA_VERSION, "final_model_id": final_id, "status": "failed",
             "started_at": started, "completed_at": now(), "selection": selection_block,
-            "dataset": selection["dataset"], "fit_scope": "all_rows", "training_rows": None,
+            "dataset": selection["dataset"], "configuration": selection["configuration"],
+            "fit_scope": "all_rows", "training_rows": None,
             "feature_count": None, "model_path": None, "warnings": [],
             "failure": {"error_type": type(error).__name__, "message": compact_message(error)},
         }
@@ -107,15 +111,16 @@ def fit_selected_model(
     record = {
         "schema_version": SCHEMA_VERSION, "final_model_id": final_id, "status": "succeeded",
         "started_at": started, "completed_at": now(), "selection": selection_block,
-        "dataset": selection["dataset"], "fit_scope": "all_rows", "training_rows": stats.training_rows,
+        "dataset": selection["dataset"], "configuration": selection["configuration"],
+        "fit_scope": "all_rows", "training_rows": stats.training_rows,
         "feature_count": len(schema.all_features), "model_path": None, "warnings": profile.warnings,
         "failure": None,
     }
     if registry is not None:
-        # The record is written before the model files.
-        registry.write("final_models", record)
+        # The model first, so that the stored record names its files.
         if save_model:
             meta = A.save(registry, fitted, stats, df, task="classification", target=target,
                           lineage_kind="final_model", lineage_id=final_id)
             record["model_path"] = meta["model_path"]
+        registry.write("final_models", record)
     return FinalModelResult(record, fitted, stats)

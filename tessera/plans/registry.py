@@ -28,6 +28,11 @@ CONFIGURATION = (
     "estimator_parameters:array<struct<name:string,value:string>>>"
 )
 
+CV_CONFIGURATION = (
+    "struct<numeric_imputation:string,scale_numeric:boolean,categorical_fill_value:string,"
+    "numeric_overrides:array<string>,categorical_overrides:array<string>,fold_count:int,random_seed:bigint>"
+)
+
 SCHEMAS = {
     "runs": (
         f"schema_version int, run_id string, status string, started_at string, completed_at string, "
@@ -42,7 +47,8 @@ SCHEMAS = {
     ),
     "cv_benchmarks": (
         f"schema_version int, benchmark_id string, status string, started_at string, completed_at string, "
-        f"primary_metric string, random_seed bigint, dataset {DATASET}, fold_plan_sha256 string, "
+        f"primary_metric string, random_seed bigint, configuration {CV_CONFIGURATION}, dataset {DATASET}, "
+        f"fold_plan_sha256 string, "
         f"folds array<struct<fold_number:int,train_rows:bigint,validation_rows:bigint,partition_sha256:string>>, "
         f"warnings array<string>, entries array<struct<estimator:string,parameters:array<struct<name:string,value:string>>,"
         f"status:string,rank:int,primary_metric_mean:double,primary_metric_standard_deviation:double,"
@@ -54,7 +60,8 @@ SCHEMAS = {
         f"schema_version int, final_model_id string, status string, started_at string, completed_at string, "
         f"selection struct<benchmark_id:string,record_sha256:string,estimator:string,primary_metric:string,"
         f"mean:double,standard_deviation:double,fold_count:int,fold_plan_sha256:string>, "
-        f"dataset {DATASET}, fit_scope string, training_rows bigint, feature_count int, "
+        f"dataset {DATASET}, configuration {CV_CONFIGURATION}, fit_scope string, training_rows bigint, "
+        f"feature_count int, "
         f"model_path string, warnings array<string>, failure {FAILURE}"
     ),
     "models": (
@@ -92,10 +99,13 @@ class Registry:
         return path
 
     def table(self, name: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}/id=*")
-        except Exception:  # no record yet
+        """All records of a table; empty only if none was ever written.  A
+        folder that cannot be read is an error, not an empty table."""
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        store = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not store.exists(folder):
             return self.spark.createDataFrame([], SCHEMAS[name])
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}/id=*")
 
     def read(self, name: str, rid: str) -> dict:
         """One record by id; the id must equal the key."""
