@@ -35,6 +35,9 @@ HEADLINE = [
     "ridge_one_feature",
     "logistic_regression_run",
     "ridge_regression_run",
+    "forest_classifier_run",
+    "forest_regressor_run",
+    "final_fit_score",
     "benchmark_holdout",
     "cross_validate",
 ]

@@ -350,13 +350,12 @@ def profile_columns_customer(spark, sf_dir):
 
 @register(
     "profile_columns_documents",
-    sql_column_profiles("(SELECT doc_id, lang, source, n_chars FROM documents)",
-                        [("doc_id", "integer"), ("lang", "string"), ("source", "string"),
-                         ("n_chars", "integer")]),
+    sql_column_profiles("documents", [("doc_id", "integer"), ("text", "string"), ("lang", "string"),
+                                      ("source", "string"), ("n_chars", "integer")]),
 )
 def profile_columns_documents(spark, sf_dir):
     """doc_id is a likely identifier (complete, unique, ``*_id``)."""
-    return P.column_profiles(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"))
+    return P.column_profiles(table(spark, sf_dir, "documents"))
 
 
 @register(
@@ -374,11 +373,11 @@ def profile_missing_cells(spark, sf_dir):
 @register(
     "duplicate_rows",
     "SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS duplicate_rows FROM "
-    "(SELECT count(*) AS c FROM events GROUP BY user_id, event_type)",
+    "(SELECT count(*) AS c FROM events GROUP BY event_id, ts, user_id, event_type, value, props)",
 )
 def duplicate_rows(spark, sf_dir):
-    """P10: duplicate (user_id, event_type) rows of events."""
-    return P.duplicate_row_count(table(spark, sf_dir, "events").select("user_id", "event_type"))
+    """P10: duplicate rows of events, over all its columns."""
+    return P.duplicate_row_count(table(spark, sf_dir, "events"))
 
 
 def _sql_class_distribution(source: str, target: str) -> str:

@@ -14,10 +14,10 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import ConfigurationError, Task, TrainingError
+from ..config import ConfigurationError, ForestConfig, Task, TrainingError
 from .features import FEATURES_COL, FeatureStats, preprocessing_stages
 
 # Estimator names and the task each one serves.
@@ -35,24 +35,23 @@ ESTIMATOR_TASKS = {
 }
 DEFAULT_CLASSIFIERS = (DUMMY_CLASSIFIER, LOGISTIC_REGRESSION, RANDOM_FOREST_CLASSIFIER)
 
-FOREST_TREES = 100
-FOREST_MAX_DEPTH = 10  # Spark caps depth at 30; unlimited depth is not available
+#: Spark's normal-equation solver takes at most so many encoded columns.
+NORMAL_SOLVER_COLUMNS = 4096
 RIDGE_ALPHA = 1.0
 LOGISTIC_C = 1.0
 FIT_PARTITIONS_MIN = 8
 ROWS_PER_FIT_PARTITION = 2_000_000
 
 
-def static_parameters(name: str, seed: int) -> list[dict]:
+def static_parameters(name: str, seed: int, forest: ForestConfig = ForestConfig()) -> list[dict]:
     """The estimator's configured (data-independent) parameters."""
+    size = [("max_bins", forest.max_bins), ("max_depth", forest.max_depth), ("n_estimators", forest.trees)]
     table = {
         DUMMY_CLASSIFIER: [("random_state", seed), ("strategy", "prior")],
         LOGISTIC_REGRESSION: [("C", LOGISTIC_C), ("max_iter", 1000), ("random_state", seed)],
-        RANDOM_FOREST_CLASSIFIER: [("max_depth", FOREST_MAX_DEPTH), ("max_features", "sqrt"),
-                                   ("n_estimators", FOREST_TREES), ("random_state", seed)],
+        RANDOM_FOREST_CLASSIFIER: [*size, ("max_features", "sqrt"), ("random_state", seed)],
         RIDGE_REGRESSION: [("alpha", RIDGE_ALPHA)],
-        RANDOM_FOREST_REGRESSOR: [("max_depth", FOREST_MAX_DEPTH), ("max_features", "all"),
-                                  ("n_estimators", FOREST_TREES), ("random_state", seed)],
+        RANDOM_FOREST_REGRESSOR: [*size, ("max_features", "all"), ("random_state", seed)],
     }
     return [{"name": k, "value": str(v)} for k, v in sorted(table[name])]
 
@@ -116,8 +115,11 @@ def fit_estimator(
     task: Task,
     seed: int,
     key: list[str],
+    forest_config: ForestConfig = ForestConfig(),
 ) -> FittedModel:
     """Fit preprocessing (from ``stats``) + estimator on ``train`` rows."""
+    size = {"numTrees": forest_config.trees, "maxDepth": forest_config.max_depth,
+            "maxBins": forest_config.max_bins, "maxMemoryInMB": forest_config.memory_mb}
     check_estimator(estimator, task)
     target_type = train.schema[target].dataType.simpleString()
     pre = preprocessing_stages(stats)
@@ -146,13 +148,12 @@ def fit_estimator(
             est = LogisticRegression(
                 featuresCol=FEATURES_COL, labelCol="_label_idx", predictionCol="_prediction_idx",
                 regParam=1.0 / (LOGISTIC_C * rows), elasticNetParam=0.0, standardization=False,
-                maxIter=1000, tol=1e-6,
+                maxIter=1000, tol=1e-8,
             )
         else:
             est = RandomForestClassifier(
                 featuresCol=FEATURES_COL, labelCol="_label_idx", predictionCol="_prediction_idx",
-                numTrees=FOREST_TREES, featureSubsetStrategy="sqrt", maxDepth=FOREST_MAX_DEPTH,
-                seed=seed,
+                featureSubsetStrategy="sqrt", seed=seed, **size,
             )
         prepared = label_model.transform(pre_model.transform(laid_out)).persist(StorageLevel.MEMORY_AND_DISK)
         try:  # iterative fits pass over the prepared rows many times
@@ -172,15 +173,18 @@ def fit_estimator(
             # Spark's normal-equation solver scales the penalty by sd(y): this
             # regParam reproduces ridge with penalty alpha and a free intercept.
             y_sd = prepared.agg(F.stddev_pop("_y")).first()[0] or 0.0
+            # Beyond that solver's width the same objective is minimised iteratively.
+            wide = len(stats.output_names()) > NORMAL_SOLVER_COLUMNS
+            solver = {"solver": "l-bfgs", "tol": 1e-12, "maxIter": 2000} if wide else {"solver": "normal"}
             est = LinearRegression(
                 featuresCol=FEATURES_COL, labelCol="_y", predictionCol="prediction",
-                solver="normal", regParam=RIDGE_ALPHA * y_sd / rows if y_sd else 0.0,
+                **solver, regParam=RIDGE_ALPHA * y_sd / rows if y_sd else 0.0,
                 elasticNetParam=0.0, standardization=False,
             )
         else:
             est = RandomForestRegressor(
                 featuresCol=FEATURES_COL, labelCol="_y", predictionCol="prediction",
-                numTrees=FOREST_TREES, featureSubsetStrategy="all", maxDepth=FOREST_MAX_DEPTH, seed=seed,
+                featureSubsetStrategy="all", seed=seed, **size,
             )
         fitted = est.fit(prepared)
     finally:
@@ -200,9 +204,9 @@ def dummy_fold_predictions(folded: DataFrame, target: str, fold_count: int) -> D
     tot = cc.groupBy(target).agg(F.sum("_n").alias("_t"))
     ks = tot.select(target, "_t", F.explode(F.sequence(F.lit(1), F.lit(fold_count))).alias("fold"))
     train = ks.join(cc, ["fold", target], "left").withColumn("_tn", F.col("_t") - F.coalesce(F.col("_n"), F.lit(0)))
-    rank = Window.partitionBy("fold").orderBy(F.col("_tn").desc(), F.col(target).asc())
-    maj = train.withColumn("_r", F.row_number().over(rank)).filter("_r = 1").select(
-        "fold", F.col(target).alias("predicted"))
+    maj = train.groupBy("fold").agg(
+        F.min(F.struct((-F.col("_tn")).alias("n"), F.col(target).alias("label"))).alias("top")).select(
+        "fold", F.col("top.label").alias("predicted"))
     return folded.select("fold", F.col(target).alias("actual")).join(F.broadcast(maj), "fold")
 
 

@@ -27,16 +27,10 @@ from ..functions.columns import (
     is_infinite,
     kind_of,
 )
+from ..functions.digest import value_token
 from ..functions.frames import attach_scalars
 from .quantile import IN_MEMORY_LIMIT, exact_medians
 
-PROFILE_COLUMNS = [
-    "position", "column_name", "kind", "non_missing_count", "missing_count", "missing_ratio",
-    "unique_count", "unique_ratio", "infinite_count", "is_constant", "is_high_cardinality",
-    "is_likely_identifier", "minimum", "maximum", "mean", "median", "standard_deviation",
-]
-
-
 def _ratio(num, den):
     return F.when(den > 0, num / den).otherwise(F.lit(0.0))
 
@@ -58,6 +52,11 @@ def _value_text(name: str, dtype: T.DataType) -> Column | None:
     return None
 
 
+def _short(text: Column) -> Column:
+    """A text as a grouping key of bounded size: long ones by their digest."""
+    return F.when(F.octet_length(text) > 64, F.sha2(text, 256)).otherwise(text)
+
+
 def column_profiles(
     df: DataFrame, columns: list[str] | None = None, *, exact_distinct: bool = True
 ) -> DataFrame:
@@ -127,7 +126,7 @@ def column_profiles(
             F.struct(
                 F.lit(n).alias("column_name"),
                 (as_double(n, fields[n]) if n in numeric else none).alias("v"),
-                (texts[n] if n not in numeric else F.lit(None).cast("string")).alias("t"),
+                (_short(texts[n]) if n not in numeric else F.lit(None).cast("string")).alias("t"),
             )
             for n in counted
         ]))).filter(F.col("v").isNotNull() | F.col("t").isNotNull())
@@ -174,10 +173,12 @@ def column_profiles(
 def duplicate_row_count(df: DataFrame) -> DataFrame:
     """P10: rows beyond the first of each identical row (NULLs compare equal).
 
-    Partial aggregation collapses a hot duplicated row map-side.
+    Rows are told apart by a 256-bit digest of their exact content, so 32
+    bytes a row are shuffled whatever its width, and partial aggregation
+    collapses a hot duplicated row map-side.
     """
     return (
-        df.groupBy(*[F.col(f"`{c}`") for c in df.columns])
+        df.groupBy(F.unhex(F.sha2(value_token(df), 256)).alias("_row"))
         .agg(F.count(F.lit(1)).alias("_c"))
         .agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
     )

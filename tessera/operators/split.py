@@ -245,13 +245,6 @@ def assign_folds(
     )
 
 
-def fold_split(folded: DataFrame, fold: int) -> DataFrame:
-    """One fold as a split frame: validation rows are those with ``fold == k``."""
-    return folded.withColumn(
-        "part", F.when(F.col("fold") == fold, "validation").otherwise("train")
-    )
-
-
 def _part_token(key: list[str], part: Column) -> Column:
     return F.concat_ws(":", part, row_key(key))
 

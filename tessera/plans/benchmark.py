@@ -9,9 +9,11 @@ from dataclasses import dataclass, field
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-from ..config import BenchmarkError, BenchmarkFailedError, ConfigurationError, SplitConfig, Task, TrainingFailedError
+from ..config import (BenchmarkError, BenchmarkFailedError, ConfigurationError, FeatureOverrides, ForestConfig,
+                      PreprocessingConfig, SplitConfig, Task, TrainingFailedError)
 from ..functions.digest import table_fingerprint
 from ..operators import estimators as E
+from ..operators import metrics as M
 from ..operators import profile as P
 from ..operators import ranking as RK
 from ..operators import split as T
@@ -25,12 +27,17 @@ class BenchmarkConfig:
     estimators: tuple[str, ...] = E.DEFAULT_CLASSIFIERS
     primary_metric: str = "balanced_accuracy"
     split: SplitConfig = field(default_factory=SplitConfig)
+    preprocessing: PreprocessingConfig = field(default_factory=PreprocessingConfig)
+    overrides: FeatureOverrides = field(default_factory=FeatureOverrides)
+    forest: ForestConfig = field(default_factory=ForestConfig)
 
     def __post_init__(self) -> None:
         if len(self.estimators) < 2 or len(set(self.estimators)) != len(self.estimators):
             raise ConfigurationError("A benchmark needs at least two distinct estimators.")
         for name in self.estimators:
             E.check_estimator(name, Task.CLASSIFICATION)
+        if self.primary_metric not in dict(M.CLASSIFICATION_METRICS):
+            raise ConfigurationError(f"Unknown classification metric {self.primary_metric!r}.")
 
 
 @dataclass
@@ -65,13 +72,12 @@ def benchmark(df: DataFrame, config: BenchmarkConfig, *, target: str, key: list[
         t0 = time.perf_counter()
         try:
             result: TrainingResult = train(
-                df, TrainingConfig(Task.CLASSIFICATION, name, config.split), target=target, key=key,
+                df, TrainingConfig(Task.CLASSIFICATION, name, config.split, config.preprocessing,
+                                   config.overrides, config.forest), target=target, key=key,
                 registry=registry, source=source, fingerprint=fingerprint, profile=profile, split=split)
             return result.record, result.model, time.perf_counter() - t0
         except TrainingFailedError as error:
-            if registry is None:
-                raise
-            return registry.read("runs", error.run_id), None, time.perf_counter() - t0
+            return error.record, None, time.perf_counter() - t0
 
     try:
         # Estimators share the persisted split; their fits run side by side.

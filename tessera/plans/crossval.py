@@ -12,7 +12,7 @@ from __future__ import annotations
 import logging
 import time
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -24,6 +24,7 @@ from ..config import (
     ConfigurationError,
     FeatureOverrides,
     FoldConfig,
+    ForestConfig,
     Imputation,
     PreprocessingConfig,
     Task,
@@ -50,6 +51,7 @@ class CrossValidationConfig:
     folds: FoldConfig = field(default_factory=FoldConfig)
     preprocessing: PreprocessingConfig = field(default_factory=PreprocessingConfig)
     overrides: FeatureOverrides = field(default_factory=FeatureOverrides)
+    forest: ForestConfig = field(default_factory=ForestConfig)
 
     def __post_init__(self) -> None:
         if len(self.estimators) < 2 or len(set(self.estimators)) != len(self.estimators):
@@ -70,14 +72,16 @@ def configuration_record(cfg: CrossValidationConfig) -> dict:
         "categorical_overrides": list(cfg.overrides.categorical),
         "fold_count": cfg.folds.fold_count,
         "random_seed": cfg.folds.random_seed,
+        "forest": asdict(cfg.forest),
     }
 
 
-def configuration_from(record: dict) -> tuple[PreprocessingConfig, FeatureOverrides]:
-    """The preprocessing and overrides of a stored ``configuration``."""
+def configuration_from(record: dict) -> tuple[PreprocessingConfig, FeatureOverrides, ForestConfig]:
+    """The settings of a stored ``configuration``."""
     return (PreprocessingConfig(Imputation(record["numeric_imputation"]), record["scale_numeric"],
                                 record["categorical_fill_value"]),
-            FeatureOverrides(tuple(record["numeric_overrides"]), tuple(record["categorical_overrides"])))
+            FeatureOverrides(tuple(record["numeric_overrides"]), tuple(record["categorical_overrides"])),
+            ForestConfig(**record["forest"]))
 
 
 @dataclass
@@ -99,7 +103,8 @@ def _fold_cell(folded: DataFrame, fold: int, name: str, target: str, key: list[s
         raise PreprocessingError(violation)
     train_rows = F.col("fold") != fold
     fitted = E.fit_estimator(folded.filter(train_rows).drop("fold"), stats, target=target,
-                             estimator=name, task=Task.CLASSIFICATION, seed=cfg.folds.random_seed, key=key)
+                             estimator=name, task=Task.CLASSIFICATION, seed=cfg.folds.random_seed, key=key,
+                             forest_config=cfg.forest)
     return E.predict(fitted, folded.filter(~train_rows), [*key, target]).select(
         F.lit(name).alias("estimator"), F.lit(fold).alias("fold"),
         F.col(target).alias("actual"), F.col("prediction").alias("predicted"))
@@ -223,7 +228,7 @@ def cross_validate(df: DataFrame, cfg: CrossValidationConfig, *, target: str, ke
             for s in sorted(mine, key=lambda s: s["metric"])]
         rank = ranks.get(name)
         entries.append({
-            "estimator": name, "parameters": E.static_parameters(name, cfg.folds.random_seed), "status": "failed" if failure else "succeeded",
+            "estimator": name, "parameters": E.static_parameters(name, cfg.folds.random_seed, cfg.forest), "status": "failed" if failure else "succeeded",
             "rank": rank["rank"] if rank else None,
             "primary_metric_mean": rank["mean"] if rank else None,
             "primary_metric_standard_deviation": rank["standard_deviation"] if rank else None,

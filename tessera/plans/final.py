@@ -70,15 +70,16 @@ def fit_selected_model(
     # The estimator configured today must equal the one that was evaluated.
     seed = selection.get("random_seed")
     seed = 42 if seed is None else seed
-    if winner.get("parameters") and list(winner["parameters"]) != E.static_parameters(winner["estimator"], seed):
+    if not selection.get("configuration"):
+        raise SelectionError("The cross-validation record holds no configuration to refit with.")
+    cfg, overrides, forest = configuration_from(selection["configuration"])
+    if winner.get("parameters") and list(winner["parameters"]) != E.static_parameters(
+            winner["estimator"], seed, forest):
         raise SelectionError("Estimator parameters changed since the cross-validation record was written.")
     # G2
     problems = identity_mismatches(df, target, selection["dataset"])
     if problems:
         raise SelectionError("Dataset does not match the selection: " + "; ".join(problems) + ".")
-    if not selection.get("configuration"):
-        raise SelectionError("The cross-validation record holds no configuration to refit with.")
-    cfg, overrides = configuration_from(selection["configuration"])
     final_id, started = new_id(), now()
     selection_block = {
         "benchmark_id": selection["benchmark_id"], "record_sha256": record_sha256(selection),
@@ -93,7 +94,7 @@ def fit_selected_model(
         FE.validate_preprocessing_inputs(df, schema, cfg, part_col=None)  # F12 checks
         stats = FE.fit_feature_stats(df, schema, cfg)
         fitted = E.fit_estimator(keyed, stats, target=target, estimator=winner["estimator"],
-                                 task=Task.CLASSIFICATION, seed=seed, key=key)
+                                 task=Task.CLASSIFICATION, seed=seed, key=key, forest_config=forest)
     except Exception as error:  # G6
         if not expected_failure(error):
             raise

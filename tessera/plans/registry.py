@@ -30,7 +30,8 @@ CONFIGURATION = (
 
 CV_CONFIGURATION = (
     "struct<numeric_imputation:string,scale_numeric:boolean,categorical_fill_value:string,"
-    "numeric_overrides:array<string>,categorical_overrides:array<string>,fold_count:int,random_seed:bigint>"
+    "numeric_overrides:array<string>,categorical_overrides:array<string>,fold_count:int,random_seed:bigint,"
+    "forest:struct<trees:int,max_depth:int,max_bins:int,memory_mb:int>>"
 )
 
 SCHEMAS = {

@@ -37,8 +37,10 @@ def validate_scoring_frame(artifact: Artifact, df: DataFrame, extra: list[str] |
             if kind_of(dtype) == "other":
                 raise PredictionSchemaError(f"Categorical feature {name!r} must hold scalar values.")
             aggs.append(F.count_if(F.col(f"`{name}`").cast("string") == marker).alias(f"marker::{name}"))
+    row = ordered.agg(F.count(F.lit(1)).alias("rows::"), *aggs).first().asDict()
+    if not row.pop("rows::"):
+        raise PredictionSchemaError("The scoring table has no rows.")
     if aggs:
-        row = ordered.agg(*aggs).first().asDict()
         for k, v in row.items():
             kind, name = k.split("::", 1)
             if v and kind == "inf":
@@ -53,7 +55,14 @@ def predict_frame(artifact: Artifact, df: DataFrame, *, key: list[str] | None =
     """Validated predictions ``(key..., prediction)`` in label space."""
     key = list(key or [])
     ordered = validate_scoring_frame(artifact, df, key)
-    return artifact.model.transform(ordered).select(*key, "prediction")
+    scored = artifact.model.transform(ordered).select(*key, "prediction")
+    # V16 in the same pass: a missing or non-finite prediction ends the job.
+    value = F.col("prediction")
+    bad = value.isNull()
+    if is_numeric_type(scored.schema["prediction"].dataType):
+        bad = bad | F.isnan(value) | is_infinite(value)
+    return scored.withColumn("prediction", F.when(
+        bad, F.raise_error(F.lit("The model returned a missing or infinite prediction."))).otherwise(value))
 
 
 def predict_csv(spark, artifact: Artifact, path: str, *, key: list[str] | None = None,

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from ..config import (
     FeatureOverrides,
+    ForestConfig,
     PreprocessingConfig,
     SplitConfig,
     Task,
     TesseraError,
+    TrainingError,
     TrainingFailedError,
 )
 from ..functions.columns import compact_message
@@ -36,6 +38,7 @@ class TrainingConfig:
     split: SplitConfig = field(default_factory=SplitConfig)
     preprocessing: PreprocessingConfig = field(default_factory=PreprocessingConfig)
     overrides: FeatureOverrides = field(default_factory=FeatureOverrides)
+    forest: ForestConfig = field(default_factory=ForestConfig)
 
 
 @dataclass
@@ -77,6 +80,10 @@ def split_record(split: T.Split, digest: str) -> dict:
             "partition_sha256": digest}
 
 
+INFRASTRUCTURE_SIGNS = ("ExecutorLost", "FetchFailed", "MetadataFetchFailed", "OutOfMemory", "SparkContext was shut down",
+                        "ConnectException", "No space left", "Stage cancelled")
+
+
 def expected_failure(error: BaseException) -> bool:
     """Errors recorded as failed runs: ours, bad values, and Spark job errors."""
     from pyspark.errors import PySparkException
@@ -85,8 +92,10 @@ def expected_failure(error: BaseException) -> bool:
         from py4j.protocol import Py4JJavaError
     except ImportError:  # pragma: no cover
         Py4JJavaError = ()  # type: ignore[assignment]
-    return isinstance(error, (TesseraError, ValueError, TypeError, ArithmeticError,
-                              PySparkException, Py4JJavaError))
+    if isinstance(error, Py4JJavaError) or isinstance(error, PySparkException):
+        # A lost executor, fetch or memory failure says nothing about the model.
+        return not any(sign in str(error) for sign in INFRASTRUCTURE_SIGNS)
+    return isinstance(error, (TesseraError, ValueError, TypeError, ArithmeticError))
 
 
 def keyed_table(df: DataFrame, target: str, key: list[str] | None):
@@ -102,6 +111,14 @@ def merge_warnings(*groups) -> list[str]:
     return list(dict.fromkeys(w for g in groups for w in g if str(w).strip()))
 
 
+def _scored_rows(predictions: DataFrame, sp: T.Split) -> int:
+    """The predictions' own row count, which must be the validation part's."""
+    rows = predictions.count()
+    if rows != sp.validation_rows:
+        raise TrainingError(f"{rows} predictions for {sp.validation_rows} validation rows.")
+    return rows
+
+
 def train(
     df: DataFrame,
     cfg: TrainingConfig,
@@ -143,11 +160,11 @@ def train(
         FE.validate_preprocessing_inputs(sp.frame, schema, cfg.preprocessing)
         stats = FE.fit_feature_stats(sp.frame, schema, cfg.preprocessing, where=F.col("part") == "train")
         fitted = E.fit_estimator(sp.train(), stats, target=target, estimator=cfg.estimator,
-                                 task=cfg.task, seed=cfg.split.random_seed, key=key)
+                                 task=cfg.task, seed=cfg.split.random_seed, key=key, forest_config=cfg.forest)
         parameters = fitted.parameters
         predictions = E.predict(fitted, sp.validation(), [*key, target]).select(
             *key, F.col(target).alias("actual"), F.col("prediction").alias("predicted"))
-        metrics = M.collect_metrics(M.evaluate(predictions, cfg.task), sp.validation_rows, cfg.task)
+        metrics = M.collect_metrics(M.evaluate(predictions, cfg.task), _scored_rows(predictions, sp), cfg.task)
     except Exception as error:
         if not expected_failure(error):
             raise
@@ -165,7 +182,7 @@ def train(
             registry.write("runs", record)
         for frame in owned:
             frame.unpersist()
-        raise TrainingFailedError(f"Training run {run_id} failed: {compact_message(error)}", run_id) from error
+        raise TrainingFailedError(f"Training run {run_id} failed: {compact_message(error)}", run_id, record) from error
     record = {
         "schema_version": SCHEMA_VERSION, "run_id": run_id, "status": "succeeded",
         "started_at": started, "completed_at": now(),

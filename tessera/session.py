@@ -6,7 +6,6 @@ helpers exist for tests, ``bench.py`` and command-line use.
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -50,23 +49,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder is set by the deployment and must be shared
-    storage; it is only created here when unset (tests, local runs).
+    storage; without it this is an error.  Only a local master (one process:
+    tests, local runs) gets a folder of its own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext._jsc.sc().getCheckpointDir()
         configured = configured.get() if configured.isDefined() else None
     if not configured:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or "cluster" in master:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share.")
         configured = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     spark.sparkContext.setCheckpointDir(configured)
     return configured
 
 
-def default_shuffle_partitions() -> int:
-    return int(os.environ.get("TESSERA_SHUFFLE_PARTITIONS", "8"))
-
-
 def _memory_mb(text: str) -> int:
     text = text.strip().lower()
     units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}

@@ -31,6 +31,8 @@ def score_stream(
     def score_batch(batch: DataFrame, batch_id: int) -> None:
         # One folder per micro-batch, overwritten on replay: a batch retried
         # after a failure replaces its own output instead of duplicating it.
+        if batch.isEmpty():
+            return
         predict_frame(artifact, batch, key=key).write.mode("overwrite").parquet(
             f"{output_path}/batch_id={batch_id}")
 

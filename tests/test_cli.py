@@ -3,7 +3,7 @@ import os
 import subprocess
 import sys
 
-from test_workflow import CHURN, SCORING
+from test_workflow import OFFERS, rental_csv
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -16,17 +16,17 @@ def run(*args):
 
 
 def test_cli_profile_benchmark_finalize_predict(scratch):
-    data, scoring = os.path.join(scratch, "churn.csv"), os.path.join(scratch, "new.csv")
+    data, scoring = os.path.join(scratch, "rentals.csv"), os.path.join(scratch, "new.csv")
     with open(data, "w") as f:
-        f.write(CHURN)
+        f.write(rental_csv(24))
     with open(scoring, "w") as f:
-        f.write(SCORING)
+        f.write(OFFERS)
     reg = os.path.join(scratch, "registry")
-    profile = json.loads(run("profile", data, "--target", "churn"))
+    profile = json.loads(run("profile", data, "--target", "let"))
     assert profile["target"]["task_hint"] == "classification"
-    cv = json.loads(run("benchmark", data, "--target", "churn", "--cross-validation-folds", "2",
+    cv = json.loads(run("benchmark", data, "--target", "let", "--cross-validation-folds", "2",
                         "--estimators", "dummy-classifier", "logistic-regression", "--registry", reg))
-    final = json.loads(run("finalize", data, "--target", "churn", "--benchmark-id", cv["benchmark_id"],
+    final = json.loads(run("finalize", data, "--target", "let", "--benchmark-id", cv["benchmark_id"],
                            "--registry", reg))
     out = json.loads(run("predict", scoring, "--registry", reg, "--model", final["final_model_id"],
                          "--output", os.path.join(scratch, "pred")))

@@ -43,3 +43,26 @@ def test_approximate_distinct_profile_mode(spark):
     approx = {r["column_name"]: r["unique_count"] for r in P.column_profiles(df, exact_distinct=False).collect()}
     for name, n in exact.items():
         assert abs(approx[name] - n) <= max(3, 0.1 * n)
+
+
+def test_digests_tell_apart_what_differs(spark):
+    from tessera.functions.digest import table_fingerprint as fp
+
+    def of(rows, schema="a string, b string"):
+        return fp(spark.createDataFrame(rows, schema))
+    assert of([("a|b", "c")]) != of([("a", "b|c")])
+    assert of([(None, "c")]) != of([("\\N", "c")]) and of([(None, "c")]) != of([("-", "c")])
+    assert of([("a", "b")]) != of([("a", "b")], "a string, z string")
+    assert of([(1e-7,)], "x double") != of([(3e-7,)], "x double")
+    assert of([(0.1 + 0.2,)], "x double") != of([(0.3,)], "x double")
+    assert of([(0.0,)], "x double") == of([(-0.0,)], "x double")
+    assert of([("a", "b"), ("c", "d")]) == of([("c", "d"), ("a", "b")])
+
+
+def test_a_damaged_table_is_not_an_empty_one(spark, scratch):
+    reg = Registry(spark, os.path.join(scratch, "reg"))
+    os.makedirs(os.path.join(scratch, "reg", "runs", "id=x"))
+    with open(os.path.join(scratch, "reg", "runs", "id=x", "part-0.parquet"), "w") as f:
+        f.write("not parquet")
+    with pytest.raises(Exception):
+        reg.table("runs").collect()

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +121,57 @@ def test_keyless_cross_validation(spark):
     rec = CV.cross_validate(df, cfg, target="target").record
     assert sum(f["validation_rows"] for f in rec["folds"]) == 45
     assert rec["dataset"]["column_count"] == 2 and rec["status"] == "succeeded"
+
+
+def test_refit_uses_the_recorded_configuration(spark, scratch):
+    """Non-default imputation, scaling and roles reach the all-row refit."""
+    from tessera.config import FeatureOverrides, ForestConfig, Imputation, PreprocessingConfig
+    from tessera.operators import features as FE
+
+    rows = [(i, float(i % 7) if i % 5 else None, "abc"[i % 3], "yes" if i % 4 in (0, 1) else "no") for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, value double, segment string, target string")
+    prep = PreprocessingConfig(Imputation.MEAN, False, "none")
+    cfg = CV.CrossValidationConfig(estimators=(E.DUMMY_CLASSIFIER, E.LOGISTIC_REGRESSION), folds=FoldConfig(3, 7),
+                                   preprocessing=prep, overrides=FeatureOverrides(categorical=("k",)),
+                                   forest=ForestConfig(trees=5, max_depth=3))
+    reg = Registry(spark, os.path.join(scratch, "reg"))
+    cv = CV.cross_validate(df, cfg, target="target", key=["k"], registry=reg)
+    stored = reg.read("cv_benchmarks", cv.record["benchmark_id"])
+    final = G.fit_selected_model(df, stored, target="target", key=["k"], registry=reg)
+    direct = FE.fit_feature_stats(df, FE.infer_feature_schema(df, ["k", "value", "segment"], cfg.overrides), prep)
+    got = final.stats
+    assert (got.fill, got.center, got.scale, got.categories) == \
+        (direct.fill, direct.center, direct.scale, direct.categories)
+    assert got.schema.categorical == ("k", "segment") and got.config == prep
+    kept = reg.read("final_models", final.record["final_model_id"])
+    assert kept["model_path"] and kept["configuration"]["forest"]["trees"] == 5
+
+
+def test_small_values_keep_their_digits(spark):
+    from tessera.operators import metrics as M
+    from tessera.operators import profile as P
+
+    df = spark.createDataFrame([(1e-8, 1e-8), (3e-8, 2e-8)], "actual double, predicted double")
+    value = {r["metric"]: r["value"] for r in M.regression_metrics(df).collect()}
+    assert 0 < value["mae"] < 1e-8 if "mae" in value else all(v != 0 for v in value.values())
+    row = P.column_profiles(df).filter("column_name = 'actual'").first()
+    assert row["minimum"] == 1e-8 and abs(row["mean"] - 2e-8) < 1e-20
+
+
+def test_wide_ridge_equals_the_closed_form(spark):
+    """More encoded columns than the normal solver takes."""
+    from tessera.config import Task
+
+    n = 5000
+    df = spark.range(2 * n).selectExpr(
+        "id", "concat('c', id % 5000) as c", "cast((id % 5000) % 17 + (id div 5000) as double) as y")
+    from tessera.operators import features as FE
+    stats = FE.fit_feature_stats(df, FE.infer_feature_schema(df, ["c"]))
+    model = E.fit_estimator(df, stats, target="y", estimator=E.RIDGE_REGRESSION, task=Task.REGRESSION, seed=1, key=["id"])
+    got = {r["id"]: r["prediction"] for r in E.predict(model, df.where("id < 50"), ["id"]).collect()}
+    import numpy as np
+    y = np.array([(i % n) % 17 + i // n for i in range(2 * n)], dtype=float).reshape(2, n)
+    # per category two rows: b_c = 2 (mean_c - a) / (2 + 1); the intercept a solves sum(y - a - b) = 0
+    a = y.mean()
+    want = a + 2 * (y.mean(axis=0) - a) / 3
+    assert all(abs(got[i] - want[i]) < 1e-4 for i in range(50))

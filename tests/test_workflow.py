@@ -12,6 +12,7 @@ from tessera.plans.registry import Registry
 from tessera.plans.scoring import predict_csv
 from tessera.sources.csv import load_csv
 
+OFFERS = "floor_area,rent,room\n22,210.0,loft\n70,661.5,attic\n"
 ROOMS = ("loft", "cellar", "studio")
 
 
@@ -31,7 +32,7 @@ def test_rental_workflow(spark, scratch):
     with open(data, "w") as f:
         f.write(rental_csv(24))
     with open(scoring, "w") as f:
-        f.write("floor_area,rent,room\n22,210.0,loft\n70,661.5,attic\n")
+        f.write(OFFERS)
     df, spec = load_csv(spark, data, target="let")
     assert dict(df.dtypes) == {"floor_area": "int", "rent": "double", "room": "string", "let": "string"}
     reg = Registry(spark, os.path.join(scratch, "registry"))
