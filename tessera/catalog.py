@@ -654,6 +654,29 @@ def fold_local_stats(spark, sf_dir):
     return FE.fold_local_numeric_stats(folded, "o_totalprice", 5)
 
 
+@register(
+    "fold_fit_stats",
+    f"""
+WITH tr AS (SELECT CAST(t.fold_number AS INTEGER) AS fold_number, o_totalprice AS x
+            FROM ({_ORDERS_MISSING_FOLDS}) f, range(1, 6) t(fold_number) WHERE f.fold <> t.fold_number),
+     md AS (SELECT fold_number, median(x) AS m FROM tr GROUP BY fold_number)
+SELECT fold_number, count(*) AS training_rows, round(any_value(m), 6) AS fill,
+       round(avg(coalesce(x, m)), 6) AS center, round(stddev_pop(coalesce(x, m)), 6) AS scale
+FROM tr JOIN md USING (fold_number) GROUP BY fold_number""",
+)
+def fold_fit_stats(spark, sf_dir):
+    """F15 as cross-validation runs it: fill, center and scale of every fold's
+    training side, merged from per-fold states."""
+    folded = T.assign_folds(orders_missing(spark, sf_dir), target="o_orderstatus", key=["o_orderkey"],
+                            config=FoldConfig())
+    schema = FE.infer_feature_schema(folded, ["o_totalprice"])
+    stats = FE.fit_fold_feature_stats(folded, schema, PreprocessingConfig(), 5)
+    rows = [(k, s.training_rows, s.fill["o_totalprice"], s.center["o_totalprice"], s.scale["o_totalprice"])
+            for k, s in stats.items()]
+    return spark.createDataFrame(
+        rows, "fold_number int, training_rows bigint, fill double, center double, scale double")
+
+
 # ------------------------------------------------- estimators and metrics
 
 

@@ -108,18 +108,19 @@ def evaluate(pred: DataFrame, task, group: list[str] | None = None) -> DataFrame
     return regression_metrics(pred, group)
 
 
-def collect_metrics(metrics: DataFrame, rows: int, task) -> list[dict]:
-    """Driver-side list sorted by name; non-finite values are errors."""
-    from ..config import Task
+#: Predictions without which a task's metrics say nothing (R2 needs two).
+LEAST_PREDICTIONS = {"classification": 1, "regression": 2}
 
-    if rows == 0:
-        raise TrainingError("At least one validation prediction is required for evaluation.")
-    if task is Task.REGRESSION and rows < 2:
-        raise TrainingError("Regression evaluation requires at least two validation rows.")
-    out = []
-    for r in metrics.collect():
-        v = r["value"]
-        if v is None or not math.isfinite(v):
-            raise TrainingError(f"Evaluation metric {r['metric']!r} produced a non-finite value.")
-        out.append({"name": r["metric"], "value": float(v), "higher_is_better": bool(r["higher_is_better"])})
-    return sorted(out, key=lambda m: m["name"])
+
+def collect_metrics(metrics: DataFrame, rows: int, task) -> list[dict]:
+    """The metric rows as dicts in order of name; too few predictions or
+    metrics without a finite value are one error that names them all."""
+    least = LEAST_PREDICTIONS[task.value]
+    if rows < least:
+        raise TrainingError(f"{task.value} metrics need {least} or more predictions; there are {rows}.")
+    held = sorted((r.asDict() for r in metrics.collect()), key=lambda r: r["metric"])
+    undefined = [r["metric"] for r in held if r["value"] is None or not math.isfinite(r["value"])]
+    if undefined:
+        raise TrainingError(f"No finite value of {', '.join(undefined)}.")
+    return [{"name": r["metric"], "value": float(r["value"]), "higher_is_better": bool(r["higher_is_better"])}
+            for r in held]

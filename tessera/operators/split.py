@@ -259,29 +259,31 @@ def partition_digest(frame: DataFrame, key: list[str]) -> DataFrame:
 def fold_snapshots(folded: DataFrame, key: list[str], fold_count: int) -> DataFrame:
     """T5/T8 per fold: train/validation rows and the fold's partition digest.
 
-    One pass: each row contributes its validation token to its own fold and
-    its train token to every other fold (k-1 copies, k <= 10), folded into a
-    partial aggregation per fold.
+    A digest is a sum over rows, so each row is hashed twice, once as a
+    validation and once as a training row, and summed in its own fold; fold
+    k is then all training sums less its own plus its own validation sums.
+    No row is copied; the table has one row a fold.
     """
-    folds = F.sequence(F.lit(1), F.lit(fold_count))
-    exploded = folded.select(
-        F.col("fold").alias("_own"), row_key(key).alias("_rk"), F.explode(folds).alias("fold_number")
-    ).withColumn("_part", F.when(F.col("_own") == F.col("fold_number"), "validation").otherwise("train"))
-    token = F.concat_ws(":", F.col("_part"), F.col("_rk"))
-    return (
-        exploded.groupBy("fold_number")
-        .agg(
-            F.count_if(F.col("_part") == "train").alias("train_rows"),
-            F.count_if(F.col("_part") == "validation").alias("validation_rows"),
-            *digest_aggs(token),
-        )
-        .select(
-            F.col("fold_number").cast("int").alias("fold_number"),
-            "train_rows",
-            "validation_rows",
-            digest_from_state().alias("partition_sha256"),
-        )
-    )
+    own = folded.select("fold", row_key(key).alias("_rk"))
+    held = own.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[total.alias(f"_{part[0]}{i}") for part in ("train", "validation")
+          for i, total in enumerate(digest_aggs(F.concat_ws(":", F.lit(part), F.col("_rk")))[1:])])
+    # A fold without rows still has its training side.
+    every = folded.sparkSession.range(1, fold_count + 1).select(F.col("id").cast("int").alias("fold"))
+    held = every.join(held, "fold", "left").fillna(0)
+    zero = F.lit(0).cast("decimal(38,0)")
+    sums = [c for c in held.columns if c not in ("fold", "_n")]
+    held = held.select("fold", "_n", *[F.coalesce(F.col(c), zero).alias(c) for c in sums])
+    total = held.agg(F.sum("_n").alias("_all"), *[F.sum(f"_t{i}").alias(f"_a{i}") for i in range(2)])
+    state = attach_scalars(held, total)
+    return state.select(
+        F.col("fold").alias("fold_number"),
+        (F.col("_all") - F.col("_n")).alias("train_rows"), F.col("_n").alias("validation_rows"),
+        F.col("_all").alias("_dg_n"),
+        *[(F.col(f"_a{i}") - F.col(f"_t{i}") + F.col(f"_v{i}")).cast("decimal(38,0)").alias(f"_dg_s{i + 1}")
+          for i in range(2)],
+    ).select("fold_number", "train_rows", "validation_rows", digest_from_state().alias("partition_sha256"))
 
 
 def fold_plan_digest(snapshots: DataFrame) -> DataFrame:

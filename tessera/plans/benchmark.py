@@ -66,6 +66,7 @@ def benchmark(df: DataFrame, config: BenchmarkConfig, *, target: str, key: list[
     df, key, _ = keyed_table(df, target, key)
     split = T.split_dataset(df, target=target, key=key, task=Task.CLASSIFICATION, config=config.split)
     split.frame = split.frame.coalesce(E.fit_partitions(split.rows)).persist(StorageLevel.MEMORY_AND_DISK)
+    split.partition_sha256()  # once, before the fits share it
     runs, models, durations = [], {}, {}
 
     def attempt(name: str):
