@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-CHUNK_BYTES = 2 << 20  # text bytes handled at once inside a task
+CHUNK_BYTES = 1 << 20  # text bytes handled at once inside a task
 
 
 # --- shared folder -----------------------------------------------------------
@@ -34,6 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
+    """Bound the Arrow batches between Spark and the tasks' Python by bytes,
+    unless the session bounds them lower: a batch of long texts then takes no
+    more memory than one of short texts.  Holds for the session."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < size <= limit:
+        spark.conf.set(key, f"{limit}b")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tessera-llm/{label}-{uuid.uuid4().hex}"
 
@@ -48,6 +58,7 @@ class Stash:
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
+        bounded_batches(spark)
         self.root = scratch_path(spark, label)
         self._paths: dict[int, str] = {}
         self._n = 0
@@ -185,7 +196,7 @@ class ScoreCache:
     are kept or not, so a token's score never depends on the cache.
     """
 
-    def __init__(self, width: int, limit: int = 1_000_000, dtype: type = np.float32) -> None:
+    def __init__(self, width: int, limit: int = 400_000, dtype: type = np.float32) -> None:
         self.width, self.limit, self.dtype = width, limit, dtype
         self.keys = np.zeros(0, np.uint64)
         self.values = np.zeros((0, width), dtype)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import chunks
+from tessera.llm.common import bounded_batches, chunks
 
 
 @dataclass(frozen=True)
@@ -266,7 +266,7 @@ _LEAK = T.StructType([
 def _scan(index: LeakIndex):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, 1, 4 << 20):
+            for part in chunks(batch, 1, 2 << 20):
                 ids = part.column(0).to_pylist()
                 texts = [normalize(t) for t in part.column(1).to_pylist()]
                 rows = find_leaks(texts, index)
@@ -298,6 +298,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame,
     get their rows; repeated documents each get theirs; a null id stays null;
     empty tables give an empty result.  Other columns are not read.
     """
+    bounded_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"),
                              F.col(item_text_col).alias("text")).where("text is not null")

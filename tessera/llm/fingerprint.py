@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import CHUNK_BYTES, text_buffer
+from tessera.llm.common import CHUNK_BYTES, bounded_batches, text_buffer
 
 BUCKETS = 128
 #: Mean difference of two independent bodies: 1.25 quartiles a bucket.
@@ -127,6 +127,7 @@ def fingerprint_edits(spark: SparkSession, docs: DataFrame, id_col: str = "doc_i
     one id the smaller text comes first; an empty table gives an empty
     result.  Other columns are not read.
     """
+    bounded_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                         F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = texts.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("spot"), F.octet_length("text").alias("size"))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import bounded_batches
 from tessera.llm.html_samples import PAGES
 
 # --- blocks ------------------------------------------------------------------------
@@ -236,6 +237,7 @@ def extract_main_text(spark: SparkSession, pages: DataFrame, tree: Tree | None =
     Truncated pages are read to their end; null ids and urls stay null;
     repeated rows get equal texts; other columns are not read.
     """
+    bounded_batches(spark)
     tree = tree or train_tree(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

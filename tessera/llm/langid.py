@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import (LETTER, ScoreCache, chunks, fold_case, span_hashes, text_buffer, words)
+from tessera.llm.common import (LETTER, ScoreCache, bounded_batches, chunks, fold_case, span_hashes, text_buffer, words)
 
 
 @dataclass(frozen=True)
@@ -216,6 +216,7 @@ def predict_language(spark: SparkSession, docs: DataFrame, model: ContextModel,
     ``cfg.unknown`` and score 0.  Repeated rows get equal results; null ids
     stay null.
     """
+    bounded_batches(spark)
     unknown = cfg.unknown
 
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

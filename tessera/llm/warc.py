@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Stash, scratch_path
+from tessera.llm.common import Stash, bounded_batches, scratch_path
 
 # The record format of WARC 1.1.
 VERSION = b"WARC/1.1"
@@ -187,6 +187,7 @@ def write_archives(spark: SparkSession, pages: DataFrame, path: str, cfg: WarcCo
     under a name of its own and renames when the archive is complete, so a
     task that runs again replaces it by the same bytes.
     """
+    bounded_batches(spark)
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),
                         html.alias("payload")).withColumn("sha1", F.sha1("payload"))
