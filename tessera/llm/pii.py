@@ -24,6 +24,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = tuple(PATTERNS)
+#: What a text with a match holds in any case: a cheap look before the search.
+NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "phone": r"\+[0-9]"}
 #: A white-space-delimited token with a digit or an at sign.
 MENTION = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 OPEN, CLOSE, OTHER = "\x01", "\x02", "\x03"
@@ -98,11 +100,9 @@ def _valid(kind: str, m: Column) -> Column:
 
 def base_spans(text: Column, kind: str) -> Column:
     """array<struct<s, e>> of a kind's valid matches, in order."""
-    needs = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}
     found = F.transform(F.filter(matches(text, PATTERNS[kind]), lambda x: _valid(kind, x["m"])),
                         lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
-    none = F.array().cast("array<struct<s:int,e:int>>")
-    return F.when(needs[kind], found).otherwise(none) if kind in needs else found
+    return F.when(text.rlike(NEEDS[kind]), found).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
 
 
 def mentions(text: Column, cfg: PiiConfig) -> Column:
@@ -118,7 +118,9 @@ def mentions(text: Column, cfg: PiiConfig) -> Column:
         pattern = F.when(near != "", near).when(x["s"] == 0, "^").otherwise("#")
         return F.struct((x["s"] + lead).alias("s"), (x["s"] + lead + F.char_length(core)).alias("e"),
                         core.alias("m"), pattern.alias("pattern"))
-    return F.filter(F.transform(matches(text, MENTION, cfg.reach), view), lambda x: x["m"] != "")
+    found = F.filter(F.transform(matches(text, MENTION, cfg.reach), view), lambda x: x["m"] != "")
+    none = F.array().cast("array<struct<s:int,e:int,m:string,pattern:string>>")
+    return F.when(text.rlike("[0-9@]"), found).otherwise(none)
 
 
 # --- bootstrapping -----------------------------------------------------------------
