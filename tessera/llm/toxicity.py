@@ -25,23 +25,26 @@ class ToxicConfig:
     """``sample_docs``: labelled documents a class that are learned from, picked
     by a hash of their id.  ``decay``: weight of each position a subsequence
     of ``order`` letters spans; ``power``: exponent of the normalised kernel.
-    ``telling`` + ``common`` landmarks are drawn from the sample, two telling
-    ones at most ``alike``.  ``window``: a longer unit is read in
+    At least ``telling``, and ``common``, landmarks are drawn from the sample,
+    two telling ones at most ``alike``; every unit that leans to the toxic
+    class by a likelihood ratio root of ``sure`` has a landmark that much like
+    it, however many that takes.  ``window``: a longer unit is read in
     half-overlapping windows of so many letters.
     ``penalty``: weight of the squared norm against the hinge loss.
     ``rounds`` of choosing the toxic documents' sentences to learn from;
     ``fit_parts``: partitions of the bounded sample while it is fitted."""
 
     sample_docs: int = 1000
-    telling: int = 20
-    common: int = 4
+    telling: int = 24
+    common: int = 8
     alike: float = 0.6
+    sure: float = 3.5
     order: int = 3
     decay: float = 0.7
     power: int = 2
     window: int = 12
     penalty: float = 3e-4
-    rounds: int = 2
+    rounds: int = 3
     fit_parts: int = 4
     threshold: float = 0.7
 
@@ -284,7 +287,7 @@ def train_model(spark: SparkSession, labelled: DataFrame, cfg: ToxicConfig = Tox
                         .dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic"))
     single = bucket_leaders(sample)
     sample = stash.keep(sample.join(single, "doc_id", "left_semi").select("doc_id", "text", "toxic"))
-    landmarks, telling = _landmarks(sample, cfg)
+    landmarks, telling = _landmarks(sample, cfg, stash)
     kernel = KernelMap(landmarks, cfg)
     rows = stash.keep(sample.select("doc_id", "text", "toxic").mapInArrow(
         _featurise(kernel, uuid.uuid4().hex), _SENTENCE))
@@ -304,7 +307,7 @@ def train_model(spark: SparkSession, labelled: DataFrame, cfg: ToxicConfig = Tox
             return None
         train = train.withColumn("weight", F.when(F.col("toxic") == 1, counts[0] / counts[1]).otherwise(1.0))
         svm = LinearSVC(featuresCol="x", labelCol="toxic", weightCol="weight", regParam=cfg.penalty,
-                        standardization=False, maxIter=40).fit(train)
+                        standardization=False, maxIter=50).fit(train)
         train.unpersist()
         weights, intercept = svm.coefficients.toArray(), float(svm.intercept)
     docs = rows.groupBy("doc", "toxic").agg(F.max(_margin(weights, intercept)).alias("margin"))
@@ -321,11 +324,12 @@ def _margin(weights: np.ndarray, intercept: float) -> F.Column:
                        lambda total, v: total + v)
 
 
-def _landmarks(sample: DataFrame, cfg: ToxicConfig) -> tuple[list[bytes], np.ndarray]:
+def _landmarks(sample: DataFrame, cfg: ToxicConfig, stash: Stash) -> tuple[list[bytes], np.ndarray]:
     """Landmarks and each one's weight in the first choice of sentences: first
     the beginnings of units (of more letters than ``order``, up to the whole
     unit) whose sentences lean most to the toxic class, the longer of equals
-    first, leaving out those too much alike; then the most common units."""
+    first, leaving out those too much alike, until all that surely lean have a
+    like one; then the most common units."""
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, 1):
@@ -344,25 +348,33 @@ def _landmarks(sample: DataFrame, cfg: ToxicConfig) -> tuple[list[bytes], np.nda
                     names=_UNIT.fieldNames())
     once = (sample.select("doc_id", "text", "toxic").mapInArrow(spelled, _UNIT)
             .groupBy("unit", "sentence").agg(F.min("toxic").alias("toxic")))
-    held = once.groupBy("unit").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
+    held = stash.keep(once.groupBy("unit").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")))
     total = once.groupBy("sentence").agg(F.min("toxic").alias("toxic")).agg(
         F.sum("toxic").alias("a"), F.count("*").alias("n")).first()
     n1, n0 = max(total["a"] or 0, 1), max((total["n"] or 0) - (total["a"] or 0), 1)
     share = F.col("n") / (n1 + n0)
     z = ((F.col("a") / n1 - (F.col("n") - F.col("a")) / n0)
          / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12))
-    leaning = (held.withColumn("z", z).orderBy(F.desc("z"), F.desc(F.length("unit")), "unit")
-               .limit(40 * cfg.telling).select("unit", "z").collect())
+    b, p = F.col("n") - F.col("a"), n1 / (n1 + n0)
+    ratio = (F.col("a") * F.log(F.col("a") / (F.col("n") * p))  # Dunning's: holds for rare units too
+             + F.when(b > 0, b * F.log(b / (F.col("n") * (1 - p)))).otherwise(0.0))
+    sure = F.coalesce((F.col("a") > 0) & (z > 0) & (F.sqrt(2 * ratio) >= cfg.sure), F.lit(False))
+    ranked = held.select("unit", z.alias("z"), sure.alias("sure"))
+    first = [F.desc("z"), F.desc(F.length("unit")), "unit"]
+    leaning = ranked.where("sure").orderBy(*first).collect()
+    leaning += ranked.where("not sure").orderBy(*first).limit(40 * cfg.telling).collect()
     telling: list[bytes] = []
     weights: list[float] = []
     plain = replace(cfg, power=1)
-    for r in leaning:
-        unit = bytes(r["unit"])
-        if len(telling) < cfg.telling and (
-                not telling or normalised_kernel([unit], telling, plain).max() < cfg.alike):
-            telling.append(unit)
-            weights.append(max(r["z"], 0.0))
-    common = [bytes(r["unit"]) for r in held.orderBy(F.desc("n"), "unit").limit(cfg.common + cfg.telling).collect()]
+    strings = [bytes(r["unit"]) for r in leaning]
+    nearest = np.zeros(len(leaning))
+    for i, r in enumerate(leaning):
+        if nearest[i] >= cfg.alike or not (r["sure"] or len(telling) < cfg.telling):
+            continue
+        telling.append(strings[i])
+        weights.append(max(r["z"], 0.0))
+        nearest = np.maximum(nearest, normalised_kernel(strings, strings[i:i + 1], plain)[:, 0])
+    common = [bytes(r["unit"]) for r in held.orderBy(F.desc("n"), "unit").limit(cfg.common + len(telling)).collect()]
     landmarks = telling + [u for u in common if u not in telling][:cfg.common]
     return landmarks, np.array(weights + [0.0] * (len(landmarks) - len(telling)))
 

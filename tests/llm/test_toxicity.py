@@ -75,6 +75,21 @@ def test_gapped_and_inserted_insults(frame, model):
     assert sum(got[i].predicted for i in range(100, 200)) == 0
 
 
+def test_more_unlike_insults_than_common_landmarks(frame, spark):
+    rng = np.random.default_rng(7)
+    bad = ["".join(rng.choice(list("aeioubdklmnprstv"), 8)) for _ in range(40)]
+    # the first ones are frequent and have many different endings
+    picks = [bad[i % 40] if i < 760 else bad[i % 6] + "".join(rng.choice(list("aeiou"), 2)) for i in range(960)]
+    rows = [(i, f"{prose(rng, 8)}\n{prose(rng, 4)[:-1]} {w} {prose(rng, 4)}", 1) for i, w in enumerate(picks)]
+    rows += [(10_000 + i, f"{prose(rng, 8)}\n{prose(rng, 9)}", 0) for i in range(960)]
+    model = train_model(spark, spark.createDataFrame(rows, SCHEMA).repartition(3))
+    test = [(i, f"{prose(rng, 20)} {prose(rng, 4)[:-1]} {w} {prose(rng, 5)}", 0) for i, w in enumerate(bad)]
+    test += [(100 + i, " ".join(prose(rng, 15) for _ in range(3)), 0) for i in range(100)]
+    got = {r.doc_id: r for r in score_toxicity(frame(test, SCHEMA).drop("toxic"), model).collect()}
+    assert [w for i, w in enumerate(bad) if not got[i].predicted] == []
+    assert sum(got[i].predicted for i in range(100, 200)) <= 2
+
+
 def test_edge_cases(frame, spark, model):
     rng = np.random.default_rng(3)
     rows = [(1, None), (2, ""), (3, "12 ... !"), (4, "x" * 30_000), (5, (prose(rng, 2000) + " ") * 10 + " nitwit"),
