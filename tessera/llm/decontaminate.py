@@ -45,9 +45,46 @@ def normalize(text: str | None) -> str:
     return " ".join((text or "").lower().split())
 
 
-def _codes(text: str) -> np.ndarray:
+#: Ranges of scripts written without spaces between words, and of signs.
+UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x2E80, 0x2FDF),
+            (0x3005, 0x3007), (0x3040, 0x312F), (0x31A0, 0x9FFF), (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF),
+            (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF))
+SIGNS = ((0x80, 0xBF), (0x2000, 0x2BFF), (0x2E00, 0x2E7F), (0x3000, 0x3004), (0x3008, 0x303F), (0xFE10, 0xFE6F),
+         (0xFF00, 0xFF20))
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _kinds(cp: np.ndarray) -> np.ndarray:
+    """0 for white space and the end, 1 for signs, 2 for digits, 3 for letters,
+    4 for letters of scripts without spaces."""
+    table = np.full(128, 1, dtype=np.uint8)
+    table[[0, 32]], table[48:58], table[97:123], table[65:91] = 0, 2, 3, 3
+    kinds = np.where(cp < 128, table[np.minimum(cp, 127)], np.uint8(3))
+    wide = np.flatnonzero(cp >= 128)
+    for ranges, kind in ((UNSPACED, 4), (SIGNS, 1)):
+        for lo, hi in ranges if len(wide) else ():
+            kinds[wide[(cp[wide] >= lo) & (cp[wide] <= hi)]] = kind
+    return kinds
+
+
+def start_runs(kinds: np.ndarray) -> np.ndarray:
+    """At each code point the number of edits below which a window starts
+    there: no bound at a change of kind and at letters of scripts without
+    spaces, elsewhere the length of the run of one kind; 0 at white space."""
+    edges = np.concatenate([[0], np.flatnonzero(kinds[1:] != kinds[:-1]) + 1, [len(kinds)]])
+    sizes = np.diff(edges)
+    runs = np.repeat(sizes, sizes)
+    runs[edges[:-1]] = len(kinds) + (1 << 30)
+    runs[kinds == 4] = len(kinds) + (1 << 30)
+    runs[kinds == 0] = 0
+    return runs
+
+
+def _codes(cp: np.ndarray) -> np.ndarray:
     """One byte (1 to 255) for every code point; ASCII keeps its own."""
-    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     folded = np.where(cp < 128, cp, 128 + (cp * np.uint32(2654435761) >> np.uint32(25)) % 128)
     return np.maximum(folded, 1).astype(np.uint8)
 
@@ -124,7 +161,7 @@ class LeakIndex:
         self.bits[:, :, 0] = 0  # the walk stops at the text's end
         # positions[class]: samples x bits walk positions inside twice its shortest length
         self.positions = [rng.integers(0, 2 * lo, (cfg.samples, cfg.bits)) for lo in self.shortest]
-        texts = [_codes(t) for _, t in self.items]
+        texts = [_codes(_points(t)) for _, t in self.items]
         self.grams = {q: np.zeros(1 << 22, dtype=bool) for q in cfg.grams}
         for q, held in self.grams.items():
             for t in texts:
@@ -184,12 +221,14 @@ def find_leaks(texts: list[str], index: LeakIndex) -> list[tuple[int, int, int,
     """(text number, item id, edits, start, end) of each item's nearest match
     in each normalised text, if within the item's edits."""
     cfg = index.cfg
-    parts = [np.append(_codes(t), np.uint8(0)) for t in texts]
+    parts = [np.append(_points(t), np.uint32(0)) for t in texts]
     sizes = np.array([len(p) for p in parts], dtype=np.int64)
     begin = np.concatenate([[0], np.cumsum(sizes)])
-    data = np.concatenate(parts)
-    space = (data == 32) | (data == 0)
-    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+    points = np.concatenate(parts)
+    data = _codes(points)
+    data[begin[1:] - 1] = 0
+    n = len(data)
+    runs = start_runs(_kinds(points))
     # windows that hold enough q-grams of any item for the allowed edits (exact
     # bounds); the longest q-grams are the rarest and go first
     reach = max(lo + slack for lo, slack in zip(index.shortest, index.slack))
@@ -199,31 +238,36 @@ def find_leaks(texts: list[str], index: LeakIndex) -> list[tuple[int, int, int,
         total = np.zeros(len(data) + 1 + reach, dtype=np.int32)
         np.cumsum(known, out=total[1:len(known) + 1])
         total[len(known) + 1:] = total[len(known)]
-        hits.append((index.floor[q], total, total[starts]))
+        hits.append((index.floor[q], total))
     alive = {}
     for c, (lo, slack) in enumerate(zip(index.shortest, index.slack)):
-        (floor, total, before), *others = hits
-        live = np.flatnonzero(total[lo + slack:][starts] - before >= floor[c])
-        for floor, total, before in others:
-            live = live[total[lo + slack:][starts[live]] - before[live] >= floor[c]]
+        (floor, total), *others = hits
+        live = np.flatnonzero((total[lo + slack:lo + slack + n] - total[:n] >= floor[c]) & (runs > slack))
+        for floor, total in others:
+            live = live[total[lo + slack:][live] - total[live] >= floor[c]]
         if len(live):
             alive[c] = live
     if not alive:
         return []
     union = np.unique(np.concatenate(list(alive.values())))
-    chosen = starts[union]
-    inside = {c: np.searchsorted(union, live) for c, live in alive.items()}
     found: dict[tuple[int, int], set[int]] = {}
-    for walk, (have, who) in enumerate(index.tables):
-        keys, owner = index.embed(data, chosen, walk, inside)
-        left = np.searchsorted(have, keys, "left")
-        hit = np.flatnonzero(have[np.minimum(left, len(have) - 1)] == keys)
-        right = np.searchsorted(have, keys[hit], "right")
-        for k, end in zip(hit, right):
-            at = int(chosen[owner[k]])
-            doc = int(np.searchsorted(begin, at, "right")) - 1
-            for item in who[left[k]:end]:
-                found.setdefault((doc, int(item)), set()).add(at - int(begin[doc]))
+    for first in range(0, len(union), 1 << 15):  # bounds the walks' memory
+        chosen = union[first:first + (1 << 15)]
+        inside = {}
+        for c, live in alive.items():
+            here = live[np.searchsorted(live, chosen[0]):np.searchsorted(live, chosen[-1], "right")]
+            if len(here):
+                inside[c] = np.searchsorted(chosen, here)
+        for walk, (have, who) in enumerate(index.tables):
+            keys, owner = index.embed(data, chosen, walk, inside)
+            left = np.searchsorted(have, keys, "left")
+            hit = np.flatnonzero(have[np.minimum(left, len(have) - 1)] == keys)
+            right = np.searchsorted(have, keys[hit], "right")
+            for k, end in zip(hit, right):
+                at = int(chosen[owner[k]])
+                doc = int(np.searchsorted(begin, at, "right")) - 1
+                for item in who[left[k]:end]:
+                    found.setdefault((doc, int(item)), set()).add(at - int(begin[doc]))
     leaks = []
     for (doc, item), at in sorted(found.items()):
         item_id, pattern = index.items[item]
@@ -287,7 +331,9 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame,
     lies within ``cfg.edit_percent`` of the item's length in edits.  Positions
     are code points of the normalised text.
 
-    Windows of an item's length start at every word of the normalised text.
+    Windows of an item's length start at every change between letters, digits
+    and signs of the normalised text, at every letter of scripts without
+    spaces, and at every code point of a run longer than the allowed edits.
     Those with too few of the benchmark's q-grams for the allowed edits are
     passed over (that bound loses nothing); the others are embedded by the
     walk, and where any sampled key equals an item's, the exact search

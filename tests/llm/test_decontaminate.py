@@ -106,3 +106,18 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
     assert benchmark_leaks(spark, none, items).collect() == []
     assert benchmark_leaks(spark, some, items.limit(0)).collect() == []
+
+
+def test_items_inside_runs_without_spaces():
+    rng = np.random.default_rng(11)
+    han = lambda n: "".join(chr(c) for c in rng.integers(0x4E00, 0x9F00, n))
+    thai = lambda n: "".join(chr(c) for c in rng.integers(0x0E01, 0x0E2F, n))
+    latin = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    words = lambda n: " ".join(latin(5) for _ in range(n))
+    items = [(1, han(60)), (2, thai(80)), (3, latin(70)), (4, words(12)), (5, words(14))]
+    index = LeakIndex(items, LeakConfig())
+    t = dict(items)
+    texts = [han(300) + t[1] + han(200), thai(400) + t[2] + thai(90), latin(250) + t[3] + latin(120),
+             "see " + latin(45) + t[4] + " " + words(20), words(9) + " " + "0" * 30 + ":" + t[5] + words(9), han(900)]
+    want = [(d, i, 0, texts[d].index(t[i]), texts[d].index(t[i]) + len(t[i])) for d, i in enumerate((1, 2, 3, 4, 5))]
+    assert sorted(find_leaks(texts, index)) == want
