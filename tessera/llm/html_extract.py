@@ -30,9 +30,13 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 
 #: Elements whose content is not text.
 RAW = frozenset("script style noscript template textarea title svg math iframe object select option head".split())
+#: Elements whose text is left out.
+HIDDEN = frozenset()
+FOREIGN = frozenset("svg math".split())
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes template".split()) | RAW
 #: Elements that begin and end a block.
 BLOCK = frozenset(
-    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset "
+    "address article aside blockquote body button caption center datalist dd details dialog dir div dl dt fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section "
     "summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,6 +51,23 @@ AROUND_WORDS = frozenset(
 ARTICLE = frozenset("article main".split())
 
 
+#: Pieces that may stand beside such a word in a name.
+NEUTRAL = frozenset(
+    "area bar block box bottom container content group inner item items left link links list panel right section "
+    "site slot top wrap wrapper".split())
+#: Elements whose class words say how the page is laid out.
+WHOLE = frozenset("html body main article".split())
+
+
+def _names_around(value: str) -> bool:
+    """Whether one whole name consists of such words, neutral ones aside."""
+    for name in value.split():
+        pieces = [x for x in _SPLIT.split(name) if x and not x.isdigit()]
+        if AROUND_WORDS.intersection(pieces) and all(x in AROUND_WORDS or x in NEUTRAL for x in pieces):
+            return True
+    return False
+
+
 @cache
 def _raw_end(name: str) -> re.Pattern:
     return re.compile(rf"</{name}\b[^>]*>?" + (r"|(?=<body\b)" if name == "head" else ""), re.I)
@@ -66,14 +87,21 @@ def text_blocks(page: str) -> list[Block]:
     """The flat blocks of a page in order, decoded and with single spaces.
 
     Unclosed and wrongly nested elements are tolerated: a closing tag closes
-    the nearest open element of its name, or nothing.
+    the nearest open element of its name, or nothing.  Class words count
+    neither on the page's outer elements nor on one that contains the first
+    article or a main element.
     """
     blocks: list[Block] = []
     texts: list[str] = []
     linked: list[bool] = []
-    stack: list[tuple[str, int, int]] = []  # element, how often around / article up to it
+    # element, how often around / article / hidden up to it, innermost one named around
+    stack: list[tuple[str, int, int, int, int]] = []
     link = heading = 0
-    around = article = 0
+    around = article = hidden = mark = 0
+    marks = 0
+    marked: list[tuple[Block, int]] = []
+    lifted: set[int] = set()
+    articles = False
 
     def flush() -> None:
         nonlocal texts, linked
@@ -82,22 +110,33 @@ def text_blocks(page: str) -> list[Block]:
             if text:
                 n_linked = sum(len(entities.unescape(t).split()) for t, inside in zip(texts, linked) if inside)
                 blocks.append(Block(text, len(text.split()), n_linked, around > 0, article > 0, heading > 0))
+                if mark:
+                    marked.append((blocks[-1], mark))
         texts, linked = [], []
 
+    def leave(i: int) -> None:
+        nonlocal around, article, hidden, mark
+        around, article, hidden, mark = stack[i - 1][1:] if i else (0, 0, 0, 0)
+        del stack[i:]
+
     at, n = 0, len(page)
     while at < n:
         low = page.find("<", at)
         if low < 0:
             low = n
         if low > at:
-            texts.append(page[at:low])
-            linked.append(link > 0)
+            if stack and stack[-1][0] == "head" and not page[at:low].isspace():
+                leave(len(stack) - 1)
+            if not hidden:
+                texts.append(page[at:low])
+                linked.append(link > 0)
         if low == n:
             break
         token = _TOKEN.match(page, low)
         if token is None:  # a bare "<" is text
-            texts.append("<")
-            linked.append(link > 0)
+            if not hidden:
+                texts.append("<")
+                linked.append(link > 0)
             at = low + 1
             continue
         at = token.end()
@@ -110,6 +149,27 @@ def text_blocks(page: str) -> list[Block]:
             end = _raw_end(name).search(page, at)
             at = end.end() if end else n
             continue
+        if stack and not closing:  # elements that end without a closing tag
+            if stack[-1][0] == "head" and name not in IN_HEAD:
+                leave(len(stack) - 1)
+            elif stack[-1][0] in FOREIGN and name in BLOCK:
+                while stack and stack[-1][0] in FOREIGN:
+                    leave(len(stack) - 1)
+            elif stack[-1][0] == "option" and (name in BLOCK or name in ("option", "optgroup")):
+                leave(len(stack) - 1)
+        if name in HIDDEN:
+            flush()
+            if closing:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == name:
+                        leave(i)
+                        break
+            elif not (name in FOREIGN and token.group(3).rstrip().endswith("/")):
+                hidden += 1
+                stack.append((name, around, article, hidden, mark))
+            continue
+        if hidden and name not in BLOCK:
+            continue
         if name == "br":
             texts.append(" ")
             linked.append(False)
@@ -118,29 +178,35 @@ def text_blocks(page: str) -> list[Block]:
         if name not in BLOCK:
             continue
         flush()
-        link = 0
-        if name in HEADING:
+        if not hidden:
+            link = 0
+        if name in HEADING and not hidden:
             heading = 0 if closing else 1
         if name in VOID or name == "p":
             continue
         if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    around, article = (stack[i - 1][1], stack[i - 1][2]) if i else (0, 0)
-                    del stack[i:]
+                    leave(i)
                     break
             continue
+        if name == "main" or (name == "article" and not articles):
+            lifted.update(x[4] for x in stack)
+            articles = True
         named = name in AROUND or (name == "header" and not article)
         if not named and token.group(3):
             for key, *values in _ATTRIBUTE.findall(token.group(3)):
                 value = next(filter(None, values), "").lower()
-                if key.lower() in ("class", "id", "role") and AROUND_WORDS & set(_SPLIT.split(value)):
-                    named = True
+                if key.lower() in ("class", "id", "role") and name not in WHOLE and _names_around(value):
+                    marks += 1
+                    mark = marks
                 elif key.lower() == "aria-hidden" and value == "true":
                     named = True
         around, article = around + named, article + (name in ARTICLE)
-        stack.append((name, around, article))
+        stack.append((name, around, article, hidden, mark))
     flush()
+    for block, named_by in marked:
+        block.around = block.around or named_by not in lifted
     return blocks
 
 

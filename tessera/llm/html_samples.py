@@ -66,4 +66,10 @@ PAGES = [
     f'<article>{_p(60)}<p>{_say("+", 9)}</p></article><footer>{_say("-", 7)}</footer>',
     f'<div>{_say("-", 3, "")}</div>',
     f'<ul>{_links(3, 2)}</ul><div>{_say("-", 5)}</div>',
+    # class words that tell how the whole page is laid out
+    f'<body class="page has-sidebar"><nav><ul>{_links(4)}</ul></nav><div class="content with-sidebar">'
+    f'<article class="post comment-open"><h1>{_say("+", 6, "")}</h1>{_p(30)}{_p(4)}</article></div>'
+    f'<div class="sidebar"><p>{_say("-", 24)}</p></div></body>',
+    f'<main id="search-main"><h1>{_say("+", 4, "")}</h1>{_p(25)}{_p(3)}</main><div class="site-footer">{_say("-", 8)}</div>',
+    f'<div class="sidebar"><article class="widget">{_p(28)}{_p(5)}</article></div><div class="comment-list"><p>{_say("-", 26)}</p></div>',
 ]

@@ -71,3 +71,14 @@ def test_edge_cases(frame, spark, tree):
     assert by[5] == "cut &am" and by[6] == "x" and by[None] == "x" and by[13] == "deep"
     assert by[12].count("word and more") == 30_000
     assert extract_main_text(spark, pages.limit(0), tree).collect() == []
+
+
+@pytest.mark.parametrize("page", [
+    "<body class='page has-sidebar'><article>{}</article></body>", "<div class='content with-sidebar'><article>{}</article></div>",
+    "<article class='post comment-open'>{}</article>", "<main id='search-main'>{}</main>",
+    "<div class='sidebar'><main>{}</main></div>", "<body class=search><div id=page>{}<p>The end.</p></div>"])
+def test_class_words_of_the_whole_page(tree, page):
+    body = "<p>" + "The river rose after days of rain and the road was closed. " * 4 + "</p><p>" + "Crews moved sand to the bridge where the wall had given way. " * 3 + "</p>"
+    assert len(main_text(page.format(body), tree).split("\n\n")) == 2
+    off = page.format(body) + "<div class='cookie-banner box-2'><p>" + "We use cookies on this site for you. " * 4 + "</p></div>"
+    assert "cookies" not in main_text(off, tree)
