@@ -28,10 +28,10 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
-#: Elements whose content is not text.
-RAW = frozenset("script style noscript template textarea title svg math iframe object select option head".split())
+#: Elements whose content is not markup, up to their closing tag.
+RAW = frozenset("script style noscript textarea title iframe".split())
 #: Elements whose text is left out.
-HIDDEN = frozenset()
+HIDDEN = frozenset("template svg math foreignobject object select option head".split())
 FOREIGN = frozenset("svg math".split())
 IN_HEAD = frozenset("base basefont bgsound head html link meta noframes template".split()) | RAW
 #: Elements that begin and end a block.
@@ -70,7 +70,7 @@ def _names_around(value: str) -> bool:
 
 @cache
 def _raw_end(name: str) -> re.Pattern:
-    return re.compile(rf"</{name}\b[^>]*>?" + (r"|(?=<body\b)" if name == "head" else ""), re.I)
+    return re.compile(rf"</{name}\b[^>]*>?", re.I)
 
 
 @dataclass

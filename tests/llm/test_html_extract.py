@@ -82,3 +82,13 @@ def test_class_words_of_the_whole_page(tree, page):
     assert len(main_text(page.format(body), tree).split("\n\n")) == 2
     off = page.format(body) + "<div class='cookie-banner box-2'><p>" + "We use cookies on this site for you. " * 4 + "</p></div>"
     assert "cookies" not in main_text(off, tree)
+
+
+@pytest.mark.parametrize("before, inside", [
+    ("<datalist><option value='a'></datalist>", ""), ("<svg class=i />", ""), ("<svg><path d='M0'/><g/></svg>", ""),
+    ("<math/>", ""), ("<head><meta charset=utf-8><title>T</title>", ""), ("<div><svg><path></div>", ""),
+    ("<select><option>no<option>none</select>", ""), ("<svg><path>", ""), ("", "<template><p>no</p></template>"),
+    ("<object><p>no</p></object>", "<svg><text>no</text></svg>"), ("<head><svg/>", "<option>no")])
+def test_elements_that_need_no_closing_tag(before, inside):
+    blocks = text_blocks(f"{before}<article><p>The river rose.</p>{inside}<p>It fell.</p></article>")
+    assert [b.text for b in blocks] == ["The river rose.", "It fell."]
