@@ -61,26 +61,31 @@ def _curve_udf(bits: int):
     return curve
 
 
-def _leading(column: str) -> F.Column:
-    """The first seven UTF-8 bytes as a number that keeps their order; null: -1."""
-    head = F.rpad(F.hex(F.substring(F.encode(F.col(column), "UTF-8"), 1, 7)), 14, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(-1))
+def _ordered(column: str) -> F.Column:
+    """The whole value behind a mark, so that null comes first and joins."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column)), F.lit(""))
 
 
 def _measures(df: DataFrame) -> DataFrame:
-    """One orderable number for each dimension."""
-    return (df.withColumn("m_source", _leading("m_src")).withColumn("m_lang", _leading("m_lng"))
+    """One orderable value for each dimension."""
+    return (df.withColumn("m_source", _ordered("m_src")).withColumn("m_lang", _ordered("m_lng"))
             .withColumn("m_length", F.floor(8 * F.log2(F.col("size"))).cast("long")))
 
 
-def _equal_depth(df: DataFrame, dim: str, bits: int) -> DataFrame:
+def _equal_depth(df: DataFrame, dim: str, bits: int, stash: Stash) -> DataFrame:
     """(m_dim, x_dim): each distinct value's bin among 2^bits bins of
-    near-equal row counts.  One row for each distinct value."""
-    held = df.groupBy(f"m_{dim}").agg(F.count("*").alias("n"))
-    upto = Window.orderBy(f"m_{dim}")
-    return held.select(
-        f"m_{dim}", F.floor((F.sum("n").over(upto) - F.col("n")) * (1 << bits)
-                            / F.sum("n").over(Window.partitionBy())).cast("long").alias(f"x_{dim}"))
+    near-equal row counts.  One row for each distinct value; ranks come from
+    range partitions and the row counts before each."""
+    value = f"m_{dim}"
+    held = stash.keep(df.groupBy(value).agg(F.count("*").alias("n")).repartitionByRange(value)
+                      .sortWithinPartitions(value).withColumn("piece", F.spark_partition_id()))
+    total, before = 0, [F.lit(-1), F.lit(0)]
+    for piece, n in sorted(held.groupBy("piece").agg(F.sum("n")).collect()):
+        before += [F.lit(piece), F.lit(total)]
+        total += n
+    upto = Window.partitionBy("piece").orderBy(value)
+    rank = F.sum("n").over(upto) - F.col("n") + F.create_map(*before)[F.col("piece")]
+    return held.select(value, F.floor(rank * (1 << bits) / max(total, 1)).cast("long").alias(f"x_{dim}"))
 
 
 def _cuts(groups: DataFrame, cfg: ShardConfig) -> list[tuple[int, str]]:
@@ -181,7 +186,7 @@ def shard_documents(spark: SparkSession, docs: DataFrame, cfg: ShardConfig = Sha
                                  .otherwise(F.col(name)))
         return _measures(out)
 
-    bins = {d: stash.keep(_equal_depth(measured(narrow), d, cfg.bits)) for d in DIMENSIONS}
+    bins = {d: stash.keep(_equal_depth(measured(narrow), d, cfg.bits, stash)) for d in DIMENSIONS}
 
     def on_curve(df: DataFrame) -> DataFrame:
         out = measured(df)

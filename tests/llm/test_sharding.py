@@ -68,3 +68,14 @@ def test_files_cover_small_boxes(spark, sf, scratch):
     spans = table.selectExpr("input_file_name() f", "lang").groupBy("f").agg({"lang": "collect_set"}).collect()
     assert len(spans) > 8
     assert sum(len(r[1]) for r in spans) / len(spans) < 2.5  # of four languages
+
+
+def test_sources_that_share_their_beginning(frame, spark, scratch):
+    rows = [(i, f"text {i} " + "x" * (37 * i % 200), f"https://site-{i % 16:02d}.example/", None if i % 5 else "en") for i in range(640)]
+    docs = frame(rows, "doc_id long, text string, source string, lang string")
+    table = write_shards(spark, docs, f"{scratch}/shards", ShardConfig(shards=4), files_per_shard=4)
+    spans = table.selectExpr("input_file_name() f", "source").groupBy("f").agg({"source": "collect_set"}).collect()
+    assert len(spans) > 8
+    assert sum(len(r[1]) for r in spans) / len(spans) < 8  # of 16 sources
+    alone = shard_documents(spark, docs.selectExpr("doc_id", "'same' || doc_id text", "source", "'en' lang")).collect()
+    assert len({r.curve for r in alone}) >= 16
