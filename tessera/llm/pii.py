@@ -28,6 +28,10 @@ KINDS = tuple(PATTERNS)
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "phone": r"\+[0-9]"}
 #: A white-space-delimited token with a digit or an at sign.
 MENTION = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: Such a token, or several with digits that only single spaces separate.
+GROUPED = (r"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D0-9@]*+[0-9][^\x20\x09-\x0D@]*+(?![^\x20\x09-\x0D])"
+           r"(?:(?<![.,;:!?])\x20[^\x20\x09-\x0D0-9@]*+[0-9][^\x20\x09-\x0D@]*+(?![^\x20\x09-\x0D]))*+"
+           r"|[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)")
 OPEN, CLOSE, OTHER = "\x01", "\x02", "\x03"
 
 
@@ -35,16 +39,13 @@ OPEN, CLOSE, OTHER = "\x01", "\x02", "\x03"
 class PiiConfig:
     """``context``: words before a mention that form its lexical pattern, taken
     from the last ``reach`` characters.  A pattern is trusted from
-    ``confidence`` and ``seeds`` different seed instances on; an identifier
-    has ``digits`` digits and ``length`` characters at least."""
+    ``confidence`` and ``seeds`` different seed instances on."""
 
     context: int = 1
     reach: int = 80
     rounds: int = 3
     confidence: float = 0.6
     seeds: int = 3
-    digits: int = 4
-    length: int = 6
 
 
 def matches(text: Column, pattern: str, reach: int = 0) -> Column:
@@ -105,20 +106,20 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(text.rlike(NEEDS[kind]), found).otherwise(F.array().cast("array<struct<s:int,e:int>>"))
 
 
-def mentions(text: Column, cfg: PiiConfig) -> Column:
-    """array<struct<s, e, m, pattern>>: identifier-like tokens without the
-    punctuation at their ends, each with its lexical pattern: the lower-case
+def mentions(text: Column, cfg: PiiConfig, tokens: str = GROUPED) -> Column:
+    """array<struct<s, e, m, pattern>>: identifier-like tokens, neighbouring
+    groups as one, without the punctuation at their ends, each with its lexical pattern: the lower-case
     words before it, ^ at the beginning of the text, # for other mentions."""
     def view(x: Column) -> Column:
-        lead = F.char_length(x["m"]) - F.char_length(F.regexp_replace(x["m"], r"^[^\p{L}\p{N}+]+", ""))
-        core = F.regexp_replace(x["m"], r"^[^\p{L}\p{N}+]+|[^\p{L}\p{N}]++$", "")
+        lead = F.char_length(x["m"]) - F.char_length(F.regexp_replace(x["m"], r"^[^\p{L}\p{N}+@]+", ""))
+        core = F.regexp_replace(x["m"], r"^[^\p{L}\p{N}+@]+|[^\p{L}\p{N}]++$", "")
         words = F.filter(F.split(F.lower(x["before"]), r"[\x20\x09-\x0D]+"), lambda w: w != "")
         near = F.array_join(F.slice(words, F.greatest(F.size(words) - cfg.context + 1, F.lit(1)),
                                     F.lit(cfg.context)), " ")
         pattern = F.when(near != "", near).when(x["s"] == 0, "^").otherwise("#")
         return F.struct((x["s"] + lead).alias("s"), (x["s"] + lead + F.char_length(core)).alias("e"),
                         core.alias("m"), pattern.alias("pattern"))
-    found = F.filter(F.transform(matches(text, MENTION, cfg.reach), view), lambda x: x["m"] != "")
+    found = F.filter(F.transform(matches(text, tokens, cfg.reach), view), lambda x: F.regexp_replace(x["m"], r"[+@]", "") != "")
     none = F.array().cast("array<struct<s:int,e:int,m:string,pattern:string>>")
     return F.when(text.rlike("[0-9@]"), found).otherwise(none)
 
@@ -159,8 +160,9 @@ def find_personal_data(spark: SparkSession, docs: DataFrame, cfg: PiiConfig = Pi
 
     The first four are the base patterns' valid matches.  Tokens that overlap
     one are the seeds; the lexical patterns they induce are scored with all
-    instances (``score_patterns``), and ``id`` holds the other identifier-like
-    tokens behind a trusted pattern whose own score reaches ``confidence``.
+    instances (``score_patterns``), and ``id`` holds the other mentions
+    behind a trusted pattern whose own score reaches ``confidence``, of any
+    length; neighbouring tokens with digits are one mention.
 
     Null and empty texts have no spans; repeated rows get equal results; null
     ids stay null; an empty table gives an empty result; other columns are
@@ -173,12 +175,18 @@ def find_personal_data(spark: SparkSession, docs: DataFrame, cfg: PiiConfig = Pi
         *[base_spans(text, k).alias(k) for k in KINDS], mentions(text, cfg).alias("mention"))
     found = stash.keep(rows)
     near = F.concat(*[F.col(k) for k in KINDS])
+    overlap = F.exists("base", lambda b: (b["s"] < F.col("x.e")) & (b["e"] > F.col("x.s")))
+    whole = F.exists("base", lambda b: (b["s"] <= F.col("x.s")) & (b["e"] >= F.col("x.e")))
+    # groups that a base match is only part of fall into their tokens again
+    inner = F.transform(mentions(F.col("x.m"), cfg, MENTION), lambda t: F.struct(
+        (F.col("x.s") + t["s"]).alias("s"), (F.col("x.s") + t["e"]).alias("e"), t["m"].alias("m"),
+        F.when(t["s"] == 0, F.col("x.pattern")).otherwise(t["pattern"]).alias("pattern")))
     each = found.select("row", near.alias("base"), F.explode("mention").alias("x")).select(
-        "row", "x.*", F.exists("base", lambda b: (b["s"] < F.col("x.e")) & (b["e"] > F.col("x.s"))).alias("seed"))
+        "row", "base", F.explode(F.when(F.contains(F.col("x.m"), F.lit(" ")) & overlap & ~whole, inner)
+                                 .otherwise(F.array("x"))).alias("x")).select("row", "x.*", overlap.alias("seed"))
     each = stash.keep(each)
     patterns, instances = score_patterns(each.select("pattern", "m", "seed"), cfg, stash)
-    shape = (F.char_length("m") >= cfg.length) & (F.char_length(_digits(F.col("m"))) >= cfg.digits)
-    new = (each.where(~F.col("seed") & shape).join(patterns, "pattern", "left_semi")
+    new = (each.where(~F.col("seed")).join(patterns, "pattern", "left_semi")
            .join(instances.where(F.col("r") >= cfg.confidence), "m", "left_semi")
            .groupBy("row").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("id")))
     none = F.array().cast("array<struct<s:int,e:int>>")

@@ -82,3 +82,15 @@ def test_patterns_discover_unseen_identifiers(frame, spark):
 def test_mask(spark):
     df = spark.sql("select 'ab 1.1.1.1 é' t, array(named_struct('s', 3, 'e', 10)) x")
     assert df.select(mask(F.col("t"), F.col("x"), "*")).first()[0] == "ab ******* é"
+
+
+def test_grouped_and_short_identifiers(frame, spark):
+    rows = [(i, f"Word here phone: +49 30 55501{i:02d} and more") for i in range(20)]
+    rows += [(20 + i, f"Write to contact: user{i}@mail.example and more") for i in range(20)]
+    rows += [(50, "Word phone: 030 123 4567 then"), (51, "a phone: DE89 3704 0044 0532, then 12 apples"),
+             (52, "his contact: @someone is"), (53, "phone: AB-123 here"), (54, "then 077 456 1122 alone")]
+    got = {r.doc_id: [tuple(x) for x in r.id] for r in
+           find_personal_data(spark, frame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    found = {i: [texts[i][s:e] for s, e in got[i]] for i in range(50, 55)}
+    assert found == {50: ["030 123 4567"], 51: ["DE89 3704 0044 0532"], 52: ["@someone"], 53: ["AB-123"], 54: []}
