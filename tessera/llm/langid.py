@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -172,14 +172,23 @@ _GUESS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lan
 def train_model(labelled: DataFrame, cfg: LangConfig = LangConfig()) -> ContextModel:
     """Context statistics of every language in ``labelled`` (doc_id, text,
     lang); null texts and languages teach nothing.  Counting runs in Spark;
-    one total a language and the summed counts of the bounded sample come to
+    one total and one bound a language and the summed counts of the bounded sample come to
     the driver."""
     known = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    volume = known.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()
-    shares = [x for r in volume for x in (F.lit(r["lang"]), F.lit(cfg.sample_bytes / max(r["bytes"], 1)))]
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
-    share = F.create_map(*shares)[F.col("lang")] if shares else F.lit(0.0)
-    picked = known.where(spot < share).select("lang", "text")
+    # the first documents of each language in hash order, until the byte bound is
+    # reached; sought among those below four times its share, and the very first
+    spot = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))) / F.lit(2.0 ** 64) + 0.5
+    sized = known.select("lang", spot.alias("spot"), F.octet_length("text").alias("bytes"))
+    volume = sized.groupBy("lang").agg(F.sum("bytes").alias("bytes"), F.min("spot").alias("first")).collect()
+    bounds = [x for r in volume for x in (F.lit(r["lang"]), F.lit(max(
+        float(r["first"]), 4 * cfg.sample_bytes / max(r["bytes"], 1))))]
+    if bounds:
+        upto = Window.partitionBy("lang").orderBy("spot").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        near = sized.where(F.col("spot") <= F.create_map(*bounds)[F.col("lang")]).groupBy("lang", "spot").agg(
+            F.sum("bytes").alias("bytes")).withColumn("before", F.sum("bytes").over(upto) - F.col("bytes"))
+        ends = near.where((F.col("before") < cfg.sample_bytes)).groupBy("lang").agg(F.max("spot").alias("end")).collect()
+        last = F.create_map(*[x for r in ends for x in (F.lit(r["lang"]), F.lit(r["end"]))])[F.col("lang")]
+    picked = known.where(spot <= last if bounds else F.lit(False)).select("lang", "text")
     order = cfg.order
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

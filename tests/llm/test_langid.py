@@ -78,3 +78,9 @@ def test_edge_cases(frame, spark):
     assert by[4][0] == by[7][0] == by[None][0] == "en" and by[6][0] == "de" and by[5][0] in ("en", "de")
     none = train_model(frame(rows, "doc_id long, text string, lang string").where("lang is null"))
     assert {r.lang_pred for r in predict_language(spark, frame(rows, "doc_id long, text string, lang string"), none).collect()} == {"und"}
+
+
+def test_languages_of_few_long_documents_are_kept(frame, spark):
+    rows = [(10 * k + i, f"lang{k} word" * 30, f"l{k}") for k in range(12) for i in range(3)]
+    model = train_model(frame(rows, "doc_id long, text string, lang string"), LangConfig(sample_bytes=100))
+    assert model.languages == sorted(f"l{k}" for k in range(12))
