@@ -23,12 +23,12 @@ class LeakConfig:
     ``bits`` positions: a walk with a share s of equal positions collides in
     a sample with probability s^bits.  Over random edits s varies; the mean
     of s^6 is 0.65, 0.47, 0.19 and 0.07 at 1, 2, 5 and 8 % edits, which gives
-    a recall near 1 up to 5 % and above 0.9 at 8 %.  ``grams``: lengths of
+    a recall near 1 up to 5 % and above 0.98 at 8 %.  ``grams``: lengths of
     the q-grams counted before the walk.  ``block_chars``: item text handled
     by one pass over the documents."""
 
     edit_percent: int = 8
-    walks: int = 8
+    walks: int = 16
     samples: int = 10
     bits: int = 6
     grams: tuple[int, ...] = (8, 10)

@@ -121,3 +121,12 @@ def test_items_inside_runs_without_spaces():
              "see " + latin(45) + t[4] + " " + words(20), words(9) + " " + "0" * 30 + ":" + t[5] + words(9), han(900)]
     want = [(d, i, 0, texts[d].index(t[i]), texts[d].index(t[i]) + len(t[i])) for d, i in enumerate((1, 2, 3, 4, 5))]
     assert sorted(find_leaks(texts, index)) == want
+
+
+def test_recall_at_the_operators_bound():
+    rng = np.random.default_rng(5)
+    items = [(i, prose(rng, int(rng.integers(20, 60)))) for i in range(300)]
+    cfg = LeakConfig()
+    texts = [" ".join([prose(rng, 8), edited(rng, t, cfg.edits(len(t))), prose(rng, 8)]) for _, t in items]
+    found = {(doc, item) for doc, item, *_ in find_leaks(texts, LeakIndex(items, cfg))}
+    assert sum((i, i) in found for i, _ in items) >= 0.98 * len(items)
