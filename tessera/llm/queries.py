@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import (decontaminate, fingerprint, html_extract, langid, mixing, near_dedup, pii, sharding,
+from tessera.llm import (decontaminate, fill_middle, fingerprint, html_extract, langid, mixing, near_dedup, pii, sharding,
                          toxicity, warc)
 
 
@@ -92,6 +92,15 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         pii.span_list(base | {"id": "id"}).alias("spans"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its middle moved to the end, and the text rebuilt
+    from that."""
+    made = fill_middle.fill_in_middle(spark, _table(spark, sf_dir, "documents"))
+    back = fill_middle.restore(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                       F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_shard": op2_shard,
@@ -103,7 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix": op8_mix,
     "op9_fingerprint": op9_fingerprint,
     "op10_personal_data": op10_personal_data,
+    "op11_fill_middle": op11_fill_middle,
 }
 ORACLE_SQL: dict[str, str] = {
     "op8_mix": mixing.oracle_sql(),
+    "op11_fill_middle": fill_middle.oracle_sql(),
 }
