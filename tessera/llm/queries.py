@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (decontaminate, fill_middle, fingerprint, html_extract, langid, mixing, near_dedup, pii, sharding,
-                         substring_dedup, toxicity, warc)
+                         spelling, substring_dedup, toxicity, warc)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +101,11 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with their near words, forms and roots."""
+    return spelling.spelling_variants(spark, _table(spark, sf_dir, "documents"))
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages of 20 words that occur earlier."""
     kept = substring_dedup.remove_repeats(spark, _table(spark, sf_dir, "documents"))
@@ -119,10 +124,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprint": op9_fingerprint,
     "op10_personal_data": op10_personal_data,
     "op11_fill_middle": op11_fill_middle,
+    "op12_spelling": op12_spelling,
     "op13_substring_dedup": op13_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op8_mix": mixing.oracle_sql(),
     "op11_fill_middle": fill_middle.oracle_sql(),
+    "op12_spelling": spelling.oracle_sql(),
     "op13_substring_dedup": substring_dedup.oracle_sql(),
 }
