@@ -122,7 +122,7 @@ from .operators import split as T  # noqa: E402
 
 
 def sql_hash(seed: int, key: str) -> str:
-    return f"md5('{seed}:' || CAST({key} AS VARCHAR))"
+    return f"md5('{seed}:' || " + " || ':' || ".join(f"CAST({k} AS VARCHAR)" for k in key.split(", ")) + ")"
 
 
 def sql_holdout(source: str, key: str, fraction: float = 0.2, seed: int = 42) -> str:
@@ -871,9 +871,112 @@ def _run_metrics(spark, df, target, key, task, estimator):
         "metric string, value double, higher_is_better boolean")
 
 
-@register("logistic_regression_run")
+def _sql_solved(name: str, matrix: str) -> str:
+    """CTEs that solve a linear system by Gauss-Jordan steps: ``matrix`` has
+    rows (i, j, v) with i from 1 to n and the right-hand side as j = n + 1;
+    ``name`` gets the solution as rows (i, v)."""
+    return f"""
+{name}_rows AS (SELECT i, list(v ORDER BY j) AS r FROM ({matrix}) GROUP BY i),
+{name}_step(k, n, m) AS (
+  SELECT 1, CAST(count(*) AS INTEGER), list(r ORDER BY i) FROM {name}_rows
+  UNION ALL
+  SELECT k + 1, n, list_transform(range(1, n + 1), lambda i: list_transform(range(1, n + 2), lambda j:
+    CASE WHEN i = k THEN m[k][j] / m[k][k] ELSE m[i][j] - m[i][k] * m[k][j] / m[k][k] END))
+  FROM {name}_step WHERE k <= n),
+{name} AS (SELECT unnest(range(1, n + 1)) AS i, unnest(list_transform(m, lambda r: r[n + 1])) AS v
+           FROM {name}_step WHERE k = n + 1)"""
+
+
+def _sql_scaled_rows(split: str, columns: list[str]) -> str:
+    """CTE ``z``: the split rows with every numeric column filled with its
+    training median and scaled by the training mean and deviation."""
+    stats = ", ".join(f"median(CAST({c} AS DOUBLE)) AS d_{c}" for c in columns)
+    moments = ", ".join(f"avg(coalesce(CAST({c} AS DOUBLE), d_{c})) AS m_{c}, "
+                        f"stddev_pop(coalesce(CAST({c} AS DOUBLE), d_{c})) AS s_{c}" for c in columns)
+    scaled = ", ".join(f"(coalesce(CAST({c} AS DOUBLE), d_{c}) - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END "
+                       f"AS z_{c}" for c in columns)
+    return f"""
+sp AS MATERIALIZED ({split}),
+md AS (SELECT {stats} FROM sp WHERE part = 'train'),
+mo AS (SELECT {moments} FROM sp, md WHERE part = 'train'),
+z AS MATERIALIZED (SELECT sp.*, {scaled} FROM sp, md, mo)"""
+
+
+def _sql_logistic(split: str, columns: list[str], target: str, classes: int, steps: int = 9) -> str:
+    """(actual, predicted) of the validation rows by multinomial logistic
+    regression with C = 1: Newton steps from zero, each solved in SQL."""
+    width = len(columns) + 1
+    n = classes * width  # unknown a = (class - 1) * width + feature, the intercept last
+    z = ", ".join(f"z_{c}" for c in columns)
+    parts = [_sql_scaled_rows(split, columns), f"""
+cl AS (SELECT {target} AS label, row_number() OVER (ORDER BY {target}) AS c FROM (SELECT DISTINCT {target} FROM z
+       WHERE part = 'train')),
+x AS MATERIALIZED (SELECT row_number() OVER () AS id, [{z}, 1.0] AS x, c AS y FROM z JOIN cl ON label = {target}
+                   WHERE part = 'train'),
+size AS (SELECT count(*) AS n FROM x),
+t0 AS (SELECT unnest(range(1, {n + 1})) AS i, 0.0 AS v)"""]
+    for s in range(steps):
+        parts.append(f"""
+w{s} AS (SELECT list(v ORDER BY i) AS t FROM t{s}),
+e{s} AS (SELECT id, x, y, list_transform(range({classes}), lambda k: exp(list_sum(list_transform(range(1, {width + 1}),
+         lambda f: x[f] * t[k * {width} + f])))) AS e FROM x, w{s}),
+p{s} AS MATERIALIZED (SELECT id, x, y, list_transform(e, lambda v: v / list_sum(e)) AS p FROM e{s}),
+g{s} AS (SELECT a AS i, sum(x[(a - 1) % {width} + 1] * (p[(a - 1) // {width} + 1] - CASE WHEN y = (a - 1) // {width} + 1
+         THEN 1 ELSE 0 END)) + any_value(CASE WHEN a % {width} = 0 THEN 0 ELSE t[a] END) AS v
+         FROM p{s}, w{s}, range(1, {n + 1}) r(a) GROUP BY a),
+h{s} AS (SELECT a AS i, b AS j, sum(x[(a - 1) % {width} + 1] * x[(b - 1) % {width} + 1] * p[(a - 1) // {width} + 1]
+         * (CASE WHEN (a - 1) // {width} = (b - 1) // {width} THEN 1 ELSE 0 END - p[(b - 1) // {width} + 1]))
+         + any_value(CASE WHEN a = b AND a % {width} <> 0 THEN 1.0 WHEN a % {width} = 0 AND b % {width} = 0
+                     THEN CAST(n AS DOUBLE) / {classes} ELSE 0.0 END) AS v
+         FROM p{s}, size, range(1, {n + 1}) r(a), range(1, {n + 1}) q(b) GROUP BY a, b),
+{_sql_solved(f"s{s}", f"SELECT i, j, v FROM h{s} UNION ALL SELECT i, {n + 1}, v FROM g{s}")},
+t{s + 1} AS (SELECT i, t.v - d.v AS v FROM t{s} t JOIN s{s} d USING (i))""")
+    score = (f"list_transform(range({classes}), lambda k: list_sum(list_transform(range(1, {width + 1}), "
+             f"lambda f: [{z}, 1.0][f] * t[k * {width} + f])))")
+    return f"""WITH RECURSIVE {",".join(parts)},
+last AS (SELECT list(v ORDER BY i) AS t FROM t{steps}),
+scored AS (SELECT {target} AS actual, {score} AS m FROM z, last WHERE part = 'validation')
+SELECT actual, label AS predicted FROM scored JOIN cl ON c = list_position(m, list_max(m))"""
+
+
+def _sql_ridge(split: str, columns: list[str], categorical: list[str], target: str) -> str:
+    """(actual, predicted) of the validation rows by ridge regression with
+    alpha = 1: the centred normal equations, solved in SQL."""
+    flags = " UNION ALL ".join(f"SELECT DISTINCT '{c}' AS col, CAST({c} AS VARCHAR) AS val FROM z WHERE part = 'train'"
+                               for c in categorical)
+    z = ", ".join(f"z_{c}" for c in columns)
+    held = " UNION ALL ".join(f"SELECT id, part, y, '{c}' AS col, CAST({c} AS VARCHAR) AS val FROM r" for c in categorical)
+    return f"""WITH RECURSIVE {_sql_scaled_rows(split, columns)},
+r AS MATERIALIZED (SELECT row_number() OVER () AS id, {target} AS y, [{z}] AS x, * FROM z),
+flag AS (SELECT col, val, {len(columns)} + row_number() OVER (ORDER BY col, val) AS i FROM ({flags})),
+held AS MATERIALIZED (
+  SELECT id, part, y, i, x[i] AS v FROM r, range(1, {len(columns) + 1}) k(i)
+  UNION ALL SELECT id, part, y, i, 1.0 FROM ({held}) JOIN flag USING (col, val)),
+size AS (SELECT count(*) AS n, avg(y) AS y FROM r WHERE part = 'train'),
+mean AS (SELECT i, sum(v) / any_value(n) AS m FROM held, size WHERE part = 'train' GROUP BY i),
+unknown AS (SELECT i FROM mean),
+gram AS (SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM held a JOIN held b ON a.id = b.id
+         WHERE a.part = 'train' GROUP BY ALL),
+full_ AS (SELECT a.i, b.i AS j, coalesce(v, 0) - n * a.m * b.m + CASE WHEN a.i = b.i THEN 1 ELSE 0 END AS v
+          FROM mean a CROSS JOIN mean b CROSS JOIN size LEFT JOIN gram g ON g.i = a.i AND g.j = b.i
+          UNION ALL
+          SELECT i, (SELECT count(*) + 1 FROM unknown), sum(v * (held.y - size.y)) FROM held, size
+          WHERE part = 'train' GROUP BY i),
+{_sql_solved("w", "SELECT i, j, v FROM full_")},
+base AS (SELECT any_value(size.y) - sum(w.v * m) AS b FROM w JOIN mean USING (i), size)
+SELECT any_value(h.y) AS actual, sum(h.v * w.v) + any_value(b) AS predicted
+FROM held h JOIN w ON h.i = w.i, base WHERE part = 'validation' GROUP BY id"""
+
+
+_CUSTOMER_SPLIT = sql_stratified("(SELECT c_custkey, c_acctbal, c_nationkey, c_mktsegment FROM customer)", "c_custkey",
+                                 "c_mktsegment")
+
+
+@register("logistic_regression_run", sql_classification_metrics(
+    _sql_logistic(_CUSTOMER_SPLIT, ["c_custkey", "c_acctbal", "c_nationkey"], "c_mktsegment", 5), []))
 def logistic_regression_run(spark, sf_dir):
-    """E2 + R1: logistic regression run on customer segments (metrics rows)."""
+    """E2 + R1: logistic regression run on customer segments (metrics rows),
+    against Newton steps in SQL."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment")
     return _run_metrics(spark, c, "c_mktsegment", ["c_custkey"], Task.CLASSIFICATION, E.LOGISTIC_REGRESSION)
 
@@ -886,7 +989,14 @@ def forest_classifier_run(spark, sf_dir):
                         E.RANDOM_FOREST_CLASSIFIER)
 
 
-@register("ridge_regression_run")
+_LINEITEM_SPLIT = sql_holdout(
+    "(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, l_returnflag, "
+    "l_linestatus, l_extendedprice FROM lineitem)", "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice")
+
+
+@register("ridge_regression_run", sql_regression_metrics(_sql_ridge(
+    _LINEITEM_SPLIT, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax"],
+    ["l_returnflag", "l_linestatus"], "l_extendedprice")))
 def ridge_regression_run(spark, sf_dir):
     """E4 + R1: ridge on lineitem price with numeric and categorical features."""
     li = table(spark, sf_dir, "lineitem").select(

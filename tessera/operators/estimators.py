@@ -7,17 +7,22 @@ persist with Spark's own writer and score on executors.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegressionModel, RandomForestClassifier
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.linalg import DenseMatrix, DenseVector
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel, RandomForestRegressor
+from pyspark.ml.util import Identifiable
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ConfigurationError, ForestConfig, Task, TrainingError
+from . import linear
 from .features import FEATURES_COL, FeatureStats, preprocessing_stages
 
 # Estimator names and the task each one serves.
@@ -72,6 +77,7 @@ class FittedModel:
     estimator: str
     parameters: list[tuple[str, str]]
     labels: list[str] | None = None
+    warnings: list[str] = field(default_factory=list)
 
 
 def _sql_literal(value, type_name: str) -> str:
@@ -106,6 +112,34 @@ def _params(est) -> list[tuple[str, str]]:
                                     "rawPredictionCol"))
 
 
+def _linear_model(spark: SparkSession, fit: linear.LinearFit, classes: int | None = None):
+    """The Spark model that scores with the fitted coefficients."""
+    sc = spark.sparkContext
+    java = lambda v: _py2java(sc, v)
+    if classes is None:
+        package, weights = sc._jvm.org.apache.spark.ml.regression, java(DenseVector(fit.weights[0]))
+        return LinearRegressionModel(package.LinearRegressionModel(
+            _uid("linear"), weights, float(fit.intercept[0]))).setFeaturesCol(FEATURES_COL)
+    outputs, width = fit.weights.shape
+    weights = java(DenseMatrix(outputs, width, np.ascontiguousarray(fit.weights).ravel(), isTransposed=True))
+    model = sc._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(
+        _uid("logistic"), weights, java(DenseVector(fit.intercept)), classes, outputs > 1)
+    return LogisticRegressionModel(model).setFeaturesCol(FEATURES_COL)
+
+
+def _uid(kind: str) -> str:
+    return f"{kind}_{Identifiable().uid.rsplit('_', 1)[-1]}"
+
+
+def _certificate(fit: linear.LinearFit, name: str) -> tuple[list[tuple[str, str]], list[str]]:
+    """What a linear fit records about its optimum, and its warnings."""
+    facts = [("converged", str(fit.converged).lower()), ("largest_gradient", f"{fit.gradient:.3e}"),
+             ("passes", str(fit.passes)), ("steps", str(fit.steps))]
+    warnings = [] if fit.converged else [
+        f"{name} did not converge: the largest gradient component is {fit.gradient:.3e} after {fit.steps} steps."]
+    return facts, warnings
+
+
 def fit_estimator(
     train: DataFrame,
     stats: FeatureStats,
@@ -144,28 +178,50 @@ def fit_estimator(
         # Labels do not depend on row order: index them from the rows as they are.
         label_model = StringIndexer(inputCol=target, outputCol="_label_idx",
                                     stringOrderType="alphabetAsc").fit(train.select(target))
+        labels = list(label_model.labels)
+        prepared = label_model.transform(pre_model.transform(laid_out))
+        warnings: list[str] = []
         if estimator == LOGISTIC_REGRESSION:
-            est = LogisticRegression(
-                featuresCol=FEATURES_COL, labelCol="_label_idx", predictionCol="_prediction_idx",
-                regParam=1.0 / (LOGISTIC_C * rows), elasticNetParam=0.0, standardization=False,
-                maxIter=1000, tol=1e-8,
-            )
+            if len(labels) < 2:
+                raise TrainingError("Logistic regression needs training rows of two classes at least.")
+            blocks = linear.row_blocks(prepared, FEATURES_COL, F.col("_label_idx")).persist(
+                StorageLevel.MEMORY_AND_DISK)
+            try:
+                fit = linear.fit_logistic(blocks, rows, len(labels), len(stats.output_names()), LOGISTIC_C)
+            finally:
+                blocks.unpersist()
+            fitted = _linear_model(train.sparkSession, fit, len(labels)).setPredictionCol("_prediction_idx")
+            facts, warnings = _certificate(fit, estimator)
+            parameters = sorted([("C", str(LOGISTIC_C)), ("solver", "newton"), *facts])
         else:
             est = RandomForestClassifier(
                 featuresCol=FEATURES_COL, labelCol="_label_idx", predictionCol="_prediction_idx",
                 featureSubsetStrategy="sqrt", seed=seed, **size,
             )
-        prepared = label_model.transform(pre_model.transform(laid_out)).persist(StorageLevel.MEMORY_AND_DISK)
-        try:  # iterative fits pass over the prepared rows many times
-            fitted = est.fit(prepared)
-        finally:
-            prepared.unpersist()
-        labels = list(label_model.labels)
+            prepared.persist(StorageLevel.MEMORY_AND_DISK)
+            try:  # iterative fits pass over the prepared rows many times
+                fitted = est.fit(prepared)
+            finally:
+                prepared.unpersist()
+            parameters = _params(est) + layout
         back = IndexToString(inputCol="_prediction_idx", outputCol="_pred_label", labels=labels)
         final = SQLTransformer(statement=(
             f"SELECT *, CAST(_pred_label AS {target_type}) AS prediction FROM __THIS__"))
         stages = list(pre_model.stages) + [fitted, back, final]
-        return FittedModel(PipelineModel(stages), estimator, _params(est) + layout, labels)
+        return FittedModel(PipelineModel(stages), estimator, parameters, labels, warnings)
+    wide = estimator == RIDGE_REGRESSION and len(stats.output_names()) > NORMAL_SOLVER_COLUMNS
+    if wide:  # beyond the normal solver's width: the same objective, matrix-free
+        blocks = linear.row_blocks(pre_model.transform(laid_out), FEATURES_COL, F.col(target)).persist(
+            StorageLevel.MEMORY_AND_DISK)
+        try:
+            fit = linear.fit_ridge(blocks, rows, len(stats.output_names()), RIDGE_ALPHA)
+        finally:
+            blocks.unpersist()
+        fitted = _linear_model(train.sparkSession, fit).setPredictionCol("prediction")
+        facts, warnings = _certificate(fit, estimator)
+        return FittedModel(PipelineModel(list(pre_model.stages) + [fitted]), estimator,
+                           sorted([("alpha", str(RIDGE_ALPHA)), ("solver", "conjugate-gradients"), *facts]),
+                           warnings=warnings)
     prepared = pre_model.transform(laid_out).withColumn("_y", F.col(target).cast("double")).persist(
         StorageLevel.MEMORY_AND_DISK)
     try:
@@ -173,12 +229,9 @@ def fit_estimator(
             # Spark's normal-equation solver scales the penalty by sd(y): this
             # regParam reproduces ridge with penalty alpha and a free intercept.
             y_sd = prepared.agg(F.stddev_pop("_y")).first()[0] or 0.0
-            # Beyond that solver's width the same objective is minimised iteratively.
-            wide = len(stats.output_names()) > NORMAL_SOLVER_COLUMNS
-            solver = {"solver": "l-bfgs", "tol": 1e-12, "maxIter": 2000} if wide else {"solver": "normal"}
             est = LinearRegression(
                 featuresCol=FEATURES_COL, labelCol="_y", predictionCol="prediction",
-                **solver, regParam=RIDGE_ALPHA * y_sd / rows if y_sd else 0.0,
+                solver="normal", regParam=RIDGE_ALPHA * y_sd / rows if y_sd else 0.0,
                 elasticNetParam=0.0, standardization=False,
             )
         else:

@@ -189,7 +189,7 @@ def train(
         "configuration": configuration_record(cfg, parameters),
         "dataset": dataset_record(base, target, source, fp, sp.rows),
         "environment": environment(), "split": split_rec, "metrics": metrics,
-        "warnings": merge_warnings(prof_warnings), "failure": None,
+        "warnings": merge_warnings(prof_warnings, fitted.warnings), "failure": None,
     }
     if registry is not None:
         registry.write("runs", record)
