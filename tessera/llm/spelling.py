@@ -333,6 +333,8 @@ def spelling_variants(spark: SparkSession, docs: DataFrame, cfg: SpellingConfig
     """
     if cfg.shortest < 3:
         raise ValueError("words are cut in three pieces and need three letters at least")
+    if cfg.times < 2:
+        raise ValueError("a form must be more frequent than its variant, or chains would not end")
     stash = Stash(spark, "spelling")
     words = stash.keep(vocabulary(docs, cfg, id_col, text_col))
     near = stash.keep(words.join(near_words(words, stash, cfg), "word").withColumn(

@@ -71,7 +71,7 @@ def texts(seed, letters, shortest, n=60):
 
 
 @pytest.mark.parametrize("cfg", [sp.SpellingConfig(), sp.SpellingConfig(shortest=3, least=1, times=2, drop=7, page=64),
-                                 sp.SpellingConfig(least=2, times=1, drop=0, block=40, page=32)])
+                                 sp.SpellingConfig(least=2, times=2, drop=0, block=40, page=32)])
 def test_against_all_pairs(spark, cfg):
     for letters in ("abé", "abcdefgÀÿ÷"):
         rows = texts(cfg.page + len(letters), letters, cfg.shortest)
@@ -104,8 +104,9 @@ def test_edges(spark):
     assert {tuple(r) for r in got.collect()} == brute(brute_words(twice, cfg), cfg)
     empty = spark.createDataFrame([], SCHEMA + ", word string, n int, tile int")
     assert sp.spelling_variants(spark, empty).collect() == []
-    with pytest.raises(ValueError):
-        sp.spelling_variants(spark, empty, sp.SpellingConfig(shortest=2))
+    for wrong in (sp.SpellingConfig(shortest=2), sp.SpellingConfig(times=1)):
+        with pytest.raises(ValueError):
+            sp.spelling_variants(spark, empty, wrong)
 
 
 def test_checksums_of_runs():
