@@ -855,6 +855,46 @@ def metrics_regression(spark, sf_dir):
     return M.regression_metrics(_ridge_part(spark, sf_dir).withColumnRenamed("prediction", "predicted"))
 
 
+@register(
+    "category_ranks",
+    "SELECT column_name, value, count(*) AS n, row_number() OVER (PARTITION BY column_name ORDER BY value) - 1 AS rank "
+    "FROM (SELECT unnest(['l_orderkey', 'l_partkey', 'l_returnflag', 'l_linestatus']) AS column_name, "
+    "unnest([CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), l_returnflag, l_linestatus]) AS value "
+    "FROM lineitem) GROUP BY column_name, value",
+)
+def category_ranks(spark, sf_dir):
+    """the stored dictionary of four lineitem columns, ranks from
+    range partitions."""
+    from .operators.dictionary import build_dictionary
+
+    columns = ["l_orderkey", "l_partkey", "l_returnflag", "l_linestatus"]
+    return build_dictionary(table(spark, sf_dir, "lineitem"), columns, MARKER).table(spark)
+
+
+_ORDERS_SPLIT = sql_holdout("(SELECT o_orderkey, o_custkey, o_totalprice FROM orders)", "o_orderkey")
+
+
+@register(
+    "ridge_wide_categories",
+    f"""
+WITH s AS ({_ORDERS_SPLIT}),
+c AS (SELECT o_custkey, sum(o_totalprice) AS total, count(*) AS m FROM s WHERE part = 'train' GROUP BY o_custkey),
+i AS (SELECT sum(total / (m + 1)) / sum(m / (m + 1)) AS b FROM c)
+SELECT o_orderkey, round(b + coalesce((total - m * b) / (m + 1), 0), 6) AS prediction
+FROM s LEFT JOIN c USING (o_custkey), i WHERE part = 'validation'""",
+)
+def ridge_wide_categories(spark, sf_dir):
+    """F9 + E4 + I4: ridge on one dictionary-encoded column, against its closed
+    form; customers without training orders add nothing."""
+    split = T.split_dataset(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice"),
+                            target="o_totalprice", key=["o_orderkey"], task=Task.REGRESSION)
+    schema = FE.infer_feature_schema(split.frame, ["o_custkey"], FeatureOverrides(categorical=("o_custkey",)))
+    stats = FE.fit_feature_stats(split.frame, schema, where=_train(), list_limit=0)
+    fitted = E.fit_estimator(split.train(), stats, target="o_totalprice", estimator=E.RIDGE_REGRESSION,
+                             task=Task.REGRESSION, seed=42, key=["o_orderkey"])
+    return E.predict(fitted, split.validation(), ["o_orderkey"])
+
+
 # ------------------------------------ model runs (rows-only: iterative fits)
 
 from .functions.digest import multiset_digest, value_token  # noqa: E402

@@ -7,7 +7,8 @@ persist with Spark's own writer and score on executors.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import uuid
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark import StorageLevel
@@ -18,11 +19,13 @@ from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer
 from pyspark.ml.linalg import DenseMatrix, DenseVector
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel, RandomForestRegressor
 from pyspark.ml.util import Identifiable
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ConfigurationError, ForestConfig, Task, TrainingError
+from ..session import checkpoint_dir
 from . import linear
+from .dictionary import CategoryWeights, category_positions, feature_positions, write_weights
 from .features import FEATURES_COL, FeatureStats, preprocessing_stages
 
 # Estimator names and the task each one serves.
@@ -127,6 +130,33 @@ def _linear_model(spark: SparkSession, fit: linear.LinearFit, classes: int | Non
     return LogisticRegressionModel(model).setFeaturesCol(FEATURES_COL)
 
 
+def _fit_blocks(rows: DataFrame, stats: FeatureStats, label: Column) -> DataFrame:
+    """The encoded training rows in blocks, wide columns included."""
+    if stats.wide:
+        rows = category_positions(rows, stats.dictionary, stats.wide, stats.rank, stats.list_width)
+    return linear.row_blocks(rows, FEATURES_COL, label, "_wide" if stats.wide else None).persist(
+        StorageLevel.MEMORY_AND_DISK)
+
+
+def _linear_stages(spark: SparkSession, fit: linear.LinearFit, stats: FeatureStats, output: str,
+                   classes: int | None = None) -> list:
+    """The stages that score a linear fit.  The weights of wide columns become
+    a table by value; the driver holds the weights, never the values."""
+    n = stats.list_width
+    listed = replace(fit, weights=fit.weights[:, :n])
+    if not stats.wide:
+        return [_linear_model(spark, listed, classes).setPredictionCol(output)]
+    rest = fit.weights[:, n:].T  # position x outputs
+    if classes is not None and rest.shape[1] == 1:
+        rest = np.concatenate([-rest, rest], axis=1)  # two classes have opposite scores
+    scores = rest.shape[1]
+    path = f"{checkpoint_dir(spark)}/tessera-weights/{uuid.uuid4().hex}"
+    write_weights(feature_positions(spark, stats.dictionary, stats.wide, stats.rank, n), rest, n, path)
+    base = "_base_score" if classes is None else "rawPrediction"
+    model = _linear_model(spark, listed, classes).setPredictionCol("_base_score")
+    return [model, CategoryWeights(baseCol=base, outputCol=output, columns=list(stats.wide), table=path, scores=scores)]
+
+
 def _uid(kind: str) -> str:
     return f"{kind}_{Identifiable().uid.rsplit('_', 1)[-1]}"
 
@@ -166,6 +196,10 @@ def fit_estimator(
                            [str(label)])
     rows = stats.training_rows or train.count()
     forest = estimator in (RANDOM_FOREST_CLASSIFIER, RANDOM_FOREST_REGRESSOR)
+    if forest and stats.wide:
+        raise TrainingError(
+            "Forests take categorical columns of limited size; "
+            + ", ".join(repr(c) for c in stats.wide) + " hold more values. Use a linear model or engineer them first.")
     # Forests depend on the row layout, so they get a fixed one (a shuffle);
     # the linear models depend on it only through summation order.
     partitions = fit_partitions(rows)
@@ -184,13 +218,12 @@ def fit_estimator(
         if estimator == LOGISTIC_REGRESSION:
             if len(labels) < 2:
                 raise TrainingError("Logistic regression needs training rows of two classes at least.")
-            blocks = linear.row_blocks(prepared, FEATURES_COL, F.col("_label_idx")).persist(
-                StorageLevel.MEMORY_AND_DISK)
+            blocks = _fit_blocks(prepared, stats, F.col("_label_idx"))
             try:
-                fit = linear.fit_logistic(blocks, rows, len(labels), len(stats.output_names()), LOGISTIC_C)
+                fit = linear.fit_logistic(blocks, rows, len(labels), stats.width, LOGISTIC_C)
             finally:
                 blocks.unpersist()
-            fitted = _linear_model(train.sparkSession, fit, len(labels)).setPredictionCol("_prediction_idx")
+            fitted = _linear_stages(train.sparkSession, fit, stats, "_prediction_idx", len(labels))
             facts, warnings = _certificate(fit, estimator)
             parameters = sorted([("C", str(LOGISTIC_C)), ("solver", "newton"), *facts])
         else:
@@ -200,26 +233,25 @@ def fit_estimator(
             )
             prepared.persist(StorageLevel.MEMORY_AND_DISK)
             try:  # iterative fits pass over the prepared rows many times
-                fitted = est.fit(prepared)
+                fitted = [est.fit(prepared)]
             finally:
                 prepared.unpersist()
             parameters = _params(est) + layout
         back = IndexToString(inputCol="_prediction_idx", outputCol="_pred_label", labels=labels)
         final = SQLTransformer(statement=(
             f"SELECT *, CAST(_pred_label AS {target_type}) AS prediction FROM __THIS__"))
-        stages = list(pre_model.stages) + [fitted, back, final]
+        stages = list(pre_model.stages) + [*fitted, back, final]
         return FittedModel(PipelineModel(stages), estimator, parameters, labels, warnings)
-    wide = estimator == RIDGE_REGRESSION and len(stats.output_names()) > NORMAL_SOLVER_COLUMNS
-    if wide:  # beyond the normal solver's width: the same objective, matrix-free
-        blocks = linear.row_blocks(pre_model.transform(laid_out), FEATURES_COL, F.col(target)).persist(
-            StorageLevel.MEMORY_AND_DISK)
+    if estimator == RIDGE_REGRESSION and (stats.wide or stats.width > NORMAL_SOLVER_COLUMNS):
+        # Beyond the normal solver's width: the same objective, matrix-free.
+        blocks = _fit_blocks(pre_model.transform(laid_out), stats, F.col(target))
         try:
-            fit = linear.fit_ridge(blocks, rows, len(stats.output_names()), RIDGE_ALPHA)
+            fit = linear.fit_ridge(blocks, rows, stats.width, RIDGE_ALPHA)
         finally:
             blocks.unpersist()
-        fitted = _linear_model(train.sparkSession, fit).setPredictionCol("prediction")
+        fitted = _linear_stages(train.sparkSession, fit, stats, "prediction")
         facts, warnings = _certificate(fit, estimator)
-        return FittedModel(PipelineModel(list(pre_model.stages) + [fitted]), estimator,
+        return FittedModel(PipelineModel(list(pre_model.stages) + fitted), estimator,
                            sorted([("alpha", str(RIDGE_ALPHA)), ("solver", "conjugate-gradients"), *facts]),
                            warnings=warnings)
     prepared = pre_model.transform(laid_out).withColumn("_y", F.col(target).cast("double")).persist(

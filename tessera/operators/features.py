@@ -21,16 +21,19 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import FeatureOverrides, Imputation, PreprocessingConfig, PreprocessingError
 from ..functions.columns import as_double, is_infinite, is_numeric_type, kind_of
 from ..functions.schema import schema_diff
+from .dictionary import Dictionary, build_dictionary, category, feature_positions
 from .quantile import IN_MEMORY_LIMIT, exact_medians
 
 FEATURES_COL = "features"
-MAX_CATEGORIES = 1_000_000
+#: Distinct values of all categorical columns that are kept as lists; columns
+#: with more than their share of these are encoded by a stored dictionary.
+LIST_CATEGORIES = 100_000
 
 
 @dataclass(frozen=True)
@@ -85,14 +88,44 @@ class FeatureStats:
     scale: dict[str, float] = field(default_factory=dict)
     categories: dict[str, list[str]] = field(default_factory=dict)
     training_rows: int = 0
+    dictionary: Dictionary | None = None
+    rank: str = "rank"
+
+    @property
+    def listed(self) -> list[str]:
+        """Categorical columns whose values are kept as lists."""
+        return [c for c in self.schema.categorical if c in self.categories]
+
+    @property
+    def wide(self) -> list[str]:
+        """Categorical columns encoded by the dictionary, after the others."""
+        return [c for c in self.schema.categorical if c not in self.categories]
+
+    @property
+    def list_width(self) -> int:
+        return len(self.schema.numeric) + sum(len(self.categories[c]) for c in self.listed)
+
+    @property
+    def width(self) -> int:
+        """Columns of the encoded vector."""
+        return self.list_width + sum(self.dictionary.sizes[self.rank][c] for c in self.wide)
 
     def output_names(self) -> list[str]:
-        """``numeric__x`` then ``categorical__x_<value>`` names."""
+        """``numeric__x`` then ``categorical__x_<value>`` names, without
+        those of wide columns; ``output_positions`` has all of them."""
         names = [f"numeric__{n}" for n in self.schema.numeric]
-        for n in self.schema.categorical:
+        for n in self.listed:
             names += [f"categorical__{n}_{v}" for v in self.categories[n]]
         return names
 
+    def output_positions(self, spark: SparkSession) -> DataFrame:
+        """F10 as a table ``(position, name)`` of any length."""
+        names = spark.createDataFrame(list(enumerate(self.output_names())), "position bigint, name string")
+        if not self.wide:
+            return names
+        more = feature_positions(spark, self.dictionary, self.wide, self.rank, self.list_width)
+        return names.unionByName(more.select("position", "name"))
+
 
 def imputed_moments(rows: int, observed: int, mean, var_pop, fill: float) -> tuple[float, float]:
     """Mean and population sd after filling the missing rows with ``fill``.
@@ -113,8 +146,34 @@ def imputed_moments(rows: int, observed: int, mean, var_pop, fill: float) -> tup
     return total_mean, (max(total_m2, 0.0) / rows) ** 0.5
 
 
-def _cat_expr(name: str, marker: str) -> Column:
-    return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(marker))
+def _fit_categories(rows: DataFrame, columns: list[str], marker: str, stats: dict[int, FeatureStats],
+                    fold: str | None, list_limit: int) -> None:
+    """the categories of every column, for each fold's training side if
+    ``fold`` is given.
+
+    Distinct values are collected up to a bound.  Beyond it the columns with
+    more than an equal share of the bound go into one stored dictionary, from
+    which every fold takes its own ranks; only the others become lists.
+    """
+    held = [F.col(fold)] if fold else []
+    pairs = rows.select(*held, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("c"), category(c, marker).alias("v")) for c in columns
+    ]))).distinct()
+    bound = list_limit * max(1, len(stats) if fold else 1)
+    found = pairs.limit(bound + 1).collect()
+    wide: list[str] = []
+    if len(found) > bound:
+        sizes = pairs.select("c", "v").distinct().groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()
+        wide = [r["c"] for r in sizes if r["n"] * len(columns) > list_limit]
+        found = pairs.where(~F.col("c").isin(*wide)).collect()
+        dictionary = build_dictionary(rows, [c for c in columns if c in wide], marker, fold=fold,
+                                      fold_count=len(stats) if fold else 0)
+        for k, st in stats.items():
+            st.dictionary, st.rank = dictionary, f"rank_{k}" if fold else "rank"
+    for k, st in stats.items():
+        for c in columns:
+            if c not in wide:
+                st.categories[c] = sorted({r["v"] for r in found if r["c"] == c and (not fold or r[fold] != k)})
 
 
 def fit_feature_stats(
@@ -123,6 +182,7 @@ def fit_feature_stats(
     config: PreprocessingConfig | None = None,
     *,
     where: Column | None = None,
+    list_limit: int | None = None,
 ) -> FeatureStats:
     """F3-F9 on the rows selected by ``where`` (the training partition).
 
@@ -166,20 +226,8 @@ def fit_feature_stats(
                     rows, int(first[f"_c{i}"]), first[f"_a{i}"], first[f"_v{i}"], stats.fill[c])
                 stats.scale[c] = sd if sd > 0 else 1.0  # sd 0 -> divide by 1
     if schema.categorical:
-        marker = cfg.categorical_fill_value
-        # Distinct (column, value) pairs: partial aggregation, then a
-        # collect bounded by MAX_CATEGORIES (the encoder keeps its labels on
-        # the driver, as Spark's StringIndexerModel does).
-        pairs = train.select(F.inline(F.array(*[
-            F.struct(F.lit(c).alias("c"), _cat_expr(c, marker).alias("v")) for c in schema.categorical
-        ]))).distinct().limit(MAX_CATEGORIES + 1).collect()
-        if len(pairs) > MAX_CATEGORIES:
-            raise PreprocessingError(
-                f"Categorical features have more than {MAX_CATEGORIES} distinct training values in total; "
-                "one-hot encoding them is not supported. Engineer or drop high-cardinality columns first."
-            )
-        for c in schema.categorical:
-            stats.categories[c] = sorted(r["v"] for r in pairs if r["c"] == c)
+        _fit_categories(train, list(schema.categorical), cfg.categorical_fill_value, {0: stats}, None,
+                        LIST_CATEGORIES if list_limit is None else list_limit)
         if not stats.training_rows:
             stats.training_rows = train.count()
     return stats
@@ -200,10 +248,11 @@ def transform_sql(stats: FeatureStats) -> str:
 
 
 def preprocessing_stages(stats: FeatureStats) -> list:
-    """Fitted, persistable stages that produce the ``features`` vector."""
+    """Fitted, persistable stages that produce the ``features`` vector: all of
+    it, or the part before the wide columns."""
     stages: list = [SQLTransformer(statement=transform_sql(stats))]
     onehot_in, onehot_out = [], []
-    for c in stats.schema.categorical:
+    for c in stats.listed:
         stages.append(StringIndexerModel.from_labels(
             stats.categories[c], inputCol=f"_cat__{c}", outputCol=f"_idx__{c}", handleInvalid="keep"
         ))
@@ -303,7 +352,8 @@ def _merge_moments(states: list[tuple[int, float, float]]) -> tuple[int, float |
 
 
 def fit_fold_feature_stats(
-    folded: DataFrame, schema: FeatureSchema, config: PreprocessingConfig | None, fold_count: int
+    folded: DataFrame, schema: FeatureSchema, config: PreprocessingConfig | None, fold_count: int,
+    list_limit: int | None = None,
 ) -> dict[int, FeatureStats]:
     """F15 for every fold at once, shared by all estimators.
 
@@ -358,17 +408,8 @@ def fit_fold_feature_stats(
                                                        st.fill[c])
                     st.scale[c] = sd if sd > 0 else 1.0
     if cat:
-        marker = cfg.categorical_fill_value
-        pairs = folded.select("fold", F.inline(F.array(*[
-            F.struct(F.lit(c).alias("c"), _cat_expr(c, marker).alias("v")) for c in cat
-        ]))).distinct().limit(MAX_CATEGORIES * fold_count + 1).collect()
-        if len(pairs) > MAX_CATEGORIES * fold_count:
-            raise PreprocessingError(
-                f"Categorical features have more than {MAX_CATEGORIES} distinct training values; "
-                "one-hot encoding them is not supported.")
-        for k in folds:
-            for c in cat:
-                out[k].categories[c] = sorted({r["v"] for r in pairs if r["c"] == c and r["fold"] != k})
+        _fit_categories(folded, cat, cfg.categorical_fill_value, out, "fold",
+                        LIST_CATEGORIES if list_limit is None else list_limit)
     return out
 
 

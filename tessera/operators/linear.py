@@ -58,7 +58,8 @@ def _list(values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors (dense or sparse) to blocks of labels and non-zero entries."""
+    """Vectors (dense or sparse) and positions of further ones to blocks of
+    labels and non-zero entries."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -72,7 +73,12 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at[np.repeat(~dense, size)] = index.flatten().to_numpy()
         keep = x != 0
         row = np.repeat(np.arange(len(size)), size)[keep]
-        x, at, size = x[keep], at[keep], np.bincount(row, minlength=len(size))
+        more = batch.column(2)
+        flags = np.repeat(np.arange(len(size)), np.diff(more.offsets.to_numpy()))
+        row = np.concatenate([row, flags])
+        x, at = np.concatenate([x[keep], np.ones(len(flags))]), np.concatenate([at[keep], more.flatten().to_numpy()])
+        order = np.argsort(row, kind="stable")
+        x, at, size = x[order], at[order], np.bincount(row, minlength=len(size))
         end = np.cumsum(size)
         a = 0
         while a < len(size):
@@ -85,9 +91,12 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a = b
 
 
-def row_blocks(rows: DataFrame, features: str, label: Column) -> DataFrame:
-    """The rows' vectors and labels in blocks; persist it for the passes."""
-    return rows.select(F.col(features), label.cast("double").alias("y")).mapInArrow(_pack, _BLOCK)
+def row_blocks(rows: DataFrame, features: str, label: Column, ones: str | None = None) -> DataFrame:
+    """The rows' vectors and labels in blocks; persist it for the passes.
+    ``ones`` names a column with the positions of entries 1 beyond the vector."""
+    more = F.col(ones) if ones else F.array().cast("array<bigint>")
+    return rows.select(F.col(features), label.cast("double").alias("y"), more.cast("array<bigint>").alias("ones")
+                       ).mapInArrow(_pack, _BLOCK)
 
 
 class Block:
