@@ -1133,6 +1133,28 @@ def dataset_digest(spark, sf_dir):
     return multiset_digest(o, value_token(o))
 
 
+_DOCUMENTS_TOKEN_SQL = " || ".join(sql_framed(x) for x in (
+    "CAST(doc_id AS VARCHAR)", "text", "lang", "source", "CAST(n_chars AS VARCHAR)"))
+
+
+@register("multiline_csv_digest",
+          f"SELECT count(*) AS row_count, {sql_digest(_DOCUMENTS_TOKEN_SQL)} AS digest FROM documents")
+def multiline_csv_digest(spark, sf_dir):
+    """S1 + S5: all documents, with their quotes and line breaks, written to
+    CSV and read back from many blocks of few files."""
+    import uuid
+
+    from .session import checkpoint_dir
+    from .sources.csv import CsvOptions
+
+    docs = table(spark, sf_dir, "documents")
+    path = f"{checkpoint_dir(spark)}/tessera-csv/{uuid.uuid4().hex}"
+    docs.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    back = CsvOptions(encoding="utf-8", multiline=True).rows(spark, path, docs.columns, docs.schema, mode="FAILFAST")
+    back = back.select(*docs.columns)
+    return multiset_digest(back, value_token(back))
+
+
 _ALTERED_SQL = (
     "(SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 1000 = 1 THEN o_totalprice + 1 "
     "ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority FROM orders)"

@@ -4,7 +4,8 @@ Spark is lenient where a strict loader must not be: it renames blank and
 duplicate headers, pads short rows, replaces undecodable bytes and accepts
 a final unterminated quote.  The audits below make those cases errors:
 
-* header: the first line only, parsed with the same delimiter (S4);
+* header: the first line (with ``multiline`` the first record) of every
+  file, parsed with the same delimiter (S4);
 * structure: rows are parsed against an all-string schema plus a
   corrupt-record column; short, long, malformed and NUL-bearing rows are
   counted by one aggregation (S5);
@@ -28,6 +29,7 @@ from pyspark.sql import types as T
 from ..config import CsvFormatError, DatasetError, Ruled, TableSpec, must
 from ..functions.digest import table_fingerprint
 from ..functions.schema import schema_diff
+from .records import csv_records, parse_records
 
 INTEGER = r"^[+-]?[0-9]+$"
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(?i:inf|infinity)$"
@@ -42,8 +44,9 @@ MISSING_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN",
 @dataclass(frozen=True)
 class CsvOptions(Ruled):
     """``max_file_size_bytes`` is an opt-in limit on the input's total size.
-    ``multiline`` reads quoted fields that hold line breaks; a file then
-    cannot be split between tasks."""
+    ``multiline`` reads quoted fields that hold line breaks; files are still
+    split between tasks (``sources/records.py``).  Quotes then belong to quoted
+    fields only: one inside an unquoted field shifts the records after it."""
 
     error: ClassVar[type] = CsvFormatError
     encoding: str = must("utf-8-sig", "an encoding name", lambda v: type(v) is str and bool(v.strip()))
@@ -61,8 +64,15 @@ class CsvOptions(Ruled):
         """The reader that every step of a load shares: quotes inside a quoted
         field are doubled, a backslash is an ordinary character."""
         return (spark.read.option("header", True).option("sep", self.delimiter)
-                .option("encoding", self.spark_encoding).option("quote", '"').option("escape", '"')
-                .option("multiLine", self.multiline))
+                .option("encoding", self.spark_encoding).option("quote", '"').option("escape", '"'))
+
+    def rows(self, spark: SparkSession, path: str, header: list[str], schema: T.StructType, **more: str) -> DataFrame:
+        """The data rows of the files in ``schema``; with ``multiline`` also
+        the record itself as column ``__record``."""
+        if not self.multiline:
+            return self.reader(spark).schema(schema).option("enforceSchema", True).options(**more).csv(path)
+        given = {"sep": self.delimiter, "quote": '"', "escape": '"', **more}
+        return parse_records(csv_records(spark, path, self.spark_encoding), header, schema, given)
 
 
 def total_bytes(spark: SparkSession, path: str) -> int:
@@ -103,7 +113,11 @@ def file_headers(spark: SparkSession, path: str, options: CsvOptions) -> DataFra
 def read_header(spark: SparkSession, path: str, options: CsvOptions) -> list[str]:
     """Header names; blank, duplicate or NUL names, or files whose
     headers differ, are errors."""
-    headers = file_headers(spark, path, options).collect()
+    if options.multiline:
+        headers = (csv_records(spark, path, options.spark_encoding).where("header")
+                   .select(F.col("value").alias("header_line")).distinct().collect())
+    else:
+        headers = file_headers(spark, path, options).collect()
     if not headers:
         raise CsvFormatError("CSV file is empty.")
     distinct = {r["header_line"].lstrip("\ufeff") for r in headers}
@@ -122,13 +136,12 @@ def structure_audit(spark: SparkSession, path: str, header: list[str], options:
     schema = T.StructType(
         [T.StructField(n, T.StringType()) for n in header] + [T.StructField("__corrupt", T.StringType())]
     )
-    rows = (
-        options.reader(spark).schema(schema).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "__corrupt").option("enforceSchema", True)
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
-    has_nul = F.lit(False)
+    rows = options.rows(spark, path, header, schema, mode="PERMISSIVE", columnNameOfCorruptRecord="__corrupt",
+                        ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
+    if options.multiline:  # a file that ends inside quotes
+        odd = F.regexp_count("__record", F.lit('"')) % 2 == 1
+        rows = rows.withColumn("__corrupt", F.coalesce("__corrupt", F.when(odd, F.col("__record"))))
+    has_nul = F.contains("__record", F.lit("\0")) if options.multiline else F.lit(False)
     for n in header:
         has_nul = has_nul | F.coalesce(F.contains(F.col(f"`{n}`"), F.lit("\0")), F.lit(False))
     # Field count of a rejected line (only used to name the reason): delimiters
@@ -173,7 +186,7 @@ def _typed(spark: SparkSession, path: str, options: CsvOptions, header: list[str
     """Inferred types.  Missing tokens become NULL before inference, so
     they do not turn a numeric column into text; dates stay text."""
     text = T.StructType([T.StructField(n, T.StringType()) for n in header])
-    raw = options.reader(spark).schema(text).option("enforceSchema", True).option("nullValue", "").csv(path)
+    raw = options.rows(spark, path, header, text, nullValue="")
     fields = [F.col(f"`{n}`") for n in header]
     clean = raw.select(*[F.when(~F.trim(c).isin(*MISSING_TOKENS), c).alias(n) for c, n in zip(fields, header)])
     # One aggregation: the number of values of each column that each type can hold.
@@ -222,11 +235,12 @@ def load_csv(
         if problems:
             text = "; ".join(f"{r['reason']}: {r['rows']} rows" for r in sorted(problems, key=lambda r: r["reason"]))
             raise CsvFormatError(f"Invalid CSV rows: {text}.")
-    if opts.reader(spark).csv(path).columns != header:  # S8
+    if not opts.multiline and opts.reader(spark).csv(path).columns != header:  # S8
         raise CsvFormatError("Parsed columns do not match the validated header.")
     if schema is not None:
-        df = (opts.reader(spark).schema(schema).option("mode", "FAILFAST").option("positiveInf", "inf")
-              .option("negativeInf", "-inf").option("nanValue", "NaN").csv(path))
+        given = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        df = opts.rows(spark, path, header, given, mode="FAILFAST", positiveInf="inf", negativeInf="-inf",
+                       nanValue="NaN").select(*[F.col(f"`{f.name}`") for f in given.fields])
         if df.columns != header:
             raise CsvFormatError("The given schema does not name the header's columns.")
     else:
