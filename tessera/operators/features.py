@@ -28,7 +28,7 @@ from ..config import FeatureOverrides, Imputation, PreprocessingConfig, Preproce
 from ..functions.columns import as_double, is_infinite, is_numeric_type, kind_of
 from ..functions.schema import schema_diff
 from .dictionary import Dictionary, build_dictionary, category, feature_positions
-from .quantile import IN_MEMORY_LIMIT, exact_medians
+from .quantile import exact_medians, fold_medians
 
 FEATURES_COL = "features"
 #: Distinct values of all categorical columns that are kept as lists; columns
@@ -306,33 +306,40 @@ def validate_preprocessing_inputs(
 
 
 def fold_local_numeric_stats(folded: DataFrame, column: str, fold_count: int) -> DataFrame:
-    """train-side statistics of one numeric column for every fold at once.
+    """train-side statistics of one numeric column for every fold at once:
+    ``(fold_number, train_rows, non_missing, mean, median, std_pop)``, the
+    imputation and scaling inputs of each fold."""
+    per_fold = _fold_moments(folded, [column])
+    medians = _fold_medians(folded, [column], fold_count)
+    rows = []
+    for k in range(1, fold_count + 1):
+        seen, mean, var = _merge_moments([(r["_c0"], r["_a0"], r["_v0"]) for j, r in per_fold.items() if j != k])
+        rows.append((k, sum(r["_rows"] for j, r in per_fold.items() if j != k), seen, mean,
+                     medians.get((k, column)), None if var is None else max(var, 0.0) ** 0.5))
+    return folded.sparkSession.createDataFrame(
+        rows, "fold_number int, train_rows bigint, non_missing bigint, mean double, median double, std_pop double")
 
-    Each row feeds the k-1 folds it trains; partial aggregation folds the
-    copies map-side.  ``(fold_number, train_rows, non_missing, mean, median,
-    std_pop)`` -- the imputation/scaling inputs of each fold.
-    """
-    dtype = folded.schema[column].dataType
-    copies = folded.select(
-        F.explode(F.sequence(F.lit(1), F.lit(fold_count))).alias("fold_number"),
-        F.col("fold"),
-        as_double(column, dtype).alias("v"),
-    ).filter(F.col("fold") != F.col("fold_number"))
-    agg = copies.groupBy("fold_number").agg(
-        F.count(F.lit(1)).alias("train_rows"),
-        F.count("v").alias("non_missing"),
-        F.avg("v").alias("mean"),
-        F.stddev_pop("v").alias("std_pop"),
-    )
-    med = exact_medians(copies.filter(F.col("v").isNotNull()).select("fold_number", "v"),
-                        ["fold_number"], "v")
-    return agg.join(F.broadcast(med), "fold_number", "left").select(
-        F.col("fold_number").cast("int").alias("fold_number"),
-        "train_rows", "non_missing",
-        "mean",
-        "median",
-        "std_pop",
-    )
+
+def _fold_moments(folded: DataFrame, columns: list[str]) -> dict:
+    """Rows, count, mean and population variance of the columns by fold."""
+    fields = {f.name: f.dataType for f in folded.schema.fields}
+    return {r["fold"]: r for r in folded.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.count(as_double(c, fields[c])).alias(f"_c{i}") for i, c in enumerate(columns)],
+        *[F.avg(as_double(c, fields[c])).alias(f"_a{i}") for i, c in enumerate(columns)],
+        *[F.var_pop(as_double(c, fields[c])).alias(f"_v{i}") for i, c in enumerate(columns)],
+    ).collect()}
+
+
+def _fold_medians(folded: DataFrame, columns: list[str], fold_count: int) -> dict[tuple[int, str], float]:
+    """Median of every column over the rows outside each fold."""
+    fields = {f.name: f.dataType for f in folded.schema.fields}
+    long = folded.select("fold", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), as_double(c, fields[c]).alias("v")) for c in columns
+    ]))).filter(F.col("v").isNotNull())
+    return {(k, r["column_name"]): m
+            for r in fold_medians(long, ["column_name"], "fold", fold_count).collect()
+            for k, m in enumerate(r["medians"], 1) if m is not None}
 
 
 def _merge_moments(states: list[tuple[int, float, float]]) -> tuple[int, float | None, float | None]:
@@ -359,43 +366,19 @@ def fit_fold_feature_stats(
 
     Per-fold aggregates (count, mean, variance; categories) are computed once
     without copying rows and merged on the driver for "all folds but k"
-    (k <= 10 tiny states).  Medians need the value distribution of each
-    training side: per-fold value counts are fanned out to the k-1 folds
-    they train and a weighted percentile runs per (fold, column).
+    (k <= 10 tiny states).  The medians of all training sides come from one
+    selection over value counts with a column for each fold.
     """
     cfg = config or PreprocessingConfig()
-    fields = {f.name: f.dataType for f in folded.schema.fields}
     num, cat = list(schema.numeric), list(schema.categorical)
     folds = range(1, fold_count + 1)
     out = {k: FeatureStats(schema, cfg) for k in folds}
-    per_fold = {r["fold"]: r for r in folded.groupBy("fold").agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[F.count(as_double(c, fields[c])).alias(f"_c{i}") for i, c in enumerate(num)],
-        *[F.avg(as_double(c, fields[c])).alias(f"_a{i}") for i, c in enumerate(num)],
-        *[F.var_pop(as_double(c, fields[c])).alias(f"_v{i}") for i, c in enumerate(num)],
-        *[F.approx_count_distinct(as_double(c, fields[c])).alias(f"_d{i}") for i, c in enumerate(num)],
-    ).collect()}
+    per_fold = _fold_moments(folded, num)
     for k in folds:
         out[k].training_rows = sum(int(r["_rows"]) for j, r in per_fold.items() if j != k)
     if num:
-        medians: dict[tuple[int, str], float] = {}
-        if cfg.numeric_imputation is Imputation.MEDIAN:
-            long = folded.select("fold", F.inline(F.array(*[
-                F.struct(F.lit(c).alias("column_name"), as_double(c, fields[c]).alias("v")) for c in num
-            ]))).filter(F.col("v").isNotNull())
-            bound = max(sum(int(r[f"_d{i}"] or 0) for r in per_fold.values()) for i in range(len(num)))
-            fan_out = F.explode(F.sequence(F.lit(1), F.lit(fold_count))).alias("_k")
-            if bound * 1.2 <= IN_MEMORY_LIMIT:
-                weighted = long.groupBy("fold", "column_name", "v").agg(F.count(F.lit(1)).alias("_w"))
-                rows = (weighted.select(fan_out, "fold", "column_name", "v", "_w")
-                        .filter(F.col("fold") != F.col("_k"))
-                        .groupBy("_k", "column_name")
-                        .agg(F.percentile("v", F.lit(0.5), F.col("_w")).alias("median")).collect())
-            else:
-                copies = long.select(fan_out, "fold", "column_name", "v").filter(F.col("fold") != F.col("_k"))
-                rows = exact_medians(copies.drop("fold"), ["_k", "column_name"], "v",
-                                     distinct_hint=bound).collect()
-            medians = {(r["_k"], r["column_name"]): r["median"] for r in rows}
+        median = cfg.numeric_imputation is Imputation.MEDIAN
+        medians = _fold_medians(folded, num, fold_count) if median else {}
         for k in folds:
             st = out[k]
             for i, c in enumerate(num):

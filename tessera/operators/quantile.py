@@ -14,6 +14,8 @@ and fatal for a high-cardinality double column at scale.  So:
    boundaries (bounded sketch) cut each group into ``buckets`` ranges, the
    per-bucket weights (small table) give each bucket's starting rank, and
    only the one or two buckets that hold the middle ranks are sorted.
+
+``fold_medians`` selects the medians of all folds' training sides at once.
 """
 
 from __future__ import annotations
@@ -123,3 +125,48 @@ def _bucketed_median(
         .join(pick("_khi", "_hi"), groups)
         .select(*groups, ((F.col("_lo") + F.col("_hi")) / 2).alias("median"))
     )
+
+
+def fold_medians(
+    long_df: DataFrame, group_cols: list[str], fold: str, fold_count: int, value: str = "v", *, buckets: int = 128
+) -> DataFrame:
+    """Medians of ``value`` per group over the rows outside each fold.
+
+    Returns ``(group_cols..., medians)``; entry k - 1 is the median without
+    fold k, NULL where no row is left.  Rows are not copied for the folds:
+    each distinct value carries its count outside every fold, one cut into
+    ranges serves all folds, prefix sums per fold over the range counts name
+    the ranges that hold a wanted rank, and only these are sorted.
+    """
+    groups = list(group_cols)
+    folds = range(1, fold_count + 1)
+    outside = [F.count_if(F.col(fold) != k).alias(f"_n{k}") for k in folds]
+    weighted = long_df.groupBy(*groups, value).agg(*outside)
+    bounds = long_df.groupBy(*groups).agg(
+        F.percentile_approx(F.col(value), [i / buckets for i in range(1, buckets)], 10_000).alias("_bounds"))
+    # One row per group: a bounded broadcast.
+    tagged = weighted.join(F.broadcast(bounds), groups).withColumn(
+        "_b", _count_below(F.col("_bounds"), F.col(value), 0, buckets - 1)).drop("_bounds")
+    ranges = tagged.groupBy(*groups, "_b").agg(*[F.sum(f"_n{k}").alias(f"_w{k}") for k in folds])
+    upto, every = Window.partitionBy(*groups).orderBy("_b"), Window.partitionBy(*groups)
+    ranges = ranges.select(
+        *groups, "_b", *[f"_w{k}" for k in folds],
+        *[(F.sum(f"_w{k}").over(upto) - F.col(f"_w{k}")).alias(f"_s{k}") for k in folds],
+        *[F.floor((F.sum(f"_w{k}").over(every) - 1) / 2).alias(f"_lo{k}") for k in folds],
+        *[F.floor(F.sum(f"_w{k}").over(every) / 2).alias(f"_hi{k}") for k in folds])
+    needed = F.lit(False)
+    for k in folds:
+        for rank in (f"_lo{k}", f"_hi{k}"):
+            needed = needed | ((F.col(rank) >= F.col(f"_s{k}")) & (F.col(rank) < F.col(f"_s{k}") + F.col(f"_w{k}")))
+    targets = ranges.filter(needed).drop(*[f"_w{k}" for k in folds])
+    within = Window.partitionBy(*groups, "_b").orderBy(value)
+    found = tagged.join(F.broadcast(targets), [*groups, "_b"]).select(
+        *groups, value, *[c for k in folds for c in (f"_n{k}", f"_lo{k}", f"_hi{k}")],
+        *[(F.col(f"_s{k}") + F.sum(f"_n{k}").over(within)).alias(f"_e{k}") for k in folds])
+
+    def at(rank: str, k: int):
+        holds = (F.col(rank) >= F.col(f"_e{k}") - F.col(f"_n{k}")) & (F.col(rank) < F.col(f"_e{k}"))
+        return F.max(F.when(holds, F.col(value)))
+
+    return found.groupBy(*groups).agg(F.array(*[
+        (at(f"_lo{k}", k) + at(f"_hi{k}", k)) / 2 for k in folds]).alias("medians"))
