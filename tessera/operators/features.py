@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -309,8 +310,12 @@ def fold_local_numeric_stats(folded: DataFrame, column: str, fold_count: int) ->
     """train-side statistics of one numeric column for every fold at once:
     ``(fold_number, train_rows, non_missing, mean, median, std_pop)``, the
     imputation and scaling inputs of each fold."""
-    per_fold = _fold_moments(folded, [column])
-    medians = _fold_medians(folded, [column], fold_count)
+    narrow = folded.select("fold", f"`{column}`").persist(StorageLevel.MEMORY_AND_DISK)  # read three times
+    try:
+        per_fold = _fold_moments(narrow, [column])
+        medians = _fold_medians(narrow, [column], fold_count)
+    finally:
+        narrow.unpersist()
     rows = []
     for k in range(1, fold_count + 1):
         seen, mean, var = _merge_moments([(r["_c0"], r["_a0"], r["_v0"]) for j, r in per_fold.items() if j != k])
@@ -337,9 +342,8 @@ def _fold_medians(folded: DataFrame, columns: list[str], fold_count: int) -> dic
     long = folded.select("fold", F.inline(F.array(*[
         F.struct(F.lit(c).alias("column_name"), as_double(c, fields[c]).alias("v")) for c in columns
     ]))).filter(F.col("v").isNotNull())
-    return {(k, r["column_name"]): m
-            for r in fold_medians(long, ["column_name"], "fold", fold_count).collect()
-            for k, m in enumerate(r["medians"], 1) if m is not None}
+    return {(k, c): m for (c,), medians in fold_medians(long, ["column_name"], "fold", fold_count).items()
+            for k, m in enumerate(medians, 1) if m is not None}
 
 
 def _merge_moments(states: list[tuple[int, float, float]]) -> tuple[int, float | None, float | None]:

@@ -20,6 +20,7 @@ and fatal for a high-cardinality double column at scale.  So:
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,25 +129,21 @@ def _bucketed_median(
 
 
 def fold_medians(
-    long_df: DataFrame, group_cols: list[str], fold: str, fold_count: int, value: str = "v", *, buckets: int = 128
-) -> DataFrame:
+    long_df: DataFrame, group_cols: list[str], fold: str, fold_count: int, value: str = "v"
+) -> dict[tuple, list[float | None]]:
     """Medians of ``value`` per group over the rows outside each fold.
 
-    Returns ``(group_cols..., medians)``; entry k - 1 is the median without
-    fold k, NULL where no row is left.  Rows are not copied for the folds:
-    each distinct value carries its count outside every fold, one cut into
-    ranges serves all folds, prefix sums per fold over the range counts name
-    the ranges that hold a wanted rank, and only these are sorted.
+    Returns ``{group: medians}``; entry k - 1 is the median without fold k,
+    None where no row is left.  Rows are not copied for the folds: each
+    distinct value carries its count outside every fold, one range partitioning
+    serves all folds, prefix sums per fold over the ranges' counts name the
+    ranges that hold a wanted rank, and only these are sorted.
     """
     groups = list(group_cols)
     folds = range(1, fold_count + 1)
     outside = [F.count_if(F.col(fold) != k).alias(f"_n{k}") for k in folds]
-    weighted = long_df.groupBy(*groups, value).agg(*outside)
-    bounds = long_df.groupBy(*groups).agg(
-        F.percentile_approx(F.col(value), [i / buckets for i in range(1, buckets)], 10_000).alias("_bounds"))
-    # One row per group: a bounded broadcast.
-    tagged = weighted.join(F.broadcast(bounds), groups).withColumn(
-        "_b", _count_below(F.col("_bounds"), F.col(value), 0, buckets - 1)).drop("_bounds")
+    tagged = (long_df.groupBy(*groups, value).agg(*outside).repartitionByRange(*groups, value)
+              .withColumn("_b", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK))
     ranges = tagged.groupBy(*groups, "_b").agg(*[F.sum(f"_n{k}").alias(f"_w{k}") for k in folds])
     upto, every = Window.partitionBy(*groups).orderBy("_b"), Window.partitionBy(*groups)
     ranges = ranges.select(
@@ -168,5 +165,9 @@ def fold_medians(
         holds = (F.col(rank) >= F.col(f"_e{k}") - F.col(f"_n{k}")) & (F.col(rank) < F.col(f"_e{k}"))
         return F.max(F.when(holds, F.col(value)))
 
-    return found.groupBy(*groups).agg(F.array(*[
-        (at(f"_lo{k}", k) + at(f"_hi{k}", k)) / 2 for k in folds]).alias("medians"))
+    medians = found.groupBy(*groups).agg(F.array(*[
+        (at(f"_lo{k}", k) + at(f"_hi{k}", k)) / 2 for k in folds]).alias("_medians"))
+    try:
+        return {tuple(r[g] for g in groups): r["_medians"] for r in medians.collect()}
+    finally:
+        tagged.unpersist()
