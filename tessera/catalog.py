@@ -895,6 +895,33 @@ def ridge_wide_categories(spark, sf_dir):
     return E.predict(fitted, split.validation(), ["o_orderkey"])
 
 
+@register(
+    "scored_parts",
+    _RIDGE_SQL.replace("SELECT p_partkey, p_retailprice AS actual, ybar + slope * (x - xbar) AS prediction FROM xs, fit "
+                       "WHERE part = 'validation'",
+                       "SELECT p_partkey, round(ybar + slope * (x - xbar), 6) AS prediction FROM xs, fit"),
+)
+def scored_parts(spark, sf_dir):
+    """I1 + V15 + V16: every part scored and checked in one pass, read back
+    from the committed folder."""
+    import uuid
+
+    from .plans.artifacts import Artifact, feature_contract
+    from .plans.scoring import score_table
+    from .session import checkpoint_dir
+
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
+    split = T.split_dataset(parts, target="p_retailprice", key=["p_partkey"], task=Task.REGRESSION)
+    stats = FE.fit_feature_stats(split.frame, FE.infer_feature_schema(split.frame, ["p_size"]), where=_train())
+    fitted = E.fit_estimator(split.train(), stats, target="p_retailprice", estimator=E.RIDGE_REGRESSION,
+                             task=Task.REGRESSION, seed=42, key=["p_partkey"])
+    artifact = Artifact({"features": feature_contract(parts, stats),
+                         "categorical_fill_value": stats.config.categorical_fill_value}, fitted.model)
+    path = f"{checkpoint_dir(spark)}/tessera-scored/{uuid.uuid4().hex}"
+    score_table(artifact, parts.drop("p_retailprice"), path, key=["p_partkey"])
+    return spark.read.parquet(path)
+
+
 # ------------------------------------ model runs (rows-only: iterative fits)
 
 from .functions.digest import multiset_digest, value_token  # noqa: E402

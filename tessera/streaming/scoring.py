@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.artifacts import Artifact
-from ..plans.scoring import predict_frame
+from ..plans.scoring import score_table
 
 
 def score_stream(
@@ -33,8 +33,8 @@ def score_stream(
         # after a failure replaces its own output instead of duplicating it.
         if batch.isEmpty():
             return
-        predict_frame(artifact, batch, key=key).write.mode("overwrite").parquet(
-            f"{output_path}/batch_id={batch_id}")
+        # Checked in the pass that scores it; a refused batch leaves no folder.
+        score_table(artifact, batch, f"{output_path}/batch_id={batch_id}", key=key, replace=True)
 
     writer = stream.writeStream.foreachBatch(score_batch).option("checkpointLocation", checkpoint_location)
     if available_now:
