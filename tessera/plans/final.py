@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..config import SelectionError, Task
 from ..functions.columns import compact_message
@@ -15,7 +16,7 @@ from ..operators import profile as P
 from . import artifacts as A
 from .crossval import configuration_from
 from .registry import SCHEMA_VERSION, Registry, new_id, now, record_sha256
-from .train import expected_failure, keyed_table
+from .train import expected_failure, keyed_table, merge_warnings
 
 
 @dataclass
@@ -86,6 +87,8 @@ def fit_selected_model(
         "estimator": winner["estimator"], "primary_metric": selection["primary_metric"],
         "mean": winner["primary_metric_mean"], "standard_deviation": winner["primary_metric_standard_deviation"],
         "fold_count": len(selection["folds"]), "fold_plan_sha256": selection["fold_plan_sha256"],
+        "stored_sha256": None if registry is None else registry.digests("cv_benchmarks").filter(
+            F.col("id") == selection["benchmark_id"]).first()["stored_sha256"],
     }
     try:
         profile = P.profile_dataset(df, target)
@@ -103,7 +106,7 @@ def fit_selected_model(
             "started_at": started, "completed_at": now(), "selection": selection_block,
             "dataset": selection["dataset"], "configuration": selection["configuration"],
             "fit_scope": "all_rows", "training_rows": None,
-            "feature_count": None, "model_path": None, "warnings": [],
+            "feature_count": None, "model_path": None, "model_sha256": None, "warnings": [],
             "failure": {"error_type": type(error).__name__, "message": compact_message(error)},
         }
         if registry is not None:
@@ -114,7 +117,8 @@ def fit_selected_model(
         "started_at": started, "completed_at": now(), "selection": selection_block,
         "dataset": selection["dataset"], "configuration": selection["configuration"],
         "fit_scope": "all_rows", "training_rows": stats.training_rows,
-        "feature_count": len(schema.all_features), "model_path": None, "warnings": profile.warnings,
+        "feature_count": len(schema.all_features), "model_path": None, "model_sha256": None,
+        "warnings": merge_warnings(profile.warnings, fitted.warnings),
         "failure": None,
     }
     if registry is not None:
@@ -122,6 +126,6 @@ def fit_selected_model(
         if save_model:
             meta = A.save(registry, fitted, stats, df, task="classification", target=target,
                           lineage_kind="final_model", lineage_id=final_id)
-            record["model_path"] = meta["model_path"]
+            record |= {"model_path": meta["model_path"], "model_sha256": meta["files_sha256"]}
         registry.write("final_models", record)
     return FinalModelResult(record, fitted, stats)

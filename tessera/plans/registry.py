@@ -60,15 +60,16 @@ SCHEMAS = {
     "final_models": (
         f"schema_version int, final_model_id string, status string, started_at string, completed_at string, "
         f"selection struct<benchmark_id:string,record_sha256:string,estimator:string,primary_metric:string,"
-        f"mean:double,standard_deviation:double,fold_count:int,fold_plan_sha256:string>, "
+        f"mean:double,standard_deviation:double,fold_count:int,fold_plan_sha256:string,stored_sha256:string>, "
         f"dataset {DATASET}, configuration {CV_CONFIGURATION}, fit_scope string, training_rows bigint, "
         f"feature_count int, "
-        f"model_path string, warnings array<string>, failure {FAILURE}"
+        f"model_path string, model_sha256 string, warnings array<string>, failure {FAILURE}"
     ),
     "models": (
         "schema_version int, model_id string, lineage_kind string, lineage_id string, task string, "
         "target string, categorical_fill_value string, "
-        "features array<struct<name:string,dtype:string,role:string>>, model_path string"
+        "features array<struct<name:string,dtype:string,role:string>>, model_path string, "
+        "files array<struct<file:string,bytes:bigint,sha256:string>>, files_sha256 string, contract_sha256 string"
     ),
 }
 
@@ -115,6 +116,11 @@ class Registry:
             raise KeyError(f"No unique {name} record {rid!r}.")
         return rows[0].asDict(recursive=True)
 
+    def digests(self, name: str) -> DataFrame:
+        """``(id, stored_sha256)``: a digest of every stored record."""
+        held = self.table(name)
+        return held.select(F.col(ID_FIELD[name]).alias("id"), F.sha2(F.to_json(F.struct("*")), 256).alias("stored_sha256"))
+
     def list(self, name: str) -> DataFrame:
         """Chronological listing by (started_at, id)."""
         order = ["started_at", ID_FIELD[name]] if name != "models" else [ID_FIELD[name]]
