@@ -259,7 +259,8 @@ _UNIT = T.StructType([T.StructField("unit", T.BinaryType()), T.StructField("sent
                       T.StructField("toxic", T.IntegerType())])
 _SENTENCE = T.StructType([
     T.StructField("doc", T.LongType()), T.StructField("sentence", T.LongType()),
-    T.StructField("toxic", T.IntegerType()), T.StructField("features", T.ArrayType(T.DoubleType()))])
+    T.StructField("toxic", T.IntegerType()), T.StructField("features", T.ArrayType(T.FloatType()))])
+_KEY = T.StructType(_SENTENCE.fields[:3])
 
 
 def train_model(spark: SparkSession, labelled: DataFrame, cfg: ToxicConfig = ToxicConfig()) -> ToxicModel | None:
@@ -289,15 +290,21 @@ def train_model(spark: SparkSession, labelled: DataFrame, cfg: ToxicConfig = Tox
     sample = stash.keep(sample.join(single, "doc_id", "left_semi").select("doc_id", "text", "toxic"))
     landmarks, telling = _landmarks(sample, cfg, stash)
     kernel = KernelMap(landmarks, cfg)
-    rows = stash.keep(sample.select("doc_id", "text", "toxic").mapInArrow(
-        _featurise(kernel, uuid.uuid4().hex), _SENTENCE))
-    clean = rows.where("toxic = 0").dropDuplicates(["sentence"])
-    bags = rows.where("toxic = 1").join(clean.select("sentence"), "sentence", "left_anti")
+    # Which sentences teach is settled on their keys; features are made once
+    # for these, and never shuffled.
+    keys = stash.keep(sample.select("doc_id", "text", "toxic").mapInArrow(_keys, _KEY).distinct())
+    once = keys.where("toxic = 0").groupBy("sentence").agg(F.min("doc").alias("doc"))
+    mine = keys.where("toxic = 1").join(once.select("sentence"), "sentence", "left_anti")
+    wanted = once.select("doc", "sentence").unionByName(mine.select("doc", "sentence")).groupBy("doc").agg(
+        F.collect_list("sentence").alias("wanted"))
+    rows = stash.keep(sample.join(wanted, sample["doc_id"] == wanted["doc"]).select("doc_id", "text", "toxic", "wanted")
+                      .mapInArrow(_featurise(kernel, uuid.uuid4().hex), _SENTENCE))
+    clean, bags = rows.where("toxic = 0"), rows.where("toxic = 1")
     weights, intercept = np.linalg.solve(kernel.root, telling), -np.inf
     for _ in range(cfg.rounds):
         scored = bags.withColumn("m", _margin(weights, 0.0))
         best = scored.groupBy("doc").agg(F.max(F.struct("m", "sentence")).alias("top"))
-        witness = (scored.join(best, "doc")
+        witness = (scored.join(F.broadcast(best), "doc")  # at most sample_docs rows
                    .where((F.col("m") + intercept > 0) | (F.col("sentence") == F.col("top.sentence")))
                    .dropDuplicates(["sentence"]).select("doc", "sentence", "toxic", "features"))
         train = clean.unionByName(witness).withColumn("x", array_to_vector("features")).coalesce(cfg.fit_parts).cache()
@@ -310,7 +317,9 @@ def train_model(spark: SparkSession, labelled: DataFrame, cfg: ToxicConfig = Tox
                         standardization=False, maxIter=50).fit(train)
         train.unpersist()
         weights, intercept = svm.coefficients.toArray(), float(svm.intercept)
-    docs = rows.groupBy("doc", "toxic").agg(F.max(_margin(weights, intercept)).alias("margin"))
+    judged = rows.select("sentence", _margin(weights, intercept).alias("margin")).groupBy("sentence").agg(
+        F.max("margin").alias("margin"))
+    docs = keys.join(judged, "sentence").groupBy("doc", "toxic").agg(F.max("margin").alias("margin"))
     held = [min(totals[y], cfg.sample_docs) for y in (0, 1)]
     share = F.when(F.col("toxic") == 1, totals[1] / held[1]).otherwise(totals[0] / held[0])
     iso = IsotonicRegression(featuresCol="margin", labelCol="toxic", weightCol="weight").fit(
@@ -346,10 +355,10 @@ def _landmarks(sample: DataFrame, cfg: ToxicConfig, stash: Stash) -> tuple[list[
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([u for u, _ in seen], pa.binary()), pa.array(keys[at]), pa.array(label[rows[at]])],
                     names=_UNIT.fieldNames())
-    once = (sample.select("doc_id", "text", "toxic").mapInArrow(spelled, _UNIT)
-            .groupBy("unit", "sentence").agg(F.min("toxic").alias("toxic")))
+    parts = sample.select("doc_id", "text", "toxic").mapInArrow(spelled, _UNIT)
+    once = parts.groupBy("unit", "sentence").agg(F.min("toxic").alias("toxic"))
     held = stash.keep(once.groupBy("unit").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")))
-    total = once.groupBy("sentence").agg(F.min("toxic").alias("toxic")).agg(
+    total = parts.groupBy("sentence").agg(F.min("toxic").alias("toxic")).agg(
         F.sum("toxic").alias("a"), F.count("*").alias("n")).first()
     n1, n0 = max(total["a"] or 0, 1), max((total["n"] or 0) - (total["a"] or 0), 1)
     share = F.col("n") / (n1 + n0)
@@ -379,15 +388,42 @@ def _landmarks(sample: DataFrame, cfg: ToxicConfig, stash: Stash) -> tuple[list[
     return landmarks, np.array(weights + [0.0] * (len(landmarks) - len(telling)))
 
 
+def _labels(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(document, label) of the rows."""
+    return (np.array(part.column(0).to_pylist(), dtype=np.int64), np.array(part.column(2).to_pylist(), dtype=np.int32))
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys of all sentences."""
+    for batch in batches:
+        for part in chunks(batch, 1):
+            data, offsets = text_buffer(part.column(1))
+            folded = fold_case(data)
+            starts, ends, sentence, rows = units(folded, offsets)
+            keys = sentence_keys(span_hashes(folded, starts, ends), sentence, len(rows))
+            doc, label = _labels(part)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc[rows]), pa.array(keys), pa.array(label[rows])], names=_KEY.fieldNames())
+
+
 def _featurise(kernel: KernelMap, name: str):
+    """Features of the wanted sentences of every document, each once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, 1):
                 features, rows, keys = sentence_features(*text_buffer(part.column(1)), kernel, name)
-                label = np.array(part.column(2).to_pylist(), dtype=np.int32)
-                doc = np.array(part.column(0).to_pylist(), dtype=np.int64)
+                doc, label = _labels(part)
+                lists = part.column(3)
+                asked = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+                want = set(zip(asked.tolist(), lists.flatten().to_pylist()))
+                _, first = np.unique(np.stack([rows, keys], axis=1), axis=0, return_index=True)
+                take = np.array([i for i in np.sort(first) if (int(rows[i]), int(keys[i])) in want], dtype=np.int64)
+                width = features.shape[1]
+                values = pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(take) + 1) * width, pa.int32()),
+                    pa.array(features[take].ravel().astype(np.float32)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc[rows]), pa.array(keys), pa.array(label[rows]), pa.array(list(features), pa.list_(pa.float64()))],
+                    [pa.array(doc[rows[take]]), pa.array(keys[take]), pa.array(label[rows[take]]), values],
                     names=_SENTENCE.fieldNames())
     return run
 
