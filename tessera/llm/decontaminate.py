@@ -137,6 +137,9 @@ def _search(pattern: str, text: str, anchored: bool) -> tuple[int, int]:
 
 # --- index of one block of items -----------------------------------------------
 
+WALKED = 1 << 11  # starts walked at once; bounds the walks' memory
+
+
 class LeakIndex:
     """Walk bits, sampled positions and bucket keys of a bounded block of items."""
 
@@ -156,55 +159,104 @@ class LeakIndex:
         # an edit destroys at most q of an item's q-grams
         self.floor = {q: [max(0, lo - q + 1 - q * edits) for lo, edits in zip(self.shortest, self.slack)]
                       for q in cfg.grams}
-        steps = 2 * int(lengths[-1])
-        self.bits = rng.integers(0, 2, (cfg.walks, steps, 256), dtype=np.uint8)
-        self.bits[:, :, 0] = 0  # the walk stops at the text's end
+        self.walk_bits = rng.integers(0, 2, (2 * int(lengths[-1]), cfg.walks, 256), dtype=np.uint8)
+        self.walk_bits[:, :, 0] = 0  # the walk stops at the text's end
         # positions[class]: samples x bits walk positions inside twice its shortest length
         self.positions = [rng.integers(0, 2 * lo, (cfg.samples, cfg.bits)) for lo in self.shortest]
         texts = [_codes(_points(t)) for _, t in self.items]
-        self.grams = {q: np.zeros(1 << 22, dtype=bool) for q in cfg.grams}
-        for q, held in self.grams.items():
-            for t in texts:
-                held[gram_codes(t, q)] = True
-        data = np.concatenate([np.append(t, np.uint8(0)) for t in texts])
-        starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-        member = {c: np.arange(a, b) for c, (a, b) in enumerate(self.bounds)}
+        self.group = np.arange(len(self.bounds)) * min(32, len(self.bounds)) // len(self.bounds)
+        self.known = {q: self._known(texts, q) for q in cfg.grams}
+        self._masks: dict[int, np.ndarray] = {}
         self.own_grams = [frozenset(_grams(t, min(cfg.grams))) for _, t in self.items]
-        self.tables: list[tuple[np.ndarray, np.ndarray]] = []  # sorted keys and their items, for each walk
-        for walk in range(cfg.walks):
-            keys, item = self.embed(data, starts, walk, member)
-            order = np.argsort(keys, kind="stable")
-            self.tables.append((keys[order], item[order]))
-
-    def embed(self, data: np.ndarray, starts: np.ndarray, walk: int, alive: dict[int, np.ndarray]
+        class_of = np.repeat(np.arange(len(self.bounds)), [b - a for a, b in self.bounds])
+        found = []
+        for first in range(0, len(texts), WALKED):
+            part = texts[first:first + WALKED]
+            sizes = np.array([len(t) + 1 for t in part])
+            data = np.concatenate([np.append(t, np.uint8(0)) for t in part])
+            own = class_of[first:first + WALKED]
+            keys, item = self.embed(data, np.cumsum(sizes) - sizes,
+                                    {int(c): np.flatnonzero(own == c) for c in np.unique(own)})
+            found.append((keys, item + first))
+        keys, item = (np.concatenate(column) for column in zip(*found))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.item = keys[order], item[order]
+
+    def _known(self, texts: list[np.ndarray], q: int) -> tuple[np.ndarray, np.ndarray]:
+        """(q-gram code, bits of the groups of classes whose items have it)."""
+        codes, bits = [], []
+        for group, (a, b) in zip(self.group, self.bounds):
+            mine = np.unique(np.concatenate([gram_codes(t, q) for t in texts[a:b]]))
+            codes.append(mine)
+            bits.append(np.full(len(mine), 1 << int(group), dtype=np.uint32))
+        return np.concatenate(codes), np.concatenate(bits)
+
+    def masks(self, q: int) -> np.ndarray:
+        """The groups' bits by q-gram code; made in the task, not sent to it."""
+        if q not in self._masks:
+            codes, bits = self.known[q]
+            table = np.zeros(1 << 22, dtype=np.uint32)
+            np.bitwise_or.at(table, codes, bits)
+            self._masks[q] = table
+        return self._masks[q]
+
+    def embed(self, data: np.ndarray, starts: np.ndarray, alive: dict[int, np.ndarray]
               ) -> tuple[np.ndarray, np.ndarray]:
-        """CGK walk from every start: step j emits the current character and
-        advances by a random bit that depends on j and that character.  Gives
-        (key, number of the start) for every sample of every class and each
-        of its starts in ``alive``; a key holds its class and sample."""
+        """All CGK walks from every start: step j emits the current character
+        and advances by a random bit that depends on j, the walk and that
+        character.  Gives (key, number of the start) for every walk and sample
+        of every class and each of its starts in ``alive``; a key holds its
+        class, sample and walk.  A start is left once the last position its
+        classes sample is passed."""
+        cfg = self.cfg
         wanted = np.unique(np.concatenate([self.positions[c].ravel() for c in alive]))
-        out = np.zeros((len(wanted), len(starts)), dtype=np.uint8)
-        at = starts.astype(np.int64)
-        bits = self.bits[walk]
+        last = np.full(len(starts), -1, dtype=np.int64)
+        for c, own in alive.items():
+            last[own] = np.maximum(last[own], int(self.positions[c].max()))
+        order = np.argsort(-last, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        going = np.searchsorted(-last[order], -np.arange(int(wanted[-1]) + 1), "right")  # starts with last >= j
+        at = np.repeat(starts[order].astype(np.int64)[:, None], cfg.walks, axis=1)
+        offset = np.arange(cfg.walks, dtype=np.int64) * 256
+        out = np.zeros((len(wanted), len(starts), cfg.walks), dtype=np.uint8)
         column = 0
         for j in range(int(wanted[-1]) + 1):
-            here = data[at]
+            n = going[j]
+            here = data.take(at[:n])
             if j == wanted[column]:
-                out[column] = here
+                out[column, :n] = here
                 column += 1
-            at += bits[j][here]
+            at[:n] += self.walk_bits[j].ravel().take(here + offset)
         keys, owner = [], []
+        walk = np.arange(1, cfg.walks + 1, dtype=np.uint64)
         for c, own in alive.items():
             rows = np.searchsorted(wanted, self.positions[c])
-            for s in range(self.cfg.samples):
-                key = np.full(len(own), c * self.cfg.samples + s + 1, dtype=np.uint64)
+            for s in range(cfg.samples):
+                key = np.tile(np.uint64((c * cfg.samples + s) * cfg.walks) + walk, (len(own), 1))
                 for r in rows[s]:
-                    key = key << np.uint64(8) | out[r, own]
-                keys.append(key)
-                owner.append(own)
+                    key = key << np.uint64(8) | out[r, place[own]]
+                keys.append(key.ravel())
+                owner.append(np.repeat(own, cfg.walks))
         return np.concatenate(keys), np.concatenate(owner)
 
 
+def windows_holding(starts: np.ndarray, at: np.ndarray, width: int, floor: int) -> np.ndarray:
+    """The ``starts`` from which ``width`` code points hold at least ``floor``
+    of the positions ``at`` (both ascending)."""
+    if floor <= 0:
+        return starts
+    if len(at) < floor:
+        return starts[:0]
+    first, last = at[:len(at) - floor + 1], at[floor - 1:]
+    near = last - first < width
+    opens = np.searchsorted(starts, last[near] - width + 1, "left")
+    shuts = np.searchsorted(starts, first[near], "right")
+    opens[1:] = np.maximum(opens[1:], shuts[:-1])  # both ascend: what is left is disjoint
+    size = np.maximum(shuts - opens, 0)
+    return starts[np.repeat(opens - np.cumsum(size) + size, size) + np.arange(size.sum())]
+
+
 def gram_codes(codes: np.ndarray, q: int) -> np.ndarray:
     """22-bit hash of every run of q codes."""
     n = len(codes) - q + 1
@@ -229,45 +281,43 @@ def find_leaks(texts: list[str], index: LeakIndex) -> list[tuple[int, int, int,
     data[begin[1:] - 1] = 0
     n = len(data)
     runs = start_runs(_kinds(points))
-    # windows that hold enough q-grams of any item for the allowed edits (exact
-    # bounds); the longest q-grams are the rarest and go first
-    reach = max(lo + slack for lo, slack in zip(index.shortest, index.slack))
-    hits = []
-    for q in sorted(index.grams, reverse=True):
-        known = index.grams[q][gram_codes(data, q)]
-        total = np.zeros(len(data) + 1 + reach, dtype=np.int32)
-        np.cumsum(known, out=total[1:len(known) + 1])
-        total[len(known) + 1:] = total[len(known)]
-        hits.append((index.floor[q], total))
+    # windows that hold enough q-grams of a class's items for the allowed edits
+    # (exact bounds); the longest q-grams are the rarest and go first
+    starts = np.flatnonzero(runs > min(index.slack))
+    grams = []
+    for q in sorted(index.known, reverse=True):
+        groups = index.masks(q).take(gram_codes(data, q))
+        at = np.flatnonzero(groups)
+        grams.append((index.floor[q], at, groups[at]))
     alive = {}
     for c, (lo, slack) in enumerate(zip(index.shortest, index.slack)):
-        (floor, total), *others = hits
-        live = np.flatnonzero((total[lo + slack:lo + slack + n] - total[:n] >= floor[c]) & (runs > slack))
-        for floor, total in others:
-            live = live[total[lo + slack:][live] - total[live] >= floor[c]]
+        live = starts
+        for floor, at, groups in grams:
+            mine = at[groups & np.uint32(1 << int(index.group[c])) != 0]
+            live = windows_holding(live, mine, lo + slack, floor[c])
+        live = live[runs[live] > slack]
         if len(live):
             alive[c] = live
     if not alive:
         return []
     union = np.unique(np.concatenate(list(alive.values())))
     found: dict[tuple[int, int], set[int]] = {}
-    for first in range(0, len(union), 1 << 15):  # bounds the walks' memory
-        chosen = union[first:first + (1 << 15)]
+    for first in range(0, len(union), WALKED):
+        chosen = union[first:first + WALKED]
         inside = {}
         for c, live in alive.items():
             here = live[np.searchsorted(live, chosen[0]):np.searchsorted(live, chosen[-1], "right")]
             if len(here):
                 inside[c] = np.searchsorted(chosen, here)
-        for walk, (have, who) in enumerate(index.tables):
-            keys, owner = index.embed(data, chosen, walk, inside)
-            left = np.searchsorted(have, keys, "left")
-            hit = np.flatnonzero(have[np.minimum(left, len(have) - 1)] == keys)
-            right = np.searchsorted(have, keys[hit], "right")
-            for k, end in zip(hit, right):
-                at = int(chosen[owner[k]])
-                doc = int(np.searchsorted(begin, at, "right")) - 1
-                for item in who[left[k]:end]:
-                    found.setdefault((doc, int(item)), set()).add(at - int(begin[doc]))
+        keys, owner = index.embed(data, chosen, inside)
+        left = np.searchsorted(index.keys, keys, "left")
+        hit = np.flatnonzero(index.keys[np.minimum(left, len(index.keys) - 1)] == keys)
+        right = np.searchsorted(index.keys, keys[hit], "right")
+        for k, end in zip(hit, right):
+            at = int(chosen[owner[k]])
+            doc = int(np.searchsorted(begin, at, "right")) - 1
+            for item in index.item[left[k]:end]:
+                found.setdefault((doc, int(item)), set()).add(at - int(begin[doc]))
     leaks = []
     for (doc, item), at in sorted(found.items()):
         item_id, pattern = index.items[item]
@@ -334,8 +384,8 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame,
     Windows of an item's length start at every change between letters, digits
     and signs of the normalised text, at every letter of scripts without
     spaces, and at every code point of a run longer than the allowed edits.
-    Those with too few of the benchmark's q-grams for the allowed edits are
-    passed over (that bound loses nothing); the others are embedded by the
+    Those with too few of the q-grams of items of that length for the allowed
+    edits are passed over (that bound loses nothing); the others are embedded by the
     walk, and where any sampled key equals an item's, the exact search
     decides.  Documents are read once for each block of items; only one
     block's index is sent to the executors at a time.

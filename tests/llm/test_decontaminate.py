@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tessera.llm.decontaminate import (LeakConfig, LeakIndex, benchmark_leaks, best_match, clean_documents,
-                                       find_leaks, normalize)
+                                       find_leaks, normalize, windows_holding)
 from tessera.llm.queries import QUERIES
 
 LETTERS = list("abcdefghijklmnopqrstuvwxyz ")
@@ -130,3 +130,38 @@ def test_recall_at_the_operators_bound():
     texts = [" ".join([prose(rng, 8), edited(rng, t, cfg.edits(len(t))), prose(rng, 8)]) for _, t in items]
     found = {(doc, item) for doc, item, *_ in find_leaks(texts, LeakIndex(items, cfg))}
     assert sum((i, i) in found for i, _ in items) >= 0.98 * len(items)
+
+
+def test_windows_holding_counts_every_window():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        starts = np.flatnonzero(rng.random(60) < 0.6)
+        at = np.flatnonzero(rng.random(80) < rng.random())
+        width, floor = int(rng.integers(1, 30)), int(rng.integers(0, 8))
+        want = [s for s in starts if ((at >= s) & (at < s + width)).sum() >= floor]
+        assert windows_holding(starts, at, width, floor).tolist() == want
+
+
+def test_walks_of_many_starts_equal_single_ones():
+    rng = np.random.default_rng(6)
+    items = [(i, "".join(rng.choice(LETTERS, 40 + 7 * i))) for i in range(12)]
+    index = LeakIndex(items, LeakConfig(walks=3, samples=2))
+    data = np.append(rng.choice(np.frombuffer(b"abc ", np.uint8), 900), np.uint8(0))
+    starts = np.arange(0, 800, 7)
+    alive = {c: np.flatnonzero(rng.random(len(starts)) < 0.5) for c in range(len(index.bounds))}
+    alive = {c: own for c, own in alive.items() if len(own)}
+    got = set(zip(*(column.tolist() for column in index.embed(data, starts, alive))))
+    want = set()
+    for c, own in alive.items():
+        for i in own:
+            for walk in range(3):
+                at, seen = int(starts[i]), []
+                for j in range(2 * index.shortest[c]):
+                    seen.append(int(data[at]))
+                    at += int(index.walk_bits[j, walk, data[at]])
+                for s in range(2):
+                    key = (c * 2 + s) * 3 + walk + 1
+                    for p in index.positions[c][s]:
+                        key = key << 8 | seen[p]
+                    want.add((key, int(i)))
+    assert got == want
