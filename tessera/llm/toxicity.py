@@ -6,6 +6,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -137,10 +138,65 @@ def subsequence_kernel(a: np.ndarray, t: bytes, order: int, decay: float) -> np.
     return _common(np.ascontiguousarray(a.T), np.frombuffer(t, dtype=np.uint8)[:, None], order, decay)
 
 
-def normalised_kernel(strings: list[bytes], landmarks: list[bytes], cfg: ToxicConfig) -> np.ndarray:
+class Subsequences:
+    """The kernel with many strings at once: every subsequence of ``order``
+    letters that occurs in one of ``landmarks`` has a row of its weights in
+    all of them, so a string's kernel values are the weighted sum of the rows
+    of its own subsequences.  The rows are found through a table over the
+    letters of the landmarks; ``fits`` is False where that grows too large."""
+
+    def __init__(self, landmarks: list[bytes], order: int, decay: float) -> None:
+        letters = np.unique(np.frombuffer(b"".join(landmarks), dtype=np.uint8))
+        self.order, self.decay, self.base = order, decay, len(letters) + 1
+        self.fits = self.base ** order <= 1 << 24 and max(map(len, landmarks), default=0) <= MOST_LETTERS
+        if not self.fits:
+            return
+        self.index = np.zeros(256, dtype=np.int32)  # 0: in no landmark
+        self.index[letters] = np.arange(1, self.base)
+        held: dict[int, np.ndarray] = {}
+        for j, t in enumerate(landmarks):
+            digits = self.index[np.frombuffer(t, dtype=np.uint8)].tolist()
+            for at in combinations(range(len(t)), order):
+                code = 0
+                for i in at:
+                    code = code * self.base + digits[i]
+                row = held.setdefault(code, np.zeros(len(landmarks), np.float32))
+                row[j] += decay ** (at[-1] - at[0] + 1)
+        self.row = np.zeros(self.base ** order, dtype=np.int32)
+        self.row[list(held)] = np.arange(1, len(held) + 1)
+        self.weights = np.stack([np.zeros(len(landmarks), np.float32), *held.values()])
+
+    def kernel(self, block: np.ndarray) -> np.ndarray:
+        """Kernel of every zero-padded row of ``block`` with every landmark."""
+        digits = np.ascontiguousarray(self.index[block].T)
+        out = np.zeros((block.shape[0], self.weights.shape[1]), np.float32)
+
+        def extend(code: np.ndarray, who: np.ndarray, first: int, last: int, size: int) -> None:
+            for i in range(last + 1, len(digits) - (self.order - size)):
+                digit = digits[i][who]
+                alive = np.flatnonzero(digit)
+                longer = code[alive] * self.base + digit[alive]
+                begin = i if size == 1 else first
+                if size < self.order:
+                    extend(longer, who[alive], begin, i, size + 1)
+                    continue
+                row = self.row[longer]
+                hit = np.flatnonzero(row)
+                out[who[alive[hit]]] += self.weights[row[hit]] * np.float32(self.decay ** (i - begin + 1))
+
+        extend(np.zeros(len(block), dtype=np.int64), np.arange(len(block)), 0, -1, 1)
+        return out
+
+
+MOST_LETTERS = 16  # of a string whose subsequences are enumerated
+
+
+def normalised_kernel(strings: list[bytes], landmarks: list[bytes], cfg: ToxicConfig,
+                      table: Subsequences | None = None) -> np.ndarray:
     """Kernel of every string with every landmark over their own kernels'
     geometric mean, to the given power; strings of fewer than ``order``
-    letters have 0."""
+    letters have 0.  ``table``, where given and large enough, is that of the
+    landmarks; otherwise the kernel's recurrence runs for one after another."""
     out = np.zeros((len(strings), len(landmarks)), np.float32)
     own = np.zeros(len(strings))
     lengths = np.array([len(s) for s in strings])
@@ -148,8 +204,11 @@ def normalised_kernel(strings: list[bytes], landmarks: list[bytes], cfg: ToxicCo
     for lo in range(0, len(order), 8192):
         rows = order[lo:lo + 8192]
         block = _matrix([strings[i] for i in rows])
-        for j, t in enumerate(landmarks):
-            out[rows, j] = subsequence_kernel(block, t, cfg.order, cfg.decay)
+        if table is not None and table.fits and block.shape[1] <= MOST_LETTERS:
+            out[rows] = table.kernel(block)
+        else:
+            for j, t in enumerate(landmarks):
+                out[rows, j] = subsequence_kernel(block, t, cfg.order, cfg.decay)
         letters = np.ascontiguousarray(block.T)
         own[rows] = _common(letters, letters, cfg.order, cfg.decay)
     theirs = np.array([float(subsequence_kernel(_matrix([t]), t, cfg.order, cfg.decay)[0]) for t in landmarks])
@@ -179,6 +238,7 @@ class KernelMap:
     landmarks: list[bytes]
     cfg: ToxicConfig
     root: np.ndarray = field(init=False)
+    table: Subsequences | None = field(init=False, default=None)  # made in the task, not sent to it
 
     def __post_init__(self) -> None:
         gram = normalised_kernel(self.landmarks, self.landmarks, self.cfg).astype(float)
@@ -187,17 +247,36 @@ class KernelMap:
 
     def units(self, strings: list[bytes]) -> np.ndarray:
         """Kernel values of every unit; of a long one, the largest of its windows'."""
+        if self.table is None:
+            self.table = Subsequences(self.landmarks, self.cfg.order, self.cfg.decay)
         parts, owner = windowed(strings, self.cfg.window)
-        raw = normalised_kernel(parts, self.landmarks, self.cfg)
-        return np.maximum.reduceat(raw, np.searchsorted(owner, np.arange(len(strings))), axis=0)
+        raw = normalised_kernel(parts, self.landmarks, self.cfg, self.table)
+        first = np.searchsorted(owner, np.arange(len(strings)))
+        out = raw[first]
+        more = np.flatnonzero(np.diff(np.append(first, len(parts))) > 1)
+        for i in more:
+            out[i] = raw[first[i]:first[i + 1] if i + 1 < len(first) else len(parts)].max(axis=0)
+        return out
 
     def sentences(self, values: np.ndarray, sentence: np.ndarray, n: int) -> np.ndarray:
         """Features of ``n`` sentences from their units' kernel values, given
         in order of ``sentence``."""
         out = np.zeros((n, len(self.landmarks)), np.float32)
-        if len(sentence):
+        half = values.dtype == np.float16
+        if half:
+            values = values.view(np.uint16)  # none is below 0, so the bits have the values' order
+        while len(sentence):  # neighbours of a sentence in pairs, until one row is left of each
             lead = np.flatnonzero(np.append(True, sentence[1:] != sentence[:-1]))
-            out[sentence[lead]] = np.maximum.reduceat(values, lead, axis=0)
+            size = np.diff(np.append(lead, len(sentence)))
+            if size.max() == 1:
+                out[sentence] = values.view(np.float16) if half else values
+                break
+            place = np.arange(len(sentence)) - np.repeat(lead, size)
+            even = np.flatnonzero(place % 2 == 0)
+            paired = np.flatnonzero(place[even] + 1 < np.repeat(size, size)[even])
+            merged = values[even]
+            merged[paired] = np.maximum(merged[paired], values[even[paired] + 1])
+            values, sentence = merged, sentence[even]
         return out @ self.root
 
 
@@ -288,11 +367,11 @@ def train_model(spark: SparkSession, labelled: DataFrame, cfg: ToxicConfig = Tox
                         .dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic"))
     single = bucket_leaders(sample)
     sample = stash.keep(sample.join(single, "doc_id", "left_semi").select("doc_id", "text", "toxic"))
-    landmarks, telling = _landmarks(sample, cfg, stash)
-    kernel = KernelMap(landmarks, cfg)
     # Which sentences teach is settled on their keys; features are made once
     # for these, and never shuffled.
     keys = stash.keep(sample.select("doc_id", "text", "toxic").mapInArrow(_keys, _KEY).distinct())
+    landmarks, telling = _landmarks(sample, cfg, stash)
+    kernel = KernelMap(landmarks, cfg)
     once = keys.where("toxic = 0").groupBy("sentence").agg(F.min("doc").alias("doc"))
     mine = keys.where("toxic = 1").join(once.select("sentence"), "sentence", "left_anti")
     wanted = once.select("doc", "sentence").unionByName(mine.select("doc", "sentence")).groupBy("doc").agg(

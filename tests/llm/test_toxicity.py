@@ -7,8 +7,8 @@ import pytest
 
 from tessera.llm.common import fold_case, text_buffer
 from tessera.llm.queries import QUERIES
-from tessera.llm.toxicity import (ToxicConfig, clean_documents, normalised_kernel, score_toxicity, spell,
-                                  subsequence_kernel, train_model, units)
+from tessera.llm.toxicity import (KernelMap, Subsequences, ToxicConfig, clean_documents, normalised_kernel,
+                                  score_toxicity, spell, subsequence_kernel, train_model, units)
 
 SCHEMA = "doc_id long, text string, toxic int"
 
@@ -37,6 +37,37 @@ def test_kernel_equals_brute_force():
     assert np.allclose(same[2:].diagonal(), 1, atol=1e-4) and same.max() < 1.001 and (same[:2] == 0).all()
 
 
+def test_table_of_subsequences_equals_brute_force():
+    rng = np.random.default_rng(9)
+    for order in (2, 3, 4):
+        words = [bytes(rng.choice(list(b"abcde\xc3"), n).tolist()) for n in [*range(1, 17), 5, 12, 16]]
+        landmarks = words[3:11] + [b"aaaaa"]
+        block = np.zeros((len(words), 16), np.uint8)
+        for i, w in enumerate(words):
+            block[i, :len(w)] = list(w)
+        got = Subsequences(landmarks, order, 0.7).kernel(block)
+        want = [[brute_kernel(w, t, order, 0.7) for t in landmarks] for w in words]
+        assert np.allclose(got, want, rtol=1e-4, atol=1e-6)
+    assert not Subsequences([b"ab" * 20], 3, 0.7).fits
+    long = [b"abcab" * 8, b"abc"]  # beyond the table: the recurrence
+    cfg = ToxicConfig()
+    table = Subsequences([b"abcab"], cfg.order, cfg.decay)
+    assert np.allclose(normalised_kernel(long, [b"abcab"], cfg, table), normalised_kernel(long, [b"abcab"], cfg))
+
+
+def test_sentences_take_the_largest_of_their_units():
+    rng = np.random.default_rng(2)
+    kernel = KernelMap([b"\x01idiot", b"\x01clown"], ToxicConfig())
+    for dtype in (np.float16, np.float32):
+        values = rng.random((400, 2)).astype(dtype)
+        sentence = np.sort(rng.integers(0, 60, 400))
+        want = np.zeros((61, 2), np.float32)
+        for i, s in enumerate(sentence):
+            want[s] = np.maximum(want[s], values[i])
+        assert np.array_equal(kernel.sentences(values, sentence, 61), want @ kernel.root)
+    assert (kernel.sentences(np.zeros((0, 2)), np.zeros(0, int), 3) == 0).all()
+
+
 def test_units_and_sentences():
     data, offsets = text_buffer(pa.array(["Oh, you i d i o t! No.\nEnd (so-called)", None, "...", "ÉTÉ x"]))
     folded = fold_case(data)
