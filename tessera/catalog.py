@@ -1140,7 +1140,7 @@ def final_fit_stats(spark, sf_dir):
     stats = G.fit_selected_model(c, record, target="c_mktsegment", key=["c_custkey"]).stats
     rows = [(n, "numeric", stats.fill[n], stats.center[n], stats.scale[n], None)
             for n in stats.schema.numeric if n != "c_custkey"]
-    rows += [(n, "categorical", None, None, None, len(stats.categories[n])) for n in stats.schema.categorical]
+    rows += [(n, "categorical", None, None, None, stats.category_count(n)) for n in stats.schema.categorical]
     return spark.createDataFrame(
         rows, "column_name string, role string, fill double, center double, scale double, categories bigint")
 

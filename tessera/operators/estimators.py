@@ -49,6 +49,8 @@ RIDGE_ALPHA = 1.0
 LOGISTIC_C = 1.0
 FIT_PARTITIONS_MIN = 8
 ROWS_PER_FIT_PARTITION = 2_000_000
+#: Categories of a wide column with more than one in so many rows are columns of the fit.
+GROUP_SHARE = 64
 
 
 def static_parameters(name: str, seed: int, forest: ForestConfig = ForestConfig()) -> list[dict]:
@@ -130,28 +132,60 @@ def _linear_model(spark: SparkSession, fit: linear.LinearFit, classes: int | Non
     return LogisticRegressionModel(model).setFeaturesCol(FEATURES_COL)
 
 
-def _fit_blocks(rows: DataFrame, stats: FeatureStats, label: Column) -> DataFrame:
-    """The encoded training rows in blocks, wide columns included."""
+def _frequent(stats: FeatureStats, spark: SparkSession) -> list[str]:
+    """Values of the one wide column with more than one in ``GROUP_SHARE`` of
+    the rows: they get columns of their own, the others share blocks."""
+    table = stats.dictionary.table(spark).where((F.col("column_name") == stats.wide[0]) & F.col(stats.rank).isNotNull())
+    top = table.where(F.col("n") * GROUP_SHARE > table.agg(F.sum("n")).scalar()).select("value")
+    return sorted(r["value"] for r in top.collect())
+
+
+def _fit_blocks(rows: DataFrame, stats: FeatureStats, label: Column, outputs: int) -> tuple[DataFrame, list[str] | None]:
+    """The encoded training rows in blocks, wide columns included.  One wide
+    column makes groups of rows, except for its frequent values, also returned;
+    several (None) become positions in the encoded vector."""
+    if len(stats.wide) == 1:
+        frequent = _frequent(stats, rows.sparkSession)
+        value = F.col(f"`_cat__{stats.wide[0]}`")
+        place = F.array_position(F.array(*[F.lit(v) for v in frequent]).cast("array<string>"), value)
+        ones = F.when(place > 0, F.array(place - 1 + stats.list_width)).otherwise(F.array().cast("array<bigint>"))
+        unknowns = outputs * (stats.list_width + len(frequent) + 1)
+        blocks = linear.grouped_blocks(rows, FEATURES_COL, label, F.when(place == 0, value), ones, unknowns, outputs)
+        return blocks.persist(StorageLevel.MEMORY_AND_DISK), frequent
     if stats.wide:
         rows = category_positions(rows, stats.dictionary, stats.wide, stats.rank, stats.list_width)
     return linear.row_blocks(rows, FEATURES_COL, label, "_wide" if stats.wide else None).persist(
-        StorageLevel.MEMORY_AND_DISK)
+        StorageLevel.MEMORY_AND_DISK), None
+
+
+def _fit_width(stats: FeatureStats, frequent: list[str] | None) -> int:
+    return stats.width if frequent is None else stats.list_width + len(frequent)
 
 
-def _linear_stages(spark: SparkSession, fit: linear.LinearFit, stats: FeatureStats, output: str,
-                   classes: int | None = None) -> list:
+def _linear_stages(spark: SparkSession, fit: linear.LinearFit, stats: FeatureStats, output: str, blocks: DataFrame,
+                   frequent: list[str] | None, classes: int | None = None) -> list:
     """The stages that score a linear fit.  The weights of wide columns become
-    a table by value; the driver holds the weights, never the values."""
+    a table by value; those of a single one never leave the tasks."""
     n = stats.list_width
     listed = replace(fit, weights=fit.weights[:, :n])
     if not stats.wide:
         return [_linear_model(spark, listed, classes).setPredictionCol(output)]
-    rest = fit.weights[:, n:].T  # position x outputs
-    if classes is not None and rest.shape[1] == 1:
-        rest = np.concatenate([-rest, rest], axis=1)  # two classes have opposite scores
-    scores = rest.shape[1]
     path = f"{checkpoint_dir(spark)}/tessera-weights/{uuid.uuid4().hex}"
-    write_weights(feature_positions(spark, stats.dictionary, stats.wide, stats.rank, n), rest, n, path)
+    rest = fit.weights[:, n:].T  # position x outputs
+    both = classes is not None and rest.shape[1] == 1  # two classes have opposite scores
+    scores = rest.shape[1] + both
+    if frequent is not None:
+        counts = stats.dictionary.table(spark).where(F.col("column_name") == stats.wide[0]).select("value", "n")
+        own = spark.createDataFrame([(v, [float(w) for w in ws]) for v, ws in zip(frequent, rest)],
+                                    "value string, weights array<double>").join(counts, "value")
+        found = linear.group_weights(blocks, fit, c=None if classes is None else LOGISTIC_C, alpha=RIDGE_ALPHA)
+        weights = F.array(-F.col("weights")[0], F.col("weights")[0]) if both else F.col("weights")
+        found.unionByName(own).select(F.lit(stats.wide[0]).alias("column_name"), "value", "n",
+                                      weights.alias("weights")).write.parquet(path)
+    else:
+        if both:
+            rest = np.concatenate([-rest, rest], axis=1)
+        write_weights(feature_positions(spark, stats.dictionary, stats.wide, stats.rank, n), rest, n, path)
     base = "_base_score" if classes is None else "rawPrediction"
     model = _linear_model(spark, listed, classes).setPredictionCol("_base_score")
     return [model, CategoryWeights(baseCol=base, outputCol=output, columns=list(stats.wide), table=path, scores=scores)]
@@ -218,12 +252,12 @@ def fit_estimator(
         if estimator == LOGISTIC_REGRESSION:
             if len(labels) < 2:
                 raise TrainingError("Logistic regression needs training rows of two classes at least.")
-            blocks = _fit_blocks(prepared, stats, F.col("_label_idx"))
+            blocks, frequent = _fit_blocks(prepared, stats, F.col("_label_idx"), 1 if len(labels) == 2 else len(labels))
             try:
-                fit = linear.fit_logistic(blocks, rows, len(labels), stats.width, LOGISTIC_C)
+                fit = linear.fit_logistic(blocks, rows, len(labels), _fit_width(stats, frequent), LOGISTIC_C)
+                fitted = _linear_stages(train.sparkSession, fit, stats, "_prediction_idx", blocks, frequent, len(labels))
             finally:
                 blocks.unpersist()
-            fitted = _linear_stages(train.sparkSession, fit, stats, "_prediction_idx", len(labels))
             facts, warnings = _certificate(fit, estimator)
             parameters = sorted([("C", str(LOGISTIC_C)), ("solver", "newton"), *facts])
         else:
@@ -231,7 +265,8 @@ def fit_estimator(
                 featuresCol=FEATURES_COL, labelCol="_label_idx", predictionCol="_prediction_idx",
                 featureSubsetStrategy="sqrt", seed=seed, **size,
             )
-            prepared.persist(StorageLevel.MEMORY_AND_DISK)
+            # Only what the fit reads is kept for its passes.
+            prepared = prepared.select(FEATURES_COL, "_label_idx").persist(StorageLevel.MEMORY_AND_DISK)
             try:  # iterative fits pass over the prepared rows many times
                 fitted = [est.fit(prepared)]
             finally:
@@ -244,17 +279,17 @@ def fit_estimator(
         return FittedModel(PipelineModel(stages), estimator, parameters, labels, warnings)
     if estimator == RIDGE_REGRESSION and (stats.wide or stats.width > NORMAL_SOLVER_COLUMNS):
         # Beyond the normal solver's width: the same objective, matrix-free.
-        blocks = _fit_blocks(pre_model.transform(laid_out), stats, F.col(target))
+        blocks, frequent = _fit_blocks(pre_model.transform(laid_out), stats, F.col(target), 1)
         try:
-            fit = linear.fit_ridge(blocks, rows, stats.width, RIDGE_ALPHA)
+            fit = linear.fit_ridge(blocks, rows, _fit_width(stats, frequent), RIDGE_ALPHA)
+            fitted = _linear_stages(train.sparkSession, fit, stats, "prediction", blocks, frequent)
         finally:
             blocks.unpersist()
-        fitted = _linear_stages(train.sparkSession, fit, stats, "prediction")
         facts, warnings = _certificate(fit, estimator)
         return FittedModel(PipelineModel(list(pre_model.stages) + fitted), estimator,
                            sorted([("alpha", str(RIDGE_ALPHA)), ("solver", "conjugate-gradients"), *facts]),
                            warnings=warnings)
-    prepared = pre_model.transform(laid_out).withColumn("_y", F.col(target).cast("double")).persist(
+    prepared = pre_model.transform(laid_out).select(FEATURES_COL, F.col(target).cast("double").alias("_y")).persist(
         StorageLevel.MEMORY_AND_DISK)
     try:
         if estimator == RIDGE_REGRESSION:

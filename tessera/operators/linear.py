@@ -13,6 +13,12 @@ of the coefficients and the driver only what a model holds.
   which are never formed; any width.
 
 The largest gradient component is the certificate of both.
+
+One column of any number of categories needs no weights on the driver: with
+the other coefficients given, a category's weights are the optimum of its own
+rows alone.  ``grouped_blocks`` keeps the rows of a category in one block;
+every pass solves for the weights of its categories there and sums the
+gradient and curvature of what remains, a problem in the other coefficients.
 """
 
 from __future__ import annotations
@@ -34,6 +40,7 @@ _CHUNK = 1 << 12           # numbers of a partial sum in one row
 _BLOCK_ENTRIES = 1 << 18   # non-zero entries of a block
 
 _BLOCK = "label array<double>, size array<int>, at array<int>, x array<double>"
+_GROUPED = _BLOCK + ", rows array<int>, value array<string>"
 _PART = "chunk int, part array<double>"
 
 
@@ -57,28 +64,32 @@ def _list(values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
 
 
+def _entries(vec: pa.StructArray, more: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, positions, number for each row) of the non-zero entries of
+    vectors (dense or sparse) and of positions of further ones."""
+    values, index = vec.field("values"), vec.field("indices")
+    size = np.diff(values.offsets.to_numpy())
+    x = values.flatten().to_numpy()
+    dense = vec.field("type").to_numpy() == 1
+    start = np.concatenate([[0], np.cumsum(size)])
+    at = np.arange(len(x)) - np.repeat(start[:-1], size)
+    at[np.repeat(~dense, size)] = index.flatten().to_numpy()
+    keep = x != 0
+    row = np.repeat(np.arange(len(size)), size)[keep]
+    flags = np.repeat(np.arange(len(size)), np.diff(more.offsets.to_numpy()))
+    row = np.concatenate([row, flags])
+    x, at = np.concatenate([x[keep], np.ones(len(flags))]), np.concatenate([at[keep], more.flatten().to_numpy()])
+    order = np.argsort(row, kind="stable")
+    return x[order], at[order], np.bincount(row, minlength=len(size))
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors (dense or sparse) and positions of further ones to blocks of
-    labels and non-zero entries."""
+    """Rows to blocks of labels and non-zero entries."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        vec, label = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
-        values, index = vec.field("values"), vec.field("indices")
-        size = np.diff(values.offsets.to_numpy())
-        x = values.flatten().to_numpy()
-        dense = vec.field("type").to_numpy() == 1
-        start = np.concatenate([[0], np.cumsum(size)])
-        at = np.arange(len(x)) - np.repeat(start[:-1], size)
-        at[np.repeat(~dense, size)] = index.flatten().to_numpy()
-        keep = x != 0
-        row = np.repeat(np.arange(len(size)), size)[keep]
-        more = batch.column(2)
-        flags = np.repeat(np.arange(len(size)), np.diff(more.offsets.to_numpy()))
-        row = np.concatenate([row, flags])
-        x, at = np.concatenate([x[keep], np.ones(len(flags))]), np.concatenate([at[keep], more.flatten().to_numpy()])
-        order = np.argsort(row, kind="stable")
-        x, at, size = x[order], at[order], np.bincount(row, minlength=len(size))
+        label = batch.column(1).to_numpy(zero_copy_only=False)
+        x, at, size = _entries(batch.column(0), batch.column(2))
         end = np.cumsum(size)
         a = 0
         while a < len(size):
@@ -99,6 +110,62 @@ def row_blocks(rows: DataFrame, features: str, label: Column, ones: str | None =
                        ).mapInArrow(_pack, _BLOCK)
 
 
+def _pack_groups(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows in the order of their group to blocks of whole groups, at most
+    ``most`` of them."""
+    def cut(label, x, at, size, value, upto: int) -> Iterator[pa.RecordBatch]:
+        start = np.flatnonzero(np.append(True, value[1:upto] != value[:upto - 1]))
+        bound = np.append(start, upto)
+        end = np.append(0, np.cumsum(size))
+        a = 0
+        while a < len(start):
+            full = int(np.searchsorted(end[bound], end[bound[a]] + _BLOCK_ENTRIES, "right")) - 1
+            b = min(max(a + 1, full), a + most, len(start))
+            i, j = bound[a], bound[b]
+            inner = slice(end[i], end[j])
+            yield pa.RecordBatch.from_arrays(
+                [_list(label[i:j], pa.float64()), _list(size[i:j], pa.int32()), _list(at[inner], pa.int32()),
+                 _list(x[inner], pa.float64()), _list(np.diff(bound[a:b + 1]), pa.int32()),
+                 _list(value[start[a:b]], pa.string())], names=["label", "size", "at", "x", "rows", "value"])
+            a = b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            value = batch.column(3).to_numpy(zero_copy_only=False)
+            own = [batch.column(1).to_numpy(zero_copy_only=False), *_entries(batch.column(0), batch.column(2)), value]
+            held.append(own)
+            if value[0] == value[-1] and held[0][4][0] == value[0]:
+                continue  # one group so far
+            label, x, at, size, value = (np.concatenate(c) for c in zip(*held))
+            last = int(np.flatnonzero(value != value[-1])[-1]) + 1
+            yield from cut(label, x, at, size, value, last)
+            done = int(size[:last].sum())
+            held = [[label[last:], x[done:], at[done:], size[last:], value[last:]]]
+        if held:
+            whole = [np.concatenate(c) for c in zip(*held)]
+            yield from cut(*whole, len(whole[4]))
+
+    return run
+
+
+def grouped_blocks(rows: DataFrame, features: str, label: Column, group: Column, ones: Column, unknowns: int,
+                   outputs: int) -> DataFrame:
+    """Blocks that hold all rows of their groups; rows without a group (null)
+    stay where they are.  ``ones`` are the positions of further entries 1,
+    ``unknowns`` the coefficients besides the groups' own ``outputs`` each."""
+    held = rows.select(F.col(features), label.cast("double").alias("y"), ones.cast("array<bigint>").alias("ones"),
+                       group.alias("value"))
+    most = max(1, (1 << 21) // (outputs * max(outputs, unknowns if unknowns <= DENSE else 1)))
+    grouped = (held.where(F.col("value").isNotNull()).repartition("value").sortWithinPartitions("value")
+               .mapInArrow(_pack_groups(most), _GROUPED))
+    free = held.where(F.col("value").isNull()).drop("value").mapInArrow(_pack, _BLOCK).select(
+        "*", F.array().cast("array<int>").alias("rows"), F.array().cast("array<string>").alias("value"))
+    return grouped.unionByName(free)
+
+
 class Block:
     """One block inside a task."""
 
@@ -106,6 +173,20 @@ class Block:
         self.label, size, self.at, self.x = (batch.column(k)[i].values.to_numpy() for k in range(4))
         self.n = len(self.label)
         self.row = np.repeat(np.arange(self.n), size)
+        self.rows = batch.column(4)[i].values.to_numpy() if batch.num_columns > 4 else np.zeros(0, np.int32)
+        self.grouped = len(self.rows) > 0
+        if self.grouped:
+            self.value = batch.column(5)[i].values
+            self.group = np.repeat(np.arange(len(self.rows)), self.rows)
+            self.start = np.cumsum(self.rows) - self.rows
+
+    def by_group(self, r: np.ndarray) -> np.ndarray:
+        """Sums of the rows of ``r`` by group."""
+        return np.add.reduceat(r, self.start, axis=0)
+
+    def outside(self, r: np.ndarray, alpha: float) -> np.ndarray:
+        """What the groups' own ridge coefficients leave of ``r`` (rows)."""
+        return r - (self.by_group(r) / (self.rows + alpha))[self.group] if self.grouped else r
 
     def times(self, w: np.ndarray) -> np.ndarray:
         """Rows x outputs: the product with ``w`` (outputs x columns)."""
@@ -155,52 +236,112 @@ def _softmax(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return e / total, (np.log(total) + top)[:, 0]
 
 
-def _state(block: Block, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """(probabilities, residuals, loss) of a block; one output means two
-    classes with one score, several a score for each class."""
-    m = block.times(theta[:, :-1]) + theta[:, -1]
-    y = block.label.astype(np.int64)
-    if len(theta) == 1:
+def _row_state(m: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(probabilities, residuals, loss of each row) of scores ``m``; one output
+    means two classes with one score, several a score for each class."""
+    y = label.astype(np.int64)
+    if m.shape[1] == 1:
         s = m[:, 0]
         p = 1.0 / (1.0 + np.exp(-np.clip(s, -700, 700)))
-        return p[:, None], (p - y)[:, None], float(np.sum(np.logaddexp(0.0, s) - y * s))
+        return p[:, None], (p - y)[:, None], np.logaddexp(0.0, s) - y * s
     p, log_total = _softmax(m)
-    hit = m[np.arange(block.n), y]
+    at = np.arange(len(y))
     r = p.copy()
-    r[np.arange(block.n), y] -= 1.0
-    return p, r, float(np.sum(log_total - hit))
+    r[at, y] -= 1.0
+    return p, r, log_total - m[at, y]
+
 
+def _curved(p: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The rows' curvature in their scores times ``u``."""
+    return p * (1.0 - p) * u if p.shape[1] == 1 else p * (u - np.sum(p * u, axis=1, keepdims=True))
 
-def _gradient_pass(theta: np.ndarray, dense: bool) -> tuple[int, Callable[[Block], np.ndarray]]:
+
+def _group_curvature(block: Block, p: np.ndarray, c: float) -> np.ndarray:
+    """The curvature in the groups' own weights: groups x outputs x outputs."""
+    k = p.shape[1]
+    eye = np.eye(k)
+    return np.stack([block.by_group(p[:, i:i + 1] * (eye[i] - p)) for i in range(k)], axis=1) + eye / c
+
+
+def _group_weights(block: Block, base: np.ndarray, c: float) -> np.ndarray:
+    """Groups x outputs: each group's weights of least loss + |v|^2 / (2 c)
+    beside the scores ``base``, by Newton steps that never raise it."""
+    def at(v: np.ndarray):
+        p, r, loss = _row_state(base + v[block.group], block.label)
+        return p, block.by_group(r) + v / c, block.by_group(loss) + np.sum(v * v, axis=1) / (2 * c)
+
+    v = np.zeros((len(block.rows), base.shape[1]))
+    p, g, f = at(v)
+    for _ in range(100):
+        if np.all(np.abs(g).max(axis=1) <= 1e-13 * (1.0 + block.rows)):
+            break
+        step = np.linalg.solve(_group_curvature(block, p, c), g[:, :, None])[:, :, 0]
+        for _ in range(40):
+            trial = at(v - step)
+            worse = trial[2] > f + 1e-12 * (1.0 + np.abs(f))
+            if not worse.any():
+                break
+            step[worse] /= 2
+        low = np.abs(trial[1]).max(axis=1) >= np.abs(g).max(axis=1)
+        done = bool(np.all(low & (trial[2] >= f - 1e-12 * (1.0 + np.abs(f)))))
+        v = v - step
+        p, g, f = trial
+        if done:
+            break  # rounding
+    return v
+
+
+def _state(block: Block, theta: np.ndarray, c: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """(probabilities, residuals, loss) of a block, with the penalty of its
+    groups' own weights, which are optimal for ``theta``."""
+    m = block.times(theta[:, :-1]) + theta[:, -1]
+    own = 0.0
+    if block.grouped:
+        v = _group_weights(block, m, c)
+        m, own = m + v[block.group], float(np.sum(v * v)) / (2 * c)
+    p, r, loss = _row_state(m, block.label)
+    return p, r, float(np.sum(loss)) + own
+
+
+def _gradient_pass(theta: np.ndarray, dense: bool, c: float) -> tuple[int, Callable[[Block], np.ndarray]]:
     outputs, width = theta.shape[0], theta.shape[1] - 1
     unknowns = theta.size
 
     def add(block: Block) -> np.ndarray:
-        p, r, loss = _state(block, theta)
+        p, r, loss = _state(block, theta, c)
         g = np.concatenate([block.back(r, width), r.sum(axis=0)[:, None]], axis=1)
         if not dense:  # the diagonal serves as preconditioner
             a = p * (1.0 - p)
-            square = np.stack([np.bincount(block.at, block.x ** 2 * c[block.row], minlength=width) for c in a.T])
+            square = np.stack([np.bincount(block.at, block.x ** 2 * k[block.row], minlength=width) for k in a.T])
             return np.concatenate([[loss], g.ravel(), np.concatenate([square, a.sum(axis=0)[:, None]], axis=1).ravel()])
         x = np.concatenate([block.matrix(width), np.ones((block.n, 1))], axis=1)
         h = np.zeros((outputs, width + 1, outputs, width + 1))
+        mixed = np.zeros((len(block.rows), outputs, outputs, width + 1))
         for i in range(outputs):
             for j in range(i, outputs):
                 a = p[:, i] * ((i == j) - p[:, j])
                 h[i, :, j, :] = x.T @ (x * a[:, None])
                 h[j, :, i, :] = h[i, :, j, :]
+                if block.grouped:
+                    mixed[:, i, j] = mixed[:, j, i] = block.by_group(x * a[:, None])
+        if block.grouped:  # less what the groups' weights take up
+            mixed = mixed.reshape(len(block.rows), outputs, unknowns)
+            taken = np.linalg.solve(_group_curvature(block, p, c), mixed)
+            h -= (mixed.reshape(-1, unknowns).T @ taken.reshape(-1, unknowns)).reshape(h.shape)
         return np.concatenate([[loss], g.ravel(), h.ravel()])
 
     return 1 + unknowns + (unknowns ** 2 if dense else unknowns), add
 
 
-def _curvature_pass(theta: np.ndarray, v: np.ndarray) -> Callable[[Block], np.ndarray]:
+def _curvature_pass(theta: np.ndarray, v: np.ndarray, c: float) -> Callable[[Block], np.ndarray]:
     width = theta.shape[1] - 1
 
     def add(block: Block) -> np.ndarray:
-        p, _, _ = _state(block, theta)
-        u = block.times(v[:, :-1]) + v[:, -1]
-        u = p * (1.0 - p) * u if len(theta) == 1 else p * (u - np.sum(p * u, axis=1, keepdims=True))
+        p, _, _ = _state(block, theta, c)
+        u = _curved(p, block.times(v[:, :-1]) + v[:, -1])
+        if block.grouped:
+            taken = np.linalg.solve(_group_curvature(block, p, c), block.by_group(u)[:, :, None])[:, :, 0]
+            u = u - _curved(p, taken[block.group])
         return np.concatenate([block.back(u, width), u.sum(axis=0)[:, None]], axis=1).ravel()
 
     return add
@@ -237,7 +378,7 @@ def fit_logistic(blocks: DataFrame, rows: int, classes: int, width: int, c: floa
     matrix = theta.size <= dense
     keep, passes, low, best = None, 0, np.inf, (np.inf, theta, np.inf)
     for step in range(1, most_steps + 1):
-        size, add = _gradient_pass(theta, matrix)
+        size, add = _gradient_pass(theta, matrix, c)
         total = summed(blocks, size, add)
         passes += 1
         value = total[0] / rows + penalty / 2 * float(np.sum(theta[:, :-1] ** 2))
@@ -269,7 +410,7 @@ def fit_logistic(blocks: DataFrame, rows: int, classes: int, width: int, c: floa
 
             def product(v: np.ndarray, theta: np.ndarray = theta) -> np.ndarray:
                 v = v.reshape(theta.shape)
-                out = summed(blocks, theta.size, _curvature_pass(theta, v)).reshape(theta.shape) / rows
+                out = summed(blocks, theta.size, _curvature_pass(theta, v, c)).reshape(theta.shape) / rows
                 out[:, :-1] += penalty * v[:, :-1]
                 if outputs > 1:
                     out[:, -1] += v[:, -1].mean()
@@ -294,24 +435,25 @@ def fit_ridge(blocks: DataFrame, rows: int, width: int, alpha: float, *, limit:
     share of its size at w = 0, which ``limit`` bounds.
     """
     def moments(block: Block) -> np.ndarray:
-        y = block.label
+        y, one = block.outside(block.label, alpha), block.outside(np.ones(block.n), alpha)
         return np.concatenate([
-            [y.sum(), y @ y], np.bincount(block.at, block.x, minlength=width),
+            [y.sum(), block.label @ y, one.sum()], np.bincount(block.at, block.x * one[block.row], minlength=width),
             np.bincount(block.at, block.x ** 2, minlength=width),
             np.bincount(block.at, block.x * y[block.row], minlength=width)])
 
-    total = summed(blocks, 2 + 3 * width, moments)
-    y_mean = total[0] / rows
-    x_sum, x_square, xy = (total[2 + k * width:2 + (k + 1) * width] for k in range(3))
+    total = summed(blocks, 3 + 3 * width, moments)
+    weight = total[2]  # the number of rows, less what groups of their own take up
+    y_mean = total[0] / weight
+    x_sum, x_square, xy = (total[3 + k * width:3 + (k + 1) * width] for k in range(3))
     b = xy - x_sum * y_mean
-    diagonal = np.maximum(x_square - x_sum ** 2 / rows, 0.0) + alpha + 1e-300
+    diagonal = np.maximum(x_square - x_sum ** 2 / weight, 0.0) + alpha + 1e-300
 
     def product(v: np.ndarray) -> np.ndarray:
         def add(block: Block) -> np.ndarray:
-            u = block.times(v[None, :])
-            return np.append(block.back(u, width)[0], u.sum())
+            u = block.outside(block.times(v[None, :])[:, 0], alpha)
+            return np.append(block.back(u[:, None], width)[0], u.sum())
         out = summed(blocks, width + 1, add)
-        return out[:-1] - x_sum * (out[-1] / rows) + alpha * v
+        return out[:-1] - x_sum * (out[-1] / weight) + alpha * v
 
     scale = float(np.abs(b).max(initial=0.0))
     w, r, left, n, passes = np.zeros(width), b, scale, 0, 1
@@ -322,7 +464,31 @@ def fit_ridge(blocks: DataFrame, rows: int, width: int, alpha: float, *, limit:
         before, left = left, float(np.abs(r).max())
         if left > before / 2:
             break
-    intercept = y_mean - float(x_sum @ w) / rows
-    loss = total[1] - rows * y_mean ** 2 - float(b @ w)  # of the optimum, up to rounding
+    intercept = y_mean - float(x_sum @ w) / weight
+    loss = total[1] - weight * y_mean ** 2 - float(b @ w)  # of the optimum, up to rounding
     share = left / scale if scale else 0.0
     return LinearFit(w[None, :], np.array([intercept]), loss / rows, share, n, passes, share <= limit)
+
+
+# --- weights of groups -----------------------------------------------------------
+
+def group_weights(blocks: DataFrame, fit: LinearFit, *, c: float | None = None, alpha: float = 0.0) -> DataFrame:
+    """(value, n, weights) of the groups of ``grouped_blocks`` beside a fit:
+    those of a logistic regression with ``c``, else of a ridge regression."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = Block(batch, i)
+                if not block.grouped:
+                    continue
+                m = block.times(fit.weights) + fit.intercept
+                if c is None:
+                    v = (block.by_group(block.label - m[:, 0]) / (block.rows + alpha))[:, None]
+                else:
+                    v = _group_weights(block, m, c)
+                off = pa.array(np.arange(0, v.size + 1, v.shape[1]), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [block.value, pa.array(block.rows, pa.int64()), pa.ListArray.from_arrays(off, pa.array(v.ravel()))],
+                    names=["value", "n", "weights"])
+
+    return blocks.mapInArrow(run, "value string, n bigint, weights array<double>")
