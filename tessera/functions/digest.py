@@ -13,6 +13,7 @@ added, dropped or altered), not adversarial collisions.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,17 +22,26 @@ from pyspark.sql import types as T
 _WIDE = "decimal(38,0)"
 
 
-def _hash_part(token: Column, start: int) -> Column:
-    return F.conv(F.substring(F.md5(token), start, 15), 16, 10).cast(_WIDE)
+def hashed_tokens(df: DataFrame, tokens: dict[str, Column], keep: list[str] | None = None) -> DataFrame:
+    """``keep`` and, for every token, its two 60-bit integers ``<name>_1`` and
+    ``<name>_2``: projected one after the other, so that a token is spelled
+    and hashed once a row, however many sums read it."""
+    keep = list(keep or [])
+    held = df.select(*keep, *[F.md5(token).alias(name) for name, token in tokens.items()])
+    return held.select(*keep, *[
+        F.conv(F.substring(F.col(name), 16 * i + 1, 15), 16, 10).cast("long").alias(f"{name}_{i + 1}")
+        for name in tokens for i in range(2)])
 
 
-def digest_aggs(token: Column) -> list[Column]:
-    """Partial-aggregatable state of the digest: count and two sums."""
-    return [
-        F.count(F.lit(1)).alias("_dg_n"),
-        F.sum(_hash_part(token, 1)).alias("_dg_s1"),
-        F.sum(_hash_part(token, 17)).alias("_dg_s2"),
-    ]
+def digest_aggs(name: str) -> list[Column]:
+    """Partial-aggregatable state of the digest of a hashed token: count and
+    two sums.  Each is three sums of 20 bits in longs, good for 2^43 rows, put
+    together as a decimal at the end."""
+    def total(part: str) -> Column:
+        bits = [F.sum(F.shiftright(F.col(part), 20 * i).bitwiseAND(F.lit((1 << 20) - 1))).cast(_WIDE) for i in range(3)]
+        return (bits[0] + bits[1] * F.lit(1 << 20) + bits[2] * F.lit(1 << 40)).cast(_WIDE)
+
+    return [F.count(F.lit(1)).alias("_dg_n"), total(f"{name}_1").alias("_dg_s1"), total(f"{name}_2").alias("_dg_s2")]
 
 
 def digest_from_state() -> Column:
@@ -48,8 +58,9 @@ def digest_from_state() -> Column:
 
 def multiset_digest(df: DataFrame, token: Column, by: list[str] | None = None) -> DataFrame:
     """``(by..., row_count, digest)`` over the tokens of ``df``."""
-    grouped = df.groupBy(*by) if by else df.groupBy()
-    return grouped.agg(*digest_aggs(token)).select(
+    hashed = hashed_tokens(df, {"_tk": token}, by)
+    grouped = hashed.groupBy(*by) if by else hashed.groupBy()
+    return grouped.agg(*digest_aggs("_tk")).select(
         *(by or []),
         F.col("_dg_n").alias("row_count"),
         digest_from_state().alias("digest"),
@@ -68,10 +79,17 @@ def exact_text(d: Column) -> Column:
     return F.when(d == 0, "0").otherwise(F.format_string("%a", d))
 
 
-def value_token(df: DataFrame, columns: list[str] | None = None) -> Column:
-    """Text token of a whole row: lossless and engine-independent.
+def shortest_text(d: Column) -> Column:
+    """A double as its shortest decimal text, which tells all values apart
+    (both zeros alike) and is made faster, but differs between engines."""
+    return F.when(d == 0, "0").otherwise(d.cast("string"))
+
+
+def value_token(df: DataFrame, columns: list[str] | None = None, *, spell: Callable[[Column], Column] = exact_text
+                ) -> Column:
+    """Text token of a whole row: lossless and, as it stands, engine-independent.
 
-    Floating values are spelled exactly (``exact_text``), timestamps as epoch
+    Floating values are spelled by ``spell``, exactly by default, timestamps as epoch
     microseconds, and every field is framed.
     """
     fields = {f.name: f.dataType for f in df.schema.fields}
@@ -80,7 +98,7 @@ def value_token(df: DataFrame, columns: list[str] | None = None) -> Column:
         dtype = fields[name]
         col = F.col(f"`{name}`")
         if isinstance(dtype, (T.FloatType, T.DoubleType)):
-            text = F.when(col.isNotNull(), exact_text(col.cast("double")))
+            text = F.when(col.isNotNull(), spell(col.cast("double")))
         elif isinstance(dtype, T.TimestampNTZType):
             # Wall-clock micros since the epoch: no session time zone involved.
             text = F.expr(

@@ -27,7 +27,7 @@ from ..functions.columns import (
     is_infinite,
     kind_of,
 )
-from ..functions.digest import value_token
+from ..functions.digest import shortest_text, value_token
 from ..functions.frames import attach_scalars
 from .quantile import IN_MEMORY_LIMIT, exact_medians
 
@@ -178,7 +178,7 @@ def duplicate_row_count(df: DataFrame) -> DataFrame:
     collapses a hot duplicated row map-side.
     """
     return (
-        df.groupBy(F.unhex(F.sha2(value_token(df), 256)).alias("_row"))
+        df.groupBy(F.unhex(F.sha2(value_token(df, spell=shortest_text), 256)).alias("_row"))
         .agg(F.count(F.lit(1)).alias("_c"))
         .agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
     )

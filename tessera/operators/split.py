@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..config import FoldConfig, SplitConfig, SplitError, Task
 from ..functions.columns import cleaned, row_key, seeded_hash
-from ..functions.digest import digest_aggs, digest_from_state
+from ..functions.digest import digest_aggs, digest_from_state, hashed_tokens
 from ..functions.frames import ROW_KEY, attach_scalars, join_null_safe
 from . import checks
 
@@ -251,7 +251,8 @@ def _part_token(key: list[str], part: Column) -> Column:
 
 def partition_digest(frame: DataFrame, key: list[str]) -> DataFrame:
     """T4: one-row digest of the exact (part, row) membership of a split."""
-    return frame.agg(*digest_aggs(_part_token(key, F.col("part")))).select(
+    hashed = hashed_tokens(frame, {"_tk": _part_token(key, F.col("part"))})
+    return hashed.agg(*digest_aggs("_tk")).select(
         F.col("_dg_n").alias("rows"), digest_from_state().alias("partition_sha256")
     )
 
@@ -264,11 +265,12 @@ def fold_snapshots(folded: DataFrame, key: list[str], fold_count: int) -> DataFr
     k is then all training sums less its own plus its own validation sums.
     No row is copied; the table has one row a fold.
     """
-    own = folded.select("fold", row_key(key).alias("_rk"))
+    own = hashed_tokens(folded, {part: F.concat_ws(":", F.lit(part), row_key(key)) for part in ("train", "validation")},
+                        ["fold"])
     held = own.groupBy("fold").agg(
         F.count(F.lit(1)).alias("_n"),
         *[total.alias(f"_{part[0]}{i}") for part in ("train", "validation")
-          for i, total in enumerate(digest_aggs(F.concat_ws(":", F.lit(part), F.col("_rk")))[1:])])
+          for i, total in enumerate(digest_aggs(part)[1:])])
     # A fold without rows still has its training side.
     every = folded.sparkSession.range(1, fold_count + 1).select(F.col("id").cast("int").alias("fold"))
     held = every.join(held, "fold", "left").fillna(0)
