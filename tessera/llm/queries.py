@@ -36,7 +36,7 @@ def toxic_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicModel | None:
     """The model learned from the labels whose id remainder (mod 3) is not 1."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     learn = labels.select("doc_id", "toxic").where(_id_remainder(3) != 1)
-    return toxicity.train_model(spark, docs.select("doc_id", "text").join(learn, "doc_id"))
+    return toxicity.train_model(spark, docs.select("doc_id", "text"), labels=learn)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

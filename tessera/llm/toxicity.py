@@ -342,9 +342,12 @@ _SENTENCE = T.StructType([
 _KEY = T.StructType(_SENTENCE.fields[:3])
 
 
-def train_model(spark: SparkSession, labelled: DataFrame, cfg: ToxicConfig = ToxicConfig()) -> ToxicModel | None:
+def train_model(spark: SparkSession, labelled: DataFrame, cfg: ToxicConfig = ToxicConfig(),
+                labels: DataFrame | None = None) -> ToxicModel | None:
     """A model from ``labelled`` (doc_id, text, toxic 0/1); null ids, texts
-    and labels teach nothing; None where a class is missing.
+    and labels teach nothing; None where a class is missing.  The labels may
+    stand in a table of their own, ``labels`` (doc_id, toxic): it meets the
+    ids and digests of the texts, and no text but the sample's is shuffled.
 
     Labels mark documents, sentences are learned from: of a toxic document
     those that the model of the round before finds toxic, the most toxic one
@@ -354,16 +357,22 @@ def train_model(spark: SparkSession, labelled: DataFrame, cfg: ToxicConfig = Tox
     sentence that clean documents have too is clean.
     """
     stash = Stash(spark, "toxic")
-    known = (labelled.where("text is not null and toxic in (0, 1) and doc_id is not null")
-             .select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("toxic").cast("int").alias("toxic")))
-    firsts = stash.keep(known.groupBy(F.md5("text").alias("key"))
-                        .agg(F.min(F.struct("doc_id", "toxic")).alias("one")).select("one.*"))
+    texts = (labelled.where("text is not null and doc_id is not null")
+             .withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("key", F.unhex(F.md5("text"))))
+    known = texts.drop("text")
+    if labels is not None:
+        known = texts.select("doc_id", "key").join(
+            labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), "doc_id")
+    firsts = stash.keep(known.where("toxic in (0, 1)").withColumn("toxic", F.col("toxic").cast("int"))
+                        .groupBy("key").agg(F.min(F.struct("doc_id", "toxic")).alias("one")).select("key", "one.*"))
     totals = {r["toxic"]: r["n"] for r in firsts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
         return None
     pick = lambda y: firsts.where(F.col("toxic") == y).orderBy(
         F.xxhash64("doc_id"), "doc_id").limit(cfg.sample_docs)
-    sample = stash.keep(known.join(pick(0).unionByName(pick(1)), ["doc_id", "toxic"])
+    picked = pick(0).unionByName(pick(1)).groupBy("doc_id").agg(F.min(F.struct("key", "toxic")).alias("one"))
+    sample = stash.keep(texts.select("doc_id", "text", "key")
+                        .join(F.broadcast(picked.select("doc_id", "one.*")), ["doc_id", "key"])  # 2 * sample_docs rows
                         .dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic"))
     single = bucket_leaders(sample)
     sample = stash.keep(sample.join(single, "doc_id", "left_semi").select("doc_id", "text", "toxic"))

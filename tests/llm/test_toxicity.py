@@ -1,12 +1,15 @@
+import os
 import zlib
+from functools import partial
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
+from tessera.llm import toxicity
 from tessera.llm.common import fold_case, text_buffer
-from tessera.llm.queries import QUERIES
+from tessera.llm.queries import QUERIES, toxic_model
 from tessera.llm.toxicity import (KernelMap, Subsequences, ToxicConfig, clean_documents, normalised_kernel,
                                   score_toxicity, spell, subsequence_kernel, train_model, units)
 
@@ -138,6 +141,66 @@ def test_edge_cases(frame, spark, model):
     assert {r.score for r in score_toxicity(docs, None).collect()} == {0.0}
 
 
+def shuffle_files(spark):
+    """Name and size of the shuffle files of this local session."""
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {name: os.path.getsize(os.path.join(top, name)) for d in dirs for top, _, names in os.walk(d)
+            for name in names if name.startswith("shuffle_") and name.endswith(".data")}
+
+
+class Sampled(Exception):
+    """Ends training once the sample is drawn."""
+
+
+@pytest.fixture()
+def sample_of(monkeypatch):
+    """sample_of(train): the rows that ``train()`` draws as its sample."""
+    def stop(sample):
+        raise Sampled(sample.collect())
+
+    def run(train):
+        monkeypatch.setattr(toxicity, "bucket_leaders", stop)
+        with pytest.raises(Sampled) as drawn:
+            train()
+        return drawn.value.args[0]
+    return run
+
+
+def test_sampling_shuffles_no_texts_but_the_sample(spark, scratch, monkeypatch, sample_of):
+    rng = np.random.default_rng(11)
+    texts = ["".join(rng.choice(list("#$%&()*+,-/0123456789:;<=>@[]^_{}~"), 5000)) for _ in range(600)]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(
+        f"{scratch}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(600)], "doc_id long, toxic int").write.parquet(
+        f"{scratch}/labels.parquet")
+    monkeypatch.setattr(toxicity, "train_model", partial(train_model, cfg=ToxicConfig(sample_docs=20)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if there were many labels
+    try:
+        before = shuffle_files(spark)
+        rows = sample_of(lambda: toxic_model(spark, scratch))
+        made = [n for name, n in shuffle_files(spark).items() if name not in before]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(rows) == 40 and all(r.text == texts[r.doc_id] and r.toxic == (r.doc_id % 10 == 0) for r in rows)
+    assert 0 < sum(made) < sum(map(len, texts)) / 4
+
+
+def test_labels_in_their_own_table(spark, frame, sample_of):
+    texts = [(i, f"text {i}") for i in range(12)] + [(2, "text 2"), (20, "text 3"), (1, "text 9")]
+    texts += [(None, "no id"), (13, None), (14, "no label"), (15, "null label")]
+    labels = [(i, int(i % 3 == 0)) for i in range(12)] + [(20, 0), (0, 1), (5, 1), (7, 2), (15, None), (13, 1), (40, 1)]
+    docs, marks = frame(texts, "doc_id long, text string"), frame([*labels, (None, 1)], "doc_id long, toxic int")
+    pairs = sorted((d, y, t) for d, t in texts for e, y in labels if d == e and None not in (d, t, y) and y < 2)
+    first = {}
+    for d, y, t in pairs:  # copies of a text teach once, by their smallest id
+        first.setdefault(t, (d, y))
+    got = [sample_of(lambda: train_model(spark, docs, labels=marks)),
+           sample_of(lambda: train_model(spark, docs.join(marks, "doc_id")))]
+    for rows in got:
+        assert len({r.doc_id for r in rows}) == len(rows) == len({d for d, _ in first.values()})
+        assert all(first[r.text] == (r.doc_id, r.toxic) for r in rows)
+
+
 def test_query_on_held_out_ids(spark):
     sf = "/root/testdata/sf0.01"
     rows = {r.doc_id: r for r in QUERIES["op3_toxicity"](spark, sf).collect()}
