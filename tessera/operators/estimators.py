@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..config import ConfigurationError, ForestConfig, Task, TrainingError
 from ..session import checkpoint_dir
-from . import linear
+from . import forest, linear
 from .dictionary import CategoryWeights, category_positions, feature_positions, write_weights
 from .features import FEATURES_COL, FeatureStats, preprocessing_stages
 
@@ -229,8 +229,8 @@ def fit_estimator(
         return FittedModel(model, estimator, [("strategy", "prior"), ("random_state", str(seed))],
                            [str(label)])
     rows = stats.training_rows or train.count()
-    forest = estimator in (RANDOM_FOREST_CLASSIFIER, RANDOM_FOREST_REGRESSOR)
-    if forest and stats.wide:
+    is_forest = estimator in (RANDOM_FOREST_CLASSIFIER, RANDOM_FOREST_REGRESSOR)
+    if is_forest and stats.wide:
         raise TrainingError(
             "Forests take categorical columns of limited size; "
             + ", ".join(repr(c) for c in stats.wide) + " hold more values. Use a linear model or engineer them first.")
@@ -239,8 +239,8 @@ def fit_estimator(
     partitions = fit_partitions(rows)
     # Forests get a fixed layout (a shuffle); other fits only a narrow
     # coalesce to a data-sized partition count.
-    laid_out = deterministic_layout(train, key, partitions) if forest else train.coalesce(partitions)
-    layout = [("fit_partitions", str(partitions))] if forest else []
+    laid_out = deterministic_layout(train, key, partitions) if is_forest else train.coalesce(partitions)
+    layout = [("fit_partitions", str(partitions))] if is_forest else []
     pre_model = Pipeline(stages=pre).fit(train.limit(1))  # literals + one-hot sizes only
     if task is Task.CLASSIFICATION:
         # Labels do not depend on row order: index them from the rows as they are.
@@ -268,7 +268,7 @@ def fit_estimator(
             # Only what the fit reads is kept for its passes.
             prepared = prepared.select(FEATURES_COL, "_label_idx").persist(StorageLevel.MEMORY_AND_DISK)
             try:  # iterative fits pass over the prepared rows many times
-                fitted = [est.fit(prepared)]
+                fitted = [forest.fit_classifier(est, prepared, len(labels), partitions)]
             finally:
                 prepared.unpersist()
             parameters = _params(est) + layout

@@ -65,15 +65,15 @@ def exact_medians(
     return result
 
 
-def _count_below(bounds, v, lo: int, hi: int):
+def count_below(bounds, v, lo: int, hi: int):
     """Number of sorted ``bounds[lo:hi]`` below ``v`` as a binary-search CASE
     tree: log2(buckets) comparisons per row, compiled by whole-stage codegen
     (a ``filter`` lambda would scan every bound, interpreted)."""
     if lo >= hi:
         return F.lit(lo)
     mid = (lo + hi) // 2
-    return F.when(F.element_at(bounds, mid + 1) < v, _count_below(bounds, v, mid + 1, hi)).otherwise(
-        _count_below(bounds, v, lo, mid))
+    return F.when(F.element_at(bounds, mid + 1) < v, count_below(bounds, v, mid + 1, hi)).otherwise(
+        count_below(bounds, v, lo, mid))
 
 
 def _bucketed_median(
@@ -90,7 +90,7 @@ def _bucketed_median(
         with_bounds = weighted.join(F.broadcast(bounds), groups)
     tagged = (
         with_bounds
-        .withColumn("_b", _count_below(F.col("_bounds"), F.col(value), 0, buckets - 1))
+        .withColumn("_b", count_below(F.col("_bounds"), F.col(value), 0, buckets - 1))
         .drop("_bounds")
     )
     per_bucket = tagged.groupBy(*groups, "_b").agg(F.sum("_w").alias("_bw"))
