@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .jvm import Jvm
+
 _WIDE = "decimal(38,0)"
 
 
@@ -75,8 +77,11 @@ def framed(text: Column) -> Column:
 
 def exact_text(d: Column) -> Column:
     """A double as a hexadecimal floating-point text, which spells every value
-    exactly (both zeros alike)."""
-    return F.when(d == 0, "0").otherwise(F.format_string("%a", d))
+    exactly (both zeros alike): that of the format ``%a``, made without a format."""
+    j = Jvm()
+    text = j.static("java.lang.Double", "toHexString", j.object_kind("java.lang.String"), j.expression(d))
+    return F.when(d == 0, "0").otherwise(j.column(
+        j.static("org.apache.spark.unsafe.types.UTF8String", "fromString", j.kind("string"), text)))
 
 
 def shortest_text(d: Column) -> Column:
@@ -120,6 +125,21 @@ def value_token(df: DataFrame, columns: list[str] | None = None, *, spell: Calla
     return F.concat(*parts)
 
 
+def content_hash(df: DataFrame, columns: list[str]) -> Column:
+    """64 bits of the columns' values: rows that differ in it differ, NULLs
+    and both zeros compare equal; rows that share it may differ."""
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    parts = []
+    for name in columns:
+        col, dtype = F.col(f"`{name}`"), fields[name]
+        if isinstance(dtype, (T.FloatType, T.DoubleType)):
+            col = F.when(col == 0, F.lit(0).cast(dtype)).otherwise(col)
+        elif isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
+            col = F.to_json(col)
+        parts.append(col)
+    return F.xxhash64(*parts)
+
+
 def table_fingerprint(df: DataFrame, columns: list[str] | None = None) -> str:
     """Fingerprint of a table's column names, types and content (one
     aggregation job)."""

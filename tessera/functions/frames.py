@@ -20,8 +20,9 @@ def unpivot_struct(df: DataFrame, rows: list) -> DataFrame:
     return df.select(F.inline(F.array(*rows)))
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], *, broadcast_right: bool = False) -> DataFrame:
-    """Inner equi-join on ``keys`` where NULL matches NULL (no row is lost
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], *, broadcast_right: bool = False,
+                   how: str = "inner") -> DataFrame:
+    """Equi-join, inner by default, on ``keys`` where NULL matches NULL (no row is lost
     because a key is missing); the right-hand key columns are dropped."""
     if not keys:
         raise ValueError("join_null_safe needs at least one key")
@@ -33,7 +34,7 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], *, broadc
     for c in keys:
         term = left[f"`{c}`"].eqNullSafe(renamed[f"_r_{c}"])
         cond = term if cond is None else cond & term
-    return left.join(renamed, cond, "inner").drop(*[f"_r_{c}" for c in keys])
+    return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in keys])
 
 
 ROW_KEY = "__row_key"

@@ -22,6 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.jvm import Jvm
 from .quantile import count_below
 
 #: Rows are counted where one counted row stands for so many at least.
@@ -31,66 +32,12 @@ MAX_COUNTED_TREES = 400
 MAX_BINNED_FEATURES = 200
 
 
-class _Jvm:
-    """Spark's own classes, expressions and Scala values by short names."""
-
-    def __init__(self, df: DataFrame):
-        self.sc = df.sparkSession.sparkContext
-        self.jvm = self.sc._jvm
-        self.spark = df.sparkSession._jsparkSession
-
-    def cls(self, name: str):
-        return self.jvm.java.lang.Class.forName(
-            name, True, self.jvm.java.lang.Thread.currentThread().getContextClassLoader())
-
-    def module(self, name: str):
-        """A Scala object; its methods cannot be mistaken for a class's own."""
-        return self.cls(name + "$").getField("MODULE$").get(None)
-
-    def seq(self, items: list):
-        held = self.jvm.java.util.ArrayList()
-        for item in items:
-            held.add(item)
-        return self.jvm.org.apache.spark.api.python.PythonUtils.toSeq(held)
-
-    def some(self, value):
-        return self.module("scala.Option").apply(value)
-
-    def none(self):
-        return self.module("scala.Option").empty()
-
-    def kind(self, text: str):
-        """A SQL type by its DDL text, or the type of JVM objects of a class."""
-        return self.jvm.org.apache.spark.sql.types.DataType.fromDDL(text)
-
-    def object_kind(self, name: str):
-        return self.jvm.org.apache.spark.sql.types.ObjectType(self.cls(name))
-
-    def literal(self, value):
-        return self.module("org.apache.spark.sql.catalyst.expressions.Literal").apply(value)
-
-    def invoke(self, target, method: str, kind, *args, pure: bool = True):
-        """A method of an object; where it is not ``pure``, called once a row, in order."""
-        return self.jvm.org.apache.spark.sql.catalyst.expressions.objects.Invoke(
-            target, method, kind, self.seq(list(args)), self.seq([]), True, False, pure)
-
-    def instance(self, name: str, args: list):
-        return self.jvm.org.apache.spark.sql.catalyst.expressions.objects.NewInstance(
-            self.cls(name), self.seq(args), self.seq([]), False, self.object_kind(name), self.none())
-
-    def expression(self, column: Column):
-        return self.jvm.org.apache.spark.sql.classic.ExpressionUtils.expression(column._jc)
-
-    def column(self, expression) -> Column:
-        return Column(self.jvm.org.apache.spark.sql.classic.ExpressionUtils.column(expression))
-
-
 def bootstrap_counts(df: DataFrame, trees: int, seed: int, partitions: int) -> Column:
     """How often each tree's bootstrap sample holds the row, as an array.
 
     A task reads its own copy of its partition's generator and draws on.
     """
-    j = _Jvm(df)
+    j = Jvm(df.sparkSession.sparkContext)
     generators = j.jvm.java.util.ArrayList()
     for p in range(partitions):
         drawn = j.jvm.org.apache.commons.math3.distribution.PoissonDistribution(1.0)
@@ -100,10 +47,9 @@ def bootstrap_counts(df: DataFrame, trees: int, seed: int, partitions: int) -> C
     mine = j.invoke(held, "get", j.object_kind("org.apache.commons.math3.distribution.PoissonDistribution"),
                     j.expression(F.spark_partition_id()))
     counts = j.invoke(mine, "sample", j.object_kind("[I"), j.literal(trees), pure=False)
-    data = "org.apache.spark.sql.catalyst.expressions.UnsafeArrayData"
-    return j.column(j.jvm.org.apache.spark.sql.catalyst.expressions.objects.StaticInvoke(
-        j.cls(data), j.jvm.org.apache.spark.sql.types.ArrayType(j.kind("int"), False), "fromPrimitiveArray",
-        j.seq([counts]), j.seq([]), True, False, False, j.none()))
+    return j.column(j.static(
+        "org.apache.spark.sql.catalyst.expressions.UnsafeArrayData", "fromPrimitiveArray",
+        j.jvm.org.apache.spark.sql.types.ArrayType(j.kind("int"), False), counts, pure=False))
 
 
 def _bins(values: Column, splits, arities, width: int) -> list[Column]:
@@ -122,7 +68,7 @@ def _bins(values: Column, splits, arities, width: int) -> list[Column]:
 
 def _bagged(counted: DataFrame):
     """Rows (label, bins, counts) as Spark's bagged tree points."""
-    j = _Jvm(counted)
+    j = Jvm(counted.sparkSession.sparkContext)
     ints, package = j.object_kind("[I"), "org.apache.spark.ml.tree.impl"
     types = [f.dataType() for f in counted._jdf.schema().fields()]
     at = lambda i: j.jvm.org.apache.spark.sql.catalyst.analysis.GetColumnByOrdinal(i, types[i])
@@ -133,7 +79,7 @@ def _bagged(counted: DataFrame):
     held = j.module("org.apache.spark.sql.catalyst.encoders.ExpressionEncoder").apply(plain)
     encoder = j.jvm.org.apache.spark.sql.catalyst.encoders.ExpressionEncoder(plain, held.objSerializer(), bagged)
     plan = counted._jdf.queryExecution().analyzed()
-    return j.jvm.org.apache.spark.sql.classic.Dataset(j.spark, plan, encoder).rdd().persist(
+    return j.jvm.org.apache.spark.sql.classic.Dataset(counted.sparkSession._jsparkSession, plan, encoder).rdd().persist(
         j.jvm.org.apache.spark.storage.StorageLevel.MEMORY_AND_DISK())
 
 
@@ -142,9 +88,10 @@ def fit_classifier(est: RandomForestClassifier, rows: DataFrame, classes: int, p
     """``est.fit(rows)`` for persisted rows (features, label) in a fixed
     layout, on counted rows where these are much fewer."""
     trees, features, label = est.getNumTrees(), est.getFeaturesCol(), est.getLabelCol()
-    if min(trees, classes) < 2 or trees > MAX_COUNTED_TREES or est.getSubsamplingRate() != 1.0 or not est.getBootstrap():
-        return est.fit(rows)  # single trees are not drawn, others are drawn otherwise
-    j = _Jvm(rows)
+    drawn_alike = est.getBootstrap() and est.getSubsamplingRate() == 1.0  # Poisson(1) for each row
+    if not drawn_alike or min(trees, classes) < 2 or trees > MAX_COUNTED_TREES:
+        return est.fit(rows)
+    j = Jvm(rows.sparkSession.sparkContext)
     est._transfer_params_to_java()
     java, ml = est._java_obj, j.jvm.org.apache.spark.ml
     arities = j.module("org.apache.spark.ml.util.MetadataUtils").getCategoricalFeatures(

@@ -27,9 +27,9 @@ from ..functions.columns import (
     is_infinite,
     kind_of,
 )
-from ..functions.digest import shortest_text, value_token
+from ..functions.digest import content_hash, shortest_text, value_token
 from ..functions.frames import attach_scalars
-from .quantile import IN_MEMORY_LIMIT, exact_medians
+from .quantile import column_medians
 
 def _ratio(num, den):
     return F.when(den > 0, num / den).otherwise(F.lit(0.0))
@@ -60,15 +60,14 @@ def _short(text: Column) -> Column:
 def column_profiles(
     df: DataFrame, columns: list[str] | None = None, *, exact_distinct: bool = True
 ) -> DataFrame:
-    """One row per column from two aggregations.
+    """One row per column.
 
-    1. One wide aggregation: counts, infinite counts, finite min/max/mean/sd
-       and a HyperLogLog distinct estimate per column (no distinct expansion).
-    2. One value-count table ``(column, value, weight)`` over all columns
-       (partial aggregation map-side): its per-column row count is the exact
-       distinct count and its weighted percentile is the exact median.  The
-       HLL estimate sizes that median buffer; above the bound the distributed
-       bucketed median runs instead (``quantile.exact_medians``).
+    1. One wide aggregation: counts, infinite counts and finite
+       min/max/mean/sd per column.
+    2. The exact medians (``quantile.column_medians``).
+    3. Tables ``(column, value)`` of the distinct values, one of numbers and
+       one of texts (partial aggregation map-side): their per-column row
+       counts are the exact distinct counts.
 
     ``exact_distinct=False`` reports the HLL estimates as distinct counts.
     """
@@ -81,7 +80,8 @@ def column_profiles(
     for i, name in enumerate(names):
         c = cleaned(name, fields[name])
         aggs.append(F.count(c).alias(f"_nm{i}"))
-        aggs.append(F.approx_count_distinct(c).alias(f"_ud{i}"))
+        if not exact_distinct:
+            aggs.append(F.approx_count_distinct(c).alias(f"_ud{i}"))
         if name in opaque:  # arrays, maps, structs, binary: Spark's own distinct
             aggs.append(F.countDistinct(c).alias(f"_ux{i}"))
         if name in numeric:
@@ -94,11 +94,10 @@ def column_profiles(
                 F.avg(fin).alias(f"_avg{i}"),
                 F.stddev_samp(fin).alias(f"_sd{i}"),
             ]
-    # The single wide row is computed once; it also sizes the median job.
     wide_df = df.agg(*aggs)
     wide_row = wide_df.first()
-    wide = df.sparkSession.createDataFrame([wide_row], wide_df.schema)
-    hint = max([int(wide_row[f"_ud{i}"] or 0) for i, n in enumerate(names) if n in numeric] or [0])
+    wide = df.sparkSession.range(1).select(*[
+        F.lit(wide_row[f.name]).cast(f.dataType).alias(f.name) for f in wide_df.schema.fields])
     none = F.lit(None).cast("double")
     structs = []
     for i, name in enumerate(names):
@@ -110,7 +109,8 @@ def column_profiles(
                 F.lit(kind_of(fields[name])).alias("kind"),
                 F.col("_rows").alias("rows"),
                 F.col(f"_nm{i}").alias("non_missing_count"),
-                (F.col(f"_ux{i}") if name in opaque else F.col(f"_ud{i}")).alias("_approx_unique"),
+                (F.col(f"_ux{i}") if name in opaque else F.lit(0).cast("bigint") if exact_distinct
+                 else F.col(f"_ud{i}")).alias("_approx_unique"),
                 (F.col(f"_inf{i}") if is_num else F.lit(0).cast("bigint")).alias("infinite_count"),
                 (F.col(f"_min{i}") if is_num else none).alias("minimum"),
                 (F.col(f"_max{i}") if is_num else none).alias("maximum"),
@@ -122,29 +122,23 @@ def column_profiles(
     long = wide.select(F.inline(F.array(*structs)))
     counted = [n for n in names if n not in opaque]
     if counted:
-        values = df.select(F.inline(F.array(*[
-            F.struct(
-                F.lit(n).alias("column_name"),
-                (as_double(n, fields[n]) if n in numeric else none).alias("v"),
-                (_short(texts[n]) if n not in numeric else F.lit(None).cast("string")).alias("t"),
-            )
-            for n in counted
-        ]))).filter(F.col("v").isNotNull() | F.col("t").isNotNull())
-        weighted = values.groupBy("column_name", "v", "t").agg(F.count(F.lit(1)).alias("_w"))
-        finite_v = finite_or_null(F.col("v"))
-        if hint * 1.2 <= IN_MEMORY_LIMIT:
-            per_column = weighted.groupBy("column_name").agg(
-                F.count(F.lit(1)).alias("_unique"),
-                F.percentile(finite_v, F.lit(0.5), F.col("_w")).alias("median"),
-            )
-        else:
-            medians = exact_medians(
-                values.select("column_name", finite_v.alias("v")).filter(F.col("v").isNotNull()),
-                ["column_name"], "v", distinct_hint=hint)
-            per_column = weighted.groupBy("column_name").agg(F.count(F.lit(1)).alias("_unique")).join(
-                medians, "column_name", "left")
-        # One row per column: a bounded broadcast.
-        long = long.join(F.broadcast(per_column), "column_name", "left")
+        # Values of one kind share a table of (column, value): numbers are
+        # grouped by fixed-width keys.
+        found = column_medians(df, {n: finite_or_null(as_double(n, fields[n])) for n in numeric}, wide_row["_rows"])
+        kinds = [[(n, as_double(n, fields[n])) for n in numeric],
+                 [(n, _short(texts[n])) for n in counted if n not in numeric]]
+        uniques: dict[str, int] = {}
+        for kind in kinds if exact_distinct else []:
+            if kind:
+                values = df.select(F.inline(F.array(*[
+                    F.struct(F.lit(names.index(n)).alias("i"), v.alias("v")) for n, v in kind
+                ]))).filter(F.col("v").isNotNull()).groupBy("i", "v").agg(F.lit(1))
+                sizes = values.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()
+                uniques |= {names[r["i"]]: r["n"] for r in sizes}
+        unique = F.array(*[F.lit(uniques.get(n)).cast("bigint") for n in names])
+        median = F.array(*[F.lit(found.get(n)).cast("double") for n in names])
+        long = long.withColumn("_unique", F.element_at(unique, F.col("position"))).withColumn(
+            "median", F.element_at(median, F.col("position")))
     else:
         long = long.withColumn("_unique", F.lit(None).cast("bigint")).withColumn("median", none)
     unique = F.col("_approx_unique") if not exact_distinct else F.coalesce(
@@ -173,12 +167,19 @@ def column_profiles(
 def duplicate_row_count(df: DataFrame) -> DataFrame:
     """P10: rows beyond the first of each identical row (NULLs compare equal).
 
-    Rows are told apart by a 256-bit digest of their exact content, so 32
-    bytes a row are shuffled whatever its width, and partial aggregation
-    collapses a hot duplicated row map-side.
+    Rows that share no 64-bit hash are different, so 8 bytes a row are
+    shuffled first.  Only rows whose hash repeats are told apart by a 256-bit
+    digest of their exact content; partial aggregation collapses a hot
+    duplicated row map-side.
     """
+    hashed = df.withColumn("_row_hash", content_hash(df, df.columns))
+    counts = hashed.groupBy("_row_hash").agg(F.count(F.lit(1)).alias("_n"))
+    repeated = counts.filter(F.col("_n") > 1).select("_row_hash")
+    if not repeated.agg(F.count(F.lit(1))).first()[0]:
+        return df.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("duplicate_rows"))
     return (
-        df.groupBy(F.unhex(F.sha2(value_token(df, spell=shortest_text), 256)).alias("_row"))
+        hashed.join(repeated, "_row_hash", "left_semi")
+        .groupBy(F.unhex(F.sha2(value_token(df, spell=shortest_text), 256)).alias("_row"))
         .agg(F.count(F.lit(1)).alias("_c"))
         .agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
     )

@@ -16,12 +16,18 @@ and fatal for a high-cardinality double column at scale.  So:
    only the one or two buckets that hold the middle ranks are sorted.
 
 ``fold_medians`` selects the medians of all folds' training sides at once.
+
+``column_medians`` selects the medians of several columns of a table without
+grouping their values: a sketch of each column brackets its middle ranks, one
+pass over all rows counts the values below and inside the brackets, and only
+values inside are grouped and sorted.  Counts are exact, so a bracket that misses a middle
+rank is seen, and its column goes the way above.
 """
 
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 IN_MEMORY_LIMIT = 2_000_000
@@ -65,6 +71,61 @@ def exact_medians(
     return result
 
 
+#: Rows whose values place the brackets, and half a bracket's width in ranks.
+BRACKET_ROWS = 1_000_000
+BRACKET_HALF = 0.005
+
+
+def column_medians(df: DataFrame, values: dict[str, Column], rows: int, *, bracket_rows: int = BRACKET_ROWS
+                   ) -> dict[str, float]:
+    """Exact median of every column of finite or NULL doubles over all
+    ``rows``; columns without values are absent.
+
+    Where a bracket lies is a guess from some rows; below and inside it every
+    row is counted, which shows whether it holds the middle ranks.
+    """
+    names = list(values)
+    if not names or not rows:
+        return {}
+    held = df.select(*[v.alias(f"_v{i}") for i, v in enumerate(values.values())])
+    at = [F.col(f"_v{i}") for i in range(len(names))]
+    guess = held if rows <= bracket_rows else held.filter(F.rand(0) < bracket_rows / rows)
+    fractions = [0.5 - BRACKET_HALF, 0.5 + BRACKET_HALF]
+    found = guess.agg(*[F.percentile_approx(v, fractions, 1_000) for v in at]).first()
+    seen = [i for i in range(len(names)) if found[i] is not None]
+    inside = [at[i].between(F.lit(found[i][0]), F.lit(found[i][1])) for i in seen]
+    counts = held.agg(*[c for i, within in zip(seen, inside) for c in (
+        F.count(at[i]), F.count_if(at[i] < F.lit(found[i][0])), F.count_if(within))]).first() if seen else []
+    medians, open_, missed = {}, {}, [i for i in range(len(names)) if found[i] is None and rows > bracket_rows]
+    for k, i in enumerate(seen):
+        n, below, kept = counts[3 * k:3 * k + 3]
+        low, high = (n - 1) // 2 - below, n // 2 - below
+        if low < 0 or high >= kept:
+            missed.append(i)
+        elif found[i][0] == found[i][1]:
+            medians[names[i]] = found[i][0] + 0.0
+        else:
+            open_[i] = (inside[k], low, high)
+    if open_:
+        long = held.select(F.inline(F.array(*[
+            F.struct(F.lit(i).alias("i"), F.when(within, at[i]).alias("v"), F.lit(low).cast("long").alias("lo"),
+                     F.lit(high).cast("long").alias("hi")) for i, (within, low, high) in open_.items()
+        ]))).filter(F.col("v").isNotNull())
+        ranked = long.groupBy("i", "lo", "hi", "v").agg(F.count(F.lit(1)).alias("w")).withColumn(
+            "end", F.sum("w").over(Window.partitionBy("i").orderBy("v")))
+
+        def picked(rank: str) -> Column:
+            return F.max(F.when((F.col(rank) < F.col("end")) & (F.col(rank) >= F.col("end") - F.col("w")), F.col("v")))
+
+        for r in ranked.groupBy("i").agg((picked("lo") / 2 + picked("hi") / 2).alias("median")).collect():
+            medians[names[r["i"]]] = r["median"]
+    if missed:
+        long = held.select(F.inline(F.array(*[
+            F.struct(F.lit(i).alias("i"), at[i].alias("v")) for i in missed]))).filter(F.col("v").isNotNull())
+        medians |= {names[r["i"]]: r["median"] for r in exact_medians(long, ["i"]).collect()}
+    return medians
+
+
 def count_below(bounds, v, lo: int, hi: int):
     """Number of sorted ``bounds[lo:hi]`` below ``v`` as a binary-search CASE
     tree: log2(buckets) comparisons per row, compiled by whole-stage codegen

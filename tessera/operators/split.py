@@ -8,7 +8,8 @@ may be a third of the table) into one task.  ``ordered_rank`` avoids that:
 the leading hex digits of the hash form buckets that are consistent with
 the hash order, so a row's rank = rows in earlier buckets (prefix sum over
 a small count table) + its rank inside its bucket (a window partitioned by
-bucket).  The result is identical for any bucket width.
+bucket).  The result is identical for any bucket width.  A holdout needs no
+ranks: ``quota_part`` finds the last validation row and compares with it.
 """
 
 from __future__ import annotations
@@ -80,6 +81,40 @@ def ordered_rank(
     )
 
 
+def quota_part(hashed: DataFrame, key: list[str], quotas: DataFrame | int, *, partition: list[str] | None = None,
+               digits: int = 3, broadcast: bool = True) -> DataFrame:
+    """``hashed`` with ``part``: 'validation' for the first rows of each
+    partition in the order ``(_h, key...)``, as many as its ``_quota``.
+
+    Keys must be unique.  The bucket counts name the bucket in which a quota
+    ends; only its rows are sorted, for the last one that belongs to it, and
+    every row is compared with that one: rows are not moved.
+    """
+    partition = list(partition or [])
+    tagged = hashed.withColumn("_bkt", F.substring(F.col(HASH), 1, digits))
+    counts = tagged.groupBy(*partition, "_bkt").agg(F.count(F.lit(1)).alias("_cnt"))
+    if partition:
+        counts = join_null_safe(counts, quotas, partition, broadcast_right=broadcast)
+    else:
+        counts = counts.withColumn("_quota", F.lit(quotas).cast("long"))
+    before = F.sum("_cnt").over(Window.partitionBy(*partition).orderBy("_bkt")) - F.col("_cnt")
+    need = F.col("_quota") - F.col("_before")
+    ends = counts.withColumn("_before", before).filter((need > 0) & (need <= F.col("_cnt"))).select(
+        *partition, "_bkt", need.alias("_need"))
+    row = F.struct(HASH, *key)
+    order = Window.partitionBy(*partition, "_bkt").orderBy(HASH, *key)
+    last = (join_null_safe(tagged, ends, [*partition, "_bkt"], broadcast_right=broadcast)
+            .withColumn("_place", F.row_number().over(order)).filter(F.col("_place") == F.col("_need"))
+            .select(*partition, row.alias("_last")))
+    if partition:  # a class without validation rows has no last one
+        sides = join_null_safe(quotas.select(*partition), last.groupBy(*partition).agg(F.first("_last").alias("_last")),
+                               partition, broadcast_right=broadcast, how="left")
+        held = join_null_safe(hashed, sides, partition, broadcast_right=broadcast)
+    else:
+        held = hashed.crossJoin(F.broadcast(last))
+    return held.withColumn("part", F.when(row <= F.col("_last"), "validation").otherwise("train")).drop("_last")
+
+
 @dataclass
 class Split:
     """A split as one DataFrame with a ``part`` column ('train'/'validation')."""
@@ -158,7 +193,7 @@ def split_dataset(
     if task is Task.REGRESSION and cfg.stratify is True:
         raise SplitError("Stratifying on the target needs a classification task.")
     stratified = task is Task.CLASSIFICATION if cfg.stratify is None else cfg.stratify
-    report = checks.target_report(df, target).first()
+    report = checks.target_report(df, target, classes=stratified or task is Task.CLASSIFICATION).first()
     rows = int(report["rows"])
     if rows < 2:
         raise SplitError("A holdout needs two or more rows.")
@@ -184,11 +219,17 @@ def split_dataset(
     digits = hex_digits_for(rows)
     if stratified:
         classes = int(report["classes"])
-        ranked = ordered_rank(hashed, key, partition=[target], digits=digits, groups_bound=classes)
         counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("_n"))
         quotas = validation_quotas(counts, rows, validation_rows, target)
         # One row per class, bounded by the checked class count.
-        ranked = join_null_safe(ranked, quotas, [target], broadcast_right=classes <= BROADCAST_ROW_LIMIT)
+        small = classes <= BROADCAST_ROW_LIMIT
+    if check and stratified:
+        frame = quota_part(hashed, key, quotas, partition=[target], digits=digits, broadcast=small).drop(HASH)
+    elif check:
+        frame = quota_part(hashed, key, validation_rows, digits=digits).drop(HASH)
+    elif stratified:  # keys may repeat: every row needs its rank
+        ranked = ordered_rank(hashed, key, partition=[target], digits=digits, groups_bound=classes)
+        ranked = join_null_safe(ranked, quotas, [target], broadcast_right=small)
         part = F.when(F.col("_rank") < F.col("_quota"), "validation").otherwise("train")
         frame = ranked.withColumn("part", part).drop("_rank", "_quota", HASH)
     else:

@@ -151,7 +151,10 @@ def train(
         if split is None:
             sp = T.split_dataset(df, target=target, key=key, task=cfg.task, config=cfg.split)
             # Reused by digest, checks, statistics, fit and scoring.
-            sp.frame = sp.frame.coalesce(E.fit_partitions(sp.rows)).persist(StorageLevel.MEMORY_AND_DISK)
+            partitions = E.fit_partitions(sp.rows)
+            few = base._jdf.queryExecution().toRdd().getNumPartitions() < partitions  # the split keeps the input's
+            sp.frame = (sp.frame.repartition(partitions) if few else sp.frame.coalesce(partitions)).persist(
+                StorageLevel.MEMORY_AND_DISK)
             owned.append(sp.frame)
         else:
             sp = split

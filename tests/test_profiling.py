@@ -1,7 +1,7 @@
 import pytest
 
 from tessera.operators import profile as P
-from tessera.operators.quantile import exact_medians
+from tessera.operators.quantile import column_medians, exact_medians
 
 
 def test_quality_counts_and_duplicates(spark):
@@ -72,3 +72,39 @@ def test_bucketed_median_exact_with_heavy_ties(spark, n):
     bucketed = {r["g"]: r["median"] for r in exact_medians(df, ["g"], "v", in_memory_limit=0, buckets=8).collect()}
     exact = {r["g"]: float(r["m"]) for r in df.groupBy("g").agg(F.median("v").alias("m")).collect()}
     assert bucketed == pytest.approx(exact)
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 1000, 1001])
+@pytest.mark.parametrize("bracket_rows", [30, 1_000_000])
+def test_column_medians_are_exact_wherever_the_bracket_lies(spark, n, bracket_rows):
+    from pyspark.sql import functions as F
+
+    df = spark.range(n).select(
+        (F.col("id") % 11).cast("double").alias("tied"), (F.pmod(F.xxhash64("id"), F.lit(997)) / 7).alias("spread"),
+        F.when(F.col("id") % 3 == 0, -F.col("id").cast("double")).alias("some"), F.lit(None).cast("double").alias("none"))
+    got = column_medians(df, {c: F.col(c) for c in df.columns}, n, bracket_rows=bracket_rows)
+    exact = df.agg(*[F.median(c).alias(c) for c in df.columns]).first().asDict()
+    assert got == pytest.approx({c: m for c, m in exact.items() if m is not None})
+
+
+def test_rows_of_different_hash_are_not_digested(spark):
+    """Only rows whose hash repeats are spelled and digested."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(50).select((F.col("id") / 4).alias("v"), F.col("id").cast("string").alias("t"))
+    plan = P.duplicate_row_count(rows)
+    assert plan.first()["duplicate_rows"] == 0 and "sha2" not in plan._jdf.queryExecution().toString()
+    zeros = spark.createDataFrame([(0.0, None, "a"), (-0.0, None, "a"), (0.0, "a", None), (float("nan"), None, "a"),
+                                   (float("nan"), None, "a")], "v double, s string, t string")
+    assert P.duplicate_row_count(rows.union(rows.limit(7))).first()["duplicate_rows"] == 7
+    assert P.duplicate_row_count(zeros).first()["duplicate_rows"] == 2
+
+
+def test_exact_text_is_that_of_the_format(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions.digest import exact_text
+
+    values = [0.1, -1.5, 1e300, 5e-324, 2.2250738585072014e-308, float("inf"), float("-inf"), float("nan"), 123456.78]
+    df = spark.createDataFrame([(v,) for v in values], "d double")
+    assert df.filter(exact_text(F.col("d")) != F.format_string("%a", "d")).isEmpty()

@@ -95,3 +95,31 @@ def test_duplicate_keys_rejected(spark):
         T.split_dataset(df, target="target", key=["value"], task=Task.CLASSIFICATION)
     with pytest.raises(SplitError, match="not unique"):
         T.assign_folds(df, target="target", key=["value"], config=FoldConfig(2, 1))
+
+
+@pytest.mark.parametrize("digits", [1, 3])
+@pytest.mark.parametrize("validation", [1, 17, 99])
+def test_holdout_marks_rows_where_they_are(spark, digits, validation):
+    """The rows before the last validation row, no matter where its bucket
+    ends; no row changes its partition."""
+    df = spark.range(0, 100, 1, 4).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.col("id"),
+                                          F.spark_partition_id().alias("at"))
+    hashed = df.withColumn("_h", seeded_hash(42, ["k", "id"]))
+    got = T.quota_part(hashed, ["k", "id"], validation, digits=digits).withColumn("now", F.spark_partition_id())
+    ranked = T.ordered_rank(hashed, ["k", "id"], digits=digits)
+    first = {r["id"] for r in ranked.filter(F.col("_rank") < validation).collect()}
+    rows = got.collect()
+    assert {r["id"] for r in rows if r["part"] == "validation"} == first and len(rows) == 100
+    assert all(r["at"] == r["now"] for r in rows)
+
+
+def test_stratified_holdout_keeps_quotas_of_uneven_classes(spark):
+    df = spark.range(200).select("id", F.when(F.col("id") < 150, "a").when(F.col("id") < 197, "b")
+                                .otherwise("c").alias("y"))
+    s = T.split_dataset(df, target="y", key=["id"], task=Task.CLASSIFICATION, config=SplitConfig(random_seed=3))
+    hashed = df.withColumn("_h", seeded_hash(3, ["id"]))
+    ranked = T.ordered_rank(hashed, ["id"], partition=["y"])
+    quotas = {r["y"]: r["count"] for r in s.validation().groupBy("y").count().collect()}
+    assert sum(quotas.values()) == 40 and s.frame.count() == 200
+    assert {r["id"] for r in s.validation().collect()} == {
+        r["id"] for r in ranked.collect() if r["_rank"] < quotas.get(r["y"], 0)}
