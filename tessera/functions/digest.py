@@ -97,6 +97,12 @@ def value_token(df: DataFrame, columns: list[str] | None = None, *, spell: Calla
     Floating values are spelled by ``spell``, exactly by default, timestamps as epoch
     microseconds, and every field is framed.
     """
+    return F.concat(*[framed(text) for text in value_texts(df, columns, spell)])
+
+
+def value_texts(df: DataFrame, columns: list[str] | None = None, spell: Callable[[Column], Column] = exact_text
+                ) -> list[Column]:
+    """The fields of a row's token before they are framed."""
     fields = {f.name: f.dataType for f in df.schema.fields}
     parts = []
     for name in columns or df.columns:
@@ -121,8 +127,8 @@ def value_token(df: DataFrame, columns: list[str] | None = None, *, spell: Calla
             text = F.hex(col)
         else:
             text = col.cast("string")
-        parts.append(framed(text))
-    return F.concat(*parts)
+        parts.append(text)
+    return parts
 
 
 def content_hash(df: DataFrame, columns: list[str]) -> Column:
@@ -145,7 +151,9 @@ def table_fingerprint(df: DataFrame, columns: list[str] | None = None) -> str:
     aggregation job)."""
     held = df.select(*[F.col(f"`{c}`") for c in columns]) if columns else df
     head = "".join(f"{len(part)}:{part}" for column in held.dtypes for part in column)
-    row = multiset_digest(held, value_token(held)).first()
+    # Projected one after the other, a field is spelled once, not once for its length and once for itself.
+    spelled = held.select(*[text.alias(c) for text, c in zip(value_texts(held), held.columns)])
+    row = multiset_digest(spelled, F.concat(*[framed(F.col(f"`{c}`")) for c in held.columns])).first()
     return hashlib.sha256(f"{head}|{row['digest']}".encode()).hexdigest()
 
 

@@ -268,7 +268,7 @@ def fit_estimator(
             # Only what the fit reads is kept for its passes.
             prepared = prepared.select(FEATURES_COL, "_label_idx").persist(StorageLevel.MEMORY_AND_DISK)
             try:  # iterative fits pass over the prepared rows many times
-                fitted = [forest.fit_classifier(est, prepared, len(labels), partitions)]
+                fitted = [forest.fit_classifier(est, prepared, len(labels))]
             finally:
                 prepared.unpersist()
             parameters = _params(est) + layout

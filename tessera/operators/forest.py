@@ -30,6 +30,8 @@ ROWS_PER_COUNTED_ROW = 4
 #: Trees whose counts are added in one aggregation; features binned in SQL.
 MAX_COUNTED_TREES = 400
 MAX_BINNED_FEATURES = 200
+#: A counted row's draws are 32-bit numbers.
+MAX_COUNTED_ROWS = 1_000_000_000
 
 
 def bootstrap_counts(df: DataFrame, trees: int, seed: int, partitions: int) -> Column:
@@ -83,8 +85,7 @@ def _bagged(counted: DataFrame):
         j.jvm.org.apache.spark.storage.StorageLevel.MEMORY_AND_DISK())
 
 
-def fit_classifier(est: RandomForestClassifier, rows: DataFrame, classes: int, partitions: int
-                   ) -> RandomForestClassificationModel:
+def fit_classifier(est: RandomForestClassifier, rows: DataFrame, classes: int) -> RandomForestClassificationModel:
     """``est.fit(rows)`` for persisted rows (features, label) in a fixed
     layout, on counted rows where these are much fewer."""
     trees, features, label = est.getNumTrees(), est.getFeaturesCol(), est.getLabelCol()
@@ -104,7 +105,7 @@ def fit_classifier(est: RandomForestClassifier, rows: DataFrame, classes: int, p
     metadata = j.module("org.apache.spark.ml.tree.impl.DecisionTreeMetadata").buildMetadata(
         instances, strategy, trees, subset)
     width = metadata.numFeatures()
-    if width > MAX_BINNED_FEATURES:
+    if width > MAX_BINNED_FEATURES or metadata.numExamples() > MAX_COUNTED_ROWS:
         return est.fit(rows)
     grower = j.module("org.apache.spark.ml.tree.impl.RandomForest")
     splits = grower.findSplits(instances, metadata, seed)
@@ -113,7 +114,8 @@ def fit_classifier(est: RandomForestClassifier, rows: DataFrame, classes: int, p
     cells = binned.agg(F.approx_count_distinct(F.xxhash64("_label", "_bins"))).first()[0]
     if cells * ROWS_PER_COUNTED_ROW > metadata.numExamples():
         return est.fit(rows)
-    drawn = binned.select("_label", "_bins", bootstrap_counts(rows, trees, seed, partitions).alias("_counts"))
+    draws = bootstrap_counts(rows, trees, seed, instances.getNumPartitions())
+    drawn = binned.select("_label", "_bins", draws.alias("_counts"))
     counted = drawn.groupBy("_label", "_bins").agg(*[F.sum(F.col("_counts")[t]).cast("int").alias(f"_t{t}")
                                                     for t in range(trees)])
     counted = counted.select("_label", "_bins", F.array(*[f"_t{t}" for t in range(trees)]).alias("_counts"))

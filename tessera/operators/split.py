@@ -292,7 +292,8 @@ def _part_token(key: list[str], part: Column) -> Column:
 
 def partition_digest(frame: DataFrame, key: list[str]) -> DataFrame:
     """T4: one-row digest of the exact (part, row) membership of a split."""
-    hashed = hashed_tokens(frame, {"_tk": _part_token(key, F.col("part"))})
+    spelled = frame.select("part", *[F.col(k).cast("string").alias(k) for k in key])  # once, not for each use
+    hashed = hashed_tokens(spelled, {"_tk": _part_token(key, F.col("part"))})
     return hashed.agg(*digest_aggs("_tk")).select(
         F.col("_dg_n").alias("rows"), digest_from_state().alias("partition_sha256")
     )

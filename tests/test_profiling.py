@@ -108,3 +108,17 @@ def test_exact_text_is_that_of_the_format(spark):
     values = [0.1, -1.5, 1e300, 5e-324, 2.2250738585072014e-308, float("inf"), float("-inf"), float("nan"), 123456.78]
     df = spark.createDataFrame([(v,) for v in values], "d double")
     assert df.filter(exact_text(F.col("d")) != F.format_string("%a", "d")).isEmpty()
+
+
+def test_fingerprint_is_that_of_the_row_tokens(spark):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from tessera.functions.digest import multiset_digest, table_fingerprint, value_token
+
+    df = spark.range(40).select("id", (F.col("id") / 7 - 2).alias("d"),
+                                F.when(F.col("id") % 3 > 0, F.lit("x:1")).alias("t"), F.to_date(F.lit("2020-02-29")).alias("day"), (F.col("id") > 9).alias("b"))
+    head = "".join(f"{len(part)}:{part}" for column in df.dtypes for part in column)
+    token = multiset_digest(df, value_token(df)).first()["digest"]
+    assert table_fingerprint(df) == hashlib.sha256(f"{head}|{token}".encode()).hexdigest()
