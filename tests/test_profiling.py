@@ -81,7 +81,8 @@ def test_column_medians_are_exact_wherever_the_bracket_lies(spark, n, bracket_ro
 
     df = spark.range(n).select(
         (F.col("id") % 11).cast("double").alias("tied"), (F.pmod(F.xxhash64("id"), F.lit(997)) / 7).alias("spread"),
-        F.when(F.col("id") % 3 == 0, -F.col("id").cast("double")).alias("some"), F.lit(None).cast("double").alias("none"))
+        F.when(F.col("id") % 3 == 0, -F.col("id").cast("double")).alias("some"),
+        F.lit(None).cast("double").alias("none"))
     got = column_medians(df, {c: F.col(c) for c in df.columns}, n, bracket_rows=bracket_rows)
     exact = df.agg(*[F.median(c).alias(c) for c in df.columns]).first().asDict()
     assert got == pytest.approx({c: m for c, m in exact.items() if m is not None})
@@ -118,7 +119,8 @@ def test_fingerprint_is_that_of_the_row_tokens(spark):
     from tessera.functions.digest import multiset_digest, table_fingerprint, value_token
 
     df = spark.range(40).select("id", (F.col("id") / 7 - 2).alias("d"),
-                                F.when(F.col("id") % 3 > 0, F.lit("x:1")).alias("t"), F.to_date(F.lit("2020-02-29")).alias("day"), (F.col("id") > 9).alias("b"))
+                                F.when(F.col("id") % 3 > 0, F.lit("x:1")).alias("t"),
+                                F.to_date(F.lit("2020-02-29")).alias("day"), (F.col("id") > 9).alias("b"))
     head = "".join(f"{len(part)}:{part}" for column in df.dtypes for part in column)
     token = multiset_digest(df, value_token(df)).first()["digest"]
     assert table_fingerprint(df) == hashlib.sha256(f"{head}|{token}".encode()).hexdigest()
